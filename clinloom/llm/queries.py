@@ -5,27 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinloom.llm import extendible_shards, pfair_mix
+from clinloom.llm import extendible_shards, nnls_pack, pfair_mix, transport_stream
 
 SHARD_BYTES = 8 << 20
 
 
+def byte_bpe() -> str:
+    """The public byte-level vocabulary's path, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a transport stream, read back: digests of payload and stream, and its shape."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    read = transport_stream.with_program(transport_stream.with_media(docs))
+    p = F.col("program")
+    return read.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        *[p[c].alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")],
+        transport_stream.feature(p).alias("feature"),
+    )
+
+
 def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's block, release, deadline and slot; targets are tempered source sizes."""
     return pfair_mix.mix(_documents(spark, sf_dir).select("doc_id", "source"))
 
 
+def op8_nnls_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 1024 ids."""
+    return nnls_pack.pack(_documents(spark, sf_dir), byte_bpe())
+
+
 def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard, by hash of doc_id, no shard over 8 MiB of text."""
     return extendible_shards.assign_shards(_documents(spark, sf_dir), "doc_id", F.octet_length("text"), SHARD_BYTES)
 
 
 QUERIES = {
+    "op1_transport_stream": op1_transport_stream,
     "op5_pfair_mix": op5_pfair_mix,
+    "op8_nnls_pack": op8_nnls_pack,
     "op10_extendible_shards": op10_extendible_shards,
 }
 
