@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinloom.llm import extendible_shards, nnls_pack, pfair_mix, transport_stream
+from clinloom.llm import extendible_shards, language_id, nnls_pack, pfair_mix, quality_cnn, transport_stream
 
 SHARD_BYTES = 8 << 20
 
@@ -34,11 +34,36 @@ def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Documents with a score of at least this are predicted to have label 1.
+QUALITY_KEEP = 0.3
+
+
+def _fold(of: int) -> Column:
+    """crc32 of the id as text, modulo ``of``; null ids are in no fold but 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of, F.lit(0))
+
+
+def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the byte network fitted on the labelled rows outside fold 0 of 5."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = quality_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _fold(5) != 0)
+    scored = quality_cnn.score(docs, model)
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_KEEP).cast("int").alias("predicted"))
+
+
 def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's block, release, deadline and slot; targets are tempered source sizes."""
     return pfair_mix.mix(_documents(spark, sf_dir).select("doc_id", "source"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the model fitted outside fold 1 of 3."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language_id.train(docs, _fold(3) != 1)
+    named = language_id.identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_nnls_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 1024 ids."""
     return nnls_pack.pack(_documents(spark, sf_dir), byte_bpe())
@@ -51,7 +76,9 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_transport_stream": op1_transport_stream,
+    "op2_quality_cnn": op2_quality_cnn,
     "op5_pfair_mix": op5_pfair_mix,
+    "op6_language_id": op6_language_id,
     "op8_nnls_pack": op8_nnls_pack,
     "op10_extendible_shards": op10_extendible_shards,
 }
