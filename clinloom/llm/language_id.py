@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Documents of each language that the model is fitted on, in expectation.
 SAMPLE_DOCS = 600
@@ -174,7 +175,7 @@ _models: dict[str, Model] = {}
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score; all other columns are kept."""
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables))
 

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled rows of each class that the model is fitted on, in expectation.
 SAMPLE_ROWS = 900
@@ -169,7 +170,7 @@ def score_texts(model: Model, texts: list[str | None], limit: int = 4 << 20) ->
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the probability as a column of doubles; all other columns are kept."""
-    schema = docs.schema.add(name, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
