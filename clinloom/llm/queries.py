@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinloom.llm import extendible_shards, language_id, nnls_pack, pfair_mix, quality_cnn, transport_stream
+from clinloom.llm import extendible_shards, language_id, nnls_pack, pfair_mix, prefix_hash, quality_cnn, transport_stream
 
 SHARD_BYTES = 8 << 20
 
@@ -51,6 +51,11 @@ def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_KEEP).cast("int").alias("predicted"))
 
 
+def op4_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, with their likeness and the next document's."""
+    return prefix_hash.edited_neighbours(_documents(spark, sf_dir))
+
+
 def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's block, release, deadline and slot; targets are tempered source sizes."""
     return pfair_mix.mix(_documents(spark, sf_dir).select("doc_id", "source"))
@@ -77,6 +82,7 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_transport_stream": op1_transport_stream,
     "op2_quality_cnn": op2_quality_cnn,
+    "op4_prefix_hash": op4_prefix_hash,
     "op5_pfair_mix": op5_pfair_mix,
     "op6_language_id": op6_language_id,
     "op8_nnls_pack": op8_nnls_pack,
