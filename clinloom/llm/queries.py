@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinloom.llm import extendible_shards, language_id, nnls_pack, pfair_mix, prefix_hash, quality_cnn, transport_stream
+from clinloom.llm import extendible_shards, language_id, nnls_pack, pfair_mix, pii_feistel, prefix_hash, quality_cnn, transport_stream
 
 SHARD_BYTES = 8 << 20
 
@@ -51,6 +51,17 @@ def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_KEEP).cast("int").alias("predicted"))
 
 
+#: Key of the registered queries. A deployment passes its own secret.
+PII_KEY = "registered-query-key"
+
+
+def op3_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for its personal data and credentials, and their spans."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    out = pii_feistel.pseudonymize(docs, PII_KEY)
+    return out.select("doc_id", "text", F.size("pii").alias("n_pii"), F.to_json("pii").alias("pii"))
+
+
 def op4_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, with their likeness and the next document's."""
     return prefix_hash.edited_neighbours(_documents(spark, sf_dir))
@@ -82,6 +93,7 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_transport_stream": op1_transport_stream,
     "op2_quality_cnn": op2_quality_cnn,
+    "op3_pii_feistel": op3_pii_feistel,
     "op4_prefix_hash": op4_prefix_hash,
     "op5_pfair_mix": op5_pfair_mix,
     "op6_language_id": op6_language_id,
