@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinloom.llm import extendible_shards, language_id, nnls_pack, pfair_mix, pii_feistel, prefix_hash, quality_cnn, transport_stream
+from clinloom.llm import extendible_shards, language_id, nnls_pack, pfair_mix, pii_feistel, prefix_hash, quality_cnn, transport_stream, unigram_count
 
 SHARD_BYTES = 8 << 20
 
@@ -80,6 +80,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op7_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of unigram pieces and the score of its best segmentation."""
+    import public_tokenizers
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return unigram_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 def op8_nnls_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 1024 ids."""
     return nnls_pack.pack(_documents(spark, sf_dir), byte_bpe())
@@ -97,6 +105,7 @@ QUERIES = {
     "op4_prefix_hash": op4_prefix_hash,
     "op5_pfair_mix": op5_pfair_mix,
     "op6_language_id": op6_language_id,
+    "op7_unigram_count": op7_unigram_count,
     "op8_nnls_pack": op8_nnls_pack,
     "op10_extendible_shards": op10_extendible_shards,
 }
