@@ -57,8 +57,8 @@ class Model:
             part = blocks[at : at + SLAB + 1]
             both = self.embed[part].reshape(len(part), -1) @ self.left
             got = both[:-1, :FILTERS] + both[1:, FILTERS:]
-            lo, hi = np.searchsorted(first, [at, at + len(got)], "right")
-            lo = max(0, lo - 1)
+            lo = np.searchsorted(first, at, "right") - 1
+            hi = np.searchsorted(first, at + len(got), "left")
             inner = first[lo:hi] - at
             last = inner[1:] - 1  # a chunk over two documents
             got[last[last >= 0]] = -np.inf
