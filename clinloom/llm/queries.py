@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinloom.llm import extendible_shards, language_id, nnls_pack, pfair_mix, pii_feistel, prefix_hash, quality_cnn, transport_stream, unigram_count
+from clinloom.llm import extendible_shards, language_id, ngram_jaccard, nnls_pack, pfair_mix, pii_feistel, prefix_hash, quality_cnn, transport_stream, unigram_count
 
 SHARD_BYTES = 8 << 20
 
@@ -93,6 +93,11 @@ def op8_nnls_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nnls_pack.pack(_documents(spark, sf_dir), byte_bpe())
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and component: three-word shingles, Jaccard of at least 0.9."""
+    return ngram_jaccard.join_components(_documents(spark, sf_dir), words=3, num=90, den=100)
+
+
 def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard, by hash of doc_id, no shard over 8 MiB of text."""
     return extendible_shards.assign_shards(_documents(spark, sf_dir), "doc_id", F.octet_length("text"), SHARD_BYTES)
@@ -107,6 +112,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_unigram_count": op7_unigram_count,
     "op8_nnls_pack": op8_nnls_pack,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_extendible_shards": op10_extendible_shards,
 }
 
