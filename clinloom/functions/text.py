@@ -66,12 +66,17 @@ def jaccard(a: Column, b: Column, empty: float) -> Column:
     return F.when(union == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def bounded(pattern: str, unicode: bool = True) -> str:
+    """A pattern that only matches whole words, of Unicode or of ASCII letters, digits and underscores."""
+    return rf"(?U)\b{pattern}\b" if unicode else rf"(?<![A-Za-z0-9_]){pattern}(?![A-Za-z0-9_])"
+
+
 def word_pattern(terms: Iterable[str], unicode: bool = True) -> str | None:
     """One pattern of whole terms in any case, the longest first; None without terms."""
     ordered = sorted({t for t in terms if t.strip()}, key=lambda t: (-len(t), t))
     if not ordered:
         return None
-    return ("(?Ui)" if unicode else "(?i)") + r"\b(?:" + "|".join(re.escape(t) for t in ordered) + r")\b"
+    return "(?i)" + bounded("(?:" + "|".join(re.escape(t) for t in ordered) + ")", unicode)
 
 
 def redact(text: Column, terms: Iterable[str], mark: str = "[REDACTED]", unicode: bool = True) -> tuple[Column, Column]:
@@ -84,9 +89,8 @@ def redact(text: Column, terms: Iterable[str], mark: str = "[REDACTED]", unicode
 
 def substitute(text: Column, table: Mapping[str, str], unicode: bool = True) -> Column:
     """Whole phrases replaced one after another, the longest first."""
-    flag = "(?U)" if unicode else ""
     for phrase in sorted(table, key=len, reverse=True):
-        text = F.regexp_replace(text, rf"{flag}\b{re.escape(phrase)}\b", table[phrase].replace("$", r"\$"))
+        text = F.regexp_replace(text, bounded(re.escape(phrase), unicode), table[phrase].replace("$", r"\$"))
     return text
 
 

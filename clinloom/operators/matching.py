@@ -49,8 +49,8 @@ class Matcher:
         if rule == "strip_dose_and_form":
             units = sorted(table("dose_units", ()), key=len, reverse=True)
             for unit in units:
-                text = F.regexp_replace(text, rf"{flag}\b\d+(?:\.\d+)?\s*{unit}\b", " ")
-            text = F.regexp_replace(text, rf"{flag}\b\d+(?:\.\d+)?\b", " ")
+                text = F.regexp_replace(text, tx.bounded(rf"\d+(?:\.\d+)?\s*{unit}", u), " ")
+            text = F.regexp_replace(text, tx.bounded(r"\d+(?:\.\d+)?", u), " ")
             return tx.remove(tx.remove(text, units, u), table("dose_forms", ()), u)
         raise ValueError(f"unknown rule {rule!r}")
 
