@@ -23,7 +23,8 @@ def wilson(successes: Column, trials: Column, confidence: float = 0.95) -> tuple
     scale = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / scale
     spread = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / scale
-    return p, F.greatest(F.lit(0.0), centre - spread), F.least(F.lit(1.0), centre + spread)
+    low = F.when(n.isNotNull(), F.greatest(F.lit(0.0), centre - spread))
+    return p, low, F.when(n.isNotNull(), F.least(F.lit(1.0), centre + spread))
 
 
 def required_pairs(sd: float, smallest: float, power: float, alpha: float = 0.05, incomplete: float = 0.0) -> tuple[int, int]:
