@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from clinloom.functions import icd9
 from clinloom.functions import text as tx
+from clinloom.session import ship
 
 RANK = {"exact_code": 4, "generic_equivalent": 3, "exact_description": 3, "category_3digit": 2, "description_overlap": 1, "none": 0}
 
@@ -127,6 +128,8 @@ def assign(pairs: DataFrame, key: list[str]) -> DataFrame:
     """Maximum one-to-one assignment per key of matched (extracted, coded, granularity, score) pairs."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*key).schema)
 
+    ship(pairs.sparkSession)
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.assign(_rank=pdf["granularity"].map(RANK)).sort_values(["_rank", "score", "coded"], ascending=[False, False, True])
         candidates = {int(e): g["coded"].astype(int).tolist() for e, g in ordered.groupby("extracted")}

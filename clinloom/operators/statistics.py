@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinloom.session import ship
+
 
 def paired(df: DataFrame, arm: str, a: str, b: str) -> DataFrame:
     """(case_id, difference) of cases measured in both arms; null where an arm isn't measured."""
@@ -70,6 +72,8 @@ def mersenne_bootstrap(df: DataFrame, by: Sequence[str], resamples: int = 2000,
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
 
+    ship(df.sparkSession)
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         held = pdf[pdf["value"].notna()]
         groups = {k: g["value"].tolist() for k, g in held.groupby("case_id", sort=True)}

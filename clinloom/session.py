@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,25 @@ def scratch_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once for an application.
+
+    Where the package was itself submitted with the application there is nothing to do.
+    """
+    app, package = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    if app in _shipped or not package.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="clinloom-ship-"), "clinloom.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
