@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clinloom.session import ship
+
 #: Documents of each language that the model is fitted on, in expectation.
 SAMPLE_DOCS = 600
 LONGEST = 5
@@ -141,6 +143,7 @@ def build(counts: dict[tuple[str, int, str], int]) -> Model:
 
 def train(docs: DataFrame, allowed: Column | None = None, rows: int = SAMPLE_DOCS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on a sample of the rows of ``docs`` that ``allowed`` admits and whose language is not null."""
+    ship(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if allowed is not None:
         known = known.where(allowed)
@@ -174,7 +177,9 @@ _models: dict[str, Model] = {}
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; all other columns are kept."""
+    """``docs`` with lang_pred and score, which replace columns of these names; all others are kept."""
+    docs = docs.drop("lang_pred", "score")
+    ship(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables))

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinloom.llm.components import components
-from clinloom.session import discard, materialize
+from clinloom.session import discard, materialize, ship
 
 #: Leaves of a block in the first product, and rows of a chunk in the second.
 LEAVES, CHUNK = 256, 128
@@ -372,6 +372,7 @@ def _second_blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 def join_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     known = materialize(rows.mapInArrow(_nodes(words), f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, node long"), "nodes")
     ids = materialize(known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")), "ids")

@@ -12,7 +12,8 @@ is then arithmetic on its rank within its source, which is found without gatheri
 source in one task. No document is dropped or repeated.
 
 Defined cases: a null source is a source of its own; sources without a given weight raise;
-a repeated doc_id is a row of its own; an empty table gives an empty result.
+a repeated doc_id is a row of its own; an empty table gives an empty result; other columns
+are kept, but columns named as an output column are replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ BUCKETS = 256
 #: More distinct sources than this are refused: the schedule is held on the driver.
 MAX_SOURCES = 4096
 NULL = "\x00"
+OUTPUT = ("block", "offset", "phase", "release", "deadline", "slot")
 
 
 def shares(weights: Mapping[str, float], quantum: int = QUANTUM) -> dict[str, int]:
@@ -96,32 +98,33 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, block_rows: i
     ``temper``. Release and deadline are slots of the whole schedule; slot orders blocks
     and offset orders the documents of a block.
     """
-    named = df.withColumn("_source", F.coalesce(F.col("source"), F.lit(NULL)))
-    counts = named.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
+    df = df.drop(*OUTPUT)
+    named = df.withColumn("__source", F.coalesce(F.col("source"), F.lit(NULL)))
+    counts = named.groupBy("__source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = {r["_source"]: r["n"] for r in counts}
+    rows = {r["__source"]: r["n"] for r in counts}
     given = {s: n**temper for s, n in rows.items()} if weights is None else {s: weights[None if s == NULL and None in weights else s] for s in rows}
     plan = phases(shares(given, quantum), {s: -(-n // block_rows) for s, n in rows.items()}) if rows else []
     by_source: dict[str, list] = {}
     for r in plan:
         if r["end"] > r["first"]:
             by_source.setdefault(r["source"], []).append((r["phase"], r["first"], r["end"], r["slot"], r["period"], r["share"], r["slots"]))
-    schema = "_source string, _phases array<struct<phase int, first long, end long, base long, period long, share long, slots array<int>>>"
+    schema = "__source string, __phases array<struct<phase int, first long, end long, base long, period long, share long, slots array<int>>>"
     table = df.sparkSession.createDataFrame([(s, p) for s, p in by_source.items()], schema)
-    out = ranked(named, "_source", F.xxhash64("doc_id"), BUCKETS, "_rank")
-    out = out.withColumn("block", F.expr(f"_rank div {block_rows}")).withColumn("offset", F.col("_rank") % block_rows)
-    out = out.join(F.broadcast(table), "_source")
-    out = out.withColumn("_p", F.expr("filter(_phases, p -> block >= p.first and block < p.end)[0]")).drop("_phases")
-    out = out.withColumn("_i", F.expr("block - _p.first"))
+    out = ranked(named, "__source", F.xxhash64("doc_id"), BUCKETS, "__rank")
+    out = out.withColumn("block", F.expr(f"__rank div {block_rows}")).withColumn("offset", F.col("__rank") % block_rows)
+    out = out.join(F.broadcast(table), "__source")
+    out = out.withColumn("__p", F.expr("filter(__phases, p -> block >= p.first and block < p.end)[0]")).drop("__phases")
+    out = out.withColumn("__i", F.expr("block - __p.first"))
     return out.select(
         *df.columns,
         "block",
         "offset",
-        F.col("_p.phase").alias("phase"),
-        F.expr("_p.base + (_i * _p.period) div _p.share").alias("release"),
-        F.expr("_p.base + ((_i + 1) * _p.period + _p.share - 1) div _p.share").alias("deadline"),
-        F.expr("_p.base + (_i div _p.share) * _p.period + _p.slots[cast(_i % _p.share as int)]").alias("slot"),
+        F.col("__p.phase").alias("phase"),
+        F.expr("__p.base + (__i * __p.period) div __p.share").alias("release"),
+        F.expr("__p.base + ((__i + 1) * __p.period + __p.share - 1) div __p.share").alias("deadline"),
+        F.expr("__p.base + (__i div __p.share) * __p.period + __p.slots[cast(__i % __p.share as int)]").alias("slot"),
     )
 
 

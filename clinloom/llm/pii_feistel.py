@@ -170,12 +170,12 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", spans: str = "pii"
     ``spans`` holds (kind, start, length) in code points of the text, from 0.
     """
     pattern = _text(PATTERN)
-    out = df.withColumn("_ms", F.expr(f"regexp_extract_all({text}, {pattern}, 0)"))
-    out = out.withColumn("_new", F.expr(f"if(size(_ms) > 0, transform(_ms, m -> {mapped_match(key)}), null)"))
-    out = out.withColumn("_between", F.expr(f"if(size(_ms) > 0, split({text}, {pattern}, -1), null)"))
-    joined = "concat(array_join(transform(_ms, (m, i) -> concat(_between[i], coalesce(_new[i].new, m))), ''), _between[size(_ms)])"
-    step = "named_struct('at', acc.at + length(_between[i]) + length(_ms[i]), 'out', if(_new[i].new is null, acc.out, concat(acc.out, array(named_struct('kind', _new[i].kind, 'start', acc.at + length(_between[i]), 'length', length(_ms[i]))))))"
+    out = df.withColumn("__ms", F.expr(f"regexp_extract_all({text}, {pattern}, 0)"))
+    out = out.withColumn("__new", F.expr(f"if(size(__ms) > 0, transform(__ms, m -> {mapped_match(key)}), null)"))
+    out = out.withColumn("__between", F.expr(f"if(size(__ms) > 0, split({text}, {pattern}, -1), null)"))
+    joined = "concat(array_join(transform(__ms, (m, i) -> concat(__between[i], coalesce(__new[i].new, m))), ''), __between[size(__ms)])"
+    step = "named_struct('at', acc.at + length(__between[i]) + length(__ms[i]), 'out', if(__new[i].new is null, acc.out, concat(acc.out, array(named_struct('kind', __new[i].kind, 'start', acc.at + length(__between[i]), 'length', length(__ms[i]))))))"
     empty = "cast(array() as array<struct<kind: string, start: int, length: int>>)"
-    listed = f"aggregate(sequence(0, size(_ms) - 1), named_struct('at', 0, 'out', {empty}), (acc, i) -> {step}, acc -> acc.out)"
-    out = out.withColumn(spans, F.expr(f"if(size(_ms) > 0, {listed}, {empty})"))
-    return out.withColumn(text, F.expr(f"if(size(_ms) > 0, {joined}, {text})")).drop("_ms", "_new", "_between")
+    listed = f"aggregate(sequence(0, size(__ms) - 1), named_struct('at', 0, 'out', {empty}), (acc, i) -> {step}, acc -> acc.out)"
+    out = out.withColumn(spans, F.expr(f"if(size(__ms) > 0, {listed}, {empty})"))
+    return out.withColumn(text, F.expr(f"if(size(__ms) > 0, {joined}, {text})")).drop("__ms", "__new", "__between")

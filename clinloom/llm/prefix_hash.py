@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clinloom.session import ship
+
 WIDTH, KEEP = 8, 64
 #: Two primes below 2^31 and a base for each.
 MODULI = (2_147_483_647, 2_147_483_629)
@@ -192,6 +194,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and the likenesses."""
     spark = docs.sparkSession
+    ship(spark)
     ranges = ranges or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clinloom.session import ship
+
 #: Labelled rows of each class that the model is fitted on, in expectation.
 SAMPLE_ROWS = 900
 HALF, EMBED, FILTERS = 8, 8, 32
@@ -169,7 +171,12 @@ def score_texts(model: Model, texts: list[str | None], limit: int = 4 << 20) ->
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the probability as a column of doubles; all other columns are kept."""
+    """``docs`` with the probability as a column of doubles; all other columns are kept.
+
+    A column that has the new column's name is replaced.
+    """
+    docs = docs.drop(name)
+    ship(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index(text)
 

@@ -13,12 +13,12 @@ def ranked(df: DataFrame, group: str, order: Column, buckets: int, name: str = "
     (group, bucket), and shifted by the counts of the buckets before. The count table has
     at most distinct groups x buckets rows, however many documents there are.
     """
-    cut = F.shiftright(F.col("_o"), 33) + F.lit(1 << 30)
-    keyed = df.withColumn("_o", order).withColumn("_b", F.floor(cut * buckets / F.lit(1 << 31)).cast("int"))
-    counts = keyed.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(group, "_b").orderBy("_o", *[c for c in df.columns if c != group][:1])
-    out = keyed.withColumn("_r", F.row_number().over(inside) - 1)
-    out = out.join(F.broadcast(shift), [group, "_b"])
-    return out.withColumn(name, F.col("_before") + F.col("_r")).drop("_o", "_b", "_r", "_before")
+    cut = F.shiftright(F.col("__o"), 33) + F.lit(1 << 30)
+    keyed = df.withColumn("__o", order).withColumn("__b", F.floor(cut * buckets / F.lit(1 << 31)).cast("int"))
+    counts = keyed.groupBy(group, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(group, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(group, "__b").orderBy("__o", *[c for c in df.columns if c != group][:1])
+    out = keyed.withColumn("__r", F.row_number().over(inside) - 1)
+    out = out.join(F.broadcast(shift), [group, "__b"])
+    return out.withColumn(name, F.col("__before") + F.col("__r")).drop("__o", "__b", "__r", "__before")

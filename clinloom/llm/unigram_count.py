@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from clinloom.session import ship
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE, CACHED_CHARS = 500_000, 64
@@ -126,7 +128,12 @@ def counter(path: str) -> Counter:
 
 
 def count_tokens(df: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``df`` with n_pieces and best_score; ``model`` is the path of a file that every executor has."""
+    """``df`` with n_pieces and best_score, which replace columns of these names.
+
+    ``model`` is the path of a file that every executor has.
+    """
+    df = df.drop("n_pieces", "best_score")
+    ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField("n_pieces", T.LongType()), T.StructField("best_score", T.DoubleType())])
     at = df.columns.index(text)
 
