@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -87,3 +88,13 @@ def discard(*frames: DataFrame) -> None:
             jvm = df.sparkSession.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cleaner delete shuffle files of plans that nothing refers to any more.
+
+    It acts on what the driver's garbage collector finds; a long query asks for that
+    between its steps, so that its disk holds one step's shuffles and not all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
