@@ -113,6 +113,6 @@ def _overflow(rest: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(df: DataFrame, assigned: DataFrame, key: str, path: str) -> None:
-    """Write the rows of ``df`` (unique ``key``) to ``path``, one folder for each shard."""
-    joined = df.join(assigned.select(key, "shard"), key)
+    """Write the rows of ``df`` (unique ``key``) to ``path``, one folder ``shard=b<bits>`` for each shard."""
+    joined = df.join(assigned.select(key, F.concat(F.lit("b"), "shard").alias("shard")), key)
     joined.repartition("shard").write.mode("errorifexists").partitionBy("shard").parquet(path)
