@@ -16,14 +16,16 @@ when ``den`` * |intersection| >= ``num`` * |union|. The join is exact: no link i
    Small sets use the usual prefix of their least shingles instead.
    A task keeps the least node of each key and turns the key's other nodes into direct
    pairs, so a key arrives at the shuffle once a task, however large its group.
-3. Nodes that share a key with its least node are candidates. Their sets are made again
-   from the texts, and their documents x shingles incidence matrices are multiplied block
-   by block: a block holds a pivot and up to ``LEAVES`` other rows, and the product row
-   holds the overlap counts. Pairs below the bound (num a + num b) / (num + den) go.
-4. Links found give components. Only keys whose nodes are still in different components
-   are looked at again, now all pairs in them, in blocks of the same product; what shares
-   a key inside one component needs no more work. So near copies in their thousands cost
-   one row each, not a pair each.
+3. Nodes that share a key are candidates. Their sets are made again from the texts, and
+   documents x shingles incidence matrices are multiplied block by block; a product row
+   holds a document's overlap counts. Pairs whose overlap is below num (a + b) / (num + den)
+   go. A component of candidates of up to ``GROUP`` nodes is one block. In a larger one,
+   each node is first compared with the least node of each of its keys, in blocks of a
+   pivot and up to ``LEAVES`` others.
+4. Links found give components. In the large ones, keys whose nodes are still in different
+   components are looked at again: nodes outside a group's largest component against all of
+   the group, in blocks of the same product. What shares a key inside one component needs no
+   more work, so near copies in their thousands cost one row each, not a pair each.
 
 Nothing is collected; candidate ids are broadcast only up to ``BROADCAST_ROWS`` of them and
 joined otherwise. Intermediate tables go to the shared scratch folder.
@@ -47,10 +49,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinloom.llm.components import components
-from clinloom.session import discard, materialize, ship
+from clinloom.session import discard, materialize, release, ship
 
-#: Leaves of a block in the first product, and rows of a chunk in the second.
-LEAVES, CHUNK = 256, 128
+#: Leaves of a pivot's block, rows of a group that is multiplied whole, and pivots of a chunk of a larger group.
+LEAVES, GROUP, CHUNK = 256, 256, 64
 #: More candidate ids than this are joined by a shuffle, not by broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Sets up to this size (and linkable to one) use prefix keys.
@@ -280,7 +282,7 @@ class Block:
 def block_links(nodes: list[int], sets: list[np.ndarray], roles: list[int], roots: list[int], c: Classes) -> list[tuple[int, int]]:
     """Links of a block that join different components, as far as needed to connect all that link.
 
-    Roles: 1 pivots against 0 leaves; or 2 and 3, two chunks of one key; or 4, all pairs.
+    Roles: 1, pivots, against 0, leaves; or 2, strays, against 3, a chunk of all; or 4, all pairs.
     """
     group = {r: i for i, r in enumerate(dict.fromkeys(roots))}
     own = np.array([group[r] for r in roots])
@@ -349,8 +351,29 @@ def _first_blocks(pairs: DataFrame) -> DataFrame:
     return leaves.unionByName(pivots)
 
 
+def _groups(members: DataFrame, by: str) -> DataFrame:
+    """Per group: its size, its most frequent root and how many members have another root."""
+    roots = members.groupBy(by, "root").agg(F.count(F.lit(1)).alias("n"))
+    held = roots.groupBy(by).agg(F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("giant"), F.max("n").alias("most"))
+    return held.select(by, "size", "giant", (F.col("size") - F.col("most")).alias("strays"))
+
+
+def _group_blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of groups (gid, node, root, giant, size, strays): a small group whole, else its strays against all."""
+    one = rows.where(F.col("size") <= GROUP).select(F.col("gid").alias("block"), F.lit(4).alias("role"), "node", "root")
+    wide = rows.where(F.col("size") > GROUP).withColumn("l", F.ceil(F.col("size") / GROUP)).withColumn("p", F.ceil(F.col("strays") / CHUNK))
+    own_l, own_p = F.pmod(F.xxhash64("node"), "l"), F.pmod(F.xxhash64("node", F.lit(1)), "p")
+    leaves = wide.where("p > 0").select("gid", "node", "root", own_l.alias("l"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)).alias("p"), F.lit(3).alias("role"))
+    pivots = wide.where("root != giant").select("gid", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("l") - 1)).alias("l"), own_p.alias("p"), F.lit(2).alias("role"))
+    many = leaves.unionByName(pivots).select(F.xxhash64("gid", "l", "p").alias("block"), "role", "node", "root")
+    return one.unionByName(many)
+
+
 def _second_blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of the keys whose nodes are in different components, in chunks of about CHUNK rows."""
+    """Blocks that test every pair that shares a key and is in different components.
+
+    A candidate component is tested as one group or key by key, whichever is fewer pairs.
+    """
     of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     rooted = shared.join(of("node"), "node", "left").join(of("peer"), "peer", "left")
     rooted = rooted.withColumn("node_root", F.coalesce("node_root", "node")).withColumn("peer_root", F.coalesce("peer_root", "peer"))
@@ -359,15 +382,51 @@ def _second_blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
     held = rooted.join(open_keys, "key", "left_semi")
     members = held.select("key", "node", F.col("node_root").alias("root")).union(held.select("key", "peer", "peer_root")).distinct()
     members = materialize(members, "members")
-    discard(rooted)
+    # Both nodes of a key with two have been compared already.
     lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("s"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("t"))
-    once = lists.groupBy("n", "s", "t").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / F.lit(2 * CHUNK)).alias("chunks"))
-    rows = members.join(once, "key").withColumn("chunk", F.when(F.col("chunks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), 2 * F.col("chunks"))))
-    one = rows.where("chunks = 1").select(F.xxhash64("key").alias("block"), F.lit(4).alias("role"), "node", "root")
-    wide = rows.where("chunks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), 2 * F.col("chunks") - 1)))
-    name = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    role = F.when(F.col("chunk") == F.col("other"), 4).when(F.col("chunk") < F.col("other"), 2).otherwise(3)
-    return one.unionByName(wide.select(name.alias("block"), role.alias("role"), "node", "root"))
+    once = lists.where("n > 2").groupBy("n", "s", "t").agg(F.min("key").alias("key")).select("key")
+    members = materialize(members.join(once, "key"), "members")
+    if members.isEmpty():
+        return members.select(F.col("key").alias("block"), F.lit(4).alias("role"), "node", "root")
+    least = members.groupBy("key").agg(F.min("node").alias("b"))
+    cells = components(members.join(least, "key").select(F.col("node").alias("a"), "b"))
+    placed = materialize(members.join(cells.select("node", F.col("root").alias("cell")), "node"), "placed")
+    whole = placed.select("cell", "node", "root").distinct()
+    by_cell, by_key = _groups(whole, "cell"), _groups(placed, "key")
+    key_cell = placed.groupBy("key").agg(F.min("cell").alias("cell"))
+    pieces = by_key.join(key_cell, "key").groupBy("cell").agg(F.sum(F.col("size") * F.col("strays")).alias("pieces"))
+    cells_done = materialize(by_cell.join(pieces, "cell").withColumn("as_whole", (F.col("size") <= GROUP) | (F.col("size") * F.col("strays") <= F.col("pieces"))), "cells")
+    one = whole.join(cells_done.where("as_whole"), "cell").withColumn("gid", F.xxhash64(F.lit(0), "cell"))
+    keyed = placed.join(cells_done.where("not as_whole").select("cell"), "cell").join(by_key, "key").withColumn("gid", F.xxhash64(F.lit(1), "key"))
+    fields = ["gid", "node", "root", "giant", "size", "strays"]
+    return _group_blocks(one.select(*fields).unionByName(keyed.select(*fields)))
+
+
+def _labels(rows: DataFrame, shared: DataFrame, pairs: DataFrame, ids: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(node, root) of the components of all links among nodes that share a key."""
+    cells = components(pairs.select(F.col("node").alias("a"), F.col("peer").alias("b")))
+    sizes = materialize(cells.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    cells = materialize(cells.join(sizes, "root"), "cells")
+    wanted = materialize(cells.select("node").join(ids.where("least is not null"), "node").select(F.col("least").alias("doc_id"), "node"), "wanted")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    sets = materialize(rows.join(side, "doc_id").select("text", "node").mapInArrow(_sets(words), "node long, grams array<long>"), "sets")
+    # A small candidate component is one block, in which all its pairs are settled.
+    large = cells.where(F.col("n") > GROUP).select("node")
+    whole = cells.where(F.col("n") <= GROUP).select(F.xxhash64("root").alias("block"), F.lit(4).alias("role"), "node", F.col("node").alias("root"))
+    stars = materialize(pairs.join(large, "node", "left_semi"), "stars")
+    found = materialize(_multiply(whole.unionByName(_first_blocks(stars)), sets, num, den), "found")
+    release(rows.sparkSession)
+    labels = components(found)
+    if not stars.isEmpty():
+        blocks = materialize(_second_blocks(shared.join(large, "node", "left_semi"), labels), "blocks")
+        second = materialize(_multiply(blocks, sets, num, den), "found")
+        if not second.isEmpty():
+            first = labels
+            labels = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
+            discard(first)
+        discard(blocks, second)
+    discard(sets, wanted, found, stars, cells, sizes)
+    return labels
 
 
 def join_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -381,27 +440,11 @@ def join_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     least = F.min("node").over(Window.partitionBy("deal"))
     shared = dealt.withColumn("peer", F.coalesce("peer", least)).where("peer != node").select("key", "node", "peer")
     shared = materialize(shared, "shared")
+    del dealt
+    release(shared.sparkSession)
     pairs = materialize(shared.select("node", "peer").distinct(), "pairs")
-    wanted = pairs.select("node").union(pairs.select(F.col("peer").alias("node"))).distinct()
-    wanted = materialize(wanted.join(ids.where("least is not null"), "node").select(F.col("least").alias("doc_id"), "node"), "wanted")
-    n = wanted.count()
-    if not n:
-        labels = None
-    else:
-        side = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
-        sets = materialize(rows.join(side, "doc_id").select("text", "node").mapInArrow(_sets(words), "node long, grams array<long>"), "sets")
-        first = materialize(_multiply(_first_blocks(pairs), sets, num, den), "found")
-        labels = components(first)
-        blocks = materialize(_second_blocks(shared, labels), "blocks")
-        if not blocks.isEmpty():
-            second = materialize(_multiply(blocks, sets, num, den), "found")
-            if not second.isEmpty():
-                found = labels
-                labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
-                discard(found)
-            discard(second)
-        discard(sets, first, blocks)
-    discard(shared, pairs, wanted)
+    labels = None if pairs.isEmpty() else _labels(rows, shared, pairs, ids, words, num, den)
+    discard(shared, pairs)
     if labels is None:
         named = ids.select("node", F.col("least").alias("component_id"))
     else:
