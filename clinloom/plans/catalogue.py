@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clinloom.functions import icd9, stats
 from clinloom.functions import text as tx
 from clinloom.operators import attempts as at
-from clinloom.operators import cohort, dialogue, discriminate, evaluation, faults, knowledge, matching, statistics
+from clinloom.operators import cohort, dialogue, discriminate, evaluation, faults, knowledge, matching, statistics, studies
 from clinloom.plans import proxies as px
 from clinloom.plans.oracle import ORACLE_SQL
 from clinloom.sources.tables import load
@@ -514,3 +514,97 @@ def claims_faithfulness(spark: SparkSession, d: str) -> DataFrame:
     verdicts, _ = evaluation.parsed(answers, "response", evaluation.VERDICTS, "dialogue_id", "_i")
     f = evaluation.faithfulness(claims, verdicts, t, "Patient")
     return f.select("dialogue_id", "claims", "supported", "unsupported", "unverifiable", r6("score"), F.coalesce("incomplete_reason", F.lit("")).alias("incomplete_reason"))
+
+
+# --- studies ----------------------------------------------------------------
+
+
+@query
+def repair_plan(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "events").select(F.col("event_id").alias("attempt_index"), F.col("value").alias("raw"))
+    failed = F.array_compact(F.array(*[F.when(v < at.THRESHOLDS[n], n) for n, v in _dimensions().items()]))
+    return studies.repair_plan(e.select(F.col("attempt_index").alias("case_id"), F.explode(failed).alias("dimension")))
+
+
+@query
+def attempt_seeds(spark: SparkSession, d: str) -> DataFrame:
+    a = px.attempts(spark, d)
+    return a.select("attempt_index", studies.attempt_seed(F.col("case_id"), F.col("variant"), F.col("attempt_index")).alias("seed"))
+
+
+@query
+def judge_legacy(spark: SparkSession, d: str) -> DataFrame:
+    t = px.turns(spark, d).withColumn("patient", F.coalesce(tx.role(F.col("role")) == "Patient", F.lit(False)))
+    answers = t.where("patient and index > 1").select("dialogue_id", F.when((F.col("dialogue_id") + F.col("index")) % 3 == 0, "no").otherwise("Yes").alias("answer"))
+    j = studies.judge_answers(t, answers)
+    return j.select("dialogue_id", "patient_turns", "statements", "yes", r6("score"))
+
+
+@query
+def policy_fanout(spark: SparkSession, d: str) -> DataFrame:
+    """Every dialogue under every policy and reference mode: six rows are broadcast."""
+    grid = spark.createDataFrame([(p, m) for p in ("FULL", "NO_DIAGNOSIS", "NO_DIAGNOSIS_NO_TREATMENT") for m in ("full_ref", "policy_ctx")], "policy string, mode string")
+    t = px.turns(spark, d).groupBy("dialogue_id").agg(F.count(F.lit(1)).alias("turns"))
+    return t.crossJoin(F.broadcast(grid))
+
+
+@query
+def matrix_missing_cells(spark: SparkSession, d: str) -> DataFrame:
+    return studies.missing_cells(px.attempts(spark, d).where("acceptance = 'ACCEPT'"), "case_id", "variant")
+
+
+@query
+def case_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return studies.coverage(load(spark, d, "documents"), load(spark, d, "labels"), "doc_id")
+
+
+@query
+def condition_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    a = px.attempts(spark, d).where("value is not null")
+    return studies.last_wins(a, ["variant", "policy", "case_id"], "attempt_index").select("variant", "policy", "case_id", r6("value"))
+
+
+@query
+def matcher_error_rate(spark: SparkSession, d: str) -> DataFrame:
+    p = load(spark, d, "part")
+    k = F.col("p_partkey")
+    e = p.select("p_type", F.when(k % 5 != 0, k).alias("expected"), F.when(k % 7 != 0, F.when(k % 11 == 0, k + 1).otherwise(k)).alias("matched"))
+    return studies.matcher_errors(e, ["p_type"])
+
+
+@query
+def light_case_reorder(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty first documents, those with a licence line before the others."""
+    seen = load(spark, d, "documents").select("doc_id", F.contains(F.lower("text"), F.lit("licensed")).alias("light"))
+    return studies.reordered(seen, F.col("light"), "doc_id", 50).select("place", "doc_id", "passed")
+
+
+@query
+def dialogue_phases(spark: SparkSession, d: str) -> DataFrame:
+    t = px.turns(spark, d)
+    n = F.count(F.lit(1)).over(Window.partitionBy("dialogue_id"))
+    return t.select(studies.phase(F.col("index"), n).alias("phase"), "role").groupBy("phase", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def token_totals_by_policy(spark: SparkSession, d: str) -> DataFrame:
+    return px.attempts(spark, d).groupBy("policy").agg(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"))
+
+
+@query
+def reference_entity_totals(spark: SparkSession, d: str) -> DataFrame:
+    r = _references(spark, d)
+    n = lambda c: F.sum(F.size(c).cast("long"))
+    return r.agg(F.count(F.lit(1)).alias("n_references"), n("reference.core.diagnoses").alias("n_diagnoses"), n("reference.context.current_medications").alias("n_medications"))
+
+
+@query
+def diagnosis_term_index(spark: SparkSession, d: str) -> DataFrame:
+    p = load(spark, d, "part")
+    return p.select("p_partkey", F.array_join(F.array_sort(knowledge.diagnosis_terms(F.concat_ws(", ", "p_name", "p_type"))), "|").alias("terms"))
+
+
+@query
+def case_split_counts(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select((F.col("doc_id") % 200).alias("case_id"), "lang")
+    return discriminate.case_split(docs).groupBy("lang", "test").agg(F.count(F.lit(1)).alias("n"))

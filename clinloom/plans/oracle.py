@@ -219,3 +219,34 @@ n AS (SELECT dialogue_id, count(*) AS claims, count(*) FILTER (v = 'supported')
 SELECT dialogue_id, coalesce(claims, 0) AS claims, coalesce(s, 0) AS supported, coalesce(u, 0) AS unsupported, coalesce(x, 0) AS unverifiable, CASE WHEN s + u > 0 THEN round(s / (s + u), 6) END AS score,
   CASE WHEN coalesce(claims, 0) = 0 THEN 'no factual claims' WHEN s + u = 0 THEN 'no verifiable claims' ELSE '' END AS incomplete_reason FROM (SELECT DISTINCT dialogue_id FROM turns) LEFT JOIN n USING (dialogue_id)""",
 }
+
+_ACTIONS = "(VALUES ('structural_validity', 1, 'regenerate the turns that break the structure'), ('knowledge_boundary', 2, 'rewrite turns that reveal hidden fields'), ('patient_factuality', 3, 'remove unsupported patient statements'), ('doctor_factuality', 4, 'remove unsupported doctor statements'), ('naturalness', 5, 'vary wording and openings')) r(dimension, step, action)"
+_FAILED = " UNION ALL ".join(f"SELECT event_id AS case_id, '{n}' AS dimension FROM v WHERE {n} < {t}" for n, t in _LIMITS.items())
+
+ORACLE_SQL |= {
+    "repair_plan": f"""WITH v AS (SELECT event_id, {_DIM_VALUES} FROM events), f AS ({_FAILED})
+SELECT case_id, count(*) AS n_steps, string_agg(action, '; ' ORDER BY step) AS plan FROM f JOIN {_ACTIONS} USING (dimension) GROUP BY 1""",
+    "attempt_seeds": f"WITH {BASE} SELECT attempt_index, (('0x' || substr(sha256(case_id || '|' || variant || '|' || attempt_index), 1, 16))::UBIGINT % 2147483648)::BIGINT AS seed FROM attempts",
+    "judge_legacy": f"""WITH {BASE}, n AS (SELECT dialogue_id, count(*) FILTER (who = 'Patient') AS patient_turns, count(*) FILTER (who = 'Patient' AND index > 1) AS statements,
+  count(*) FILTER (who = 'Patient' AND index > 1 AND (dialogue_id + index) % 3 <> 0) AS yes FROM turns GROUP BY 1)
+SELECT dialogue_id, patient_turns, statements, yes, round(CASE WHEN patient_turns = 0 THEN 0.0 WHEN statements = 0 THEN 1.0 ELSE yes / statements END, 6)::DOUBLE AS score FROM n""",
+    "policy_fanout": f"""WITH {BASE}, t AS (SELECT dialogue_id, count(*) AS turns FROM turns GROUP BY 1)
+SELECT dialogue_id, turns, policy, mode FROM t, (SELECT unnest(['FULL', 'NO_DIAGNOSIS', 'NO_DIAGNOSIS_NO_TREATMENT']) AS policy), (SELECT unnest(['full_ref', 'policy_ctx']) AS mode)""",
+    "matrix_missing_cells": f"""WITH {BASE}, a AS (SELECT DISTINCT case_id, variant FROM attempts WHERE acceptance = 'ACCEPT')
+SELECT c.case_id, v.variant FROM (SELECT DISTINCT case_id FROM a) c, (SELECT DISTINCT variant FROM a) v WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.case_id = c.case_id AND a.variant = v.variant)""",
+    "case_coverage": "SELECT count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS covered, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS missing FROM (SELECT DISTINCT doc_id FROM documents)",
+    "condition_last_wins": f"WITH {BASE} SELECT variant, policy, case_id, round(value, 6) AS value FROM attempts WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY variant, policy, case_id ORDER BY attempt_index DESC) = 1",
+    "matcher_error_rate": """WITH p AS (SELECT p_type, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey END AS e, CASE WHEN p_partkey % 7 <> 0 THEN CASE WHEN p_partkey % 11 = 0 THEN p_partkey + 1 ELSE p_partkey END END AS m FROM part)
+SELECT p_type, count(*) FILTER (e = m) AS tp, count(*) FILTER (m IS NOT NULL AND e IS DISTINCT FROM m) AS fp, count(*) FILTER (e IS NOT NULL AND e IS DISTINCT FROM m) AS fn, count(*) FILTER (e IS NULL AND m IS NULL) AS tn, count(*) AS n_cases FROM p GROUP BY 1""",
+    "light_case_reorder": """WITH t AS (SELECT doc_id, contains(lower(text), 'licensed') AS passed FROM documents)
+SELECT row_number() OVER (ORDER BY passed DESC, doc_id)::INTEGER AS place, doc_id, passed FROM t ORDER BY passed DESC, doc_id LIMIT 50""",
+    "dialogue_phases": f"""WITH {BASE}, t AS (SELECT index, role, count(*) OVER (PARTITION BY dialogue_id) AS n FROM turns)
+SELECT CASE WHEN index = 0 THEN 'opening' WHEN index / n < 0.4 THEN 'history' WHEN index / n < 0.8 THEN 'assessment' ELSE 'closing' END AS phase, role, count(*) AS n FROM t GROUP BY ALL""",
+    "token_totals_by_policy": f"WITH {BASE} SELECT policy, sum(prompt_tokens + completion_tokens)::BIGINT AS tokens FROM attempts GROUP BY 1",
+    "reference_entity_totals": "SELECT count(DISTINCT l_orderkey) AS n_references, count(*) AS n_diagnoses, count(*) AS n_medications FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey",
+    "diagnosis_term_index": """WITH p AS (SELECT p_partkey, [p_name, p_type] AS parts FROM part),
+t AS (SELECT p_partkey, unnest(parts) AS s FROM p), w AS (SELECT p_partkey, s, [x FOR x IN regexp_extract_all(s, '[A-Za-z]+') IF lower(x) NOT IN ('a', 'an', 'and', 'by', 'due', 'for', 'in', 'of', 'on', 'or', 'secondary', 'the', 'to', 'with', 'without')] AS ws FROM t),
+f AS (SELECT p_partkey, s AS f FROM t WHERE length(s) >= 4 UNION SELECT p_partkey, upper(array_to_string([substr(x, 1, 1) FOR x IN ws], '')) FROM w WHERE len(ws) >= 2)
+SELECT p.p_partkey, coalesce(string_agg(f, '|' ORDER BY f), '') AS terms FROM p LEFT JOIN f ON p.p_partkey = f.p_partkey GROUP BY 1""",
+    "case_split_counts": "SELECT lang, ('0x' || substr(sha256('0|' || (doc_id % 200)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.25 AS test, count(*) AS n FROM documents GROUP BY ALL",
+}

@@ -252,3 +252,17 @@ def test_faults_are_recovered(spark):
     got = faults.recovered(faults.inject(t, labels, "1")).collect()
     assert len(got) == 7 and all(r["recovered"] and r["n_hits"] == 1 for r in got)
     assert faults.inject(t, labels, "1").where("fault = 'empty_turn'").count() == 6
+
+
+def test_study_helpers(spark):
+    from clinloom.operators import studies
+
+    assert studies.render("a {{x}}", {"x": "1"})[0] == "a 1"
+    with pytest.raises(ValueError):
+        studies.render("a {{x}} {{y}}", {"x": "1"})
+    assert studies.balanced_object('text {"a": {"b": 1}} more}') == '{"a": {"b": 1}}' and studies.balanced_object("none") is None
+    df = spark.createDataFrame([("p",), ("q",), ("p",)], "t string").select(studies.mock_response(F.col("t")).alias("r"))
+    got = [r["r"] for r in df.collect()]
+    assert got[0] == got[2] != got[1]
+    grid = spark.createDataFrame([(1, "a"), (2, "b"), (2, "a")], "case_id int, family string")
+    assert rows(studies.missing_cells(grid, "case_id", "family")) == [(1, "b")]
