@@ -54,7 +54,7 @@ from clinloom.session import discard, materialize, release, ship
 #: Leaves of a pivot's block, rows of a group that is multiplied whole, and pivots of a chunk of a larger group.
 LEAVES, GROUP, CHUNK = 256, 256, 64
 #: More candidate ids than this are joined by a shuffle, not by broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 #: Sets up to this size (and linkable to one) use prefix keys.
 SMALL = 24
 #: Bytes of text whose words are hashed at a time, and keys that a task combines at a time.
@@ -244,16 +244,20 @@ def _keys(words: int, num: int, den: int):
     return run
 
 
+ROWS = "block long, role int, node long, root long, grams array<long>"
+
+
 def _sets(words: int):
+    """Rows (block, role, node, root, text) with sets for texts, where the set is the node's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, want, i = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-            while i < len(texts):
-                j = min(len(texts), i + 256)
-                rows = [(n, s) for n, s in zip(want[i:j], shingle_sets(texts[i:j], words), strict=True) if node_of(s) == n]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["node", "grams"])
-                i = j
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                made = shingle_sets(part.column(4).to_pylist(), words)
+                sound = [k for k, (n, s) in enumerate(zip(part.column(2).to_pylist(), made, strict=True)) if node_of(s) == n]
+                grams = pa.array([made[k].view(np.int64) for k in sound], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(sound, pa.int64())) for c in range(4)), grams], names=["block", "role", "node", "root", "grams"])
 
     return run
 
@@ -334,10 +338,9 @@ def _products(num: int, den: int):
     return run
 
 
-def _multiply(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links found in blocks; ``rows`` has (block, role, node, root)."""
-    full = rows.join(sets, "node").select("block", "role", "node", "root", "grams")
-    full = full.repartition("block").sortWithinPartitions("block")
+def _multiply(full: DataFrame, num: int, den: int) -> DataFrame:
+    """Links found in blocks; ``full`` has (block, role, node, root, grams)."""
+    full = full.select("block", "role", "node", "root", "grams").repartition("block").sortWithinPartitions("block")
     return full.mapInArrow(_products(num, den), "a long, b long")
 
 
@@ -407,25 +410,34 @@ def _labels(rows: DataFrame, shared: DataFrame, pairs: DataFrame, ids: DataFrame
     cells = components(pairs.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     sizes = materialize(cells.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
     cells = materialize(cells.join(sizes, "root"), "cells")
-    wanted = materialize(cells.select("node").join(ids.where("least is not null"), "node").select(F.col("least").alias("doc_id"), "node"), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = materialize(rows.join(side, "doc_id").select("text", "node").mapInArrow(_sets(words), "node long, grams array<long>"), "sets")
+    wanted = cells.join(ids.where("least is not null"), "node")
+    wanted = wanted.select(F.col("least").alias("doc_id"), F.xxhash64("root").alias("block"), F.lit(4).alias("role"), "node", F.col("node").alias("root"), "n")
+    wanted = materialize(wanted, "wanted")
+
+    def texts(part: DataFrame) -> DataFrame:
+        side = F.broadcast(part) if part.count() <= BROADCAST_ROWS else part
+        return rows.join(side, "doc_id").select("block", "role", "node", "root", "text").mapInArrow(_sets(words), ROWS)
+
     # A small candidate component is one block, in which all its pairs are settled.
-    large = cells.where(F.col("n") > GROUP).select("node")
-    whole = cells.where(F.col("n") <= GROUP).select(F.xxhash64("root").alias("block"), F.lit(4).alias("role"), "node", F.col("node").alias("root"))
-    stars = materialize(pairs.join(large, "node", "left_semi"), "stars")
-    found = materialize(_multiply(whole.unionByName(_first_blocks(stars)), sets, num, den), "found")
-    release(rows.sparkSession)
-    labels = components(found)
-    if not stars.isEmpty():
-        blocks = materialize(_second_blocks(shared.join(large, "node", "left_semi"), labels), "blocks")
-        second = materialize(_multiply(blocks, sets, num, den), "found")
+    found = materialize(_multiply(texts(wanted.where(F.col("n") <= GROUP)), num, den), "found")
+    large = wanted.where(F.col("n") > GROUP)
+    stars = materialize(pairs.join(large.select("node"), "node", "left_semi"), "stars")
+    if stars.isEmpty():
+        labels = components(found)
+    else:
+        sets = materialize(texts(large).select("node", "grams"), "sets")
+        first = materialize(_multiply(_first_blocks(stars).join(sets, "node"), num, den), "found")
+        release(rows.sparkSession)
+        labels = components(found.union(first))
+        blocks = materialize(_second_blocks(shared.join(large.select("node"), "node", "left_semi"), labels), "blocks")
+        second = materialize(_multiply(blocks.join(sets, "node"), num, den), "found")
         if not second.isEmpty():
-            first = labels
-            labels = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
-            discard(first)
-        discard(blocks, second)
-    discard(sets, wanted, found, stars, cells, sizes)
+            before = labels
+            labels = components(before.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
+            discard(before)
+        discard(sets, first, blocks, second)
+    discard(wanted, found, stars, cells, sizes)
+    release(rows.sparkSession)
     return labels
 
 
