@@ -1,6 +1,7 @@
 """Extendible hashing: shards that split only where they are too large.
 
-A directory is indexed by the leading bits of a 64-bit hash of the key. A bucket whose
+A directory is indexed by the leading bits of a 60-bit hash of the key (the first 15 hex
+digits of the MD5 of the key as text, which any engine can repeat). A bucket whose
 rows exceed the byte limit is split on one more bit, until each fits. Buckets that fit
 are never split, so neighbours may have different depths, as in the classic structure.
 
@@ -9,7 +10,7 @@ fine directory cell are aggregated with map-side combine, and the sums of all sh
 prefixes come from those cells, so no bucket's rows are ever gathered to decide a split.
 Only cells that are still too large are refined on further bits.
 
-Defined cases: a null key hashes like any value; a null text has 0 bytes; equal keys
+Defined cases: a null key hashes like an empty one; a null text has 0 bytes; equal keys
 share all bits, so when they alone exceed the limit they go to numbered overflow pages of
 that bucket, each within the limit; a single row above the limit gets a page of its own.
 An empty table gives an empty result.
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from clinloom.session import materialize
 
+#: Bits of a key's hash.
+BITS = 60
 #: Directory bits added beyond the least depth that could hold all bytes.
 FINE_BITS = 5
 #: Bits by which cells that are still too large are refined at a time.
@@ -29,7 +32,7 @@ STEP_BITS = 8
 
 
 def _prefix(bits: int):
-    return F.lit(0).cast("long") if bits == 0 else F.shiftrightunsigned("_h", 64 - bits)
+    return F.lit(0).cast("long") if bits == 0 else F.shiftright("_h", BITS - bits)
 
 
 def _depths(base: DataFrame, bits: int, start: int, limit: int) -> DataFrame:
@@ -43,7 +46,7 @@ def _depths(base: DataFrame, bits: int, start: int, limit: int) -> DataFrame:
     return cells.select("_cell").join(found, "_cell", "left")
 
 
-def assign_shards(df: DataFrame, key: str, size, limit_bytes: int, seed: int = 0) -> DataFrame:
+def assign_shards(df: DataFrame, key: str, size, limit_bytes: int, seed: str = "") -> DataFrame:
     """(key, n_bytes, shard, depth, page) for every row of ``df``.
 
     ``size`` is a column or expression for a row's bytes. ``shard`` is the bucket's bit
@@ -54,7 +57,7 @@ def assign_shards(df: DataFrame, key: str, size, limit_bytes: int, seed: int = 0
     base = df.select(
         F.col(key).alias("_key"),
         F.coalesce(size.cast("long"), F.lit(0)).alias("_bytes"),
-        F.xxhash64(F.lit(seed), F.col(key)).alias("_h"),
+        F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long").alias("_h"),
     )
     base = materialize(base, "shards-base")
     total = base.agg(F.sum("_bytes").alias("b")).first()["b"] or 0
@@ -67,7 +70,7 @@ def assign_shards(df: DataFrame, key: str, size, limit_bytes: int, seed: int = 0
         parts.append(
             keyed.join(done, "_cell").select(
                 "_key", "_bytes", F.col("_depth").cast("int").alias("_depth"),
-                F.expr("if(_depth = 0, 0L, shiftrightunsigned(_h, 64 - cast(_depth as int)))").alias("_p"),
+                F.expr(f"if(_depth = 0, 0L, shiftright(_h, {BITS} - cast(_depth as int)))").alias("_p"),
                 F.lit(0).cast("long").alias("_page"),
             )
         )
@@ -75,10 +78,10 @@ def assign_shards(df: DataFrame, key: str, size, limit_bytes: int, seed: int = 0
         if left.isEmpty():
             break
         rest = keyed.join(left, "_cell", "left_semi").drop("_cell")
-        if bits == 64:
+        if bits == BITS:
             parts.append(_overflow(rest, limit_bytes))
             break
-        start, bits = bits, min(64, bits + STEP_BITS)
+        start, bits = bits, min(BITS, bits + STEP_BITS)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -109,7 +112,7 @@ def _overflow(rest: DataFrame, limit: int) -> DataFrame:
     run = run.withColumn("_hi", F.floor((F.greatest(F.col("_end"), F.lit(1)) - 1) / F.lit(limit)))
     local = F.when(F.col("_lo") >= F.col("_hi"), 2 * F.col("_lo")).otherwise(2 * F.col("_lo") + 1)
     page = local * F.col("_slots") + F.col("_slot") + 1
-    return run.select("_key", "_bytes", F.lit(64).alias("_depth"), F.col("_h").alias("_p"), page.cast("long").alias("_page"))
+    return run.select("_key", "_bytes", F.lit(BITS).alias("_depth"), F.col("_h").alias("_p"), page.cast("long").alias("_page"))
 
 
 def write_shards(df: DataFrame, assigned: DataFrame, key: str, path: str) -> None:

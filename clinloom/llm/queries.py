@@ -116,4 +116,10 @@ QUERIES = {
     "op10_extendible_shards": op10_extendible_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # 45 levels: a bucket of one document needs fewer.
+    "op10_extendible_shards": f"""WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT x AS depth, h >> (60 - x) AS p, sum(n_bytes) AS b FROM d, range(0, 45) t(x) GROUP BY ALL),
+f AS (SELECT doc_id, n_bytes, h, min(depth) AS depth FROM d JOIN s ON h >> (60 - depth) = p WHERE b <= {SHARD_BYTES} GROUP BY doc_id, n_bytes, h)
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth::INTEGER, '0') END AS shard, depth::INTEGER AS depth, 0::BIGINT AS page FROM f""",
+}

@@ -16,7 +16,7 @@ def check(rows, limit):
     bits = sorted({s.split("+")[0] for s in size})
     assert not any(b.startswith(a) for a, b in zip(bits, bits[1:], strict=False))
     for s in bits:
-        if s and len(s) < 64:
+        if s and len(s) < 60:
             parent = sum(b for t, b in size.items() if t.startswith(s[:-1]))
             assert parent > limit
     return size
@@ -64,6 +64,15 @@ def test_written_shards(spark, tmp_path, sf_dir):
     assert back.count() == docs.count() and back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).where("b > 60000").count() == 0
 
 
+def test_oracle(spark, sf_dir, monkeypatch):
+    from compare import oracle, spark_rows
+
+    monkeypatch.setattr(queries, "SHARD_BYTES", 50_000)
+    sql = queries.ORACLE_SQL["op10_extendible_shards"].replace(str(8 << 20), "50000")
+    assert spark_rows(queries.op10_extendible_shards(spark, sf_dir)) == oracle(sql, sf_dir)
+    assert spark_rows(queries.op10_extendible_shards(spark, sf_dir))[1].total() == 200
+
+
 def test_query(spark, sf_dir):
     out = queries.op10_extendible_shards(spark, sf_dir)
     check(out.collect(), queries.SHARD_BYTES)
