@@ -52,7 +52,9 @@ from clinloom.llm.components import components
 from clinloom.session import discard, materialize, release, ship
 
 #: Leaves of a pivot's block, rows of a group that is multiplied whole, and pivots of a chunk of a larger group.
-LEAVES, GROUP, CHUNK = 256, 256, 64
+LEAVES, GROUP, CHUNK = 256, 1024, 1024
+#: Pairs whose product costs as much as sending one set to a block.
+PAIRS_A_ROW = 100
 #: More candidate ids than this are joined by a shuffle, not by broadcast.
 BROADCAST_ROWS = 500_000
 #: Sets up to this size (and linkable to one) use prefix keys.
@@ -375,7 +377,8 @@ def _group_blocks(rows: DataFrame) -> DataFrame:
 def _second_blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Blocks that test every pair that shares a key and is in different components.
 
-    A candidate component is tested as one group or key by key, whichever is fewer pairs.
+    A candidate component is tested as one group or key by key, whichever costs less in
+    pairs compared and sets sent.
     """
     of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     rooted = shared.join(of("node"), "node", "left").join(of("peer"), "peer", "left")
@@ -397,8 +400,10 @@ def _second_blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
     whole = placed.select("cell", "node", "root").distinct()
     by_cell, by_key = _groups(whole, "cell"), _groups(placed, "key")
     key_cell = placed.groupBy("key").agg(F.min("cell").alias("cell"))
-    pieces = by_key.join(key_cell, "key").groupBy("cell").agg(F.sum(F.col("size") * F.col("strays")).alias("pieces"))
-    cells_done = materialize(by_cell.join(pieces, "cell").withColumn("as_whole", (F.col("size") <= GROUP) | (F.col("size") * F.col("strays") <= F.col("pieces"))), "cells")
+    pieces = by_key.join(key_cell, "key").groupBy("cell").agg(F.sum(F.col("size") * F.col("strays") / PAIRS_A_ROW + F.col("size")).alias("pieces"))
+    sent = F.col("size") * F.ceil(F.col("strays") / CHUNK) + F.col("strays") * F.ceil(F.col("size") / GROUP)
+    at_once = F.col("size") * F.col("strays") / PAIRS_A_ROW + sent
+    cells_done = materialize(by_cell.join(pieces, "cell").withColumn("as_whole", (F.col("size") <= GROUP) | (at_once <= F.col("pieces"))), "cells")
     one = whole.join(cells_done.where("as_whole"), "cell").withColumn("gid", F.xxhash64(F.lit(0), "cell"))
     keyed = placed.join(cells_done.where("not as_whole").select("cell"), "cell").join(by_key, "key").withColumn("gid", F.xxhash64(F.lit(1), "key"))
     fields = ["gid", "node", "root", "giant", "size", "strays"]
