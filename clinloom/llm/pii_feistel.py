@@ -18,6 +18,10 @@ Fixed formats: dates of 1900 to 2099 (73,049 days, permuted as 17 x 4,297) writt
 yyyy-mm-dd, mm/dd/yyyy or dd.mm.yyyy; IPv4 octets keep their number of digits; social
 security numbers keep to valid areas, groups and serials.
 
+Credentials are the values of ``password``, ``token``, ``secret``, ``api_key`` and the like, in
+any case, after ":" or "=" with or without spaces and quotes. A hexadecimal one keeps its case;
+two that differ in case only are one value, so an upper-cased copy gets the upper-cased pseudonym.
+
 Defined cases: a null text stays null, an empty one empty, both without spans; what looks
 like a number but fails validation is left; adjacent matches are handled one after another;
 repeated rows get equal results; an empty table gives an empty result; other columns are
@@ -34,12 +38,26 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 HEX = "0123456789abcdef"
 EPOCH, DAYS_HIGH, DAYS_LOW = "1900-01-01", 17, 4297
 
+#: Words that name a credential, in any case, before ":" or "="; a value may be quoted, and so may the word (JSON).
+PASSWORD_WORDS = ("password", "passwd", "pwd")
+TOKEN_WORDS = ("token", "secret", "api[_-]?key", "access[_-]?key", "secret[_-]?key", "private[_-]?key")
+
+
+def _named(words: tuple[str, ...]) -> str:
+    """What may stand before a credential's value: bounded and without groups, so that it can be looked behind."""
+    any_case = lambda w: "".join(f"[{c}{c.upper()}]" if c.islower() else c for c in w)
+    return "|".join(any_case(w) + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?" for w in words)
+
+
+#: A cheap test of one character comes before the long look behind.
+_BEFORE = r"(?<=[\s:=\"'])"
+_TOKEN = r"[0-9A-Za-z_+/=~-]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: kind -> what it looks like; earlier kinds win at the same place.
 LOOKS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "password": r"(?<=password=)[^\s\"']{6,}+",
-    "token": r"(?<=token = \")[0-9A-Za-z_-]{16,}+(?=\")",
+    "password": rf"{_BEFORE}(?<={_named(PASSWORD_WORDS)})[^\s\"']{{6,}}+",
+    "token": rf"{_BEFORE}(?<={_named(TOKEN_WORDS)}){_TOKEN}{{16,}}+(?:\.{_TOKEN}++){{0,4}}+",
     "access_key": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)",
@@ -50,6 +68,8 @@ LOOKS = {
     "ipv4": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
 }
 PATTERN = "|".join(LOOKS.values())
+#: The end of a text that a credential follows, and more characters than it can have.
+CREDENTIAL_NEXT, NEXT_LENGTH = f"(?:{_named(PASSWORD_WORDS + TOKEN_WORDS)})$", 40
 
 
 def _text(value: str) -> str:
@@ -110,7 +130,8 @@ def _mapped(key: str, kind: str, m: str) -> str:
     if kind == "email":
         return _symbols(key, kind, m, f"if(k < instr({m}, '@'), {_by_class('c')}, '')")
     if kind in ("password", "token"):
-        return f"if({m} rlike '^[0-9a-f]+$', {_symbols(key, kind + '-hex', m, _text(HEX))}, {_symbols(key, kind, m, _by_class('c'))})"
+        alphabet = f"case when {m} rlike '^[0-9a-f]+$' then {_text(HEX)} when {m} rlike '^[0-9A-F]+$' then {_text(HEX.upper())} end"
+        return _let("hx", alphabet, f"if(hx is null, {_symbols(key, kind, m, _by_class('c'))}, {_symbols(key, kind + '-hex', m, 'hx')})")
     if kind == "access_key":
         return _symbols(key, kind, m, f"if(k <= 4, '', {_by_class('c')})")
     if kind == "iban":
@@ -155,13 +176,18 @@ def _whole(look: str) -> str:
     return "^(?:" + re.sub(r"^\(\?<[!=](?:\[[^\]]*\]|[^)\[])*\)|\(\?[!=](?:\[[^\]]*\]|[^)\[])*\)$", "", look) + ")$"
 
 
-def mapped_match(key: str, m: str = "m") -> str:
-    """SQL for a struct (kind, pseudonym) of a match ``m``; the pseudonym is null where it isn't valid."""
+def mapped_match(key: str, m: str = "m", before: str = "''") -> str:
+    """SQL for a struct (kind, pseudonym) of a match ``m``; the pseudonym is null where it isn't valid.
+
+    What is named as a credential in the text ``before`` is one even if it looks like an invalid number.
+    """
     order = ["email", "access_key", "iban", "phone", "phone_plain", "card", "date", "ssn", "ipv4"]
     tests = " ".join(f"when {m} rlike {_text(_whole(LOOKS[k]))} then '{'phone' if k == 'phone_plain' else k}'" for k in order)
     kind = f"case {tests} else 'credential' end"
     maps = " ".join(f"when '{k}' then {_mapped(key, k, m)}" for k in order if k != "phone_plain")
-    return _let("kd", kind, f"named_struct('kind', kd, 'new', case kd {maps} else {_mapped(key, 'token', m)} end)")
+    named = f"kd = 'credential' or right({before}, {NEXT_LENGTH}) rlike {_text(CREDENTIAL_NEXT)}"
+    credential = f"named_struct('kind', 'credential', 'new', {_mapped(key, 'token', m)})"
+    return _let("kd", kind, _let("nw", f"case kd {maps} end", f"if(nw is null and ({named}), {credential}, named_struct('kind', kd, 'new', nw))"))
 
 
 def pseudonymize(df: DataFrame, key: str, text: str = "text", spans: str = "pii") -> DataFrame:
@@ -171,8 +197,8 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", spans: str = "pii"
     """
     pattern = _text(PATTERN)
     out = df.withColumn("__ms", F.expr(f"regexp_extract_all({text}, {pattern}, 0)"))
-    out = out.withColumn("__new", F.expr(f"if(size(__ms) > 0, transform(__ms, m -> {mapped_match(key)}), null)"))
     out = out.withColumn("__between", F.expr(f"if(size(__ms) > 0, split({text}, {pattern}, -1), null)"))
+    out = out.withColumn("__new", F.expr(f"if(size(__ms) > 0, transform(__ms, (m, at) -> {mapped_match(key, 'm', '__between[at]')}), null)"))
     joined = "concat(array_join(transform(__ms, (m, i) -> concat(__between[i], coalesce(__new[i].new, m))), ''), __between[size(__ms)])"
     step = "named_struct('at', acc.at + length(__between[i]) + length(__ms[i]), 'out', if(__new[i].new is null, acc.out, concat(acc.out, array(named_struct('kind', __new[i].kind, 'start', acc.at + length(__between[i]), 'length', length(__ms[i]))))))"
     empty = "cast(array() as array<struct<kind: string, start: int, length: int>>)"

@@ -89,6 +89,24 @@ def test_query(spark):
     assert python == []
 
 
+def test_credentials_in_any_writing(spark):
+    value = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    written = ['token = "{}"', 'token="{}"', "Token: {}", '{{"api_key": "{}"}}', "secret:{} end", "password: {}", "passwd = '{}'", "ACCESS-KEY  =  {}"]
+    texts = [w.format(value) for w in written] + [w.format(value).upper() + "!!" for w in written if "password" not in w]
+    texts += ["password=123456789012345", "PASSWORD: Tr0ub4dor&3", "a token of 4 words: responsibilities", "token = short"]
+    out = run(spark, texts)
+    new = out[0]["text"][9:-1]
+    assert re.fullmatch("[0-9a-f]{40}", new) and new != value
+    for i, w in enumerate(written):
+        assert out[i]["text"] == w.format(new)
+    upper = [w for w in written if "password" not in w]
+    for i, w in enumerate(upper, len(written)):
+        assert out[i]["text"] == w.format(new).upper() + "!!" and out[i]["pii"][0]["kind"] == "credential"
+    digits, mixed, *clean = range(len(written) + len(upper), len(texts))
+    assert out[digits]["text"] != texts[digits] and re.fullmatch(r"PASSWORD: [A-Z][a-z]\d[a-z]{2}\d[a-z]{3}&\d", out[mixed]["text"])
+    assert all(out[i]["text"] == texts[i] and not out[i]["pii"] for i in clean)
+
+
 @pytest.mark.parametrize("kind", sorted(pii.LOOKS))
 def test_every_look_compiles(spark, kind):
     assert spark.range(1).selectExpr(f"'x' rlike {pii._text(pii._whole(pii.LOOKS[kind]))}").count() == 1
