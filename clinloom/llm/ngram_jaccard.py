@@ -27,11 +27,18 @@ when ``den`` * |intersection| >= ``num`` * |union|. The join is exact: no link i
    the group, in blocks of the same product. What shares a key inside one component needs no
    more work, so near copies in their thousands cost one row each, not a pair each.
 
+With ``links`` every row also gets its number of links, so every candidate pair is verified
+and not only what connects components: steps 3 and 4 are then one product. A candidate
+component of more than GROUP nodes is cut by size class and hash into tiles, every pair of
+nodes of the same or neighbouring classes is in one tile, and a tile adds up its links per node,
+each for the number of rows it stands for. A tile's output is a row a node, not a row a pair.
+
 Nothing is collected; candidate ids are broadcast only up to ``BROADCAST_ROWS`` of them and
 joined otherwise. Intermediate tables go to the shared scratch folder.
 
 Defined cases: null text is empty; a repeated id is one vertex whose texts all link to it;
-rows with a null id take part, but a component's id is its least non-null id; an empty
+rows with a null id take part, but a component's id is its least non-null id; links are
+counted to other rows with an id, and are null for texts that only rows without one have; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -248,20 +255,20 @@ def _keys(words: int, num: int, den: int):
     return run
 
 
-ROWS = "block long, role int, node long, root long, grams array<long>"
+ROWS = "block long, role int, node long, root long, copies long, grams array<long>"
 
 
 def _sets(words: int):
-    """Rows (block, role, node, root, text) with sets for texts, where the set is the node's."""
+    """Rows (block, role, node, root, copies, text) with sets for texts, where the set is the node's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                made = shingle_sets(part.column(4).to_pylist(), words)
+                made = shingle_sets(part.column(5).to_pylist(), words)
                 sound = [k for k, (n, s) in enumerate(zip(part.column(2).to_pylist(), made, strict=True)) if node_of(s) == n]
                 grams = pa.array([made[k].view(np.int64) for k in sound], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(sound, pa.int64())) for c in range(4)), grams], names=["block", "role", "node", "root", "grams"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(sound, pa.int64())) for c in range(5)), grams], names=["block", "role", "node", "root", "copies", "grams"])
 
     return run
 
@@ -287,17 +294,22 @@ class Block:
         return np.add.reduceat(mark[pick], np.cumsum(size) - size)
 
 
-def block_links(nodes: list[int], sets: list[np.ndarray], roles: list[int], roots: list[int], c: Classes) -> list[tuple[int, int]]:
-    """Links of a block that join different components, as far as needed to connect all that link.
+def block_links(nodes: list[int], sets: list[np.ndarray], roles: list[int], roots: list[int], copies: list[int], c: Classes) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links of a block that join different components, as far as needed to connect all that link; and links per node.
 
     Roles: 1, pivots, against 0, leaves; or 2, strays, against 3, a chunk of all; or 4, all pairs.
+    All pairs are verified and counted, for the other node's copies, with 5 against 6 and among 7.
     """
     group = {r: i for i, r in enumerate(dict.fromkeys(roots))}
     own = np.array([group[r] for r in roots])
     role, block, out = np.array(roles), Block(sets), []
-    sources = np.flatnonzero((role == 1) | (role == 2) | (role == 4))
+    copy, count = np.array(copies, np.int64), np.zeros(len(nodes), np.int64)
+    sources = np.flatnonzero(np.isin(role, (1, 2, 4, 5, 7)))
     for i in sources.tolist():
-        if role[i] == 4:
+        if role[i] >= 5:
+            rows = np.flatnonzero(role == (6 if role[i] == 5 else 7))
+            rows = rows[rows > i] if role[i] == 7 else rows
+        elif role[i] == 4:
             rows = np.flatnonzero(own != own[i])
             rows = rows[rows > i]
         else:
@@ -307,35 +319,45 @@ def block_links(nodes: list[int], sets: list[np.ndarray], roles: list[int], root
         if not len(rows):
             continue
         hit = rows[c.linked(block.overlaps(i, rows), a, block.sizes[rows])]
-        for r in hit.tolist():
+        if role[i] >= 5:
+            count[i] += copy[hit].sum()
+            count[hit] += copy[i]
+        for r in hit[own[hit] != own[i]].tolist():
             if own[r] != own[i]:
                 out.append((nodes[i], nodes[r]))
                 own[own == own[r]] = own[i]
-    return out
+    return out, count
 
 
 def _products(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (block, role, node, root, grams) with the rows of a block together."""
+        """Rows (block, role, node, root, copies, grams) with the rows of a block together."""
         c = classes(num, den)
-        nodes, sets, roles, roots, block = [], [], [], [], None
+        nodes, sets, roles, roots, copies, seen, block = [], [], [], [], [], set(), None
 
         def close() -> pa.RecordBatch:
-            found = block_links(nodes, sets, roles, roots, c) if len(nodes) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+            found, count = block_links(nodes, sets, roles, roots, copies, c) if len(nodes) > 1 else ([], np.zeros(0, np.int64))
+            some = np.flatnonzero(count).tolist()
+            a = pa.array([a for a, _ in found] + [nodes[i] for i in some], pa.int64())
+            b = pa.array([b for _, b in found] + [None] * len(some), pa.int64())
+            return pa.RecordBatch.from_arrays([a, b, pa.array([None] * len(found) + count[some].tolist(), pa.int64())], names=["a", "b", "n"])
 
         for batch in batches:
-            grams = batch.column(4)
+            grams = batch.column(5)
             values, offsets = grams.values.to_numpy(), grams.offsets.to_numpy()
-            for r, (b, role, node, root) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+            for r, (b, role, node, root, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
                 if b != block:
                     if nodes:
                         yield close()
-                    nodes, sets, roles, roots, block = [], [], [], [], b
+                    nodes, sets, roles, roots, copies, seen, block = [], [], [], [], [], set(), b
+                if (node, role) in seen:  # a repeated id's text
+                    continue
+                seen.add((node, role))
                 nodes.append(node)
                 sets.append(values[offsets[r] : offsets[r + 1]].copy())
                 roles.append(role)
                 roots.append(root)
+                copies.append(n)
         if nodes:
             yield close()
 
@@ -343,9 +365,27 @@ def _products(num: int, den: int):
 
 
 def _multiply(full: DataFrame, num: int, den: int) -> DataFrame:
-    """Links found in blocks; ``full`` has (block, role, node, root, grams)."""
-    full = full.select("block", "role", "node", "root", "grams").repartition("block").sortWithinPartitions("block")
-    return full.mapInArrow(_products(num, den), "a long, b long")
+    """Links (a, b, null) found in blocks and links per node (a, null, n); ``full`` has (block, role, node, root, copies, grams)."""
+    full = full.select("block", "role", "node", "root", "copies", "grams").repartition("block").sortWithinPartitions("block")
+    return full.mapInArrow(_products(num, den), "a long, b long, n long")
+
+
+def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Blocks in which every pair of a cell's nodes that sizes allow to link meets once; ``members`` has (cell, node, n_shingles)."""
+    tops = f"array({', '.join(f'{t}L' for t in classes(num, den).top)})"
+    sized = members.withColumn("k", F.expr(f"size(filter({tops}, t -> t < n_shingles))"))
+    held = materialize(sized.groupBy("cell", "k").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("m")), "held")
+    beside = lambda by, name: held.select("cell", (F.col("k") + by).alias("k"), F.col("m").alias(name))
+    dealt = sized.join(held, ["cell", "k"]).join(beside(-1, "above"), ["cell", "k"], "left").join(beside(1, "below"), ["cell", "k"], "left")
+    dealt = dealt.withColumn("p", F.pmod(F.xxhash64("node"), "m"))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("q")
+    own = dealt.select("cell", "k", "node", "p", up_to("m"))
+    own = own.select(F.xxhash64("cell", "k", F.least("p", "q"), "k", F.greatest("p", "q")).alias("block"), F.expr("if(p = q, 7, if(p < q, 5, 6))").alias("role"), "node")
+    low = dealt.where("above is not null").select("cell", "k", "node", "p", up_to("above"))
+    low = low.select(F.xxhash64("cell", "k", "p", F.col("k") + 1, "q").alias("block"), F.lit(5).alias("role"), "node")
+    high = dealt.where("below is not null").select("cell", "k", "node", "p", up_to("below"))
+    high = high.select(F.xxhash64("cell", F.col("k") - 1, "q", "k", "p").alias("block"), F.lit(6).alias("role"), "node")
+    return own.unionByName(low).unionByName(high).withColumn("root", F.col("node"))
 
 
 def _first_blocks(pairs: DataFrame) -> DataFrame:
@@ -412,32 +452,46 @@ def _second_blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return _group_blocks(one.select(*fields).unionByName(keyed.select(*fields)))
 
 
-def _labels(rows: DataFrame, shared: DataFrame, pairs: DataFrame, ids: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(node, root) of the components of all links among nodes that share a key."""
+def _labels(rows: DataFrame, shared: DataFrame, pairs: DataFrame, ids: DataFrame, words: int, num: int, den: int, links: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(node, root) of the components of all links among nodes that share a key; with ``links`` also (node, n) of their links."""
     cells = components(pairs.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     sizes = materialize(cells.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
     cells = materialize(cells.join(sizes, "root"), "cells")
     wanted = cells.join(ids.where("least is not null"), "node")
-    wanted = wanted.select(F.col("least").alias("doc_id"), F.xxhash64("root").alias("block"), F.lit(4).alias("role"), "node", F.col("node").alias("root"), "n")
+    wanted = wanted.select(F.col("least").alias("doc_id"), F.xxhash64("root").alias("block"), F.lit(7 if links else 4).alias("role"), "node", F.col("node").alias("root"), "copies", "n", "n_shingles", F.col("root").alias("cell"))
     wanted = materialize(wanted, "wanted")
 
     def texts(part: DataFrame) -> DataFrame:
         side = F.broadcast(part) if part.count() <= BROADCAST_ROWS else part
-        return rows.join(side, "doc_id").select("block", "role", "node", "root", "text").mapInArrow(_sets(words), ROWS)
+        return rows.join(side, "doc_id").select("block", "role", "node", "root", "copies", "text").mapInArrow(_sets(words), ROWS)
 
     # A small candidate component is one block, in which all its pairs are settled.
     found = materialize(_multiply(texts(wanted.where(F.col("n") <= GROUP)), num, den), "found")
     large = wanted.where(F.col("n") > GROUP)
+    if links:
+        tiled = None
+        if not large.isEmpty():
+            sets = materialize(texts(large).select("node", "copies", "grams"), "sets")
+            tiles = materialize(_tiles(large.select("cell", "node", "n_shingles"), num, den), "tiles")
+            tiled = materialize(_multiply(tiles.join(sets, "node"), num, den), "found")
+            discard(sets, tiles)
+        every = found if tiled is None else found.union(tiled)
+        labels = components(every.where("b is not null").select("a", "b"))
+        counts = materialize(every.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "counts")
+        discard(wanted, found, cells, sizes, *([] if tiled is None else [tiled]))
+        release(rows.sparkSession)
+        return labels, counts
+    found = found.select("a", "b")
     stars = materialize(pairs.join(large.select("node"), "node", "left_semi"), "stars")
     if stars.isEmpty():
         labels = components(found)
     else:
-        sets = materialize(texts(large).select("node", "grams"), "sets")
-        first = materialize(_multiply(_first_blocks(stars).join(sets, "node"), num, den), "found")
+        sets = materialize(texts(large).select("node", "copies", "grams"), "sets")
+        first = materialize(_multiply(_first_blocks(stars).join(sets, "node"), num, den).select("a", "b"), "found")
         release(rows.sparkSession)
         labels = components(found.union(first))
         blocks = materialize(_second_blocks(shared.join(large.select("node"), "node", "left_semi"), labels), "blocks")
-        second = materialize(_multiply(blocks.join(sets, "node"), num, den), "found")
+        second = materialize(_multiply(blocks.join(sets, "node"), num, den).select("a", "b"), "found")
         if not second.isEmpty():
             before = labels
             labels = components(before.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
@@ -445,15 +499,15 @@ def _labels(rows: DataFrame, shared: DataFrame, pairs: DataFrame, ids: DataFrame
         discard(sets, first, blocks, second)
     discard(wanted, found, stars, cells, sizes)
     release(rows.sparkSession)
-    return labels
+    return labels, None
 
 
-def join_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+def join_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``; with ``links`` also n_links, the other rows it links to."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     known = materialize(rows.mapInArrow(_nodes(words), f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, node long"), "nodes")
-    ids = materialize(known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")), "ids")
+    ids = materialize(known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("doc_id").alias("copies"), F.first("n_shingles").alias("n_shingles")), "ids")
 
     dealt = rows.select("text").mapInArrow(_keys(words, num, den), "deal long, key long, node long, peer long")
     least = F.min("node").over(Window.partitionBy("deal"))
@@ -462,7 +516,7 @@ def join_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     del dealt
     release(shared.sparkSession)
     pairs = materialize(shared.select("node", "peer").distinct(), "pairs")
-    labels = None if pairs.isEmpty() else _labels(rows, shared, pairs, ids, words, num, den)
+    labels, counts = (None, None) if pairs.isEmpty() else _labels(rows, shared, pairs, ids, words, num, den, links)
     discard(shared, pairs)
     if labels is None:
         named = ids.select("node", F.col("least").alias("component_id"))
@@ -471,7 +525,14 @@ def join_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         rooted = materialize(rooted, "rooted")
         tops = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "tops")
         named = materialize(rooted.join(tops, "root").select("node", "component_id"), "named")
-    return known.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = known.join(named, "node", "left")
+    fields = [F.col("doc_id"), F.col("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    if links:
+        held = ids.select("node", "copies", F.lit(0).cast("long").alias("n")) if counts is None else ids.select("node", "copies").join(counts, "node", "left")
+        out = out.join(held, "node", "left")
+        itself = F.col("doc_id").isNotNull().cast("long")
+        fields.append(F.when(F.col("node").isNull(), F.lit(0).cast("long")).when(F.col("copies") > 0, F.coalesce("n", F.lit(0)) + F.col("copies") - itself).alias("n_links"))
+    return out.select(*fields)
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:

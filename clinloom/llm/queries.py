@@ -94,8 +94,8 @@ def op8_nnls_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's set size and component: three-word shingles, Jaccard of at least 0.9."""
-    return ngram_jaccard.join_components(_documents(spark, sf_dir), words=3, num=90, den=100)
+    """Every document's set size, component and number of links: three-word shingles, Jaccard of at least 0.9."""
+    return ngram_jaccard.join_components(_documents(spark, sf_dir), words=3, num=90, den=100, links=True)
 
 
 def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

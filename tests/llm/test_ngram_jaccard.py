@@ -109,6 +109,20 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, group, words, nu
     assert got == brute(docs, words, num, 100)
 
 
+@pytest.mark.parametrize(("seed", "group", "words", "num"), [(1, 1024, 3, 90), (2, 4, 3, 90), (3, 3, 5, 80), (4, 2, 2, 80)])
+def test_links_equal_brute_force(spark, monkeypatch, seed, group, words, num):
+    monkeypatch.setattr(g, "GROUP", group)
+    docs = corpus(seed) + [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (904, "a"), (None, "a b")]
+    docs += [docs[0], docs[1], (None, "only without an id")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = g.join_components(df, words, num, 100, links=True).collect()
+    sets = [(d, shingles(t, words)) for d, t in docs]
+    want = [(str(d), sum(1 for j, (e, u) in enumerate(sets) if j != i and e is not None and s and u and 100 * len(s & u) >= num * len(s | u))) for i, (d, s) in enumerate(sets)]
+    want[-1] = ("None", None)
+    assert sorted(map(str, want)) == sorted(str((str(r["doc_id"]), r["n_links"])) for r in got)
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got if r["doc_id"] is not None) == [x for x in brute(docs, words, num, 100) if x[0] != "None"]
+
+
 def test_many_copies_of_few_texts(spark):
     df = spark.range(3000).selectExpr("id as doc_id", "concat('one two three four five six ', if(id % 3 = 0, 'x', 'y')) as text")
     got = g.join_components(df, 3, 90, 100).groupBy("component_id").count().collect()
