@@ -5,9 +5,11 @@ from slot floor(i / w) on and must run before slot ceil((i + 1) / w); in every s
 released block with the earliest deadline runs. On one resource this meets all deadlines,
 so after any number of slots t a source has had within one block of w * t.
 
-Weights are integer shares of a quantum Q, so the schedule repeats every Q slots and only
-one period is simulated, on the driver, whatever the size of the corpus. When a source
-runs out, the others go on with their shares renormalised: a new phase. A document's slot
+Weights are integer shares of a quantum Q by largest remainder. Q grows with the number of
+slots, so that rounding moves no source by more than a block over the whole schedule. The
+driver simulates each phase up to its end, one step a block (with a ``quantum`` of less, one
+period only, and rounding then counts). When a source runs out, the others go on with their
+weights renormalised and rounded anew: a new phase. A document's slot
 is then arithmetic on its rank within its source, which is found without gathering a
 source in one task. No document is dropped or repeated.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,32 +31,47 @@ from clinloom.llm.ranking import ranked
 
 #: Documents in a block.
 BLOCK_ROWS = 64
-#: Slots of one period: weights are rounded to multiples of 1 / QUANTUM.
+#: Weights are rounded to multiples of 1 / QUANTUM, or finer ones in a longer schedule.
 QUANTUM = 1000
 #: Hash ranges in which a source is ranked.
 BUCKETS = 256
 #: More distinct sources than this are refused: the schedule is held on the driver.
 MAX_SOURCES = 4096
+#: A longer schedule is joined by a shuffle, not by broadcast.
+BROADCAST_ROWS = 500_000
 NULL = "\x00"
 OUTPUT = ("block", "offset", "phase", "release", "deadline", "slot")
 
 
 def shares(weights: Mapping[str, float], quantum: int = QUANTUM) -> dict[str, int]:
-    """Integer shares of ``quantum`` by largest remainder, at least 1 each."""
+    """Integer shares of ``quantum`` by largest remainder; less than 1 is 1, at the cost of the heaviest."""
     if not weights or min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
     total, quantum = sum(weights.values()), max(quantum, 2 * len(weights))
-    spare = quantum - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s))
-    for s in by_rest[: quantum - sum(out.values())]:
+    exact = {s: quantum * w / total for s, w in weights.items()}
+    out = {s: max(1, int(x)) for s, x in exact.items()}
+    by_rest = sorted(exact, key=lambda s: (out[s] - exact[s], s))
+    for s in by_rest[: max(0, quantum - sum(out.values()))]:
         out[s] += 1
+    over = sum(out.values()) - quantum
+    while over > 0:
+        for s in sorted((s for s in out if out[s] > 1), key=lambda s: (exact[s] - out[s], -out[s], s))[:over]:
+            out[s] -= 1
+            over -= 1
     return out
 
 
-def edf_period(share: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period of sum(share) slots, earliest deadline first."""
+def fine_quantum(blocks: Mapping[str, int]) -> int:
+    """A quantum whose rounding, over all slots and sources, is at most about half a block."""
+    slots = sum(blocks.values())
+    return max(QUANTUM, min(2 * slots * len(blocks), (1 << 62) // max(slots, 1)))
+
+
+def edf_period(share: Mapping[str, int], left: Mapping[str, int] | None = None) -> dict[str, list[int]]:
+    """Slots of each source's blocks in one period of sum(share) slots, earliest deadline first.
+
+    With ``left``, the simulation ends when a source has had that many blocks.
+    """
     period = sum(share.values())
     slots: dict[str, list[int]] = {s: [] for s in share}
     waiting = [(0, s) for s in sorted(share)]  # (release, source)
@@ -67,31 +85,42 @@ def edf_period(share: Mapping[str, int]) -> dict[str, list[int]]:
         if deadline <= t:
             raise AssertionError("a deadline was missed")
         slots[s].append(t)
+        if left is not None and len(slots[s]) == left[s]:
+            break
         if len(slots[s]) < share[s]:
             heapq.heappush(waiting, (len(slots[s]) * period // share[s], s))
     return slots
 
 
-def phases(share: Mapping[str, int], blocks: Mapping[str, int]) -> list[dict]:
-    """The phases of the whole schedule: who is active, from which block and slot, until one runs out."""
+def phases(share: Mapping[str, float], blocks: Mapping[str, int], quantum: int | None = None) -> list[dict]:
+    """The phases of the whole schedule: who is active, from which block and slot, until one runs out.
+
+    With a ``quantum``, ``share`` holds weights, which are rounded to it in each phase.
+    """
     done = {s: 0 for s in share}
     active = {s: a for s, a in share.items() if blocks.get(s, 0) > 0}
     out, base = [], 0
     while active:
-        period, slots = sum(active.values()), edf_period(active)
-        last = {s: (blocks[s] - done[s] - 1) // a * period + slots[s][(blocks[s] - done[s] - 1) % a] for s, a in active.items()}
-        length = min(last.values()) + 1
-        rounds, rest = divmod(length, period)
-        took = {s: rounds * a + sum(x < rest for x in slots[s]) for s, a in active.items()}
+        given, left = active, {s: blocks[s] - done[s] for s in active}
+        active = active if quantum is None else shares(active, quantum)
+        slots, period = edf_period(active, left), sum(active.values())
+        if any(len(slots[s]) == left[s] for s in active):
+            length = max(x[-1] for x in slots.values() if x) + 1
+            took = {s: len(x) for s, x in slots.items()}
+        else:
+            last = {s: (left[s] - 1) // a * period + slots[s][(left[s] - 1) % a] for s, a in active.items()}
+            length = min(last.values()) + 1
+            rounds, rest = divmod(length, period)
+            took = {s: rounds * a + sum(x < rest for x in slots[s]) for s, a in active.items()}
         for s, a in active.items():
             out.append({"source": s, "first": done[s], "end": done[s] + took[s], "slot": base, "period": period, "share": a, "slots": slots[s], "phase": len({r["slot"] for r in out} | {base}) - 1})
             done[s] += took[s]
         base += length
-        active = {s: a for s, a in active.items() if done[s] < blocks[s]}
+        active = {s: w for s, w in given.items() if done[s] < blocks[s]}
     return out
 
 
-def mix(df: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, quantum: int = QUANTUM, temper: float = 0.5) -> DataFrame:
+def mix(df: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, quantum: int | None = None, temper: float = 0.5) -> DataFrame:
     """``df`` (with doc_id and source) plus block, offset, phase, release, deadline and slot.
 
     Without ``weights`` a source's target is its number of documents to the power
@@ -105,18 +134,31 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, block_rows: i
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows = {r["__source"]: r["n"] for r in counts}
     given = {s: n**temper for s, n in rows.items()} if weights is None else {s: weights[None if s == NULL and None in weights else s] for s in rows}
-    plan = phases(shares(given, quantum), {s: -(-n // block_rows) for s, n in rows.items()}) if rows else []
+    blocks = {s: -(-n // block_rows) for s, n in rows.items()}
+    if not rows:
+        plan = []
+    else:
+        plan = phases(given, blocks, fine_quantum(blocks)) if quantum is None else phases(shares(given, quantum), blocks)
     by_source: dict[str, list] = {}
     for r in plan:
         if r["end"] > r["first"]:
-            by_source.setdefault(r["source"], []).append((r["phase"], r["first"], r["end"], r["slot"], r["period"], r["share"], r["slots"]))
-    schema = "__source string, __phases array<struct<phase int, first long, end long, base long, period long, share long, slots array<int>>>"
+            by_source.setdefault(r["source"], []).append((r["phase"], r["first"], r["end"], r["slot"], r["period"], r["share"]))
+    schema = "__source string, __phases array<struct<phase int, first long, end long, base long, period long, share long>>"
     table = df.sparkSession.createDataFrame([(s, p) for s, p in by_source.items()], schema)
+    flat = [(r["source"], r["phase"], r["slots"]) for r in plan if r["slots"]]
+    offsets = pa.table({
+        "__source": pa.array([s for s, _, x in flat for _ in x], pa.string()),
+        "__phase": pa.array([k for _, k, x in flat for _ in x], pa.int32()),
+        "__turn": pa.array([i for _, _, x in flat for i in range(len(x))], pa.int64()),
+        "__offset": pa.array([t for _, _, x in flat for t in x], pa.int64()),
+    })
+    offsets = df.sparkSession.createDataFrame(offsets)
     out = ranked(named, "__source", F.xxhash64("doc_id"), BUCKETS, "__rank")
     out = out.withColumn("block", F.expr(f"__rank div {block_rows}")).withColumn("offset", F.col("__rank") % block_rows)
     out = out.join(F.broadcast(table), "__source")
     out = out.withColumn("__p", F.expr("filter(__phases, p -> block >= p.first and block < p.end)[0]")).drop("__phases")
-    out = out.withColumn("__i", F.expr("block - __p.first"))
+    out = out.withColumn("__i", F.expr("block - __p.first")).withColumn("__phase", F.col("__p.phase")).withColumn("__turn", F.expr("__i % __p.share"))
+    out = out.join(F.broadcast(offsets) if sum(len(x) for _, _, x in flat) <= BROADCAST_ROWS else offsets, ["__source", "__phase", "__turn"])
     return out.select(
         *df.columns,
         "block",
@@ -124,7 +166,7 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, block_rows: i
         F.col("__p.phase").alias("phase"),
         F.expr("__p.base + (__i * __p.period) div __p.share").alias("release"),
         F.expr("__p.base + ((__i + 1) * __p.period + __p.share - 1) div __p.share").alias("deadline"),
-        F.expr("__p.base + (__i div __p.share) * __p.period + __p.slots[cast(__i % __p.share as int)]").alias("slot"),
+        F.expr("__p.base + (__i div __p.share) * __p.period + __offset").alias("slot"),
     )
 
 

@@ -39,6 +39,18 @@ def test_shares():
         m.shares({"a": 0})
 
 
+@pytest.mark.parametrize("scale", [1, 60])
+def test_deviation_from_the_unrounded_target(scale):
+    n = {"big": 33333 * scale, **{f"s{i:02d}": 3509 * scale for i in range(19)}, "rare": 1}
+    weights, blocks = {s: x**0.5 for s, x in n.items()}, {s: -(-x // 64) for s, x in n.items()}
+    plan = m.phases(weights, blocks, m.fine_quantum(blocks))
+    assert {s: sum(p["end"] - p["first"] for p in plan if p["source"] == s) for s in n} == blocks
+    for base in {p["slot"] for p in plan}:
+        now = [p for p in plan if p["slot"] == base]
+        total, length = sum(weights[p["source"]] for p in now), sum(p["end"] - p["first"] for p in now)
+        assert all(abs(p["end"] - p["first"] - length * weights[p["source"]] / total) < 1.5 for p in now)
+
+
 def check(rows, block_rows):
     """Ranks are whole, slots are filled once, windows hold."""
     by, slot_of = {}, {}
