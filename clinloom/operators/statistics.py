@@ -106,6 +106,30 @@ def sign_flip_exact(pairs: DataFrame, most: int = 20) -> DataFrame:
     return out.groupBy("n", "o").agg(F.avg((F.col("f") + 1e-12 >= F.col("o")).cast("double")).alias("p_value")).select(F.col("n").cast("long").alias("n_cases"), F.col("o").alias("observed"), "p_value")
 
 
+#: Replicates whose signs come from one digest.
+SIGN_BITS = 60
+
+
+def sign_flip(pairs: DataFrame, most: int = 20, resamples: int = 20_000, seed: str = "0") -> DataFrame:
+    """The two-sided sign-flip p-value of all paired differences: exact up to ``most`` pairs, else by Monte Carlo.
+
+    A pair's signs in sixty replicates are the bits of one SHA-256 of seed, replicates and
+    case; sums are grouped by replicates. The p-value is (extreme + 1) / (resamples + 1).
+    """
+    held = pairs.where("difference is not null").select(F.col("case_id").cast("string").alias("case_id"), F.col("difference").cast("double").alias("x"))
+    if pairs.where("difference is not null").limit(most + 1).count() <= most:
+        return sign_flip_exact(pairs, most)
+    if resamples < 1:
+        raise ValueError("resamples must be positive")
+    actual = held.agg(F.count("x").alias("n_cases"), F.abs(F.avg("x")).alias("observed"))
+    dealt = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // SIGN_BITS))))
+    dealt = dealt.withColumn("bits", F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "part", "case_id"), 256), 1, SIGN_BITS // 4), 16, 10).cast("long"))
+    sums = dealt.groupBy("part").agg(*[F.sum(F.expr(f"if(getbit(bits, {i}) = 1, x, -x)")).alias(f"s{i}") for i in range(SIGN_BITS)])
+    means = sums.select("part", F.posexplode(F.array(*[f"s{i}" for i in range(SIGN_BITS)])).alias("i", "s")).where(F.col("part") * SIGN_BITS + F.col("i") < resamples)
+    extreme = means.crossJoin(F.broadcast(actual)).groupBy("n_cases", "observed").agg(F.count_if(F.abs(F.col("s") / F.col("n_cases")) + 1e-12 >= F.col("observed")).alias("extreme"))
+    return extreme.select("n_cases", "observed", ((F.col("extreme") + 1) / (resamples + 1)).alias("p_value"))
+
+
 def adjusted(p: DataFrame, label: str = "label", family: str | None = None) -> DataFrame:
     """Holm and Benjamini-Hochberg adjustment of (label, p_value), within a family if one is named."""
     w = Window.partitionBy(family) if family else Window.partitionBy(F.lit(1))

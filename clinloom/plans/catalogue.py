@@ -263,6 +263,14 @@ def sign_flip_exact(spark: SparkSession, d: str) -> DataFrame:
     return s.select("n_cases", r6("observed"), r6("p_value"))
 
 
+@query
+def sign_flip_paired(spark: SparkSession, d: str) -> DataFrame:
+    """Over all paired cases; by Monte Carlo where there are more than twenty."""
+    v = _case_values(spark, d).groupBy("case_id", "policy").agg(F.avg("value").alias("value"))
+    s = statistics.sign_flip(statistics.paired(v, "policy", "P0", "P2"))
+    return s.select("n_cases", r6("observed"), r6("p_value"))
+
+
 def _pvalues(spark: SparkSession, d: str) -> DataFrame:
     p = F.conv(F.substring(F.sha2(F.concat_ws("|", "variant", "policy"), 256), 1, 4), 16, 10).cast("double") / 65536
     return _case_values(spark, d).select("variant", "policy").distinct().select(F.concat_ws("/", "variant", "policy").alias("label"), (p / 10).alias("p_value"))

@@ -266,3 +266,23 @@ def test_study_helpers(spark):
     assert got[0] == got[2] != got[1]
     grid = spark.createDataFrame([(1, "a"), (2, "b"), (2, "a")], "case_id int, family string")
     assert rows(studies.missing_cells(grid, "case_id", "family")) == [(1, "b")]
+
+
+def test_sign_flip_of_many_pairs(spark):
+    import hashlib
+
+    for shift in (0.0, 0.4):
+        values = [((i * 37) % 41 - 20) / 20 + shift for i in range(41)]
+        pairs = spark.createDataFrame([*enumerate(values), (99, None)], "case_id long, difference double")
+        n, observed, p = statistics.sign_flip(pairs, resamples=500).collect()[0]
+        sums = [0.0] * 540
+        for i, x in enumerate(values):
+            for part in range(9):
+                bits = int(hashlib.sha256(f"0|{part}|{i}".encode()).hexdigest()[:15], 16)
+                for k in range(60):
+                    sums[part * 60 + k] += x if bits >> k & 1 else -x
+        mean = abs(sum(values) / 41)
+        want = (sum(abs(s / 41) + 1e-12 >= mean for s in sums[:500]) + 1) / 501
+        assert n == 41 and abs(observed - mean) < 1e-9 and abs(p - want) < 1e-12
+    few = pairs.where("case_id < 12")
+    assert statistics.sign_flip(few).collect() == statistics.sign_flip_exact(few).collect()
