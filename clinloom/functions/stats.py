@@ -36,6 +36,14 @@ def required_pairs(sd: float, smallest: float, power: float, alpha: float = 0.05
     return complete, math.ceil(complete / (1 - incomplete))
 
 
+def required(sd: Column, smallest: float, power: float, alpha: float = 0.05, incomplete: float = 0.0) -> tuple[Column, Column]:
+    """``required_pairs`` of a column of spreads."""
+    required_pairs(0.0, smallest, power, alpha, incomplete)
+    z = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
+    complete = F.when(sd == 0, 2).otherwise(F.greatest(F.lit(2), F.ceil(F.pow(z * sd / smallest, 2)))).cast("int")
+    return complete, F.ceil(complete / (1 - incomplete)).cast("int")
+
+
 def achieved_power(sd: float, smallest: float, planned: int, alpha: float = 0.05, incomplete: float = 0.0) -> float:
     complete = max(2, math.floor(planned * (1 - incomplete)))
     if sd == 0:

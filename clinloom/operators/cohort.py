@@ -11,8 +11,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clinloom.functions import icd9
+from clinloom.functions import icd9, lenient
 
 #: First part of every sample key, unless the caller names another to reproduce older samples.
 SAMPLE_TAG = "cohort-sample-v1"
@@ -64,7 +65,7 @@ def diagnosis_flags(codes: DataFrame) -> DataFrame:
 
 
 def ventilation_flags(codes: DataFrame) -> DataFrame:
-    hit = icd9.normalise(F.col("code")).isin(icd9.VENTILATION.split())
+    hit = icd9.normalise(F.col("code")).isin(*icd9.VENTILATION)
     return codes.where("hadm_id is not null and code is not null").groupBy("hadm_id").agg(F.bool_or(hit).alias("ventilated"))
 
 
@@ -86,7 +87,7 @@ def fired(c: Criteria) -> Column:
     kind = F.lower(F.trim("admission_type"))
     tests = [
         F.coalesce(F.col("has_icu") & (F.col("icu_days") >= c.icu_days), F.lit(False)),
-        F.col("expired"),
+        F.coalesce(F.col("expired"), F.lit(False)) | F.col("deathtime").isNotNull(),
         F.col("ventilated"),
         kind.isin("newborn", "neonatal") | (F.col("age") < c.least_age),
         F.col("age") >= c.age_below,
@@ -99,14 +100,42 @@ def fired(c: Criteria) -> Column:
 
 
 def malformed_reason() -> Column:
-    """Why an admission can't be evaluated; null if it can."""
+    """Why an admission can't be evaluated; null if it can. Identifiers are positive; the first reason counts."""
     return (
-        F.when(F.coalesce(F.col("subject_id") < 0, F.lit(True)) | F.coalesce(F.col("hadm_id") < 0, F.lit(True)), "identifier")
-        .when(F.col("dischtime") < F.col("admittime"), "discharge before admission")
+        F.when(F.coalesce(F.col("subject_id") <= 0, F.lit(True)) | F.coalesce(F.col("hadm_id") <= 0, F.lit(True)), "identifier")
         .when(F.col("age") < 0, "negative age")
+        .when(F.col("dischtime") < F.col("admittime"), "discharge before admission")
     )
 
 
+#: Columns of a candidate and what they are read as; deathtime and row_id may be missing or null.
+CANDIDATE = {
+    "subject_id": "long", "hadm_id": "long", "admittime": "timestamp", "dischtime": "timestamp", "age_years": "double", "admission_type": "text", "has_icu_stay": "flag",
+    "hospital_expire_flag": "flag", "procedure_icd9_codes": "codes", "diagnosis_icd9_codes": "codes", "note_text": "text", "note_category": "text",
+}
+
+
+def parsed_candidates(raw: DataFrame) -> DataFrame:
+    """``raw`` candidates with typed columns and a ``reason``: the first column that can't be read, or null.
+
+    A required column that isn't there raises: a missing one must not look like a reassuring false.
+    """
+    if missing := sorted(set(CANDIDATE) - set(raw.columns)):
+        raise ValueError(f"candidates lack required columns: {', '.join(missing)}")
+    read = {"long": lenient.as_long, "double": lenient.as_double, "timestamp": lenient.as_timestamp, "flag": lenient.as_bool, "codes": lenient.as_codes, "text": lambda c: F.coalesce(c.cast("string"), F.lit(""))}
+    listed = {f.name for f in raw.schema if isinstance(f.dataType, T.ArrayType)}
+    typed = {c: F.array_compact(F.coalesce(F.col(c), F.array())).cast("array<string>") if c in listed else read[kind](F.col(c)) for c, kind in CANDIDATE.items()}
+    reason = F.coalesce(*[F.when(typed[c].isNull(), F.lit(c)) for c, kind in CANDIDATE.items() if kind not in ("codes", "text")])
+    if "deathtime" in raw.columns:
+        given = F.nullif(lenient.as_text(F.col("deathtime")), F.lit(""))
+        typed["deathtime"] = lenient.as_timestamp(given)
+        reason = F.coalesce(reason, F.when(given.isNotNull() & typed["deathtime"].isNull(), F.lit("deathtime")))
+    else:
+        typed["deathtime"] = F.lit(None).cast("timestamp")
+    typed["row_id"] = lenient.as_long(F.col("row_id")) if "row_id" in raw.columns else F.lit(None).cast("long")
+    return raw.select(*[c.alias(n) for n, c in typed.items()], reason.alias("reason"))
+
+
 def with_first_admission(df: DataFrame) -> DataFrame:
     """E10 added to every admission of a subject but the first of those that meet no other criterion."""
     w = Window.partitionBy("subject_id", F.size("fired") == 0).orderBy("admittime", "hadm_id")
@@ -138,3 +167,31 @@ def hash_sample(df: DataFrame, n: int, snapshot: str, seed: str, tag: str = SAMP
     keyed = df.withColumn("sample_key", sample_key(snapshot, seed, F.col("subject_id"), F.col("hadm_id"), tag))
     least = keyed.orderBy("sample_key", "subject_id", "hadm_id").limit(n)
     return least.withColumn("selection_rank", F.row_number().over(Window.orderBy("sample_key", "subject_id", "hadm_id")))
+
+
+class Shortage(ValueError):
+    """Fewer eligible admissions than were asked for; carries the exclusion flow, which tells why."""
+
+    def __init__(self, requested: int, available: int, flow: list):
+        self.requested, self.available, self.flow = requested, available, flow
+        super().__init__(f"requested {requested} cases, but only {available} are eligible: " + "; ".join(f"{r['code']} excluded {r['excluded']} of {r['entering']}" for r in flow))
+
+
+def select_cases(evaluated: DataFrame, n: int, snapshot: str, seed: str, tag: str = SAMPLE_TAG) -> DataFrame:
+    """The hash sample of ``n`` eligible admissions; raises if an admission is there twice or too few are eligible."""
+    if n <= 0 or not snapshot.strip():
+        raise ValueError("n must be positive and the snapshot's hash given")
+    if not evaluated.groupBy("subject_id", "hadm_id").count().where("count > 1").isEmpty():
+        raise ValueError("an admission is in the candidates more than once")
+    eligible = evaluated.where(F.size("fired") == 0)
+    available = eligible.count()
+    if available < n:
+        raise Shortage(n, available, exclusion_flow(evaluated).orderBy("step").collect())
+    return hash_sample(eligible, n, snapshot, seed, tag)
+
+
+def audit(evaluated: DataFrame, selected: DataFrame) -> DataFrame:
+    """(hadm_id, subject_id, status, fired) of every evaluated admission: excluded, selected, or eligible and not sampled."""
+    picked = selected.select("hadm_id", F.lit(True).alias("_picked"))
+    status = F.when(F.size("fired") > 0, "excluded").when(F.col("_picked"), "selected").otherwise("eligible_not_sampled")
+    return evaluated.join(picked, "hadm_id", "left").select("hadm_id", "subject_id", status.alias("status"), "fired")

@@ -52,4 +52,4 @@ def recovered(corrupted: DataFrame) -> DataFrame:
     w = Window.partitionBy("dialogue_id", "fault").orderBy("index")
     seen = corrupted.withColumn("_before", F.lag("role").over(w))
     ok = F.when(F.col("fault") == "empty_turn", F.trim("text") == "").when(F.col("fault") == "role_order_violation", F.col("role") == F.col("_before")).otherwise(F.contains("text", "label"))
-    return seen.where("hit").groupBy("dialogue_id", "fault").agg(F.count(F.lit(1)).alias("n_hits"), F.bool_and(ok).alias("recovered"))
+    return seen.where("hit").groupBy("dialogue_id", "fault").agg(F.count(F.lit(1)).alias("n_hits"), F.min("index").alias("hit_index"), F.bool_and(ok).alias("recovered"))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinloom.functions.text import jaccard
 from clinloom.session import ship
 
 
@@ -36,6 +37,25 @@ def clusters(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return measured.groupBy(*by, "case_id").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
+#: Ranges of scores by which a detector's scores are ranked, and hexadecimal digits of the hash ranges of cases.
+RANGES, HASH_DIGITS = 64, 2
+
+
+def hash_ranked(df: DataFrame, by: Sequence[str], key: str, name: str, digits: int = HASH_DIGITS) -> DataFrame:
+    """``df`` with the 0-based rank of each row within its group by (MD5 of the key, key).
+
+    A group's rows are ranked inside hash ranges and shifted by the counts of the ranges
+    before, of which there are 16^digits a group; more digits serve larger groups.
+    """
+    hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string").cast("binary"))).withColumn("_range", F.substring("_hash", 1, digits))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_range").orderBy("_hash", key)
+    ranked = hashed.withColumn("_rank", F.row_number().over(inside) - 1).join(counts, [*by, "_range"])
+    return ranked.withColumn(name, F.col("_before") + F.col("_rank")).drop("_hash", "_range", "_rank", "_before")
+
+
 def pick(seed: str, replicate: Column, slot: Column, n: Column) -> Column:
     """A number below ``n`` from the first 32 bits of a hash."""
     digest = F.sha2(F.concat_ws("|", F.lit(seed), replicate.cast("string"), slot.cast("string")), 256)
@@ -46,10 +66,10 @@ def bootstrap(cases: DataFrame, by: Sequence[str], resamples: int, seed: str, co
     """Percentile intervals of pooled means, whole cases drawn with replacement.
 
     ``cases`` is the output of ``clusters``. A group with n cases makes n x resamples slots;
-    they are dealt by (group, replicate), so no group gathers in one task.
+    they are dealt by (group, replicate), and cases are numbered in the order of a hash, range
+    by range, so no group gathers in one task.
     """
-    order = Window.partitionBy(*by).orderBy("case_id") if by else Window.orderBy("case_id")
-    numbered = cases.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
+    numbered = hash_ranked(cases, by, "case_id", "ordinal")
     sizes = cases.groupBy(*by).agg(F.count(F.lit(1)).alias("cases"), (F.sum("total") / F.sum("n")).alias("estimate"))
     slots = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cases") - 1)))
     slots = slots.withColumn("ordinal", pick(seed, F.col("replicate"), F.col("slot"), F.col("cases")))
@@ -156,12 +176,22 @@ def confusion(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def auc(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Area under the curve with ties at a half, from average ranks; null without both classes.
 
-    Scores are first counted by distinct value, so only distinct scores are ranked.
+    Scores are first counted by distinct value, so only distinct scores are ranked, in
+    ``RANGES`` ranges a group: no group's scores are in one task. Null scores don't count.
     """
+    df = df.where("score is not null")
     truth = F.col("is_corrupted")
     held = df.groupBy(*by, "score").agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = held.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    # Ranges of scores: negatives below are those of the ranges before and, inside, of lower scores.
+    edges = [i / RANGES for i in range(1, RANGES)]
+    cuts = held.groupBy(*by).agg(F.percentile_approx("score", edges, 100 * RANGES).alias("_cuts"))
+    held = held.join(F.broadcast(cuts), list(by)) if by else held.crossJoin(F.broadcast(cuts))
+    held = held.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    totals = held.groupBy(*by, "_range").agg(F.sum("neg").alias("_neg"))
+    totals = totals.select(*by, "_range", F.coalesce(F.sum("_neg").over(before), F.lit(0)).alias("_before"))
+    below = held.join(F.broadcast(totals), [*by, "_range"]).withColumn("below", F.col("_before") + F.coalesce(F.sum("neg").over(inside), F.lit(0)))
     sums = below.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("wins"))
     return sums.withColumn("auc", F.try_divide(F.col("wins"), F.col("positives") * F.col("negatives"))).drop("wins")
 
@@ -176,11 +206,18 @@ def agreement(df: DataFrame, raters: int) -> DataFrame:
     return out.select("n_units", "observed", "expected", F.when(1 - F.col("expected") > 1e-12, (F.col("observed") - F.col("expected")) / (1 - F.col("expected"))).alias("kappa"))
 
 
-def pairwise_jaccard(df: DataFrame) -> DataFrame:
-    """Mean Jaccard index of the raters' entity sets, over all pairs of raters in all cases."""
-    sets = df.groupBy("case_id", "rater").agg(F.collect_set("entity").alias("e"))
-    a, b = sets.alias("a"), sets.alias("b")
-    pairs = a.join(b, (F.col("a.case_id") == F.col("b.case_id")) & (F.col("a.rater") < F.col("b.rater")))
-    union = F.size(F.array_union("a.e", "b.e"))
-    value = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("a.e", "b.e")) / union)
-    return pairs.select(value.alias("j")).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("j").alias("mean_jaccard"))
+def pairwise_jaccard(df: DataFrame, most: int = 64) -> DataFrame:
+    """Mean Jaccard index of the raters' entity sets, over all pairs of raters in all cases.
+
+    Every rater has a set in every case: an empty one where no row names an entity, and two
+    empty ones agree. A row with a null entity only says that the rater saw the case. One
+    grouping by case; raters, of whom there are few, become columns.
+    """
+    raters = [r["rater"] for r in df.select("rater").distinct().limit(most + 1).collect()]
+    if len(raters) > most:
+        raise ValueError(f"more than {most} raters")
+    pairs = [jaccard(F.col(f"e{i}"), F.col(f"e{j}"), 1.0) for i in range(len(raters)) for j in range(i + 1, len(raters))]
+    if not pairs:
+        return df.sparkSession.createDataFrame([(0, None)], "n_pairs long, mean_jaccard double")
+    named = df.groupBy("case_id").agg(*[F.collect_set(F.when(F.col("rater") == r, F.col("entity"))).alias(f"e{i}") for i, r in enumerate(sorted(raters))])
+    return named.select(F.explode(F.array(*pairs)).alias("j")).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("j").alias("mean_jaccard"))

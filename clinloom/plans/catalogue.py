@@ -51,6 +51,31 @@ def cohort_audit_status(spark: SparkSession, d: str) -> DataFrame:
     return e.select("hadm_id", "subject_id", F.array_join("fired", ",").alias("fired"), F.when(F.size("fired") == 0, "eligible").otherwise("excluded").alias("status"))
 
 
+@query
+def cohort_selected_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Every evaluated admission's status once twenty eligible ones are sampled."""
+    e = px.evaluated(spark, d)
+    a = cohort.audit(e, cohort.select_cases(e, 20, "snapshot", "20260914"))
+    return a.select("hadm_id", "subject_id", F.array_join("fired", ",").alias("fired"), "status")
+
+
+@query
+def lenient_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates as a text extract has them, read leniently; what can't be read is named."""
+    a = px.admissions(spark, d)
+    k = F.col("hadm_id")
+    words = F.element_at(F.array(*map(F.lit, (" True", "f", "1", "No", "0", "maybe"))), (k % 6 + 1).cast("int"))
+    listed = F.when(k % 4 == 0, F.lit("{}")).otherwise(F.concat(F.lit("{"), (k % 900).cast("string"), F.lit(', "'), (F.col("subject_id") % 900).cast("string"), F.lit('"}')))
+    at = F.when(k % 89 == 0, "soon").otherwise(F.date_format("admittime", "yyyy-MM-dd"))
+    raw = a.select(
+        F.col("subject_id").cast("string").alias("subject_id"), k.cast("string").alias("hadm_id"), at.alias("admittime"), F.lit("2020-01-01T10:00:00").alias("dischtime"), F.lit("40.5").alias("age_years"),
+        F.lit("URGENT").alias("admission_type"), words.alias("has_icu_stay"), F.lit("0").alias("hospital_expire_flag"), listed.alias("procedure_icd9_codes"), F.lit(None).cast("string").alias("diagnosis_icd9_codes"),
+        F.lit("note").alias("note_text"), F.lit("Discharge summary").alias("note_category"),
+    )
+    c = cohort.parsed_candidates(raw)
+    return c.select("hadm_id", "subject_id", "has_icu_stay", F.date_format("admittime", "yyyy-MM-dd").alias("admitted"), F.array_join("procedure_icd9_codes", "|").alias("codes"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 @query
 def cohort_hash_sample(spark: SparkSession, d: str) -> DataFrame:
     s = cohort.hash_sample(px.admissions(spark, d).select("subject_id", "hadm_id"), 100, "snapshot", "20260914")
@@ -186,7 +211,7 @@ def _dimensions():
 def score_gate_decide(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "events").select(F.col("event_id").alias("attempt_index"), F.col("value").alias("raw"))
     values = _dimensions()
-    return e.select("attempt_index", at.decide(values).alias("decision"), r6(at.composite(values), "composite"))
+    return e.select("attempt_index", at.decide(values).alias("decision"), at.composite(values).alias("composite"))
 
 
 @query
@@ -287,9 +312,11 @@ def power_derivation(spark: SparkSession, d: str) -> DataFrame:
     v = _case_values(spark, d)
     value = lambda p: F.max(F.when(F.col("policy") == p, F.col("value")))
     arms = v.groupBy("variant", "case_id").agg(value("P0").alias("a"), value("P1").alias("b"))
-    spread = arms.groupBy("variant").agg(F.stddev_samp(F.col("a") - F.col("b")).alias("sd"), F.count(F.col("a") - F.col("b")).alias("n")).collect()
-    rows = [(r["variant"], r["n"], round(r["sd"], 6), *stats.required_pairs(r["sd"], 0.05, 0.8, incomplete=0.1), *stats.required_pairs(r["sd"], 0.05, 0.9, incomplete=0.1)) for r in spread if r["sd"] is not None]
-    return spark.createDataFrame(rows, "variant string, pilot_n long, paired_sd double, complete_80 int, total_80 int, complete_90 int, total_90 int")
+    diff = F.col("a") - F.col("b")
+    spread = arms.groupBy("variant").agg(F.count(diff).alias("pilot_n"), F.stddev_samp(diff).alias("sd")).where("sd is not null")
+    complete_80, total_80 = stats.required(F.col("sd"), 0.05, 0.8, incomplete=0.1)
+    complete_90, total_90 = stats.required(F.col("sd"), 0.05, 0.9, incomplete=0.1)
+    return spread.select("variant", "pilot_n", r6("sd", "paired_sd"), complete_80.alias("complete_80"), total_80.alias("total_80"), complete_90.alias("complete_90"), total_90.alias("total_90"))
 
 
 # --- dialogues --------------------------------------------------------------
@@ -531,13 +558,16 @@ def claims_faithfulness(spark: SparkSession, d: str) -> DataFrame:
 def repair_plan(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "events").select(F.col("event_id").alias("attempt_index"), F.col("value").alias("raw"))
     failed = F.array_compact(F.array(*[F.when(v < at.THRESHOLDS[n], n) for n, v in _dimensions().items()]))
-    return studies.repair_plan(e.select(F.col("attempt_index").alias("case_id"), F.explode(failed).alias("dimension")))
+    plan = studies.repair_plan(e.select(F.col("attempt_index").alias("case_id"), F.posexplode(failed).alias("position", "dimension")))
+    listed = F.array_join(F.transform("actions", lambda a: F.concat(a["dimension"], F.lit(" -> "), F.array_join(a["targets"], "+"))), "; ")
+    directives = F.array_join(F.transform("actions", lambda a: a["directive"]), "\n")
+    return plan.select("case_id", F.size("actions").cast("long").alias("n_steps"), listed.alias("plan"), F.md5(directives.cast("binary")).alias("directives_md5"), "repair_version")
 
 
 @query
 def attempt_seeds(spark: SparkSession, d: str) -> DataFrame:
-    a = px.attempts(spark, d)
-    return a.select("attempt_index", studies.attempt_seed(F.col("case_id"), F.col("variant"), F.col("attempt_index")).alias("seed"))
+    a = px.attempts(spark, d).where("attempt_index >= 1")
+    return a.select("attempt_index", studies.attempt_seed(F.lit(20260914), F.col("case_id"), F.concat("policy", F.lit("@"), "variant"), F.col("attempt_index")).alias("seed"))
 
 
 @query
@@ -589,9 +619,20 @@ def light_case_reorder(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dialogue_phases(spark: SparkSession, d: str) -> DataFrame:
-    t = px.turns(spark, d)
-    n = F.count(F.lit(1)).over(Window.partitionBy("dialogue_id"))
-    return t.select(studies.phase(F.col("index"), n).alias("phase"), "role").groupBy("phase", "role").agg(F.count(F.lit(1)).alias("n"))
+    t = px.turns(spark, d).where(tx.role(F.col("role")) == "Doctor")
+    turn = F.row_number().over(Window.partitionBy("dialogue_id").orderBy("index"))
+    return t.select(turn.alias("turn")).groupBy(studies.phase(F.col("turn")).alias("phase")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def conversation_checks(spark: SparkSession, d: str) -> DataFrame:
+    return studies.conversation_checks(px.turns(spark, d))
+
+
+@query
+def patient_moods(spark: SparkSession, d: str) -> DataFrame:
+    t = px.turns(spark, d).where(tx.role(F.col("role")) == "Patient")
+    return t.groupBy(studies.mood(F.col("text")).alias("mood")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

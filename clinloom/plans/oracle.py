@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from clinloom.functions import icd9
 from clinloom.functions import text as tx
+from clinloom.operators import faults, studies
 from clinloom.plans.proxies import SQL as BASE
 
 _MASKS = ", ".join(f"bool_or({cond}) AS c{i}" for i, (_, cond) in enumerate(icd9.sql_conditions()))
@@ -23,17 +26,17 @@ dx AS (SELECT hadm_id, ({_SCORE})::INTEGER AS charlson, high_acuity, n_codes FRO
   FROM (SELECT hadm_id, {_NORMAL} AS code FROM diagnoses) GROUP BY 1)),
 vent AS (SELECT hadm_id, bool_or({_NORMAL} IN ('9670', '9671', '9672', '9604')) AS ventilated FROM procedures GROUP BY 1),
 sizes AS (SELECT hadm_id, sum(length({_STRIP('text')}))::BIGINT AS note_chars FROM notes WHERE lower(trim(category)) = 'discharge summary' GROUP BY 1),
-candidates AS (SELECT a.subject_id, a.hadm_id, admittime, dischtime, admission_type, expired, {_AGE} AS age, icu.hadm_id IS NOT NULL AS has_icu,
+candidates AS (SELECT a.subject_id, a.hadm_id, admittime, dischtime, admission_type, expired, deathtime, {_AGE} AS age, icu.hadm_id IS NOT NULL AS has_icu,
   coalesce(icu_unknown, false) AS icu_unknown, coalesce(los, 0.0) AS icu_days, coalesce(charlson, 0) AS charlson, coalesce(high_acuity, false) AS high_acuity,
   coalesce(n_codes, 0) AS n_codes, coalesce(ventilated, false) AS ventilated, epoch_us(dischtime - admittime) / 86400000000.0 AS stay, coalesce(note_chars, 0) AS note_chars,
   note_chars IS NOT NULL AS noted
   FROM admissions a JOIN patients USING (subject_id) LEFT JOIN icu USING (hadm_id) LEFT JOIN dx USING (hadm_id) LEFT JOIN vent USING (hadm_id)
   LEFT JOIN sizes s ON a.hadm_id % 200 = s.hadm_id),
-first AS (SELECT *, [x FOR x IN [CASE WHEN has_icu AND (icu_unknown OR icu_days >= 1) THEN 'E1' END, CASE WHEN expired THEN 'E2' END,
+first AS (SELECT *, [x FOR x IN [CASE WHEN has_icu AND (icu_unknown OR icu_days >= 1) THEN 'E1' END, CASE WHEN expired OR deathtime IS NOT NULL THEN 'E2' END,
   CASE WHEN ventilated THEN 'E3' END, CASE WHEN lower(trim(admission_type)) IN ('newborn', 'neonatal') OR age < 12 THEN 'E4' END, CASE WHEN age >= 90 THEN 'E5' END,
   CASE WHEN high_acuity THEN 'E6' END, CASE WHEN stay > 7 THEN 'E7' END, CASE WHEN charlson > 2 THEN 'E8' END,
   CASE WHEN NOT noted OR note_chars < 500 THEN 'E9' END] IF x IS NOT NULL] AS fired0
-  FROM candidates WHERE dischtime >= admittime AND age >= 0),
+  FROM candidates WHERE dischtime >= admittime AND age >= 0 AND subject_id > 0 AND hadm_id > 0),
 evaluated AS (SELECT *, CASE WHEN len(fired0) = 0 AND row_number() OVER (PARTITION BY subject_id, len(fired0) = 0 ORDER BY admittime, hadm_id) > 1
   THEN ['E10'] ELSE fired0 END AS fired FROM first)
 """
@@ -69,6 +72,11 @@ REFS = """items AS (SELECT l_orderkey, p_name FROM lineitem JOIN part ON l_partk
 refs AS (SELECT l_orderkey, min(p_name) AS top FROM items GROUP BY 1)"""
 
 
+def _any(text: str, words) -> str:
+    """SQL for whether a text holds one of the words."""
+    return " OR ".join(f"contains({text}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words)
+
+
 def _opening() -> str:
     words = "[x FOR x IN regexp_split_to_array(lower(trim(string_split(regexp_replace(text, '\\*\\*.*?\\*\\*', '', 'g'), '.')[1], E' \\t\\n\\r')), '\\s+') IF x <> '']"
     return f"{words}[1:5]"
@@ -103,7 +111,7 @@ SELECT step::INTEGER AS step, code, entering::BIGINT AS entering, excluded::BIGI
 SELECT row_number() OVER (ORDER BY sample_key, subject_id, hadm_id)::INTEGER AS selection_rank, subject_id, hadm_id, sample_key FROM k ORDER BY sample_key, subject_id, hadm_id LIMIT 100""",
     "cohort_first_admission": f"""WITH {BASE}, r AS (SELECT subject_id, hadm_id, row_number() OVER (PARTITION BY subject_id ORDER BY admittime, hadm_id) AS rn, count(*) OVER (PARTITION BY subject_id) AS n_admissions FROM admissions)
 SELECT subject_id, hadm_id, n_admissions FROM r WHERE rn = 1""",
-    "cohort_malformed": f"""WITH {BASE}, r AS (SELECT CASE WHEN subject_id < 0 OR hadm_id < 0 THEN 'identifier' WHEN dischtime < admittime THEN 'discharge before admission' WHEN {_AGE} < 0 THEN 'negative age' END AS reason
+    "cohort_malformed": f"""WITH {BASE}, r AS (SELECT CASE WHEN subject_id <= 0 OR hadm_id <= 0 THEN 'identifier' WHEN {_AGE} < 0 THEN 'negative age' WHEN dischtime < admittime THEN 'discharge before admission' END AS reason
   FROM admissions JOIN patients USING (subject_id)) SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1""",
     "cohort_selected_semi": f"""WITH {BASE}, k AS (SELECT hadm_id FROM admissions ORDER BY sha256(concat_ws(chr(0), 'cohort-sample-v1', 'snapshot', '1', subject_id::VARCHAR, hadm_id::VARCHAR)), subject_id, hadm_id LIMIT 500)
 SELECT hadm_id, count(*) AS n_rows FROM diagnoses WHERE hadm_id IN (SELECT hadm_id FROM k) GROUP BY 1""",
@@ -136,7 +144,7 @@ SELECT variant, k AS n_accepted, n::BIGINT AS n_total, round(p, 6) AS rate, roun
   round((sum(prompt_tokens) * 3.0::DOUBLE + sum(completion_tokens) * 15.0::DOUBLE) / 1e6::DOUBLE, 6) AS estimated_cost FROM attempts GROUP BY 1""",
     "score_gate_decide": f"""WITH v AS (SELECT event_id, {_DIM_VALUES} FROM events)
 SELECT event_id AS attempt_index, CASE WHEN {' OR '.join(f'coalesce({n} < {t}, false)' for n, t in _LIMITS.items())} THEN 'REJECT' WHEN {' OR '.join(f'{n} IS NULL' for n in DIMS)} THEN 'INCOMPLETE' ELSE 'ACCEPT' END AS decision,
-  round(0.4::DOUBLE * naturalness + 0.3::DOUBLE * knowledge_boundary + 0.3::DOUBLE * patient_factuality, 6) AS composite FROM v""",
+  0.4::DOUBLE * naturalness + 0.3::DOUBLE * knowledge_boundary + 0.3::DOUBLE * patient_factuality AS composite FROM v""",
     "json_scores_explode": """WITH k AS (SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS k FROM events),
 s AS (SELECT 'first' AS dimension, CASE WHEN event_id % 11 <> 0 THEN k / 100 END AS v FROM k UNION ALL SELECT 'second', CASE WHEN event_id % 13 <> 0 THEN 1 - k / 100 END FROM k)
 SELECT dimension, count(v) AS measured, count(*) - count(v) AS incomplete, count(*) FILTER (v >= 0.8::DOUBLE) AS passed, count(*) FILTER (v < 0.8::DOUBLE) AS failed, round(avg(v), 6) AS mean_value FROM s GROUP BY 1""",
@@ -148,7 +156,7 @@ SELECT case_id, variant, attempt_index, round(value, 6) AS value FROM a QUALIFY
     "e0_paired": f"""WITH {VALUES}, arms AS (SELECT variant, case_id, max(value) FILTER (policy = 'P0') - max(value) FILTER (policy = 'P2') AS diff FROM vals GROUP BY ALL)
 SELECT variant, count(diff) AS n_cases, count(*) - count(diff) AS n_dropped, round(avg(diff), 6) AS mean_difference FROM arms GROUP BY 1""",
     "paired_difference_bootstrap": f"""WITH {VALUES}, arms AS (SELECT variant, case_id, max(value) FILTER (policy = 'P0') - max(value) FILTER (policy = 'P2') AS diff FROM vals GROUP BY ALL),
-c AS (SELECT variant, row_number() OVER (PARTITION BY variant ORDER BY case_id) - 1 AS ordinal, diff FROM arms WHERE diff IS NOT NULL), s AS (SELECT variant, count(*) AS cases, avg(diff) AS estimate FROM c GROUP BY 1),
+c AS (SELECT variant, row_number() OVER (PARTITION BY variant ORDER BY md5(case_id::VARCHAR), case_id) - 1 AS ordinal, diff FROM arms WHERE diff IS NOT NULL), s AS (SELECT variant, count(*) AS cases, avg(diff) AS estimate FROM c GROUP BY 1),
 slots AS (SELECT variant, b, ('0x' || substr(sha256('7|' || b || '|' || x), 1, 8))::BIGINT % cases AS ordinal, cases, estimate FROM (SELECT *, unnest(range(cases)) AS x FROM s), range(100) t(b)),
 m AS (SELECT variant, b, cases, estimate, avg(diff) AS mean FROM slots JOIN c USING (variant, ordinal) GROUP BY ALL)
 SELECT variant, cases, round(estimate, 6) AS estimate, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY variant, cases, estimate""",
@@ -204,8 +212,10 @@ SELECT a.p_partkey, round(2.0::DOUBLE * len(list_intersect(a.t, b.t)) / (len(a.t
     "fleiss_kappa": f"""WITH {RATINGS}, u AS (SELECT case_id, entity, count(*)::DOUBLE AS p FROM r GROUP BY ALL), o AS (SELECT count(*) AS n_units, avg((p * (p - 1) + (3 - p) * (2 - p)) / 6) AS observed, sum(p) / (count(*) * 3) AS rate FROM u),
 e AS (SELECT *, rate * rate + (1 - rate) * (1 - rate) AS expected FROM o)
 SELECT n_units, round(observed, 6) AS observed, round(expected, 6) AS expected, CASE WHEN 1 - expected > 1e-12 THEN round((observed - expected) / (1 - expected), 6) END AS kappa FROM e""",
-    "pairwise_jaccard": f"""WITH {RATINGS}, s AS (SELECT case_id, rater, list(entity) AS e FROM r GROUP BY ALL)
-SELECT count(*) AS n_pairs, round(avg(len(list_intersect(a.e, b.e)) / len(list_distinct(a.e || b.e))), 6) AS mean_jaccard FROM s a JOIN s b ON a.case_id = b.case_id AND a.rater < b.rater""",
+    "pairwise_jaccard": f"""WITH {RATINGS}, g AS (SELECT case_id, rater FROM (SELECT DISTINCT case_id FROM r), (SELECT DISTINCT rater FROM r)),
+s AS (SELECT case_id, rater, coalesce(list(entity) FILTER (entity IS NOT NULL), []) AS e FROM g LEFT JOIN r USING (case_id, rater) GROUP BY ALL),
+j AS (SELECT len(list_distinct(a.e || b.e)) AS u, len(list_intersect(a.e, b.e)) AS i FROM s a JOIN s b ON a.case_id = b.case_id AND a.rater < b.rater)
+SELECT count(*) AS n_pairs, round(avg(CASE WHEN u = 0 THEN 1.0 ELSE i / u END), 6) AS mean_jaccard FROM j""",
     "detector_confusion": f"""WITH {DETECTOR}, c AS (SELECT fault, count(*) FILTER (is_corrupted AND predicted) AS tp, count(*) FILTER (NOT is_corrupted AND predicted) AS fp, count(*) FILTER (is_corrupted AND NOT predicted) AS fn,
   count(*) FILTER (NOT is_corrupted AND NOT predicted) AS tn FROM det GROUP BY 1)
 SELECT *, round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall,
@@ -220,13 +230,15 @@ SELECT dialogue_id, coalesce(claims, 0) AS claims, coalesce(s, 0) AS supported,
   CASE WHEN coalesce(claims, 0) = 0 THEN 'no factual claims' WHEN s + u = 0 THEN 'no verifiable claims' ELSE '' END AS incomplete_reason FROM (SELECT DISTINCT dialogue_id FROM turns) LEFT JOIN n USING (dialogue_id)""",
 }
 
-_ACTIONS = "(VALUES ('structural_validity', 1, 'regenerate the turns that break the structure'), ('knowledge_boundary', 2, 'rewrite turns that reveal hidden fields'), ('patient_factuality', 3, 'remove unsupported patient statements'), ('doctor_factuality', 4, 'remove unsupported doctor statements'), ('naturalness', 5, 'vary wording and openings')) r(dimension, step, action)"
-_FAILED = " UNION ALL ".join(f"SELECT event_id AS case_id, '{n}' AS dimension FROM v WHERE {n} < {t}" for n, t in _LIMITS.items())
+_ACTIONS = "(VALUES " + ", ".join(f"('{d}', '{'+'.join(t)}', '{x}')" for d, t, x in studies.REPAIRS) + ") r(dimension, targets, directive)"
+_FAILED = " UNION ALL ".join(f"SELECT event_id AS case_id, {i} AS position, '{n}' AS dimension FROM v WHERE {n} < {t}" for i, (n, t) in enumerate(_LIMITS.items()))
 
 ORACLE_SQL |= {
     "repair_plan": f"""WITH v AS (SELECT event_id, {_DIM_VALUES} FROM events), f AS ({_FAILED})
-SELECT case_id, count(*) AS n_steps, string_agg(action, '; ' ORDER BY step) AS plan FROM f JOIN {_ACTIONS} USING (dimension) GROUP BY 1""",
-    "attempt_seeds": f"WITH {BASE} SELECT attempt_index, (('0x' || substr(sha256(case_id || '|' || variant || '|' || attempt_index), 1, 16))::UBIGINT % 2147483648)::BIGINT AS seed FROM attempts",
+SELECT case_id, count(*) AS n_steps, string_agg(dimension || ' -> ' || targets, '; ' ORDER BY position) AS plan, md5(string_agg(directive, chr(10) ORDER BY position)) AS directives_md5,
+  '{studies.REPAIR_VERSION}' AS repair_version FROM f JOIN {_ACTIONS} USING (dimension) GROUP BY 1""",
+    "attempt_seeds": f"""WITH {BASE}, j AS (SELECT attempt_index, '{{"attempt_index":' || attempt_index || ',"base_seed":20260914,"case_id":"' || case_id || '","patient_policy_ref":"' || policy || '@' || variant || '","stream":"generation"}}' AS payload FROM attempts WHERE attempt_index >= 1)
+SELECT attempt_index, (('0x' || substr(sha256(payload), 1, 16))::UBIGINT % 2147483648)::BIGINT AS seed FROM j""",
     "judge_legacy": f"""WITH {BASE}, n AS (SELECT dialogue_id, count(*) FILTER (who = 'Patient') AS patient_turns, count(*) FILTER (who = 'Patient' AND index > 1) AS statements,
   count(*) FILTER (who = 'Patient' AND index > 1 AND (dialogue_id + index) % 3 <> 0) AS yes FROM turns GROUP BY 1)
 SELECT dialogue_id, patient_turns, statements, yes, round(CASE WHEN patient_turns = 0 THEN 0.0 WHEN statements = 0 THEN 1.0 ELSE yes / statements END, 6)::DOUBLE AS score FROM n""",
@@ -240,8 +252,20 @@ SELECT c.case_id, v.variant FROM (SELECT DISTINCT case_id FROM a) c, (SELECT DIS
 SELECT p_type, count(*) FILTER (e = m) AS tp, count(*) FILTER (m IS NOT NULL AND e IS DISTINCT FROM m) AS fp, count(*) FILTER (e IS NOT NULL AND e IS DISTINCT FROM m) AS fn, count(*) FILTER (e IS NULL AND m IS NULL) AS tn, count(*) AS n_cases FROM p GROUP BY 1""",
     "light_case_reorder": """WITH t AS (SELECT doc_id, contains(lower(text), 'licensed') AS passed FROM documents)
 SELECT row_number() OVER (ORDER BY passed DESC, doc_id)::INTEGER AS place, doc_id, passed FROM t ORDER BY passed DESC, doc_id LIMIT 50""",
-    "dialogue_phases": f"""WITH {BASE}, t AS (SELECT index, role, count(*) OVER (PARTITION BY dialogue_id) AS n FROM turns)
-SELECT CASE WHEN index = 0 THEN 'opening' WHEN index / n < 0.4 THEN 'history' WHEN index / n < 0.8 THEN 'assessment' ELSE 'closing' END AS phase, role, count(*) AS n FROM t GROUP BY ALL""",
+    "dialogue_phases": f"""WITH {BASE}, t AS (SELECT row_number() OVER (PARTITION BY dialogue_id ORDER BY index) AS n FROM turns WHERE who = 'Doctor')
+SELECT CASE WHEN n <= 3 THEN 'opening' WHEN n <= 8 THEN 'exploration' WHEN n <= 11 THEN 'synthesis' ELSE 'conclusion' END AS phase, count(*) AS n FROM t GROUP BY 1""",
+    "conversation_checks": f"""WITH {BASE}, t AS (SELECT dialogue_id, length({_STRIP('text')}) >= 10 AND NOT contains(text, '[ERROR:') AS ok, who = 'Doctor' AND ({_any('lower(text)', studies.INQUIRIES)}) AS asked FROM turns),
+c AS (SELECT dialogue_id, count(*) AS turns, count(*) FILTER (NOT coalesce(ok, false)) AS invalid, count(*) FILTER (asked) AS inquiries FROM t GROUP BY 1)
+SELECT *, turns >= 6 AS substantial, turns >= 6 AND inquiries >= 3 AS covered FROM c""",
+    "patient_moods": f"""WITH {BASE}, t AS (SELECT lower(text) AS x FROM turns WHERE who = 'Patient')
+SELECT CASE {' '.join('WHEN ' + _any('x', words) + ' THEN ' + repr(name) for name, words in studies.MOODS)} ELSE 'neutral' END AS mood, count(*) AS n FROM t GROUP BY 1""",
+    "lenient_candidates": f"""WITH {BASE}, r AS (SELECT *, CASE hadm_id % 6 WHEN 0 THEN ' True' WHEN 1 THEN 'f' WHEN 2 THEN '1' WHEN 3 THEN 'No' WHEN 4 THEN '0' ELSE 'maybe' END AS icu,
+  CASE WHEN hadm_id % 89 = 0 THEN 'soon' ELSE strftime(admittime, '%Y-%m-%d') END AS entered FROM admissions)
+SELECT hadm_id, subject_id, CASE lower(trim(icu)) WHEN 'true' THEN true WHEN '1' THEN true WHEN 'f' THEN false WHEN 'no' THEN false WHEN '0' THEN false END AS has_icu_stay,
+  CASE WHEN entered <> 'soon' THEN entered END AS admitted, CASE WHEN hadm_id % 4 = 0 THEN '' ELSE (hadm_id % 900) || '|' || (subject_id % 900) END AS codes,
+  CASE WHEN entered = 'soon' THEN 'admittime' WHEN icu = 'maybe' THEN 'has_icu_stay' ELSE '' END AS reason FROM r""",
+    "cohort_selected_audit": f"""WITH {COHORT}, k AS (SELECT hadm_id FROM evaluated WHERE len(fired) = 0 ORDER BY sha256(concat_ws(chr(0), 'cohort-sample-v1', 'snapshot', '20260914', subject_id::VARCHAR, hadm_id::VARCHAR)), subject_id, hadm_id LIMIT 20)
+SELECT hadm_id, subject_id, array_to_string(fired, ',') AS fired, CASE WHEN len(fired) > 0 THEN 'excluded' WHEN hadm_id IN (SELECT hadm_id FROM k) THEN 'selected' ELSE 'eligible_not_sampled' END AS status FROM evaluated""",
     "token_totals_by_policy": f"WITH {BASE} SELECT policy, sum(prompt_tokens + completion_tokens)::BIGINT AS tokens FROM attempts GROUP BY 1",
     "reference_entity_totals": "SELECT count(DISTINCT l_orderkey) AS n_references, count(*) AS n_diagnoses, count(*) AS n_medications FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey",
     "diagnosis_term_index": """WITH p AS (SELECT p_partkey, [p_name, p_type] AS parts FROM part),
@@ -250,3 +274,18 @@ f AS (SELECT p_partkey, s AS f FROM t WHERE length(s) >= 4 UNION SELECT p_partke
 SELECT p.p_partkey, coalesce(string_agg(f, '|' ORDER BY f), '') AS terms FROM p LEFT JOIN f ON p.p_partkey = f.p_partkey GROUP BY 1""",
     "case_split_counts": "SELECT lang, ('0x' || substr(sha256('0|' || (doc_id % 200)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.25 AS test, count(*) AS n FROM documents GROUP BY ALL",
 }
+
+_FAULTS = "(VALUES " + ", ".join(f"('{f}', '{role or ''}')" for f, role, _ in faults.FAULTS) + ") f(fault, of)"
+_POWERS = {80: NormalDist().inv_cdf(0.8), 90: NormalDist().inv_cdf(0.9)}
+_CASES = {k: f"CASE WHEN sd = 0 THEN 2 ELSE greatest(2, ceil(pow(({_Z} + {z}) * sd / 0.05, 2)))::INTEGER END" for k, z in _POWERS.items()}
+
+ORACLE_SQL |= {
+    "fault_injection": f"""WITH {BASE}, seen AS (SELECT *, lag(role) OVER (PARTITION BY dialogue_id ORDER BY index) AS before FROM turns),
+fits AS (SELECT dialogue_id, fault, index, sha256('11|' || dialogue_id || '|' || fault || '|' || index) AS draw FROM seen, {_FAULTS}
+  WHERE CASE WHEN fault = 'role_order_violation' THEN before IS NOT NULL AND before <> role WHEN fault = 'empty_turn' THEN true ELSE coalesce(who = of, false) END)
+SELECT dialogue_id, fault, 1::BIGINT AS n_hits, arg_min(index, draw)::INTEGER AS hit_index, true AS recovered FROM fits GROUP BY 1, 2""",
+    "power_derivation": f"""WITH {VALUES}, arms AS (SELECT variant, case_id, max(value) FILTER (policy = 'P0') - max(value) FILTER (policy = 'P1') AS diff FROM vals GROUP BY ALL),
+s AS (SELECT variant, count(diff) AS pilot_n, stddev_samp(diff) AS sd FROM arms GROUP BY 1 HAVING stddev_samp(diff) IS NOT NULL),
+c AS (SELECT variant, pilot_n, sd, {_CASES[80]} AS complete_80, {_CASES[90]} AS complete_90 FROM s)
+SELECT variant, pilot_n, round(sd, 6) AS paired_sd, complete_80, ceil(complete_80 / 0.9::DOUBLE)::INTEGER AS total_80, complete_90, ceil(complete_90 / 0.9::DOUBLE)::INTEGER AS total_90 FROM c""",
+}

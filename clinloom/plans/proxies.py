@@ -22,6 +22,7 @@ def admissions(spark: SparkSession, d: str) -> DataFrame:
         F.timestamp_add("DAY", days, F.col("o_orderdate")).alias("dischtime"),
         F.when(F.col("o_orderkey") % 53 == 0, F.lit("NEWBORN ")).otherwise(F.col("o_orderpriority")).alias("admission_type"),
         ((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 20 == 0)).alias("expired"),
+        F.when(F.col("o_orderkey") % 151 == 0, F.col("o_orderdate")).alias("deathtime"),
     )
 
 
@@ -73,7 +74,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     # At most GROUPS rows, whatever the number of documents.
     out = out.join(F.broadcast(sized), out.hadm_id % GROUPS == sized.note_group, "left")
     return out.select(
-        "subject_id", "hadm_id", "admittime", "dischtime", "admission_type", "expired",
+        "subject_id", "hadm_id", "admittime", "dischtime", "admission_type", "expired", "deathtime",
         cohort.full_years(F.col("dob"), F.to_date("admittime")).alias("age"),
         F.col("icu_days").isNotNull().alias("has_icu"), F.coalesce("icu_days", F.lit(0.0)).alias("icu_days"),
         F.coalesce("charlson", F.lit(0)).alias("charlson"), F.coalesce("high_acuity", F.lit(False)).alias("high_acuity"),
@@ -111,7 +112,7 @@ SQL = """
 admissions AS (SELECT o_custkey AS subject_id, o_orderkey AS hadm_id, o_orderdate AS admittime,
   o_orderdate + to_days(CASE WHEN o_orderkey % 97 = 0 THEN -1 ELSE (o_orderkey % 12)::INTEGER END) AS dischtime,
   CASE WHEN o_orderkey % 53 = 0 THEN 'NEWBORN ' ELSE o_orderpriority END AS admission_type,
-  o_orderstatus = 'F' AND o_orderkey % 20 = 0 AS expired FROM orders),
+  o_orderstatus = 'F' AND o_orderkey % 20 = 0 AS expired, CASE WHEN o_orderkey % 151 = 0 THEN o_orderdate END AS deathtime FROM orders),
 patients AS (SELECT c_custkey AS subject_id, c_mktsegment AS segment,
   make_date((1997 - c_custkey % 100)::INTEGER, (c_custkey % 12 + 1)::INTEGER, (c_custkey % 28 + 1)::INTEGER) AS dob FROM customer),
 icu_stays AS (SELECT l_orderkey AS hadm_id, CASE WHEN l_linenumber <> 7 THEN l_quantity / 25 END AS los

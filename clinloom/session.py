@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +35,17 @@ def build_session(cores: int | str = "*", app: str = "clinloom", **conf: str) ->
 def scratch_root(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir when the cluster names one.
 
-    Only where neither the setting nor a checkpoint directory exists (local tests) is a
-    temporary folder of this machine taken.
+    Only where neither the setting nor a checkpoint directory exists and the master is local
+    (tests) is a temporary folder of this machine taken; on a cluster that raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clinloom-"))
         named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return named.rstrip("/")
@@ -77,9 +82,35 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """At its end, the tables materialized in it are deleted, but for those given to the function it yields."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        left = {df._scratch_path for df in kept}
+        discard(*[df for df in own if df._scratch_path not in left])
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete materialized frames that no later plan reads."""
     for df in frames:

@@ -18,7 +18,7 @@ def plain(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 5) + 0.0
+        return None if math.isnan(value) else round(value, 7) + 0.0
     if isinstance(value, int):
         return float(value)
     if isinstance(value, (datetime.date, datetime.datetime)):

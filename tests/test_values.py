@@ -37,11 +37,12 @@ def test_unknown_icu_stay_is_infinite(spark):
 
 
 def test_criteria_boundaries(spark):
-    base = dict(subject_id=1, hadm_id=1, admission_type="URGENT", expired=False, ventilated=False, age=40, has_icu=False, icu_days=0.0, high_acuity=False, stay=3.0, charlson=0, note_category="Discharge summary ", note_chars=500)
+    base = dict(subject_id=1, hadm_id=1, admission_type="URGENT", expired=False, deathtime=None, ventilated=False, age=40, has_icu=False, icu_days=0.0, high_acuity=False, stay=3.0, charlson=0, note_category="Discharge summary ", note_chars=500)
     cases = [
         ({}, []), (dict(has_icu=True, icu_days=1.0), ["E1"]), (dict(has_icu=True, icu_days=0.99), []), (dict(has_icu=True, icu_days=math.inf), ["E1"]), (dict(age=11), ["E4"]), (dict(age=12), []),
         (dict(age=89), []), (dict(age=90), ["E5"]), (dict(stay=7.0), []), (dict(stay=7.1), ["E7"]), (dict(charlson=2), []), (dict(charlson=3), ["E8"]), (dict(note_chars=499), ["E9"]),
         (dict(admission_type=" newborn"), ["E4"]), (dict(expired=True, ventilated=True, high_acuity=True), ["E2", "E3", "E6"]), (dict(note_category="Nursing"), ["E9"]),
+        (dict(deathtime="2020-01-01"), ["E2"]),
     ]
     df = spark.createDataFrame([{**base, **c, "hadm_id": i} for i, (c, _) in enumerate(cases)])
     got = dict(rows(df.select("hadm_id", cohort.fired(cohort.Criteria()))))
