@@ -65,3 +65,31 @@ def render(turns: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] "), "role", F.lit(": "), "text")
     listed = F.array_sort(F.collect_list(F.struct("index", line.alias("line"))))
     return turns.groupBy("dialogue_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("transcript"))
+
+
+def score_defect(value: Column, status: Column, reason: Column) -> Column:
+    """Which rule a score breaks; null if none: an incomplete one has a reason and no value, any other a value from 0 to 1."""
+    incomplete = F.lower(status) == "incomplete"
+    return (
+        F.when(F.coalesce(~F.lower(status).isin("pass", "fail", "incomplete"), F.lit(True)), "unknown status")
+        .when(incomplete & value.isNotNull(), "an incomplete score carries a value")
+        .when(incomplete & (F.coalesce(reason, F.lit("")) == ""), "an incomplete score has no reason")
+        .when(~incomplete & value.isNull(), "a measured score has no value")
+        .when(~incomplete & (F.isnan(value) | ~value.between(0.0, 1.0)), "a value outside 0 to 1")
+    )
+
+
+def judged_events(events: DataFrame, turns: DataFrame, paths: DataFrame) -> DataFrame:
+    """Leakage ``events`` (dialogue_id, role, turn_index, field_path) with ``defect`` and ``leak``.
+
+    ``paths`` (role, path, permitted) are the reference's paths and what each role may know; they
+    are few and broadcast. An event of a turn that isn't there, of another role's turn or of a
+    path that the reference hasn't got is defective; one of a permitted path is disclosure, no leak.
+    """
+    said = turns.select("dialogue_id", F.col("index").alias("turn_index"), F.lower("role").alias("_said"))
+    known = paths.select(F.lower("role").alias("_of"), F.col("path").alias("field_path"), "permitted")
+    held = events.withColumn("field_path", F.trim("field_path")).withColumn("_of", F.lower("role"))
+    joined = held.join(said, ["dialogue_id", "turn_index"], "left").join(F.broadcast(known), ["_of", "field_path"], "left")
+    defect = F.when(F.col("_said").isNull(), "no such turn").when(F.col("_said") != F.col("_of"), "role differs").when(F.col("permitted").isNull(), "no such path")
+    leak = defect.isNull() & ~F.col("permitted")
+    return joined.select("dialogue_id", "role", "turn_index", "field_path", defect.alias("defect"), leak.alias("leak"))

@@ -128,3 +128,60 @@ def locate(note: Column, quoted: Column) -> Column:
     flexible = F.array_join(F.transform(F.filter(F.split(quoted, r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), r"\s+")
     found = F.regexp_instr(note, flexible)
     return F.when(exact > 0, exact - 1).when((flexible != "") & (found > 0), found - 1)
+
+
+def contexts(df: DataFrame, column: str, policy: Policy, terms: Iterable[str] = (), unicode: bool = True) -> DataFrame:
+    """``df`` with the three views of a reference, made together: ``patient``, ``doctor`` and ``evaluator``.
+
+    ``redactions`` counts the terms that were replaced in the patient's view; ``policy`` names
+    the policy's id and version. The evaluator sees everything.
+    """
+    terms = tuple(terms)
+    both = mask(mask(mask(df, column, policy, "Patient", terms, "patient", unicode), column, policy, "Patient", (), "_plain", unicode), column, policy, "Doctor", (), "doctor", unicode)
+    marks = lambda c: F.regexp_count(F.to_json(c), F.lit(r"\[REDACTED\]"))
+    out = both.withColumn("redactions", marks("patient") - marks("_plain")).withColumn("evaluator", F.col(column))
+    return out.drop("_plain").withColumn("policy", F.lit(f"{policy.policy_id}@{policy.version}"))
+
+
+# Where a reference's entities stand, and that each may have an array of evidence spans.
+ENTITIES = ("core.symptoms", "core.diagnoses", "core.treatments", "context.current_medications", "context.discharge_medications")
+
+
+def _item(group: str, spans):
+    return lambda x, i: F.struct(F.concat(F.lit(f"{group}["), i.cast("string"), F.lit("]")).alias("path"), spans(x).alias("evidence"))
+
+
+def evidenced(df: DataFrame, case: str, column: str) -> DataFrame:
+    """(case, path, evidence) of every entity of the references, those of treatments' medications included.
+
+    Groups that the schema doesn't have are passed over; an entity without evidence has an empty array.
+    """
+    have = set(paths(df.schema[column].dataType))
+    empty = F.array().cast("array<struct<note_id: string, char_start: int, char_end: int, text: string>>")
+    spans = lambda x: F.coalesce(x["evidence"].cast("array<struct<note_id: string, char_start: int, char_end: int, text: string>>"), empty)
+    found = []
+    for group in ENTITIES:
+        if f"{group}[].evidence" in have:
+            items = F.transform(F.col(f"{column}.{group}"), _item(group, spans))
+            found.append(F.coalesce(items, F.array()))
+    if "core.treatments[].medications[].evidence" in have:
+        inner = lambda t, i: F.transform(t["medications"], lambda m, j: F.struct(F.concat(F.lit("core.treatments["), i.cast("string"), F.lit("].medications["), j.cast("string"), F.lit("]")).alias("path"), spans(m).alias("evidence")))
+        found.append(F.coalesce(F.flatten(F.transform(F.col(f"{column}.core.treatments"), inner)), F.array()))
+    return df.select(case, F.explode(F.concat(*found)).alias("_e")).select(case, "_e.path", "_e.evidence")
+
+
+def evidence_issues(entities: DataFrame, notes: DataFrame, case: str) -> DataFrame:
+    """(case, path, issue) of every span that doesn't hold; ``notes`` has (case, note_id, note)."""
+    spans = entities.select(case, "path", F.posexplode("evidence").alias("_i", "_s"))
+    named = spans.select(case, F.concat("path", F.lit(".evidence["), F.col("_i").cast("string"), F.lit("]")).alias("path"), F.col("_s.note_id").alias("note_id"), "_s")
+    joined = named.join(notes.select(case, "note_id", "note", F.lit(True).alias("_there")), [case, "note_id"], "left")
+    issue = F.when(F.col("_there").isNull(), F.concat(F.lit("unknown note "), F.coalesce("note_id", F.lit("null")))).otherwise(span_error(F.col("note"), F.col("_s.char_start"), F.col("_s.char_end"), F.col("_s.text")))
+    return joined.select(case, "path", issue.alias("issue")).where("issue is not null")
+
+
+def unevidenced(entities: DataFrame, notes: DataFrame, case: str) -> DataFrame:
+    """(case, path) of entities without a span that holds: reported, not raised, as recall is measured."""
+    bad = evidence_issues(entities, notes, case).select(case, F.regexp_replace("path", r"\.evidence\[\d+\]$", "").alias("path"))
+    counts = bad.groupBy(case, "path").agg(F.count(F.lit(1)).alias("_bad"))
+    joined = entities.join(counts, [case, "path"], "left")
+    return joined.where(F.size("evidence") <= F.coalesce("_bad", F.lit(0))).select(case, "path")

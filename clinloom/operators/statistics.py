@@ -41,19 +41,19 @@ def clusters(df: DataFrame, by: Sequence[str]) -> DataFrame:
 RANGES, HASH_DIGITS = 64, 2
 
 
-def hash_ranked(df: DataFrame, by: Sequence[str], key: str, name: str, digits: int = HASH_DIGITS) -> DataFrame:
-    """``df`` with the 0-based rank of each row within its group by (MD5 of the key, key).
+def hash_ranked(df: DataFrame, by: Sequence[str], key: str, name: str, digits: int = HASH_DIGITS, digest: Column | None = None) -> DataFrame:
+    """``df`` with the 0-based rank of each row within its group by (digest, key); the digest is the key's MD5.
 
     A group's rows are ranked inside hash ranges and shifted by the counts of the ranges
     before, of which there are 16^digits a group; more digits serve larger groups.
     """
-    hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string").cast("binary"))).withColumn("_range", F.substring("_hash", 1, digits))
+    hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string").cast("binary")) if digest is None else digest).withColumn("_range", F.substring("_hash", 1, digits))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = hashed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*by, "_range").orderBy("_hash", key)
-    ranked = hashed.withColumn("_rank", F.row_number().over(inside) - 1).join(counts, [*by, "_range"])
-    return ranked.withColumn(name, F.col("_before") + F.col("_rank")).drop("_hash", "_range", "_rank", "_before")
+    ranked = hashed.withColumn("_inner", F.row_number().over(inside) - 1).join(counts, [*by, "_range"])
+    return ranked.withColumn(name, F.col("_before") + F.col("_inner")).drop("_hash", "_range", "_inner", "_before")
 
 
 def pick(seed: str, replicate: Column, slot: Column, n: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clinloom.functions import icd9, stats
 from clinloom.functions import text as tx
 from clinloom.operators import attempts as at
-from clinloom.operators import cohort, dialogue, discriminate, evaluation, faults, knowledge, matching, statistics, studies
+from clinloom.operators import cohort, decomposition, dialogue, discriminate, evaluation, faults, intervals, knowledge, matching, retention, statistics, studies
 from clinloom.plans import proxies as px
 from clinloom.plans.oracle import ORACLE_SQL
 from clinloom.sources.tables import load
@@ -319,6 +319,40 @@ def power_derivation(spark: SparkSession, d: str) -> DataFrame:
     return spread.select("variant", "pilot_n", r6("sd", "paired_sd"), complete_80.alias("complete_80"), total_80.alias("total_80"), complete_90.alias("complete_90"), total_90.alias("total_90"))
 
 
+#: By which values are multiplied, a metric each: with many digits, so that no mean is a rounding's exact half.
+FACTORS = (0.9864863, 0.8901573, 0.8107183, 0.7442893, 0.6879113)
+
+
+def _long_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Five metrics of every final attempt, of which each is missing now and then."""
+    f = at.final_max_index(px.attempts(spark, d).drop("ts"), ["case_id", "variant"])
+    k, shifted = F.col("attempt_index"), F.map_from_arrays(F.array(*map(F.lit, at.THRESHOLDS)), F.array(*[F.when(F.col("attempt_index") % (11 + i) != 0, F.col("value") * factor) for i, factor in enumerate(FACTORS)]))
+    return f.where(k.isNotNull()).select("variant", "policy", "case_id", F.explode(shifted).alias("metric", "value"))
+
+
+@query
+def study_score_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every (variant, policy, metric) with its pooled mean, its interval, and what was not measured."""
+    r = intervals.score_rows(_long_scores(spark, d), 20, "3")
+    return r.select("variant", "policy", "metric", r6("estimate"), r6("low"), r6("high"), "method", "n_cases", "n_scores", "n_incomplete")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Dialogues under three policies, both reference modes and both dimensions, from events."""
+    e, k = px.attempts(spark, d), F.col("attempt_index")
+    policy = F.element_at(F.array(*map(F.lit, decomposition.POLICIES)), (F.substring("policy", 2, 1).cast("int") + 1))
+    mode = F.element_at(F.array(*map(F.lit, decomposition.MODES)), (k % 2 + 1).cast("int"))
+    both = F.map_from_arrays(F.array(F.lit(decomposition.PATIENT), F.lit(decomposition.DOCTOR)), F.array(F.col("value"), F.when(k % 7 != 0, F.col("value") * 0.9)))
+    return e.select("case_id", k.alias("dialogue_id"), policy.alias("policy"), mode.alias("mode"), F.explode(both).alias("dimension", "value"))
+
+
+@query
+def trend_comparisons(spark: SparkSession, d: str) -> DataFrame:
+    """Reference scope, turn scope and gradient: paired differences of cells."""
+    c = decomposition.compared(_scored(spark, d), 20, "5")
+    return c.select("section", "key", "n_cases", "n_dropped", r6("estimate"), r6("low"), r6("high"), "excludes_zero")
+
+
 # --- dialogues --------------------------------------------------------------
 
 
@@ -521,6 +555,29 @@ def detector_auc(spark: SparkSession, d: str) -> DataFrame:
     return statistics.auc(_detector(spark, d), ["fault"]).select("fault", "positives", "negatives", r6("auc"))
 
 
+@query
+def detector_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """With fifty cases a language and turns named by the id: precision to localisation, over resampled cases."""
+    k = F.col("doc_id")
+    o = _detector(spark, d).select("fault", (k % 50).alias("case_id"), "is_corrupted", "predicted", "score", (k % 7).alias("truth_turn"), F.array(k % 3, k % 5).alias("predicted_turns"))
+    i = intervals.detector_intervals(o, ["fault"], 40, "9")
+    return i.select("fault", "metric", r6("estimate"), r6("low"), r6("high"))
+
+
+@query
+def grounding_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the assignment over cases, with intervals."""
+    left, right = _entities(spark, d)
+    g = matching.grounding_counts(left, right, matching.assign(_pairs(spark, d), ["case_id"]), ["case_id"])
+    return intervals.count_intervals(g.withColumn("field", F.lit("diagnoses")), ["field"], 100, "2").select("field", "metric", r6("estimate"), r6("low"), r6("high"))
+
+
+@query
+def granularity_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Assigned pairs by how closely they match."""
+    return matching.assign(_pairs(spark, d), ["case_id"]).groupBy("granularity").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def fault_injection(spark: SparkSession, d: str) -> DataFrame:
     t = px.turns(spark, d)
@@ -531,8 +588,67 @@ def fault_injection(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def policy_discriminability(spark: SparkSession, d: str) -> DataFrame:
+    """With languages for policies: all words and pairs of the training side, held-out accuracy and AUC."""
     docs = load(spark, d, "documents").select((F.col("doc_id") % 200).alias("case_id"), F.col("lang").alias("policy"), "text")
-    return discriminate.discriminate(docs, features=1 << 12).select("policy", "n", "n_correct", r6("accuracy"))
+    return discriminate.discriminate(docs).by_policy.select("policy", "n", "n_correct", r6("accuracy"), r6("auc"), "n_policies")
+
+
+@query
+def score_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Scores that break a rule, by rule."""
+    e, k = load(spark, d, "events"), F.col("event_id")
+    value = F.when(k % 5 != 0, F.col("value") / 50)
+    status = F.when(k % 4 == 0, "INCOMPLETE").when(k % 9 == 0, "unknown").otherwise("pass")
+    found = e.select(evaluation.score_defect(value, status, F.when(k % 3 == 0, "no claims")).alias("defect"))
+    return found.groupBy(F.coalesce("defect", F.lit("sound")).alias("defect")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def leakage_events(spark: SparkSession, d: str) -> DataFrame:
+    """Leakage events looked up in transcripts and among the reference's paths."""
+    t = px.turns(spark, d)
+    kind = _references(spark, d).schema["reference"].dataType
+    paths = spark.createDataFrame([(role, p, knowledge.permitted(p, STRICT.visible(role))) for role in ("Patient", "Doctor") for p in knowledge.paths(kind)], "role string, path string, permitted boolean")
+    k, i = F.col("dialogue_id"), F.col("index")
+    path = F.element_at(F.array(F.lit("core.diagnoses"), F.lit(" context.demographics "), F.lit("core.nothing")), ((k + i) % 3 + 1).cast("int"))
+    said = F.coalesce(tx.role(F.col("role")), F.lit("Doctor"))
+    events = t.select(k, F.when(k % 2 == 0, "Patient").otherwise(said).alias("role"), F.when(i % 4 == 3, i + 1000).otherwise(i).alias("turn_index"), path.alias("field_path"))
+    j = evaluation.judged_events(events, t.select("dialogue_id", "index", said.alias("role")), paths)
+    return j.groupBy("role", F.coalesce("defect", F.lit("")).alias("defect"), "leak").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def unevidenced_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of references whose evidence doesn't hold in their notes."""
+    k = F.col("doc_id")
+    notes = load(spark, d, "documents").select(k.alias("case_id"), F.lit("n1").alias("note_id"), F.col("text").alias("note"))
+    span = lambda start, text, note="n1": F.struct(F.lit(note).alias("note_id"), F.lit(start).alias("char_start"), (F.lit(start) + F.length(text)).alias("char_end"), text.alias("text"))
+    sound, wrong = span(2, F.substring("text", 3, 6)), span(1, F.substring("text", 9, 4))
+    entity = lambda *spans: F.struct(F.lit("x").alias("name"), F.array(*spans).alias("evidence"))
+    bare = F.struct(F.lit("x").alias("name"), F.array().cast("array<struct<note_id: string, char_start: int, char_end: int, text: string>>").alias("evidence"))
+    core = F.struct(F.array(entity(sound), entity(wrong), entity(wrong, sound), bare).alias("diagnoses"), F.array(entity(span(0, F.substring("text", 1, 3), "n2"))).alias("symptoms"))
+    refs = load(spark, d, "documents").select(k.alias("case_id"), F.struct(core.alias("core")).alias("reference"), "text")
+    u = knowledge.unevidenced(knowledge.evidenced(refs, "case_id", "reference"), notes, "case_id")
+    return u.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def policy_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """The three views of each reference and what was redacted in the patient's."""
+    c = knowledge.contexts(_references(spark, d), "reference", STRICT, ("red", "blue", "ring"), unicode=False)
+    return c.select("case_id", "policy", F.col("redactions").cast("long").alias("redactions"), F.col("patient.additional.chief_complaint").alias("patient_sees"), F.col("doctor.context.demographics.admission_type").alias("doctor_sees"), F.col("evaluator.additional.chief_complaint").alias("evaluator_sees"))
+
+
+@query
+def retention_by_policy(spark: SparkSession, d: str) -> DataFrame:
+    """With sizes of parts for policies: what of the coded entities was extracted, with intervals."""
+    left, right = _entities(spark, d)
+    policies = spark.createDataFrame([("FULL", 1), ("NO_DIAGNOSIS", 3)], "policy string, keep int")
+    some = left.crossJoin(F.broadcast(policies)).where("extracted % keep = 0").select("policy", "case_id", "extracted")
+    coded = right.crossJoin(F.broadcast(policies.select("policy"))).select("policy", "case_id", "coded")
+    pairs = _pairs(spark, d).join(some, ["case_id", "extracted"]).select("policy", "case_id", "extracted", "coded", "granularity", "score")
+    cases = coded.select("policy", "case_id").distinct().withColumn("extractor", F.lit("family-b")).withColumn("generators", F.array(F.lit("family-a")))
+    return retention.retention(cases, some, coded, pairs, 50, "4").select("policy", "metric", r6("estimate"), r6("low"), r6("high"))
 
 
 @query

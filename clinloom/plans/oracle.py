@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 from clinloom.functions import icd9
 from clinloom.functions import text as tx
-from clinloom.operators import faults, studies
+from clinloom.operators import decomposition, faults, studies
 from clinloom.plans.proxies import SQL as BASE
 
 _MASKS = ", ".join(f"bool_or({cond}) AS c{i}" for i, (_, cond) in enumerate(icd9.sql_conditions()))
@@ -272,7 +272,8 @@ SELECT hadm_id, subject_id, array_to_string(fired, ',') AS fired, CASE WHEN len(
 t AS (SELECT p_partkey, unnest(parts) AS s FROM p), w AS (SELECT p_partkey, s, [x FOR x IN regexp_extract_all(s, '[A-Za-z]+') IF lower(x) NOT IN ('a', 'an', 'and', 'by', 'due', 'for', 'in', 'of', 'on', 'or', 'secondary', 'the', 'to', 'with', 'without')] AS ws FROM t),
 f AS (SELECT p_partkey, s AS f FROM t WHERE length(s) >= 4 UNION SELECT p_partkey, upper(array_to_string([substr(x, 1, 1) FOR x IN ws], '')) FROM w WHERE len(ws) >= 2)
 SELECT p.p_partkey, coalesce(string_agg(f, '|' ORDER BY f), '') AS terms FROM p LEFT JOIN f ON p.p_partkey = f.p_partkey GROUP BY 1""",
-    "case_split_counts": "SELECT lang, ('0x' || substr(sha256('0|' || (doc_id % 200)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.25 AS test, count(*) AS n FROM documents GROUP BY ALL",
+    "case_split_counts": """WITH c AS (SELECT DISTINCT doc_id % 200 AS case_id FROM documents), r AS (SELECT case_id, row_number() OVER (ORDER BY sha256('0|' || case_id), case_id) AS k, count(*) OVER () AS n FROM c)
+SELECT lang, k <= greatest(1, least(n - 1, round_even(n * 0.25, 0))) AS test, count(*) AS n FROM documents d JOIN r ON r.case_id = d.doc_id % 200 GROUP BY ALL""",
 }
 
 _FAULTS = "(VALUES " + ", ".join(f"('{f}', '{role or ''}')" for f, role, _ in faults.FAULTS) + ") f(fault, of)"
@@ -289,3 +290,63 @@ s AS (SELECT variant, count(diff) AS pilot_n, stddev_samp(diff) AS sd FROM arms
 c AS (SELECT variant, pilot_n, sd, {_CASES[80]} AS complete_80, {_CASES[90]} AS complete_90 FROM s)
 SELECT variant, pilot_n, round(sd, 6) AS paired_sd, complete_80, ceil(complete_80 / 0.9::DOUBLE)::INTEGER AS total_80, complete_90, ceil(complete_90 / 0.9::DOUBLE)::INTEGER AS total_90 FROM c""",
 }
+
+
+def _draws(source: str, by: str, resamples: int, seed: str) -> str:
+    """CTEs cs, sz, dr: the multiplicities of cases in replicates; replicate -1 has every case once."""
+    return f"""cs AS (SELECT {by}, case_id, row_number() OVER (PARTITION BY {by} ORDER BY md5(case_id::VARCHAR), case_id) - 1 AS ordinal FROM (SELECT DISTINCT {by}, case_id FROM {source})),
+sz AS (SELECT {by}, count(*) AS cases FROM cs GROUP BY ALL), sl AS (SELECT {by}, b, ('0x' || substr(sha256('{seed}|' || b || '|' || x), 1, 8))::BIGINT % cases AS ordinal FROM (SELECT *, unnest(range(cases)) AS x FROM sz), range({resamples}) t(b)),
+dr AS (SELECT {by}, b, case_id, count(*) AS times FROM sl JOIN cs USING ({by}, ordinal) GROUP BY ALL UNION ALL SELECT {by}, -1, case_id, 1 FROM cs)"""
+
+
+def _interval(value: str) -> str:
+    return f"round(max({value}) FILTER (b < 0), 6) AS estimate, round(coalesce(quantile_cont({value}, 0.025) FILTER (b >= 0), max({value}) FILTER (b < 0)), 6) AS low, round(coalesce(quantile_cont({value}, 0.975) FILTER (b >= 0), max({value}) FILTER (b < 0)), 6) AS high"
+
+
+_METRICS = {"precision": "CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END", "recall": "CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END", "f1": "CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END", "auc": "wins / nullif(pos * neg, 0)", "localisation": "CASE WHEN tp = 0 THEN 0.0 ELSE located / tp END"}
+_LONG = " UNION ALL ".join(f"SELECT variant, policy, '{n}' AS metric, case_id, CASE WHEN attempt_index % {11 + i} <> 0 THEN value * {x}::DOUBLE END AS value FROM finals" for i, (n, x) in enumerate(zip(DIMS, (0.9864863, 0.8901573, 0.8107183, 0.7442893, 0.6879113), strict=True)))
+_ARMS = " UNION ALL ".join(
+    f"SELECT '{section}' AS section, '{key}' AS key, {arm} AS arm, case_id, value FROM cells WHERE dimension = '{d}' AND mode = '{m}' AND policy = '{p}'"
+    for section, key, d1, m1, p1, d2, m2, p2 in decomposition.comparisons()
+    for arm, d, m, p in ((1, d1, m1, p1), (2, d2, m2, p2))
+)
+_POLICY = "CASE policy " + " ".join(f"WHEN 'P{i}' THEN '{p}'" for i, p in enumerate(decomposition.POLICIES)) + " END"
+
+ORACLE_SQL |= {
+    "detector_intervals": f"""WITH {DETECTOR}, o AS (SELECT *, doc_id % 50 AS case_id, is_corrupted AND predicted AND (doc_id % 7 = doc_id % 3 OR doc_id % 7 = doc_id % 5) AS hit FROM det), {_draws('o', 'fault', 40, '9')},
+w AS (SELECT fault, b, score, sum(times * (is_corrupted AND predicted)::INTEGER) AS tp, sum(times * (NOT is_corrupted AND predicted)::INTEGER) AS fp, sum(times * (is_corrupted AND NOT predicted)::INTEGER) AS fn, sum(times * hit::INTEGER) AS located,
+  sum(times * is_corrupted::INTEGER) AS pos, sum(times * (NOT is_corrupted)::INTEGER) AS neg FROM dr JOIN o USING (fault, case_id) GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY fault, b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w),
+r AS (SELECT fault, b, sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp, sum(fn)::DOUBLE AS fn, sum(located)::DOUBLE AS located, sum(pos)::DOUBLE AS pos, sum(neg)::DOUBLE AS neg, sum(pos * (below + neg / 2))::DOUBLE AS wins FROM c GROUP BY ALL),
+m AS ({' UNION ALL '.join(f"SELECT fault, b, '{n}' AS metric, {x} AS v FROM r" for n, x in _METRICS.items())})
+SELECT fault, metric, {_interval('v')} FROM m GROUP BY fault, metric""",
+    "study_score_rows": f"""WITH {FINAL2}, s AS ({_LONG}), ms AS (SELECT variant, policy, metric, case_id, sum(value) AS total, count(*) AS n FROM s WHERE value IS NOT NULL GROUP BY ALL), {_draws('ms', 'variant, policy, metric', 20, '3')},
+r AS (SELECT variant, policy, metric, b, sum(times * total) / sum(times * n) AS v FROM dr JOIN ms USING (variant, policy, metric, case_id) GROUP BY ALL), i AS (SELECT variant, policy, metric, {_interval('v')} FROM r GROUP BY ALL),
+n AS (SELECT variant, policy, metric, count(DISTINCT case_id) FILTER (value IS NOT NULL) AS n_cases, count(value) AS n_scores, count(*) - count(value) AS n_incomplete FROM s GROUP BY ALL)
+SELECT variant, policy, metric, estimate, low, high, CASE WHEN n_scores > 0 THEN 'case-clustered percentile bootstrap (B=20)' ELSE 'all scores INCOMPLETE' END AS method, n_cases, n_scores, n_incomplete FROM n LEFT JOIN i USING (variant, policy, metric)""",
+    "trend_comparisons": f"""WITH {BASE}, e AS (SELECT case_id, attempt_index, {_POLICY} AS policy, CASE WHEN attempt_index % 2 = 0 THEN '{decomposition.MODES[0]}' ELSE '{decomposition.MODES[1]}' END AS mode, value FROM attempts),
+d AS (SELECT *, '{decomposition.PATIENT}' AS dimension, value AS v FROM e UNION ALL SELECT *, '{decomposition.DOCTOR}', CASE WHEN attempt_index % 7 <> 0 THEN value * 0.9::DOUBLE END FROM e),
+cells AS (SELECT dimension, mode, policy, case_id, v AS value FROM d QUALIFY row_number() OVER (PARTITION BY dimension, mode, policy, case_id ORDER BY attempt_index DESC) = 1), arms AS ({_ARMS}),
+pairs AS (SELECT section, key, case_id, max(value) FILTER (arm = 1) - max(value) FILTER (arm = 2) AS diff FROM arms GROUP BY ALL), ms AS (SELECT * FROM pairs WHERE diff IS NOT NULL), {_draws('ms', 'section, key', 20, '5')},
+r AS (SELECT section, key, b, sum(times * diff) / sum(times) AS v FROM dr JOIN ms USING (section, key, case_id) GROUP BY ALL), i AS (SELECT section, key, {_interval('v')} FROM r GROUP BY ALL),
+n AS (SELECT section, key, count(diff) AS n_cases, count(*) - count(diff) AS n_dropped FROM pairs GROUP BY ALL)
+SELECT section, key, n_cases, n_dropped, estimate, low, high, low > 0 OR high < 0 AS excludes_zero FROM n JOIN i USING (section, key) WHERE n_cases > 0""",
+}
+
+_REDACTED = "'(?i)\\b(?:blue|ring|red)\\b'"
+
+ORACLE_SQL |= {
+    "score_defects": """WITH e AS (SELECT CASE WHEN event_id % 5 <> 0 THEN value / 50 END AS v, CASE WHEN event_id % 4 = 0 THEN 'incomplete' WHEN event_id % 9 = 0 THEN 'unknown' ELSE 'pass' END AS s, event_id % 3 = 0 AS why FROM events)
+SELECT CASE WHEN s = 'unknown' THEN 'unknown status' WHEN s = 'incomplete' AND v IS NOT NULL THEN 'an incomplete score carries a value' WHEN s = 'incomplete' AND NOT why THEN 'an incomplete score has no reason'
+  WHEN s <> 'incomplete' AND v IS NULL THEN 'a measured score has no value' WHEN s <> 'incomplete' AND NOT (v BETWEEN 0 AND 1) THEN 'a value outside 0 to 1' ELSE 'sound' END AS defect, count(*) AS n FROM e GROUP BY 1""",
+    "leakage_events": f"""WITH {BASE}, e AS (SELECT dialogue_id, index, coalesce(who, 'Doctor') AS said, CASE WHEN dialogue_id % 2 = 0 THEN 'Patient' ELSE coalesce(who, 'Doctor') END AS role,
+  CASE (dialogue_id + index) % 3 WHEN 0 THEN 'core.diagnoses' WHEN 1 THEN 'context.demographics' ELSE 'core.nothing' END AS path FROM turns),
+j AS (SELECT role, CASE WHEN index % 4 = 3 THEN 'no such turn' WHEN said <> role THEN 'role differs' WHEN path = 'core.nothing' THEN 'no such path' ELSE '' END AS defect, path FROM e)
+SELECT role, defect, defect = '' AND path = 'core.diagnoses' AS leak, count(*) AS n FROM j GROUP BY ALL""",
+    "unevidenced_entities": """WITH n AS (SELECT text, length(substr(text, 3, 6)) AS a, length(substr(text, 9, 4)) AS b FROM documents),
+s AS (SELECT a > 0 AND 2 + a <= length(text) AS sound, b > 0 AND 1 + b <= length(text) AND substr(text, 2, b) = substr(text, 9, 4) AS odd FROM n)
+SELECT path, count(*) AS n FROM (SELECT 'core.diagnoses[0]' AS path FROM s WHERE NOT coalesce(sound, false) UNION ALL SELECT 'core.diagnoses[1]' FROM s WHERE NOT coalesce(odd, false) UNION ALL SELECT 'core.diagnoses[2]' FROM s WHERE NOT coalesce(odd, false) AND NOT coalesce(sound, false)
+  UNION ALL SELECT 'core.diagnoses[3]' FROM s UNION ALL SELECT 'core.symptoms[0]' FROM s) GROUP BY 1""",
+    "policy_contexts": f"""WITH {REFS} SELECT o_orderkey AS case_id, 'NO_DIAGNOSIS@2.0' AS policy, len(regexp_extract_all('comes with ' || top, {_REDACTED}))::BIGINT AS redactions,
+  regexp_replace('comes with ' || top, {_REDACTED}, '[REDACTED]', 'g') AS patient_sees, o_orderpriority AS doctor_sees, 'comes with ' || top AS evaluator_sees FROM orders JOIN refs ON o_orderkey = l_orderkey""",
+}

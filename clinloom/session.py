@@ -70,12 +70,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+#: Rows of narrow columns that are worth a file of their own.
+ROWS_A_FILE = 250_000
+
+
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
     Cuts the lineage with a copy that outlives any executor, and gives the optimizer
-    real sizes for what follows.
+    real sizes for what follows. Where about how many ``rows`` of narrow columns come is
+    known, they go to no more files than that is worth, whatever the number of partitions.
     """
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_A_FILE + 1)
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
