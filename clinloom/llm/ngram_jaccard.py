@@ -19,9 +19,10 @@ when ``den`` * |intersection| >= ``num`` * |union|. The join is exact: no link i
 3. Nodes that share a key are candidates. Their sets are made again from the texts, and
    documents x shingles incidence matrices are multiplied block by block; a product row
    holds a document's overlap counts. Pairs whose overlap is below num (a + b) / (num + den)
-   go. A component of candidates of up to ``GROUP`` nodes is one block. In a larger one,
-   each node is first compared with the least node of each of its keys, in blocks of a
-   pivot and up to ``LEAVES`` others.
+   go. A component of candidates of up to ``GROUP`` nodes and ``BLOCK_SHINGLES`` shingles is one
+   block. In a larger one, each node is first compared with the least node of each of its keys,
+   in blocks of a pivot and up to ``LEAVES`` others. All blocks keep to that many shingles, in
+   expectation, unless one set alone has more.
 4. Links found give components. In the large ones, keys whose nodes are still in different
    components are looked at again: nodes outside a group's largest component against all of
    the group, in blocks of the same product. What shares a key inside one component needs no
@@ -29,37 +30,45 @@ when ``den`` * |intersection| >= ``num`` * |union|. The join is exact: no link i
 
 With ``links`` every row also gets its number of links, so every candidate pair is verified
 and not only what connects components: steps 3 and 4 are then one product. A candidate
-component of more than GROUP nodes is cut by size class and hash into tiles, every pair of
+component of more than GROUP nodes or ``BLOCK_SHINGLES`` shingles is cut by size class and hash into tiles, every pair of
 nodes of the same or neighbouring classes is in one tile, and a tile adds up its links per node,
 each for the number of rows it stands for. A tile's output is a row a node, not a row a pair.
 
+Before sets go to a block of a large component, sketches do: a bit for each bucket of shingle
+hashes, set where the bucket holds an odd number. Sets differ in at least as many shingles as
+their sketches in bits, so a row that no other row of the block can link to by that bound is
+left out, and its set (some thirty times its sketch) is not sent. No link is lost.
+
 Nothing is collected; candidate ids are broadcast only up to ``BROADCAST_ROWS`` of them and
 joined otherwise. Intermediate tables go to the shared scratch folder.
 
-Defined cases: null text is empty; a repeated id is one vertex whose texts all link to it;
-rows with a null id take part, but a component's id is its least non-null id; links are
-counted to other rows with an id, and are null for texts that only rows without one have; an empty
-table gives an empty result; extra columns are ignored.
+Defined cases: null text is empty; rows with a repeated id are documents of their own, each in
+its own text's component; a row with a null id is in no component (null) and linked with
+nothing, so no component goes through one; at threshold 1 equal sets link; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clinloom.llm.components import components
-from clinloom.session import discard, materialize, release, ship
+from clinloom.llm.slices import private, slices
+from clinloom.session import discard, materialize, release, scratch, ship
 
 #: Leaves of a pivot's block, rows of a group that is multiplied whole, and pivots of a chunk of a larger group.
 LEAVES, GROUP, CHUNK = 256, 1024, 1024
+#: Shingles of all rows of a block: what bounds a task's memory where documents are long.
+BLOCK_SHINGLES = 1 << 20
 #: Pairs whose product costs as much as sending one set to a block.
 PAIRS_A_ROW = 100
 #: More candidate ids than this are joined by a shuffle, not by broadcast.
@@ -147,18 +156,37 @@ def node_of(grams: np.ndarray) -> int | None:
     return int(mix(np.array([both], np.uint64)).view(np.int64)[0])
 
 
-@dataclass(frozen=True)
 class Classes:
-    """Size classes and numbers of parts for one threshold num / den."""
-
-    num: int
-    den: int
-    top: tuple[int, ...]  # largest size of each class
-    parts: tuple[int, ...]
-    spare: tuple[int, ...]
-    weak: int
+    """Size classes and numbers of parts for one threshold num / den, made as far as sizes have been asked for."""
+
+    def __init__(self, num: int, den: int):
+        if not 0 < num <= den:
+            raise ValueError("the threshold must be above 0 and at most 1")
+        self.num, self.den = num, den
+        self.weak = 1 if 100 * num >= 88 * den else 0
+        self.top: list[int] = []  # largest size of each class
+        self.parts: list[int] = []
+        self.spare: list[int] = []
+        self._below, self._low = 1, 1
+
+    def _add(self) -> None:
+        high = self._low * self.den // self.num
+        need = 2 * high * (self.den - self.num) // (self.den + self.num) + 1
+        extra = 0
+        for _ in range(30):
+            mean = self._below / (need + extra)
+            p = math.exp(-mean) * (1 + mean * self.weak)
+            m = (need + extra) * p
+            extra = min(need, math.ceil(m + 2 * math.sqrt(m)))
+        self.top.append(high)
+        self.parts.append(need + extra)
+        self.spare.append(extra)
+        self._below, self._low = self._low, high + 1
 
     def of(self, size: int) -> int:
+        """The class of a size; it and the next one are there afterwards."""
+        while len(self.top) < 2 or self.top[-2] < size:
+            self._add()
         return bisect_left(self.top, size)
 
     def linked(self, both: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
@@ -166,31 +194,14 @@ class Classes:
 
 
 @lru_cache(maxsize=8)
-def classes(num: int, den: int, largest: int = 1 << 28) -> Classes:
-    if not 0 < num <= den:
-        raise ValueError("the threshold must be above 0 and at most 1")
-    weak = 1 if 100 * num >= 88 * den else 0
-    top, parts, spare, low, below = [], [], [], 1, 1
-    while low <= largest:
-        high = low * den // num
-        need = 2 * high * (den - num) // (den + num) + 1
-        extra = 0
-        for _ in range(30):
-            mean = below / (need + extra)
-            p = math.exp(-mean) * (1 + mean * weak)
-            m = (need + extra) * p
-            extra = min(need, math.ceil(m + 2 * math.sqrt(m)))
-        top.append(high)
-        parts.append(need + extra)
-        spare.append(extra)
-        below, low = low, high + 1
-    return Classes(num, den, tuple(top), tuple(parts), tuple(spare), weak)
+def classes(num: int, den: int) -> Classes:
+    return Classes(num, den)
 
 
 def keys_of(grams: np.ndarray, c: Classes) -> np.ndarray:
-    """The keys of one set: two sets that link have one in common."""
+    """The keys of one set: two sets that link have one in common; none at threshold 1, where only equal sets do."""
     n, out = len(grams), []
-    if not n:
+    if not n or c.num == c.den:
         return np.zeros(0, np.uint64)
     if n * c.num <= SMALL * c.den:
         prefix = n - -(-n * c.num // c.den) + 1
@@ -211,9 +222,21 @@ def keys_of(grams: np.ndarray, c: Classes) -> np.ndarray:
 
 def _nodes(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+        for part in slices(batches, 1):
+            sets = shingle_sets(part.column(1).to_pylist(), words)
+            named = part.column(0).is_valid().to_pylist()
+            nodes = [node_of(s) if known else None for s, known in zip(sets, named, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
+
+    return run
+
+
+def _with_node(words: int, at: int, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows with the hash of the set of column ``at`` as one more column."""
+        for part in slices(batches, at):
+            nodes = [node_of(s) for s in shingle_sets(part.column(at).to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.int64())], names=[*part.schema.names, name])
 
     return run
 
@@ -237,8 +260,8 @@ def _combined(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
 def _keys(words: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, keys, nodes, seen, held = classes(num, den), [], [], set(), 0
-        for batch in batches:
-            for grams in shingle_sets(batch.column(0).to_pylist(), words):
+        for part in slices(batches, 0):
+            for grams in shingle_sets(part.column(0).to_pylist(), words):
                 node = node_of(grams)
                 if node is None or node in seen:
                     continue
@@ -249,7 +272,7 @@ def _keys(words: int, num: int, den: int):
                 if held >= COMBINE:
                     yield _combined(keys, nodes)
                     keys, nodes, seen, held = [], [], set(), 0
-        if nodes:
+        if held:
             yield _combined(keys, nodes)
 
     return run
@@ -258,17 +281,27 @@ def _keys(words: int, num: int, den: int):
 ROWS = "block long, role int, node long, root long, copies long, grams array<long>"
 
 
+def _sketches(words: int):
+    """Rows (node, n_shingles, sketch) for rows (node, text), where the text's set is the node's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            made = [(n, s) for n, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), words), strict=True) if node_of(s) == n]
+            columns = [pa.array([n for n, _ in made], pa.int64()), pa.array([len(s) for _, s in made], pa.int64()), pa.array([sketch_of(s) for _, s in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n_shingles", "sketch"])
+
+    return run
+
+
 def _sets(words: int):
     """Rows (block, role, node, root, copies, text) with sets for texts, where the set is the node's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                made = shingle_sets(part.column(5).to_pylist(), words)
-                sound = [k for k, (n, s) in enumerate(zip(part.column(2).to_pylist(), made, strict=True)) if node_of(s) == n]
-                grams = pa.array([made[k].view(np.int64) for k in sound], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(sound, pa.int64())) for c in range(5)), grams], names=["block", "role", "node", "root", "copies", "grams"])
+        for part in slices(batches, 5):
+            made = shingle_sets(part.column(5).to_pylist(), words)
+            sound = [k for k, (n, s) in enumerate(zip(part.column(2).to_pylist(), made, strict=True)) if node_of(s) == n]
+            grams = pa.array([made[k].view(np.int64) for k in sound], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(sound, pa.int64())) for c in range(5)), grams], names=["block", "role", "node", "root", "copies", "grams"])
 
     return run
 
@@ -294,6 +327,10 @@ class Block:
         return np.add.reduceat(mark[pick], np.cumsum(size) - size)
 
 
+#: Roles of rows that are compared with others: see ``block_links``.
+SOURCES = (1, 2, 4, 5, 7)
+
+
 def block_links(nodes: list[int], sets: list[np.ndarray], roles: list[int], roots: list[int], copies: list[int], c: Classes) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links of a block that join different components, as far as needed to connect all that link; and links per node.
 
@@ -304,17 +341,9 @@ def block_links(nodes: list[int], sets: list[np.ndarray], roles: list[int], root
     own = np.array([group[r] for r in roots])
     role, block, out = np.array(roles), Block(sets), []
     copy, count = np.array(copies, np.int64), np.zeros(len(nodes), np.int64)
-    sources = np.flatnonzero(np.isin(role, (1, 2, 4, 5, 7)))
+    sources = np.flatnonzero(np.isin(role, SOURCES))
     for i in sources.tolist():
-        if role[i] >= 5:
-            rows = np.flatnonzero(role == (6 if role[i] == 5 else 7))
-            rows = rows[rows > i] if role[i] == 7 else rows
-        elif role[i] == 4:
-            rows = np.flatnonzero(own != own[i])
-            rows = rows[rows > i]
-        else:
-            rows = np.flatnonzero((role == (0 if role[i] == 1 else 3)) & (own != own[i]))
-        a = block.sizes[i]
+        rows, a = _partners(role, own, i), block.sizes[i]
         rows = rows[(block.sizes[rows] * c.num <= a * c.den) & (block.sizes[rows] * c.den >= a * c.num)] if len(rows) else rows
         if not len(rows):
             continue
@@ -364,17 +393,124 @@ def _products(num: int, den: int):
     return run
 
 
+def sketch_of(grams: np.ndarray) -> bytes:
+    """Parities of the set's shingles in a power of two of buckets, as bits; at least two buckets a shingle.
+
+    Two sets differ in at least as many shingles as their sketches (folded to one size) in bits.
+    """
+    bits = 1 << max(8, (2 * len(grams) - 1).bit_length())
+    held = np.bincount((mix(grams ^ _MIX2) & U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((held & 1).astype(np.uint8)).tobytes()
+
+
+class Sketches:
+    """The sketches of a block's rows; tells which rows may link to one of them."""
+
+    def __init__(self, sketches: list[bytes], sizes: list[int]):
+        self.sizes = np.array(sizes, np.int64)
+        self.width = np.array([len(x) for x in sketches])
+        self._at: dict[int, np.ndarray] = {}  # by width: where a row stands among those of its width
+        self._by: dict[tuple[int, int], np.ndarray] = {}  # by own width and the width it is folded to
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == w)
+            self._by[w, w] = np.frombuffer(b"".join(sketches[r] for r in rows.tolist()), np.uint64).reshape(len(rows), w // 8)
+            self._at[w] = np.full(len(sketches), -1)
+            self._at[w][rows] = np.arange(len(rows))
+
+    def _folded(self, own: int, to: int) -> np.ndarray:
+        if (own, to) not in self._by:
+            wide = self._folded(own, 2 * to)
+            half = wide.shape[1] // 2
+            self._by[own, to] = wide[:, :half] ^ wide[:, half:]
+        return self._by[own, to]
+
+    def near(self, i: int, rows: np.ndarray, c: Classes) -> np.ndarray:
+        """Those of ``rows`` whose size and sketch allow a link to row ``i``."""
+        a = self.sizes[i]
+        rows = rows[(self.sizes[rows] * c.num <= a * c.den) & (self.sizes[rows] * c.den >= a * c.num)]
+        out, own = [], int(self.width[i])
+        for w in np.unique(self.width[rows]).tolist():
+            some, to = rows[self.width[rows] == w], min(w, own)
+            mine = self._folded(own, to)[self._at[own][i]]
+            apart = np.bitwise_count(self._folded(w, to)[self._at[w][some]] ^ mine).sum(1, dtype=np.int64)
+            out.append(some[apart * (c.den + c.num) <= (a + self.sizes[some]) * (c.den - c.num)])
+        return np.concatenate(out) if out else rows
+
+
+def _partners(role: np.ndarray, own: np.ndarray, i: int) -> np.ndarray:
+    """The rows of a block that row ``i`` is to be compared with, by their roles; see ``block_links``."""
+    if role[i] >= 5:
+        rows = np.flatnonzero(role == (6 if role[i] == 5 else 7))
+        return rows[rows > i] if role[i] == 7 else rows
+    if role[i] == 4:
+        rows = np.flatnonzero(own != own[i])
+        return rows[rows > i]
+    return np.flatnonzero((role == (0 if role[i] == 1 else 3)) & (own != own[i]))
+
+
+def _sifted(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows (block, role, node, root, n_shingles, sketch), a block's together: (block, role, node, root) of those that may link in it."""
+        c, held, block = classes(num, den), [], None
+
+        def close() -> pa.RecordBatch:
+            rows = list({(r[1], r[2]): r for r in held}.values())
+            role = np.array([r[1] for r in rows])
+            group = {r: i for i, r in enumerate(dict.fromkeys(r[3] for r in rows))}
+            own, keep = np.array([group[r[3]] for r in rows]), np.zeros(len(rows), bool)
+            sketches = Sketches([r[5] for r in rows], [r[4] for r in rows])
+            for i in np.flatnonzero(np.isin(role, SOURCES)).tolist():
+                hit = sketches.near(i, _partners(role, own, i), c)
+                if len(hit):
+                    keep[i] = keep[hit] = True
+            some = [rows[i] for i in np.flatnonzero(keep).tolist()]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in some], kind) for k, kind in enumerate(kinds)], names=["block", "role", "node", "root"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if row[0] != block:
+                    if len(held) > 1:
+                        yield close()
+                    held, block = [], row[0]
+                held.append(row)
+        if len(held) > 1:
+            yield close()
+
+    return run
+
+
+def _sift(blocks: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``blocks`` (block, role, node, root) whose sketch allows a link in their block: only their sets need be sent."""
+    full = blocks.join(sketches, "node").select("block", "role", "node", "root", "n_shingles", "sketch")
+    return full.repartition("block").sortWithinPartitions("block").mapInArrow(_sifted(num, den), "block long, role int, node long, root long")
+
+
 def _multiply(full: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b, null) found in blocks and links per node (a, null, n); ``full`` has (block, role, node, root, copies, grams)."""
     full = full.select("block", "role", "node", "root", "copies", "grams").repartition("block").sortWithinPartitions("block")
     return full.mapInArrow(_products(num, den), "a long, b long, n long")
 
 
+def _beside(small: DataFrame) -> DataFrame:
+    """A written table as the side of a join: broadcast where it is known to be small."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def _pieces(rows: Column, shingles: Column, most: int) -> Column:
+    """Into how many blocks so many rows with so many shingles are cut."""
+    return F.greatest(F.ceil(rows / most), F.ceil(shingles / BLOCK_SHINGLES))
+
+
 def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Blocks in which every pair of a cell's nodes that sizes allow to link meets once; ``members`` has (cell, node, n_shingles)."""
-    tops = f"array({', '.join(f'{t}L' for t in classes(num, den).top)})"
-    sized = members.withColumn("k", F.expr(f"size(filter({tops}, t -> t < n_shingles))"))
-    held = materialize(sized.groupBy("cell", "k").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("m")), "held")
+    """Blocks in which every pair of a cell's nodes that sizes allow to link meets once; ``members`` has (cell, node, n_shingles).
+
+    Sizes are classed by their logarithm, at a base a hair over den / num: sets that link are
+    in the same or in neighbouring classes.
+    """
+    base = math.log(den / num) * (1 + 1e-9) if num < den else 1.0
+    sized = members.withColumn("k", F.floor(F.log("n_shingles") / base))
+    held = materialize(sized.groupBy("cell", "k").agg(_pieces(F.count(F.lit(1)), F.sum("n_shingles"), GROUP).alias("m")), "held")
     beside = lambda by, name: held.select("cell", (F.col("k") + by).alias("k"), F.col("m").alias(name))
     dealt = sized.join(held, ["cell", "k"]).join(beside(-1, "above"), ["cell", "k"], "left").join(beside(1, "below"), ["cell", "k"], "left")
     dealt = dealt.withColumn("p", F.pmod(F.xxhash64("node"), "m"))
@@ -389,9 +525,8 @@ def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _first_blocks(pairs: DataFrame) -> DataFrame:
-    """Blocks of a pivot and at most about LEAVES leaves."""
-    many = pairs.groupBy("peer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAVES)
-    many = many.select("peer", F.ceil(F.col("n") / LEAVES).alias("salts"))
+    """Blocks of a pivot and at most about LEAVES leaves; ``pairs`` has (node, peer, n_shingles: the node's)."""
+    many = pairs.groupBy("peer").agg(_pieces(F.count(F.lit(1)), F.sum("n_shingles"), LEAVES).alias("salts")).where("salts > 1")
     salted = pairs.join(many, "peer", "left").withColumn("block", F.xxhash64("peer", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1)))))
     leaves = salted.select("block", F.lit(0).alias("role"), "node", F.col("node").alias("root"))
     pivots = salted.select("block", F.lit(1).alias("role"), F.col("peer").alias("node"), F.col("peer").alias("root")).distinct()
@@ -399,16 +534,17 @@ def _first_blocks(pairs: DataFrame) -> DataFrame:
 
 
 def _groups(members: DataFrame, by: str) -> DataFrame:
-    """Per group: its size, its most frequent root and how many members have another root."""
-    roots = members.groupBy(by, "root").agg(F.count(F.lit(1)).alias("n"))
-    held = roots.groupBy(by).agg(F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("giant"), F.max("n").alias("most"))
-    return held.select(by, "size", "giant", (F.col("size") - F.col("most")).alias("strays"))
+    """Per group: its size and shingles, its most frequent root, and those of members of another root."""
+    roots = members.groupBy(by, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
+    held = roots.groupBy(by).agg(F.sum("n").alias("size"), F.sum("m").alias("shingles"), F.max(F.struct("n", "root", "m")).alias("top"))
+    return held.select(by, "size", "shingles", F.col("top.root").alias("giant"), (F.col("size") - F.col("top.n")).alias("strays"), (F.col("shingles") - F.col("top.m")).alias("stray_shingles"))
 
 
 def _group_blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of groups (gid, node, root, giant, size, strays): a small group whole, else its strays against all."""
-    one = rows.where(F.col("size") <= GROUP).select(F.col("gid").alias("block"), F.lit(4).alias("role"), "node", "root")
-    wide = rows.where(F.col("size") > GROUP).withColumn("l", F.ceil(F.col("size") / GROUP)).withColumn("p", F.ceil(F.col("strays") / CHUNK))
+    """Blocks of groups (gid, node, root, giant, size, shingles, strays, stray_shingles): a small group whole, else its strays against all."""
+    small = (F.col("size") <= GROUP) & (F.col("shingles") <= BLOCK_SHINGLES)
+    one = rows.where(small).select(F.col("gid").alias("block"), F.lit(4).alias("role"), "node", "root")
+    wide = rows.where(~small).withColumn("l", _pieces(F.col("size"), F.col("shingles"), GROUP)).withColumn("p", _pieces(F.col("strays"), F.col("stray_shingles"), CHUNK))
     own_l, own_p = F.pmod(F.xxhash64("node"), "l"), F.pmod(F.xxhash64("node", F.lit(1)), "p")
     leaves = wide.where("p > 0").select("gid", "node", "root", own_l.alias("l"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)).alias("p"), F.lit(3).alias("role"))
     pivots = wide.where("root != giant").select("gid", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("l") - 1)).alias("l"), own_p.alias("p"), F.lit(2).alias("role"))
@@ -416,8 +552,8 @@ def _group_blocks(rows: DataFrame) -> DataFrame:
     return one.unionByName(many)
 
 
-def _second_blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks that test every pair that shares a key and is in different components.
+def _second_blocks(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Blocks that test every pair that shares a key and is in different components; ``sizes`` has (node, n_shingles).
 
     A candidate component is tested as one group or key by key, whichever costs less in
     pairs compared and sets sent.
@@ -426,125 +562,185 @@ def _second_blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
     rooted = shared.join(of("node"), "node", "left").join(of("peer"), "peer", "left")
     rooted = rooted.withColumn("node_root", F.coalesce("node_root", "node")).withColumn("peer_root", F.coalesce("peer_root", "peer"))
     rooted = materialize(rooted, "rooted")
-    open_keys = rooted.where("node_root != peer_root").select("key").distinct()
-    held = rooted.join(open_keys, "key", "left_semi")
+    n = rooted.count()
+    open_keys = materialize(rooted.where("node_root != peer_root").select("key").distinct(), "open", n)
+    held = rooted.join(_beside(open_keys), "key", "left_semi")
     members = held.select("key", "node", F.col("node_root").alias("root")).union(held.select("key", "peer", "peer_root")).distinct()
-    members = materialize(members, "members")
+    members = materialize(members, "members", 2 * n)
+    discard(rooted, open_keys)
+    n = members.count()
     # Both nodes of a key with two have been compared already.
     lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("s"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("t"))
-    once = lists.where("n > 2").groupBy("n", "s", "t").agg(F.min("key").alias("key")).select("key")
-    members = materialize(members.join(once, "key"), "members")
+    once = materialize(lists.where("n > 2").groupBy("n", "s", "t").agg(F.min("key").alias("key")).select("key"), "once", n)
+    every, members = members, materialize(members.join(_beside(once), "key"), "members", n)
+    discard(every, once)
     if members.isEmpty():
         return members.select(F.col("key").alias("block"), F.lit(4).alias("role"), "node", "root")
-    least = members.groupBy("key").agg(F.min("node").alias("b"))
-    cells = components(members.join(least, "key").select(F.col("node").alias("a"), "b"))
-    placed = materialize(members.join(cells.select("node", F.col("root").alias("cell")), "node"), "placed")
-    whole = placed.select("cell", "node", "root").distinct()
+    least = materialize(members.groupBy("key").agg(F.min("node").alias("b")), "least", n)
+    cells = components(members.join(_beside(least), "key").select(F.col("node").alias("a"), "b"))
+    placed = materialize(members.join(cells.select("node", F.col("root").alias("cell")), "node").join(sizes, "node"), "placed", n)
+    discard(members, least, cells)
+    whole = placed.select("cell", "node", "root", "n_shingles").distinct()
     by_cell, by_key = _groups(whole, "cell"), _groups(placed, "key")
     key_cell = placed.groupBy("key").agg(F.min("cell").alias("cell"))
     pieces = by_key.join(key_cell, "key").groupBy("cell").agg(F.sum(F.col("size") * F.col("strays") / PAIRS_A_ROW + F.col("size")).alias("pieces"))
     sent = F.col("size") * F.ceil(F.col("strays") / CHUNK) + F.col("strays") * F.ceil(F.col("size") / GROUP)
     at_once = F.col("size") * F.col("strays") / PAIRS_A_ROW + sent
-    cells_done = materialize(by_cell.join(pieces, "cell").withColumn("as_whole", (F.col("size") <= GROUP) | (at_once <= F.col("pieces"))), "cells")
+    at_hand = (F.col("size") <= GROUP) & (F.col("shingles") <= BLOCK_SHINGLES)
+    cells_done = materialize(by_cell.join(pieces, "cell").withColumn("as_whole", at_hand | (at_once <= F.col("pieces"))), "cells", n)
     one = whole.join(cells_done.where("as_whole"), "cell").withColumn("gid", F.xxhash64(F.lit(0), "cell"))
-    keyed = placed.join(cells_done.where("not as_whole").select("cell"), "cell").join(by_key, "key").withColumn("gid", F.xxhash64(F.lit(1), "key"))
-    fields = ["gid", "node", "root", "giant", "size", "strays"]
+    by_key = materialize(by_key, "by_key", n)
+    keyed = placed.join(cells_done.where("not as_whole").select("cell"), "cell").join(_beside(by_key), "key").withColumn("gid", F.xxhash64(F.lit(1), "key"))
+    fields = ["gid", "node", "root", "giant", "size", "shingles", "strays", "stray_shingles"]
     return _group_blocks(one.select(*fields).unionByName(keyed.select(*fields)))
 
 
 def _labels(rows: DataFrame, shared: DataFrame, pairs: DataFrame, ids: DataFrame, words: int, num: int, den: int, links: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(node, root) of the components of all links among nodes that share a key; with ``links`` also (node, n) of their links."""
     cells = components(pairs.select(F.col("node").alias("a"), F.col("peer").alias("b")))
-    sizes = materialize(cells.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    cells = materialize(cells.join(sizes, "root"), "cells")
-    wanted = cells.join(ids.where("least is not null"), "node")
-    wanted = wanted.select(F.col("least").alias("doc_id"), F.xxhash64("root").alias("block"), F.lit(7 if links else 4).alias("role"), "node", F.col("node").alias("root"), "copies", "n", "n_shingles", F.col("root").alias("cell"))
-    wanted = materialize(wanted, "wanted")
-
-    def texts(part: DataFrame) -> DataFrame:
-        side = F.broadcast(part) if part.count() <= BROADCAST_ROWS else part
-        return rows.join(side, "doc_id").select("block", "role", "node", "root", "copies", "text").mapInArrow(_sets(words), ROWS)
+    nodes = cells.count()
+    placed = materialize(cells.join(ids, "node"), "cells", nodes)
+    sizes = materialize(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m")), "sizes", nodes)
+    wanted = placed.join(sizes, "root").withColumn("small", (F.col("n") <= GROUP) & (F.col("m") <= BLOCK_SHINGLES))
+    wanted = wanted.select(F.col("least").alias("doc_id"), F.xxhash64("root").alias("block"), F.lit(7 if links else 4).alias("role"), "node", F.col("node").alias("root"), "copies", "small", "n_shingles", F.col("root").alias("cell"))
+    wanted = materialize(wanted, "wanted", nodes)
+    discard(cells, placed, sizes)
 
     # A small candidate component is one block, in which all its pairs are settled.
-    found = materialize(_multiply(texts(wanted.where(F.col("n") <= GROUP)), num, den), "found")
-    large = wanted.where(F.col("n") > GROUP)
+    small, large = wanted.where("small"), wanted.where("not small")
+    full = rows.join(_beside(small), "doc_id").select("block", "role", "node", "root", "copies", "text").mapInArrow(_sets(words), ROWS)
+    found = materialize(_multiply(full, num, den), "found")
+
+    def sketched() -> DataFrame:
+        of = rows.join(_beside(large), "doc_id").select("node", "text").mapInArrow(_sketches(words), "node long, n_shingles long, sketch binary")
+        return materialize(of.dropDuplicates(["node"]), "sketches")
+
+    def linked(blocks: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Links in blocks; only rows that their sketches leave are looked up again and sent with their sets."""
+        sifted = materialize(_sift(blocks, sketches, num, den), "sifted")
+        sifted = materialize(sifted.join(large.select("node", "doc_id", "copies"), "node"), "sifted", sifted.count())
+        part = rows.join(_beside(sifted), "doc_id").select("block", "role", "node", "root", "copies", "text").mapInArrow(_sets(words), ROWS)
+        out = materialize(_multiply(part, num, den), "found")
+        release(rows.sparkSession)
+        return out
+
     if links:
         tiled = None
         if not large.isEmpty():
-            sets = materialize(texts(large).select("node", "copies", "grams"), "sets")
+            sketches = sketched()
             tiles = materialize(_tiles(large.select("cell", "node", "n_shingles"), num, den), "tiles")
-            tiled = materialize(_multiply(tiles.join(sets, "node"), num, den), "found")
-            discard(sets, tiles)
+            tiled = linked(tiles, sketches)
+            discard(sketches, tiles)
         every = found if tiled is None else found.union(tiled)
         labels = components(every.where("b is not null").select("a", "b"))
         counts = materialize(every.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "counts")
-        discard(wanted, found, cells, sizes, *([] if tiled is None else [tiled]))
+        discard(wanted, found, *([] if tiled is None else [tiled]))
         release(rows.sparkSession)
         return labels, counts
     found = found.select("a", "b")
-    stars = materialize(pairs.join(large.select("node"), "node", "left_semi"), "stars")
+    stars = materialize(pairs.join(large.select("node", "n_shingles"), "node"), "stars")
     if stars.isEmpty():
         labels = components(found)
     else:
-        sets = materialize(texts(large).select("node", "copies", "grams"), "sets")
-        first = materialize(_multiply(_first_blocks(stars).join(sets, "node"), num, den).select("a", "b"), "found")
-        release(rows.sparkSession)
-        labels = components(found.union(first))
-        blocks = materialize(_second_blocks(shared.join(large.select("node"), "node", "left_semi"), labels), "blocks")
-        second = materialize(_multiply(blocks.join(sets, "node"), num, den).select("a", "b"), "found")
-        if not second.isEmpty():
+        sketches = sketched()
+        first = linked(_first_blocks(stars), sketches)
+        labels = components(found.union(first.select("a", "b")))
+        blocks = materialize(_second_blocks(shared.join(large.select("node"), "node", "left_semi"), labels, large.select("node", "n_shingles")), "blocks")
+        second = linked(blocks, sketches)
+        if not second.where("b is not null").isEmpty():
             before = labels
-            labels = components(before.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
+            labels = components(before.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second.select("a", "b")))
             discard(before)
-        discard(sets, first, blocks, second)
-    discard(wanted, found, stars, cells, sizes)
+        discard(sketches, first, blocks, second)
+    discard(wanted, found, stars)
     release(rows.sparkSession)
     return labels, None
 
 
-def join_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``; with ``links`` also n_links, the other rows it links to."""
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    known = materialize(rows.mapInArrow(_nodes(words), f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, node long"), "nodes")
-    ids = materialize(known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("doc_id").alias("copies"), F.first("n_shingles").alias("n_shingles")), "ids")
-
+def _linked_nodes(rows: DataFrame, ids: DataFrame, words: int, num: int, den: int, links: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """``_labels`` of the nodes that share a key, or None where none do."""
     dealt = rows.select("text").mapInArrow(_keys(words, num, den), "deal long, key long, node long, peer long")
     least = F.min("node").over(Window.partitionBy("deal"))
     shared = dealt.withColumn("peer", F.coalesce("peer", least)).where("peer != node").select("key", "node", "peer")
     shared = materialize(shared, "shared")
     del dealt
     release(shared.sparkSession)
-    pairs = materialize(shared.select("node", "peer").distinct(), "pairs")
-    labels, counts = (None, None) if pairs.isEmpty() else _labels(rows, shared, pairs, ids, words, num, den, links)
+    pairs = materialize(shared.select("node", "peer").distinct(), "pairs", shared.count())
+    found = (None, None) if pairs.isEmpty() else _labels(rows, shared, pairs, ids, words, num, den, links)
     discard(shared, pairs)
+    return found
+
+
+def _joined(docs: DataFrame, words: int, num: int, den: int, key: str, text: str, links: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """What ``join_components`` returns, with the hashes of node and component, and the written tables that it reads."""
+    ship(docs.sparkSession)
+    with scratch() as keep:
+        out, held = _placed(docs, words, num, den, key, text, links)
+        for df in held:
+            keep(df)
+    return out, held
+
+
+def _placed(docs: DataFrame, words: int, num: int, den: int, key: str, text: str, links: bool) -> tuple[DataFrame, list[DataFrame]]:
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    known = materialize(rows.mapInArrow(_nodes(words), f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, node long"), "nodes")
+    ids = materialize(known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("doc_id").alias("copies"), F.first("n_shingles").alias("n_shingles")), "ids", known.count())
+
+    labels, counts = (None, None) if num == den else _linked_nodes(rows.where("doc_id is not null"), ids, words, num, den, links)
+    held = [known, ids]
     if labels is None:
-        named = ids.select("node", F.col("least").alias("component_id"))
+        named = ids.select("node", F.col("node").alias("root"), F.col("least").alias("component_id"))
     else:
-        rooted = ids.join(labels, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-        rooted = materialize(rooted, "rooted")
-        tops = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "tops")
-        named = materialize(rooted.join(tops, "root").select("node", "component_id"), "named")
+        rooted, n = ids.join(labels, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), ids.count()
+        rooted = materialize(rooted, "rooted", n)
+        tops = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "tops", n)
+        named = materialize(rooted.join(tops, "root").select("node", "root", "component_id"), "named", n)
+        discard(rooted, tops, labels)
+        held.append(named)
     out = known.join(named, "node", "left")
     fields = [F.col("doc_id"), F.col("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
     if links:
-        held = ids.select("node", "copies", F.lit(0).cast("long").alias("n")) if counts is None else ids.select("node", "copies").join(counts, "node", "left")
-        out = out.join(held, "node", "left")
-        itself = F.col("doc_id").isNotNull().cast("long")
-        fields.append(F.when(F.col("node").isNull(), F.lit(0).cast("long")).when(F.col("copies") > 0, F.coalesce("n", F.lit(0)) + F.col("copies") - itself).alias("n_links"))
-    return out.select(*fields)
+        linked = ids.select("node", "copies", F.lit(0).cast("long").alias("n")) if counts is None else ids.select("node", "copies").join(counts, "node", "left")
+        out = out.join(linked, "node", "left")
+        held += [] if counts is None else [counts]
+        fields.append(F.when(F.col("node").isNull(), F.lit(0).cast("long")).otherwise(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return out.select(*fields, "node", "root"), held
+
+
+def join_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``; with ``links`` also n_links, the other rows it links to."""
+    return _joined(docs, words, num, den, key, text, links)[0].drop("node", "root")
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with only the document of the least id of each component; rows with a null id stay."""
-    found = materialize(join_components(docs, words, num, den, key, text), "components")
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(key)).distinct()
-    gone = materialize(gone, "gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(side, key, "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
-    repeated = materialize(repeated, "repeated")
+    """``docs`` with only the document of the least id of each component; rows with a null id or without words stay.
+
+    Of a component's rows that have its least id, the one of the least set hash, then text, stays.
+    """
+    with scratch() as keep:
+        return _kept(docs, words, num, den, key, text, keep)
+
+
+def _kept(docs: DataFrame, words: int, num: int, den: int, key: str, text: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``keep_one`` returns; ``keep`` is given the written tables that it reads."""
+    found, held = _joined(docs, words, num, den, key, text, False)
+    found = materialize(found.where("node is not null").select(F.col("doc_id").alias(key), "node", "root", "component_id"), "components")
+    discard(*held)
+    repeated = materialize(found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "repeated")
+    gone = found.where(F.col("component_id") < F.col(key))
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, key, "left_semi").dropDuplicates([key])
-    return kept.join(repeated, key, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        gone = keep(materialize(gone.select(key), "gone"))
+        return docs.join(_beside(gone), key, "left_anti").select(*docs.columns)
+    # Rows that share an id are told apart by their sets.
+    names = private(docs, "node", "place")
+    keep(repeated)
+    gone = keep(materialize(gone.join(repeated, key, "left_anti").select(key), "gone"))
+    once = docs.join(_beside(gone), key, "left_anti").join(_beside(repeated), key, "left_anti").select(*docs.columns)
+    several = docs.join(_beside(repeated), key, "left_semi").select(*docs.columns)
+    several = several.mapInArrow(_with_node(words, several.columns.index(text), names["node"]), T.StructType([*several.schema.fields, T.StructField(names["node"], T.LongType())]))
+    least = found.where(F.col("component_id") == F.col(key)).join(repeated, key, "left_semi").groupBy(key, "root").agg(F.min("node").alias(names["node"]))
+    least = keep(materialize(least.select(key, names["node"]), "kept"))
+    own = F.row_number().over(Window.partitionBy(key, names["node"]).orderBy(text))
+    first = several.join(_beside(least), [key, names["node"]], "left_semi").withColumn(names["place"], own).where(F.col(names["place"]) == 1)
+    several = several.where(F.col(names["node"]).isNull()).select(*docs.columns).unionByName(first.select(*docs.columns))
+    return once.unionByName(several)

@@ -18,8 +18,9 @@ def shingles(text, w):
 
 
 def brute(docs, w, num, den):
+    """(id, set size, component) of every row; rows are vertices, and those without an id have no links."""
     sets = [(d, shingles(t, w)) for d, t in docs]
-    up = {d: d for d, _ in docs if d is not None}
+    up = list(range(len(docs)))
 
     def find(x):
         while up[x] != x:
@@ -27,11 +28,15 @@ def brute(docs, w, num, den):
         return x
 
     for i, (a, s) in enumerate(sets):
-        for b, t in sets[i + 1 :]:
+        for j, (b, t) in enumerate(sets[:i]):
             if s and t and a is not None and b is not None and den * len(s & t) >= num * len(s | t):
-                x, y = find(a), find(b)
+                x, y = find(i), find(j)
                 up[max(x, y)] = min(x, y)
-    return sorted((str(d), len(s), str(find(d) if d is not None else None)) for d, s in sets)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted((str(d), len(s), str(None if d is None else least[find(i)])) for i, (d, s) in enumerate(sets))
 
 
 def corpus(seed, n_groups=12, copies=8, noise=40):
@@ -71,7 +76,7 @@ def test_slabs_do_not_matter(monkeypatch):
     assert [g.node_of(s) for s in g.shingle_sets(texts, 3)] == want
 
 
-@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (1, 1), (50, 100), (95, 100)])
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (9999, 10000), (50, 100), (95, 100)])
 def test_linked_sets_share_a_key(num, den):
     c, r = g.classes(num, den), np.random.default_rng(num)
     checked = 0
@@ -89,6 +94,41 @@ def test_linked_sets_share_a_key(num, den):
     assert checked > 200
 
 
+def test_classes_are_made_as_far_as_needed():
+    for num, den in [(1, 1), (100, 100), (999999, 1000000), (80, 100)]:
+        c = g.classes(num, den)
+        grams = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 3000, dtype=np.uint64))
+        assert (len(g.keys_of(grams, c)) == 0) == (num == den)
+        assert len(c.top) < 3200
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100), (50, 100)])
+def test_sketches_lose_no_link(num, den):
+    c, r = g.classes(num, den), np.random.default_rng(num)
+    base = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 3, 40, 62, 64, 65, 130, 500, 520)]
+    sets = []
+    for b in base:
+        for _ in range(12):
+            k = int(r.integers(0, max(1, len(b) // 4) + 1))
+            sets.append(np.unique(np.concatenate([r.permutation(b)[min(k, len(b) - 1) :], r.integers(0, 1 << 63, int(r.integers(0, k + 1)), dtype=np.uint64)])))
+    sketches, every = g.Sketches([g.sketch_of(s) for s in sets], [len(s) for s in sets]), np.arange(len(sets))
+    linked = near = 0
+    for i, a in enumerate(sets):
+        got = set(sketches.near(i, every, c).tolist())
+        want = {j for j, b in enumerate(sets) if den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b))}
+        assert want <= got
+        linked, near = linked + len(want), near + len(got)
+    assert linked > 100 and (near < len(sets) ** 2 / 4 or num < 80)
+
+
+def test_equal_sets_link_at_one(spark):
+    docs = corpus(5) + [(900, None), (901, "a b"), (902, "A  b")]
+    df = spark.createDataFrame(docs + docs[:3], "doc_id long, text string")
+    for links in (False, True):
+        got = g.join_components(df, 3, 1, 1, links=links).collect()
+        assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute(docs + docs[:3], 3, 1, 1)
+
+
 def test_block_product():
     r = np.random.default_rng(4)
     sets = [np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64)) for _ in range(20)]
@@ -113,14 +153,13 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, group, words, nu
 def test_links_equal_brute_force(spark, monkeypatch, seed, group, words, num):
     monkeypatch.setattr(g, "GROUP", group)
     docs = corpus(seed) + [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (904, "a"), (None, "a b")]
-    docs += [docs[0], docs[1], (None, "only without an id")]
+    docs += [docs[0], docs[1], (None, "only without an id"), (docs[2][0], "another text of this id, of its own"), (docs[3][0], docs[4][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     got = g.join_components(df, words, num, 100, links=True).collect()
     sets = [(d, shingles(t, words)) for d, t in docs]
-    want = [(str(d), sum(1 for j, (e, u) in enumerate(sets) if j != i and e is not None and s and u and 100 * len(s & u) >= num * len(s | u))) for i, (d, s) in enumerate(sets)]
-    want[-1] = ("None", None)
+    want = [(str(d), sum(1 for j, (e, u) in enumerate(sets) if j != i and None not in (d, e) and s and u and 100 * len(s & u) >= num * len(s | u))) for i, (d, s) in enumerate(sets)]
     assert sorted(map(str, want)) == sorted(str((str(r["doc_id"]), r["n_links"])) for r in got)
-    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got if r["doc_id"] is not None) == [x for x in brute(docs, words, num, 100) if x[0] != "None"]
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute(docs, words, num, 100)
 
 
 def test_many_copies_of_few_texts(spark):
@@ -144,6 +183,25 @@ def test_keep_one(odd):
     assert ids == sorted(["None", *[str(i) for i in range(14) if i != 7]])
 
 
+def test_no_component_goes_through_a_row_without_an_id(spark):
+    w = [f"w{i}" for i in range(40)]
+    docs = [(1, " ".join(w)), (None, " ".join(w[:36])), (2, " ".join(w[:31]))]
+    got = g.join_components(spark.createDataFrame(docs, "doc_id long, text string"), 1, 80, 100).collect()
+    assert sorted(str((r["doc_id"], r["component_id"])) for r in got) == ["(1, 1)", "(2, 2)", "(None, None)"]
+    kept = g.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), 1)
+    assert kept.count() == 3
+
+
+def test_keep_one_with_repeated_ids(spark):
+    """Each text of an id is judged by itself: copies of lower ids go, a text of its own stays."""
+    t = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    docs = [(1, t[0]), (3, t[0]), (3, t[1]), (4, t[2]), (4, t[2].upper()), (4, t[3]), (5, None), (5, ""), (6, t[3])]
+    kept = g.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = sorted((r["doc_id"], (r["text"] or "").lower()) for r in kept.collect())
+    # Of one id's rows with one set, one stays; rows of one id with different sets are different documents.
+    assert got == sorted([(1, t[0]), (3, t[1]), (4, t[2]), (4, t[3]), (5, ""), (5, "")])
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_components_of_graphs(spark, seed):
     r = random.Random(seed)
