@@ -6,7 +6,8 @@ highest response over all chunks of the document, and a logistic unit combines t
 maxima into one probability. Nothing is truncated: a longer document has more chunks.
 
 Training draws a bounded sample of labelled rows (``SAMPLE_ROWS`` a class, by hash of the
-id, among the rows the caller allows) and runs on the driver; as only the winning chunk of
+id, among the rows the caller allows, without texts of more than ``SAMPLE_TEXT`` bytes, so the
+driver holds at most their product) and runs on the driver; as only the winning chunk of
 a filter has a gradient, a step costs little more than a forward pass. The classes are
 sampled evenly; the intercept is moved ``PRIOR`` of the way (on the logit scale) from even
 classes to their true proportion, which favours the frequent class. Scoring
@@ -29,15 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clinloom.llm.slices import slices
 from clinloom.session import ship
 
-#: Labelled rows of each class that the model is fitted on, in expectation.
-SAMPLE_ROWS = 900
+#: Labelled rows of each class that the model is fitted on, in expectation, and the longest text (in bytes) among them.
+SAMPLE_ROWS, SAMPLE_TEXT = 900, 1 << 17
 HALF, EMBED, FILTERS = 8, 8, 32
 EPOCHS, BATCH, RATE = 10, 32, 0.004
 PRIOR = 0.5
 #: Blocks of HALF bytes evaluated at a time.
-SLAB = 1 << 16
+SLAB = 1 << 15
 
 
 @dataclass
@@ -83,11 +85,22 @@ def to_blocks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _winners(model: Model, blocks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = model.embed[blocks].reshape(len(blocks), -1) @ model.left
-    got = both[:-1, :FILTERS] + both[1:, FILTERS:]
+    """Each filter's best chunk in each document, and its response; a slab of blocks at a time."""
+    at, best = np.zeros((len(first), FILTERS), np.int64), np.full((len(first), FILTERS), -np.inf, np.float32)
     end = np.append(first[1:], len(blocks)) - 1
-    at = np.stack([a + got[a:b].argmax(0) for a, b in zip(first, end, strict=True)])
-    return at, np.take_along_axis(got, at, 0)
+    for low in range(0, len(blocks) - 1, SLAB):
+        part = blocks[low : low + SLAB + 1]
+        both = model.embed[part].reshape(len(part), -1) @ model.left
+        got = both[:-1, :FILTERS] + both[1:, FILTERS:]
+        for d in range(int(np.searchsorted(first, low, "right")) - 1, int(np.searchsorted(first, low + len(got), "left"))):
+            a, b = max(int(first[d]) - low, 0), min(int(end[d]) - low, len(got))
+            if a >= b:
+                continue
+            top = a + got[a:b].argmax(0)
+            value = np.take_along_axis(got, top[None], 0)[0]
+            better = value > best[d]
+            at[d, better], best[d, better] = top[better] + low, value[better]
+    return at, best
 
 
 def fit(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7) -> Model:
@@ -151,12 +164,12 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, row
     for value, n in sizes.items():
         rate = F.when(F.col("_label") == value, F.lit(min(slots, int(slots * rows / n)))).otherwise(rate)
     sample = marked.where(draw < rate)
-    texts = docs.select(key, text).join(F.broadcast(sample), key).select(key, F.coalesce(F.col(text), F.lit("")).alias("t"), "_label").collect()
+    texts = docs.select(key, text).where(F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_TEXT).join(F.broadcast(sample), key).select(key, F.coalesce(F.col(text), F.lit("")).alias("t"), "_label").collect()
     texts.sort(key=lambda r: (r[0], r["t"], r["_label"]))
     return fit([r["t"].encode("utf-8", "surrogatepass") for r in texts], np.array([r["_label"] for r in texts], float), sizes.get(1, 0) / sum(sizes.values()))
 
 
-def score_texts(model: Model, texts: list[str | None], limit: int = 4 << 20) -> np.ndarray:
+def score_texts(model: Model, texts: list[str | None], limit: int = 2 << 20) -> np.ndarray:
     """Probabilities of label 1, evaluated for about ``limit`` bytes of text at a time."""
     out, i = np.empty(len(texts)), 0
     while i < len(texts):
@@ -181,8 +194,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array(score_texts(model, batch.column(at).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
+        for part in slices(batches, at):
+            found = pa.array(score_texts(model, part.column(at).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, schema)
