@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from clinloom.llm import ngram_jaccard, nnls_pack, pfair_mix, pii_feistel, quality_cnn
 from clinloom.llm.queries import PII_KEY, QUALITY_KEEP, byte_bpe
-from clinloom.session import materialize
+from clinloom.llm.slices import private
+from clinloom.session import discard, materialize, release, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network, fitted on the labelled ones, doesn't reject."""
     model = quality_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_cnn.score(docs, model, name="_score").where(F.col("_score") >= QUALITY_KEEP).drop("_score")
+    score = private(docs, "score")["score"]
+    return quality_cnn.score(docs, model, name=score).where(F.col(score) >= QUALITY_KEEP).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with pseudonyms in their texts; lengths don't change."""
-    return pii_feistel.pseudonymize(docs, PII_KEY, spans="_pii").drop("_pii")
+    spans = private(docs, "pii")["pii"]
+    return pii_feistel.pseudonymize(docs, PII_KEY, spans=spans).drop(spans)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from ``documents``."""
+    """All stages, from ``documents``; a stage's tables go when the next one's documents are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with scratch() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        discard(before)
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
