@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clinloom.functions import icd9, stats
 from clinloom.functions import text as tx
 from clinloom.operators import attempts as at
-from clinloom.operators import cohort, decomposition, dialogue, discriminate, evaluation, faults, intervals, knowledge, matching, retention, statistics, studies
+from clinloom.operators import cohort, corpus, decomposition, dialogue, discriminate, evaluation, faults, intervals, knowledge, matching, retention, statistics, studies
 from clinloom.plans import proxies as px
 from clinloom.plans.oracle import ORACLE_SQL
 from clinloom.sources.tables import load
@@ -773,3 +773,55 @@ def diagnosis_term_index(spark: SparkSession, d: str) -> DataFrame:
 def case_split_counts(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select((F.col("doc_id") % 200).alias("case_id"), "lang")
     return discriminate.case_split(docs).groupBy("lang", "test").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- corpus -----------------------------------------------------------------
+
+
+@query
+def first_note(spark: SparkSession, d: str) -> DataFrame:
+    n = corpus.first_note(px.notes(spark, d))
+    return n.select("hadm_id", "row_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query
+def note_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Notes with their patient's and admission's columns."""
+    subject = F.when(F.col("hadm_id") % 7 == 0, F.col("subject_id") + 1).otherwise(F.col("subject_id"))
+    n = px.admissions(spark, d).select(F.col("hadm_id").alias("row_id"), subject.alias("subject_id"), "hadm_id")
+    j = corpus.note_lookup(n, px.patients(spark, d), px.admissions(spark, d))
+    return j.select("row_id", "subject_id", "hadm_id", "segment", "admission_type")
+
+
+@query
+def safe_components(spark: SparkSession, d: str) -> DataFrame:
+    p = load(spark, d, "part")
+    return p.select("p_partkey", corpus.safe_component(F.concat(F.lit(" ."), "p_name", F.lit("/"), "p_type", F.lit("-"))).alias("component"))
+
+
+@query
+def judge_weighted(spark: SparkSession, d: str) -> DataFrame:
+    e, k = load(spark, d, "events"), F.col("event_id")
+    raw = {n: F.when(k % (17 + i) != 0, F.col("value") / (70 + 7 * i)) for i, n in enumerate(corpus.JUDGE)}
+    score, decision = corpus.judged(raw)
+    return e.select("event_id", score.alias("score"), decision.alias("decision"))
+
+
+@query
+def variant_acceptance(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.variant_counts(px.attempts(spark, d))
+
+
+@query
+def profile_statistics(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("attempt_index")
+    r = px.attempts(spark, d).select(F.when(k % 19 != 0, F.col("policy")).alias("profile_type"), (F.col("acceptance") != "REJECT").alias("success"), F.when(k % 3 != 0, F.col("value") >= 0.5).alias("is_realistic"), F.col("value").alias("judge_score"))
+    return corpus.profile_statistics(r).select("profile_type", "success", "fail", "realistic", "non_realistic", r6("avg_judge_score"))
+
+
+@query
+def profile_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Diagnoses and treatments of references as the older prompts' text."""
+    r = _references(spark, d).select("case_id", "reference.core.*")
+    treatments = F.transform("treatments", lambda t: F.struct(t["procedure"].alias("procedure"), F.lit("not provided").alias("treatment"), t["medications"].alias("medications")))
+    return r.select("case_id", F.md5(corpus.diagnoses_text(F.col("diagnoses")).cast("binary")).alias("diagnoses_md5"), F.md5(corpus.treatments_text(treatments).cast("binary")).alias("treatments_md5"))

@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 from clinloom.functions import icd9
 from clinloom.functions import text as tx
-from clinloom.operators import decomposition, faults, studies
+from clinloom.operators import corpus, decomposition, faults, studies
 from clinloom.plans.proxies import SQL as BASE
 
 _MASKS = ", ".join(f"bool_or({cond}) AS c{i}" for i, (_, cond) in enumerate(icd9.sql_conditions()))
@@ -350,3 +350,21 @@ SELECT path, count(*) AS n FROM (SELECT 'core.diagnoses[0]' AS path FROM s WHERE
     "policy_contexts": f"""WITH {REFS} SELECT o_orderkey AS case_id, 'NO_DIAGNOSIS@2.0' AS policy, len(regexp_extract_all('comes with ' || top, {_REDACTED}))::BIGINT AS redactions,
   regexp_replace('comes with ' || top, {_REDACTED}, '[REDACTED]', 'g') AS patient_sees, o_orderpriority AS doctor_sees, 'comes with ' || top AS evaluator_sees FROM orders JOIN refs ON o_orderkey = l_orderkey""",
 }
+
+_JUDGED = " + ".join(f"{w}::DOUBLE * CASE WHEN event_id % {17 + i} <> 0 THEN value / {70 + 7 * i} END" for i, w in enumerate(corpus.JUDGE.values()))
+
+ORACLE_SQL |= {
+    "first_note": f"""WITH {BASE} SELECT hadm_id, row_id, md5(text) AS text_md5 FROM notes QUALIFY row_number() OVER (PARTITION BY hadm_id ORDER BY NOT contains(lower(category), 'discharge summary'), row_id) = 1""",
+    "note_lookup": f"""WITH {BASE}, n AS (SELECT hadm_id AS row_id, CASE WHEN hadm_id % 7 = 0 THEN subject_id + 1 ELSE subject_id END AS s FROM admissions)
+SELECT n.row_id, p.subject_id, a.hadm_id, segment, admission_type FROM n JOIN patients p ON p.subject_id = s JOIN admissions a ON a.subject_id = s AND a.hadm_id = n.row_id""",
+    "safe_components": """WITH n AS (SELECT p_partkey, ' .' || p_name || '/' || p_type || '-' AS t FROM part),
+c AS (SELECT *, substr(regexp_replace(regexp_replace(t, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 72) AS s FROM n)
+SELECT p_partkey, CASE WHEN s = '' THEN 'case' ELSE s END || '-' || substr(sha256(t), 1, 8) AS component FROM c""",
+    "judge_weighted": f"""WITH s AS (SELECT event_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, x)) AS score FROM (SELECT event_id, 0.0::DOUBLE + {_JUDGED} AS x FROM events) WHERE x IS NOT NULL)
+SELECT e.event_id, score, CASE WHEN score >= {corpus.REALISTIC} THEN 'REALISTIC' WHEN score IS NOT NULL THEN 'UNREALISTIC' END AS decision FROM events e LEFT JOIN s ON s.event_id = e.event_id""",
+    "variant_acceptance": f"WITH {BASE} SELECT variant, count(*) FILTER (acceptance LIKE '%ACCEPT') AS accepted, count(*) AS total FROM attempts GROUP BY 1",
+    "profile_statistics": f"""WITH {BASE}, r AS (SELECT CASE WHEN attempt_index % 19 <> 0 THEN policy ELSE 'UNKNOWN' END AS profile_type, acceptance <> 'REJECT' AS ok, coalesce(attempt_index % 3 <> 0 AND value >= 0.5, false) AS real, value FROM attempts)
+SELECT profile_type, count(*) FILTER (ok) AS success, count(*) FILTER (NOT ok) AS fail, count(*) FILTER (ok AND real) AS realistic, count(*) FILTER (ok AND NOT real) AS non_realistic, round(avg(value) FILTER (ok), 6) AS avg_judge_score FROM r GROUP BY 1""",
+    "profile_texts": """WITH i AS (SELECT l_orderkey, p_name, p_brand, l_suppkey::VARCHAR AS dose FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey)
+SELECT l_orderkey AS case_id, md5(string_agg(p_name || ' (seen with ' || p_brand || ')', '; ' ORDER BY p_name, p_brand)) AS diagnoses_md5, md5('procedure; medications: ' || string_agg(p_brand, ', ' ORDER BY p_brand, dose)) AS treatments_md5 FROM i GROUP BY 1""",
+}

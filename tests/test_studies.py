@@ -185,3 +185,27 @@ def test_tables_of_a_study(spark, tmp_path):
     hashes = sinks.write_tables(str(tmp_path / "out"), tables, {"run_id": "r", "attempt_records": a.count()})
     assert set(hashes) == {"scores.csv", "acceptance.csv", "cost.csv", "summary.json"}
     assert (tmp_path / "out" / "scores.csv").read_text().splitlines()[0].startswith("variant,policy,metric,estimate,low,high")
+
+
+def test_corpus_helpers(spark):
+    from clinloom.operators import corpus
+
+    df = spark.createDataFrame([("d", [{"role": "doctor", "content": "hi"}, {"speaker": "Patient", "utterance": "yes", "text": "no"}])], "dialogue_id string, dialogue array<map<string,string>>")
+    assert [(r["index"], r["role"], r["text"]) for r in corpus.adapted_turns(df).collect()] == [(0, "Doctor", "hi"), (1, "Patient", "no")]
+    for bad, error in (({"text": "x"}, "turn 0 has no role"), ({"role": "nurse", "text": "x"}, "unknown role"), ({"role": "doctor"}, "no text")):
+        with pytest.raises(Exception, match=error):
+            corpus.adapted_turns(spark.createDataFrame([("d", [bad])], df.schema)).collect()
+    dialogues = spark.createDataFrame([(1, "a", "FULL"), (2, "b", "FULL")], "case_id int, dialogue_id string, policy string")
+    refs = spark.createDataFrame([(1, "r1"), (2, "r2")], "case_id int, reference string")
+    assert corpus.with_references(dialogues, refs, ("FULL",)).count() == 2
+    for d, r, error in ((dialogues, refs.where("case_id = 1"), "no reference: 2"), (dialogues.union(dialogues), refs, "there twice"), (dialogues, refs.union(refs), "two references"), (dialogues.withColumn("policy", F.lit("X")), refs, "unknown: X")):
+        with pytest.raises(ValueError, match=error):
+            corpus.with_references(d, r, ("FULL",))
+    s = spark.createDataFrame([(t,) for t in (1, 3, 9)], "t int").select(corpus.symptoms_for_turn(F.array(*map(F.lit, ("Rash", "Chest tightness", " fever ", "Back PAIN", "itch"))), F.array(F.lit("back pain")), F.col("t")).alias("s"))
+    assert [r["s"] for r in s.collect()] == [["chest tightness"], ["chest tightness", "rash"], ["chest tightness", "rash", "fever"]]
+    assert corpus.measured_mean(spark.createDataFrame([(1.0,), (None,)], "value double")) == 1.0
+    with pytest.raises(ValueError):
+        corpus.measured_mean(spark.createDataFrame([(None,)], "value double"))
+    empty = spark.createDataFrame([(None,)], "d array<struct<primary: string, notes: string>>")
+    assert empty.select(corpus.diagnoses_text(F.col("d"))).first()[0] == corpus.UNSPECIFIED
+    assert [f[2] for f in corpus.FAMILIES] == ["holm", "holm", "holm", "bh"]
