@@ -15,7 +15,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinloom.operators.statistics import auc, hash_ranked
@@ -48,7 +48,7 @@ def _sublinear(v: SparseVector) -> SparseVector:
     return SparseVector(v.size, v.indices, 1 + np.log(v.values))
 
 
-def terms(text: str) -> F.Column:
+def terms(text: str) -> Column:
     """Words of two characters or more, lower-cased, and pairs of neighbours."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
