@@ -7,11 +7,18 @@ so after any number of slots t a source has had within one block of w * t.
 
 Weights are integer shares of a quantum Q by largest remainder. Q grows with the number of
 slots, so that rounding moves no source by more than a block over the whole schedule. The
-driver simulates each phase up to its end, one step a block (with a ``quantum`` of less, one
-period only, and rounding then counts). When a source runs out, the others go on with their
-weights renormalised and rounded anew: a new phase. A document's slot
-is then arithmetic on its rank within its source, which is found without gathering a
-source in one task. No document is dropped or repeated.
+driver simulates each phase up to its end, one step a block. When a source runs out, the
+others go on with their weights renormalised and rounded anew: a new phase. A block has
+``BLOCK_ROWS`` rows, or so many times two more that there are at most about ``MAX_SLOTS``
+blocks: the schedule, a row a block, is bounded whatever the size of the corpus, and so are
+the driver's work and what is broadcast. A document's block is arithmetic on its rank within
+its source, which is found without gathering a source in one task. No document is dropped or
+repeated.
+
+Ties: of blocks released with equal deadlines the one of the source that comes first in order
+runs; of equal remainders the source that comes first gets the share; rows of a source are
+ordered by a hash of doc_id, then by a hash of all their values, so a task that runs again
+gives the same order, and rows that still tie are equal in every column.
 
 Defined cases: a null source is a source of its own; sources without a given weight raise;
 a repeated doc_id is a row of its own; an empty table gives an empty result; other columns
@@ -21,24 +28,23 @@ are kept, but columns named as an output column are replaced.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinloom.llm.ranking import ranked
+from clinloom.llm.slices import private
 
-#: Documents in a block.
-BLOCK_ROWS = 64
+#: Documents in a block, unless that makes more than MAX_SLOTS blocks.
+BLOCK_ROWS, MAX_SLOTS = 64, 1 << 17
 #: Weights are rounded to multiples of 1 / QUANTUM, or finer ones in a longer schedule.
 QUANTUM = 1000
-#: Hash ranges in which a source is ranked.
-BUCKETS = 256
+#: Rows of a source that a task ranks, in expectation.
+RANKED_ROWS = 16_384
 #: More distinct sources than this are refused: the schedule is held on the driver.
 MAX_SOURCES = 4096
-#: A longer schedule is joined by a shuffle, not by broadcast.
-BROADCAST_ROWS = 500_000
 NULL = "\x00"
 OUTPUT = ("block", "offset", "phase", "release", "deadline", "slot")
 
@@ -67,17 +73,17 @@ def fine_quantum(blocks: Mapping[str, int]) -> int:
     return max(QUANTUM, min(2 * slots * len(blocks), (1 << 62) // max(slots, 1)))
 
 
-def edf_period(share: Mapping[str, int], left: Mapping[str, int] | None = None) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period of sum(share) slots, earliest deadline first.
+def edf(share: Mapping[str, int], left: Mapping[str, int] | None = None) -> dict[str, list[int]]:
+    """Slots of each source's blocks, earliest deadline first, until a source has had ``left`` blocks.
 
-    With ``left``, the simulation ends when a source has had that many blocks.
+    Without ``left``, one period of sum(share) slots. Equal deadlines go to the first source in order.
     """
     period = sum(share.values())
     slots: dict[str, list[int]] = {s: [] for s in share}
     waiting = [(0, s) for s in sorted(share)]  # (release, source)
     heapq.heapify(waiting)
     ready: list[tuple[int, str]] = []  # (deadline, source)
-    for t in range(period):
+    for t in range(period if left is None else sum(left.values())):
         while waiting and waiting[0][0] <= t:
             _, s = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(len(slots[s]) + 1) * period // share[s]), s))
@@ -87,37 +93,36 @@ def edf_period(share: Mapping[str, int], left: Mapping[str, int] | None = None)
         slots[s].append(t)
         if left is not None and len(slots[s]) == left[s]:
             break
-        if len(slots[s]) < share[s]:
+        if left is not None or len(slots[s]) < share[s]:
             heapq.heappush(waiting, (len(slots[s]) * period // share[s], s))
     return slots
 
 
-def phases(share: Mapping[str, float], blocks: Mapping[str, int], quantum: int | None = None) -> list[dict]:
-    """The phases of the whole schedule: who is active, from which block and slot, until one runs out.
+def schedule(weights: Mapping[str, float], blocks: Mapping[str, int], quantum: int | None = None) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, block, phase, release, deadline, slot) of every block of the whole schedule, phase by phase.
 
-    With a ``quantum``, ``share`` holds weights, which are rounded to it in each phase.
+    A phase ends when a source has had all its blocks; among equals all that end then leave.
     """
-    done = {s: 0 for s in share}
-    active = {s: a for s, a in share.items() if blocks.get(s, 0) > 0}
-    out, base = [], 0
-    while active:
-        given, left = active, {s: blocks[s] - done[s] for s in active}
-        active = active if quantum is None else shares(active, quantum)
-        slots, period = edf_period(active, left), sum(active.values())
-        if any(len(slots[s]) == left[s] for s in active):
-            length = max(x[-1] for x in slots.values() if x) + 1
-            took = {s: len(x) for s, x in slots.items()}
-        else:
-            last = {s: (left[s] - 1) // a * period + slots[s][(left[s] - 1) % a] for s, a in active.items()}
-            length = min(last.values()) + 1
-            rounds, rest = divmod(length, period)
-            took = {s: rounds * a + sum(x < rest for x in slots[s]) for s, a in active.items()}
-        for s, a in active.items():
-            out.append({"source": s, "first": done[s], "end": done[s] + took[s], "slot": base, "period": period, "share": a, "slots": slots[s], "phase": len({r["slot"] for r in out} | {base}) - 1})
-            done[s] += took[s]
-        base += length
-        active = {s: w for s, w in given.items() if done[s] < blocks[s]}
-    return out
+    quantum = quantum or fine_quantum(blocks)
+    left = {s: n for s, n in blocks.items() if n > 0}
+    base = phase = 0
+    while left:
+        share = shares({s: weights[s] for s in left}, quantum)
+        period, slots, length = sum(share.values()), edf(share, left), 0
+        for s, taken in slots.items():
+            first, length = blocks[s] - left[s], length + len(taken)
+            for i, t in enumerate(taken):
+                yield s, first + i, phase, base + i * period // share[s], base - (-(i + 1) * period // share[s]), base + t
+        left = {s: n - len(slots[s]) for s, n in left.items() if n > len(slots[s])}
+        base, phase = base + length, phase + 1
+
+
+def block_size(rows: Mapping[str, int], least: int = BLOCK_ROWS, most: int = MAX_SLOTS) -> int:
+    """Rows of a block: ``least`` times a power of two, so that there are at most ``most`` blocks and one a source."""
+    size = least
+    while sum(rows.values()) // size > most:
+        size *= 2
+    return size
 
 
 def mix(df: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, quantum: int | None = None, temper: float = 0.5) -> DataFrame:
@@ -128,46 +133,24 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, block_rows: i
     and offset orders the documents of a block.
     """
     df = df.drop(*OUTPUT)
-    named = df.withColumn("__source", F.coalesce(F.col("source"), F.lit(NULL)))
-    counts = named.groupBy("__source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
+    own = private(df, "source", "ranges", "rank")
+    source = own["source"]
+    named = df.withColumn(source, F.coalesce(F.col("source"), F.lit(NULL)))
+    counts = named.groupBy(source).agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = {r["__source"]: r["n"] for r in counts}
+    rows = {r[source]: r["n"] for r in counts}
     given = {s: n**temper for s, n in rows.items()} if weights is None else {s: weights[None if s == NULL and None in weights else s] for s in rows}
-    blocks = {s: -(-n // block_rows) for s, n in rows.items()}
-    if not rows:
-        plan = []
-    else:
-        plan = phases(given, blocks, fine_quantum(blocks)) if quantum is None else phases(shares(given, quantum), blocks)
-    by_source: dict[str, list] = {}
-    for r in plan:
-        if r["end"] > r["first"]:
-            by_source.setdefault(r["source"], []).append((r["phase"], r["first"], r["end"], r["slot"], r["period"], r["share"]))
-    schema = "__source string, __phases array<struct<phase int, first long, end long, base long, period long, share long>>"
-    table = df.sparkSession.createDataFrame([(s, p) for s, p in by_source.items()], schema)
-    flat = [(r["source"], r["phase"], r["slots"]) for r in plan if r["slots"]]
-    offsets = pa.table({
-        "__source": pa.array([s for s, _, x in flat for _ in x], pa.string()),
-        "__phase": pa.array([k for _, k, x in flat for _ in x], pa.int32()),
-        "__turn": pa.array([i for _, _, x in flat for i in range(len(x))], pa.int64()),
-        "__offset": pa.array([t for _, _, x in flat for t in x], pa.int64()),
-    })
-    offsets = df.sparkSession.createDataFrame(offsets)
-    out = ranked(named, "__source", F.xxhash64("doc_id"), BUCKETS, "__rank")
-    out = out.withColumn("block", F.expr(f"__rank div {block_rows}")).withColumn("offset", F.col("__rank") % block_rows)
-    out = out.join(F.broadcast(table), "__source")
-    out = out.withColumn("__p", F.expr("filter(__phases, p -> block >= p.first and block < p.end)[0]")).drop("__phases")
-    out = out.withColumn("__i", F.expr("block - __p.first")).withColumn("__phase", F.col("__p.phase")).withColumn("__turn", F.expr("__i % __p.share"))
-    out = out.join(F.broadcast(offsets) if sum(len(x) for _, _, x in flat) <= BROADCAST_ROWS else offsets, ["__source", "__phase", "__turn"])
-    return out.select(
-        *df.columns,
-        "block",
-        "offset",
-        F.col("__p.phase").alias("phase"),
-        F.expr("__p.base + (__i * __p.period) div __p.share").alias("release"),
-        F.expr("__p.base + ((__i + 1) * __p.period + __p.share - 1) div __p.share").alias("deadline"),
-        F.expr("__p.base + (__i div __p.share) * __p.period + __offset").alias("slot"),
-    )
+    size = block_size(rows, block_rows)
+    plan = list(zip(*schedule(given, {s: -(-n // size) for s, n in rows.items()}, quantum), strict=True)) or [[]] * 6
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = [source, "block", "phase", "release", "deadline", "slot"]
+    table = df.sparkSession.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(plan, kinds, strict=True)], names=names))
+    ranges = df.sparkSession.createDataFrame([(s, -(-n // RANKED_ROWS)) for s, n in rows.items()], f"`{source}` string, `{own['ranges']}` long")
+    out = ranked(named.join(F.broadcast(ranges), source), source, F.xxhash64("doc_id"), own["ranges"], own["rank"])
+    out = out.withColumn("block", F.expr(f"{own['rank']} div {size}")).withColumn("offset", F.col(own["rank"]) % size)
+    # One row a block: at most MAX_SLOTS and one for each source, whatever the size of the corpus.
+    return out.join(F.broadcast(table), [source, "block"]).select(*df.columns, *OUTPUT)
 
 
 def in_schedule_order(mixed: DataFrame) -> DataFrame:
