@@ -1,6 +1,8 @@
+import math
+
 import corpus_pipeline as cp
 
-from clinloom.llm import ngram_jaccard, pfair_mix, quality_cnn
+from clinloom.llm import ngram_jaccard, pfair_mix, quality_cnn, queries
 from clinloom.session import materialize
 
 
@@ -30,9 +32,58 @@ def test_stages(spark, sf_dir):
     assert [k for f in files for k in pq.read_table(f)["doc_id"].to_pylist()] == order
 
 
-def test_run_equals_the_stages(spark, sf_dir):
+def test_run_equals_brute_force(spark, sf_dir):
+    """The whole run against plain versions of its five stages, on all documents."""
+    import public_tokenizers
+    import test_ngram_jaccard
+    import test_nnls_pack
+    import test_pfair_mix
+    import test_pii_brute_force
+    import test_quality_cnn
+    from tokenizers import Tokenizer
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = {r["doc_id"]: r.asDict() for r in table.collect()}
+    model = quality_cnn.train(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    logit = {k: test_quality_cnn.brute(model, (d["text"] or "").encode()) for k, d in docs.items()}
+    cut = math.log(queries.QUALITY_KEEP / (1 - queries.QUALITY_KEEP))
+    assert all(abs(x - cut) > 1e-3 for x in logit.values())
+    kept = {k: d for k, d in docs.items() if logit[k] > cut}
+    groups = test_ngram_jaccard.brute([(k, d["text"]) for k, d in kept.items()], 5, 80, 100)
+    kept = {k: d for k, d in kept.items() if (str(k), str(k)) in {(i, c) for i, _, c in groups}}
+    texts = {k: test_pii_brute_force.brute(queries.PII_KEY, d["text"])[0] for k, d in kept.items()}
+    assert texts != {k: d["text"] for k, d in kept.items()} and len(kept) < len(docs)
+    n = {s: sum(d["source"] == s for d in kept.values()) for s in {d["source"] for d in kept.values()}}
+    size = pfair_mix.block_size(n)
+    blocks = {s: -(-x // size) for s, x in n.items()}
+    want = test_pfair_mix.slot_by_slot({s: x**0.5 for s, x in n.items()}, blocks, pfair_mix.fine_quantum(blocks))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for k, t in texts.items()}
+
+    rows = [tuple(r) for r in cp.run(spark, sf_dir).collect()]
+    test_nnls_pack.check(rows, ids)
+    mixed = cp.mixture(spark, spark.createDataFrame([tuple(d.values()) for d in kept.values()], table.schema), sf_dir).collect()
+    slots = [want[s, b][3] for s, b in sorted(want, key=lambda x: want[x][3])]
+    sources = [r["source"] for r in mixed]
+    at = 0
+    for (s, b), _ in zip(sorted(want, key=lambda x: want[x][3]), slots, strict=True):
+        length = min(size, n[s] - b * size)
+        assert sources[at : at + length] == [s] * length
+        at += length
+    assert at == len(mixed) == len(kept)
+
+
+def test_run_keeps_no_intermediate_documents(spark, sf_dir):
+    import os
+
+    from clinloom.session import scratch_root
+
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
     out = cp.run(spark, sf_dir)
-    assert out.count() > 0 and "sequence_id" in out.columns and cp.ORACLE_SQL is None
+    left = {x for x in set(os.listdir(root)) - before if "-" in x}
+    assert [x for x in left if not x.startswith("pipeline-mixture")] == [] and out.count() > 0
+    assert "sequence_id" in out.columns and cp.ORACLE_SQL is None
     assert [n for n, _ in cp.STAGES] == ["quality", "near_duplicates", "pseudonyms", "mixture", "packing"]
 
 

@@ -30,6 +30,19 @@ def test_equals_brute_force(model, monkeypatch, slab):
     assert np.allclose(model.logits(*q.to_blocks(texts)), [brute(model, t) for t in texts], atol=1e-3)
 
 
+@pytest.mark.parametrize("slab", [1, 2, 5, 64, 1 << 15])
+def test_winners_do_not_depend_on_slabs(model, monkeypatch, slab):
+    r = np.random.default_rng(4)
+    blocks, first = q.to_blocks([bytes(r.integers(0, 256, n).astype(np.uint8)) for n in (0, 5, 16, 17, 300, 8 * 40, 33)])
+    both = model.embed[blocks].reshape(len(blocks), -1) @ model.left
+    got = both[:-1, : q.FILTERS] + both[1:, q.FILTERS :]
+    end = np.append(first[1:], len(blocks)) - 1
+    want = np.stack([a + got[a:b].argmax(0) for a, b in zip(first, end, strict=True)])
+    monkeypatch.setattr(q, "SLAB", slab)
+    at, best = q._winners(model, blocks, first)
+    assert np.allclose(best, np.take_along_axis(got, want, 0), atol=1e-4) and np.allclose(np.take_along_axis(got, at, 0), best, atol=1e-4)
+
+
 def test_learns_a_marker():
     r = np.random.default_rng(3)
     words = lambda n: " ".join("".join(chr(97 + c) for c in r.integers(0, 26, 5)) for _ in range(n))
