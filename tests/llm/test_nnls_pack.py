@@ -19,7 +19,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
@@ -30,9 +29,20 @@ def test_stretches_change_no_id(plain, text):
     assert np.frombuffer(k.encoder(PATH).encode([text])[0], "<u4").tolist() == plain(text)
 
 
-def test_special_strings_are_text(plain):
-    text = "it's <|endoftext|>  don't\n\n've"
-    assert np.frombuffer(k.encoder(PATH).encode([text])[0], "<u4").tolist() == plain(text) and 50256 not in plain(text)
+def test_added_tokens_in_the_text(plain):
+    """Where the text spells an added token, the ids are the tokenizer's own: at ends, doubled, against words and marks."""
+    t = "<|endoftext|>"
+    texts = ["hello" + t, t + "hello", t + t, f"it's {t}  don't\n\n've", f"a {t} b", f"x!{t}?y", f"end.{t}\n{t}", "<|endoftext |>", "<|endoftext|", f" {t} " * 3, "no mark here", "", f"{t}\x01 a b"]
+    for text, ids in zip(texts, k.encoder(PATH).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain(text), text
+    assert plain("hello" + t) == [31373, 50256]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "a", " ", "\n", ".", "<|", "|>", "endoftext", "é"]), max_size=12))
+def test_added_tokens_anywhere(plain, parts):
+    text = "".join(parts)
+    assert np.frombuffer(k.encoder(PATH).encode([text])[0], "<u4").tolist() == plain(text)
 
 
 def test_equals_the_other_library(plain):
@@ -98,6 +108,28 @@ def test_least_squares_finds_an_exact_cover():
     assert (x >= 0).all() and (grad > -0.05).all() and abs((grad * x).sum()) < 1.0
 
 
+def test_most_windows_come_from_the_plan():
+    r = np.random.default_rng(5)
+    lengths = r.integers(1, 1024, 6000)
+    h = np.bincount(lengths, minlength=1025)
+    planned = k.plan(h)
+    used = np.zeros(1025, np.int64)
+    for combo, n in planned:
+        assert sum(combo) == 1024 and n > 0
+        for x in combo:
+            used[x] += n
+    assert (used <= h).all() and sum(n for _, n in planned) > 0.8 * lengths.sum() / 1024
+
+
+def test_supported_combinations():
+    h = np.zeros(65, np.int64)
+    h[[10, 54, 20, 44, 30, 34, 24, 40]] = [5, 5, 1, 9, 3, 3, 2, 2]
+    combos = k.combinations(np.flatnonzero(h[1:64]) + 1, 64)
+    few = {tuple(c) for c in k.supported(combos, h, 1).tolist()}
+    assert few <= {tuple(c) for c in combos.tolist()} and {x for c in few for x in c if x} == {x for c in combos.tolist() for x in c if x}
+    assert len(k.supported(combos[:0], h)) == 0
+
+
 def test_odd_rows(odd, empty, plain):
     keyed = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     docs = {r["doc_id"]: plain(r["text"] or "") + [0] for r in keyed.collect()}
