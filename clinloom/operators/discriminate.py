@@ -43,7 +43,7 @@ def case_split(df: DataFrame, share: float = 0.25, seed: str = "0") -> DataFrame
 
 
 @F.udf(VectorUDT())
-def _sublinear(v: SparseVector) -> SparseVector:
+def _sublinear(v):
     """1 + log of each count; one of the few steps on vectors that no built-in has."""
     return SparseVector(v.size, v.indices, 1 + np.log(v.values))
 
