@@ -12,7 +12,8 @@ the tables that reach the driver and the tasks are bounded by the sample. Scorin
 pass over whole texts without a shuffle. Scores of distinct tokens are kept in a bounded
 cache of each worker, as most tokens of a text have been seen before.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; a word that
+Defined cases: null texts and texts without a letter (digits, fractions, numerals and marks are
+none) are ``und`` with score 0; a word that
 no table knows counts for nothing, and if no word counts, all languages are even and the
 first in order is given; an empty sample makes every text ``und``; repeated rows get equal
 answers; an empty table gives an empty result.
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clinloom.llm.slices import slices
 from clinloom.session import ship
 
 #: Documents of each language that the model is fitted on, in expectation.
@@ -43,12 +45,15 @@ MAX_LANGUAGES = 256
 UNKNOWN = "und"
 #: Tokens whose scores a worker keeps.
 CACHE = 400_000
-CHUNK_CHARS = 4_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, lower-cased. Letters are what ``str.isalpha`` says: no numerals, fractions or circled digits."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -159,7 +164,7 @@ def train(docs: DataFrame, allowed: Column | None = None, rows: int = SAMPLE_DOC
     sample = known.where(F.pmod(F.xxhash64(F.lit("language"), F.col(key)), F.lit(slots)) < rate).select(F.col(lang), F.col(text))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = count_sample(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             yield pa.RecordBatch.from_pydict(
                 {"lang": [k[0] for k in found], "size": pa.array([k[1] for k in found], pa.int32()), "entry": [k[2] for k in found], "n": pa.array(list(found.values()), pa.int64())},
@@ -189,17 +194,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         if own is None:
             _models.clear()
             own = _models[str(shared._path)] = Model(*shared.value)
-        for batch in batches:
-            texts, labels, scores, i = batch.column(at).to_pylist(), [], [], 0
-            while i < len(texts):
-                j, chars = i, 0
-                while j < len(texts) and chars < CHUNK_CHARS:
-                    chars += len(texts[j] or "")
-                    j += 1
-                a, b = own.predict(texts[i:j])
-                labels += a
-                scores += b
-                i = j
+        for batch in slices(batches, at):
+            labels, scores = own.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)

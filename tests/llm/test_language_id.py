@@ -62,3 +62,10 @@ def test_held_out_accuracy(spark):
     assert len(out) == len(truth) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
     held = [r["lang_pred"] == truth[r["doc_id"]] for r in out if r["held_out"]]
     assert sum(held) / len(held) > 0.97
+
+
+def test_numerals_are_no_letters(spark):
+    assert li.words_of("½ ² Ⅷ ① 5a a½b x²") == ["a", "a", "b", "x"]
+    model = li.build(li.count_sample([("de", "der die das der die das ½"), ("en", "the a an the a an")]))
+    labels, scores = model.predict(["½ ²", "Ⅷ ①", "7 _ !", "der ½", "²der"])
+    assert labels == ["und", "und", "und", "de", "de"] and scores[:3] == [0.0, 0.0, 0.0]
