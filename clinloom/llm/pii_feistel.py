@@ -33,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clinloom.llm.slices import private
+
 ROUNDS = 10
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
@@ -49,8 +51,8 @@ def _named(words: tuple[str, ...]) -> str:
     return "|".join(any_case(w) + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?" for w in words)
 
 
-#: A cheap test of one character comes before the long look behind.
-_BEFORE = r"(?<=[\s:=\"'])"
+#: A cheap test of what stands right before a value comes before the long look behind.
+_BEFORE = r"(?<=[:=]\s{0,3}[\"']?)"
 _TOKEN = r"[0-9A-Za-z_+/=~-]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: kind -> what it looks like; earlier kinds win at the same place.
@@ -68,6 +70,8 @@ LOOKS = {
     "ipv4": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
 }
 PATTERN = "|".join(LOOKS.values())
+#: What every match has in or right before it: a text without one of these has no match, and is not looked at further.
+SIGNS = "[@0-9:=]|AKIA"
 #: The end of a text that a credential follows, and more characters than it can have.
 CREDENTIAL_NEXT, NEXT_LENGTH = f"(?:{_named(PASSWORD_WORDS + TOKEN_WORDS)})$", 40
 
@@ -196,12 +200,14 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", spans: str = "pii"
     ``spans`` holds (kind, start, length) in code points of the text, from 0.
     """
     pattern = _text(PATTERN)
-    out = df.withColumn("__ms", F.expr(f"regexp_extract_all({text}, {pattern}, 0)"))
-    out = out.withColumn("__between", F.expr(f"if(size(__ms) > 0, split({text}, {pattern}, -1), null)"))
-    out = out.withColumn("__new", F.expr(f"if(size(__ms) > 0, transform(__ms, (m, at) -> {mapped_match(key, 'm', '__between[at]')}), null)"))
-    joined = "concat(array_join(transform(__ms, (m, i) -> concat(__between[i], coalesce(__new[i].new, m))), ''), __between[size(__ms)])"
-    step = "named_struct('at', acc.at + length(__between[i]) + length(__ms[i]), 'out', if(__new[i].new is null, acc.out, concat(acc.out, array(named_struct('kind', __new[i].kind, 'start', acc.at + length(__between[i]), 'length', length(__ms[i]))))))"
+    own = private(df.select("*", F.lit(0).alias(spans)), "ms", "new", "between")
+    ms, new, between = own["ms"], own["new"], own["between"]
+    out = df.withColumn(ms, F.expr(f"if({text} rlike {_text(SIGNS)}, regexp_extract_all({text}, {pattern}, 0), array())"))
+    out = out.withColumn(between, F.expr(f"if(size({ms}) > 0, split({text}, {pattern}, -1), null)"))
+    out = out.withColumn(new, F.expr(f"if(size({ms}) > 0, transform({ms}, (m, at) -> {mapped_match(key, 'm', f'{between}[at]')}), null)"))
+    joined = f"concat(array_join(transform({ms}, (m, i) -> concat({between}[i], coalesce({new}[i].new, m))), ''), {between}[size({ms})])"
+    step = f"named_struct('at', acc.at + length({between}[i]) + length({ms}[i]), 'out', if({new}[i].new is null, acc.out, concat(acc.out, array(named_struct('kind', {new}[i].kind, 'start', acc.at + length({between}[i]), 'length', length({ms}[i]))))))"
     empty = "cast(array() as array<struct<kind: string, start: int, length: int>>)"
-    listed = f"aggregate(sequence(0, size(__ms) - 1), named_struct('at', 0, 'out', {empty}), (acc, i) -> {step}, acc -> acc.out)"
-    out = out.withColumn(spans, F.expr(f"if(size(__ms) > 0, {listed}, {empty})"))
-    return out.withColumn(text, F.expr(f"if(size(__ms) > 0, {joined}, {text})")).drop("__ms", "__new", "__between")
+    listed = f"aggregate(sequence(0, size({ms}) - 1), named_struct('at', 0, 'out', {empty}), (acc, i) -> {step}, acc -> acc.out)"
+    out = out.withColumn(spans, F.expr(f"if(size({ms}) > 0, {listed}, {empty})"))
+    return out.withColumn(text, F.expr(f"if(size({ms}) > 0, {joined}, {text})")).drop(ms, new, between)
