@@ -1,3 +1,6 @@
+import math
+import random
+
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -50,10 +53,46 @@ def test_score_is_the_best_of_all_segmentations():
         assert c.count(text)[1] == best("▁" + text.replace(" ", "▁"))
 
 
-def test_refuses_what_it_cannot_cut():
-    for bad in ([("a", 0.5)], [("a▁b", -1.0)], [("a\n", -1.0)]):
-        with pytest.raises(ValueError):
-            u.Counter(bad)
+def log_probabilities(seed, pieces):
+    r = random.Random(seed)
+    drawn = {p: r.random() + 0.001 for p in pieces}
+    return [(p, math.log(x / sum(drawn.values()))) for p, x in drawn.items()]
+
+
+FRACTIONAL = log_probabilities(1, [p for p, _ in TIED] + ["▁b", "▁▁", "▁▁a", "c", "bc", "é"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab cé\n🙂", max_size=60))
+def test_fractional_scores(text):
+    c, floor = u.Counter(FRACTIONAL), min(s for _, s in FRACTIONAL)
+    assert c.count(text)[0] == exact(FRACTIONAL, floor)(text)
+
+
+#: Tenths add up differently from different starts, so that rounding decides between equal paths.
+TENTHS = [("a", -0.1), ("b", -0.2), ("ab", -0.3), ("ba", -0.3), ("aba", -0.4), ("▁", -0.1), ("▁a", -0.2), ("aa", -0.2), ("bb", -0.4), ("▁ab", -0.4)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab ", min_size=1, max_size=80))
+def test_rounding_decides_as_in_the_tokenizer(text):
+    assert u.Counter(TENTHS).count(text)[0] == exact(TENTHS, -0.4)(text)
+
+
+def test_fractional_scores_of_long_texts():
+    r = random.Random(4)
+    for pieces in (FRACTIONAL, TENTHS):
+        c, e = u.Counter(pieces), exact(pieces, min(s for _, s in pieces))
+        for _ in range(30):
+            text = "".join(r.choice("aabb  c") for _ in range(3000))
+            assert c.count(text)[0] == e(text)
+
+
+def test_pieces_across_words():
+    pieces = [("a", -1.0), ("b", -1.0), ("▁", -1.0), ("a▁b", -1.5), ("b\na", -1.2), ("\n", -1.0)]
+    c, e = u.Counter(pieces), exact(pieces, -1.5)
+    for text in ("a b", "a b\na b", "b\n\na", "ab ba a b"):
+        assert c.count(text)[0] == e(text)
 
 
 def test_cache_bound(real, monkeypatch):
