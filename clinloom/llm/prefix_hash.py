@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clinloom.llm.slices import slices
 from clinloom.session import ship
 
 WIDTH, KEEP = 8, 64
@@ -175,7 +176,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = hashlib.sha256(edited(text, following[3]).encode("utf-8", "surrogatepass")).hexdigest()
         rows.append((row[2], row[4].n, digest, written(own), written(changed), likeness(own, changed), likeness(own, other), common_extension(row[4], 0, new, 0)))
 
-    for batch in batches:
+    for batch in slices(batches, 3):
         for bucket, guest, key, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if guest and not ready:
                 continue
@@ -191,6 +192,21 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
 
 
+def _placed(rows: DataFrame, cuts: list[int]) -> DataFrame:
+    """``rows`` with the ``bucket`` of _id: how many cuts are below it.
+
+    Cuts are looked up in two steps of about their number's square root: first the run of
+    cuts, by its last one, then the place in it, which comes with a broadcast row a run.
+    """
+    width = max(1, round(len(cuts) ** 0.5))
+    runs = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    schema = "_run int, _first int, _cuts array<long>"
+    table = rows.sparkSession.createDataFrame([(i, min(i * width, len(cuts)), run) for i, run in enumerate([*runs, []])], schema)
+    lasts = F.lit([run[-1] for run in runs]).cast("array<long>")
+    found = rows.withColumn("_run", F.size(F.filter(lasts, lambda c: c < F.col("_id")))).join(F.broadcast(table), "_run")
+    return found.withColumn("bucket", F.col("_first") + F.size(F.filter("_cuts", lambda c: c < F.col("_id")))).drop("_run", "_first", "_cuts")
+
+
 def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and the likenesses."""
     spark = docs.sparkSession
@@ -200,8 +216,7 @@ def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
     order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     cuts = rows.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts)) if ranges > 1 else []
-    bucket = F.expr(f"size(filter(array({', '.join(f'{c}L' if c > -(1 << 63) else '(-9223372036854775807L - 1)' for c in cuts)}), c -> c < _id))") if cuts else F.lit(0)
-    placed = rows.withColumn("_id", order).withColumn("bucket", bucket)
+    placed = _placed(rows.withColumn("_id", order), cuts)
     heads = sorted((r["bucket"], r["m"]) for r in placed.groupBy("bucket").agg(F.min("_id").alias("m")).collect())
     before = {m: heads[i - 1][0] for i, (_, m) in enumerate(heads)}
     table = spark.createDataFrame(list(before.items()), "_id long, _before int")

@@ -32,6 +32,50 @@ def test_fingerprints(a, b):
     assert (ph.written(x) == ph.written(y)) == (a == b) and ph.written(ph.parsed(ph.written(x))) == ph.written(x)
 
 
+def mixed(x):
+    """The product's mixing of a span's hash, with Python's integers."""
+    m = (1 << 64) - 1
+    x = (x ^ x >> 15) * 0x9E3779B97F4A7C15 & m
+    x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & m
+    return x >> 24
+
+
+def spans(t):
+    """The set of a text's real substrings of eight code points; a shorter text is one."""
+    return {t[i : i + ph.WIDTH] for i in range(max(1, len(t) - ph.WIDTH + 1))}
+
+
+def polynomial(span):
+    """The hash of a span by its definition: its code points, each one more, times powers of the base."""
+    return sum((ord(c) + 1) * pow(ph.BASES[0], i, ph.MODULI[0]) for i, c in enumerate(span)) % ph.MODULI[0]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="abc é🙂", max_size=150), st.text(alphabet="abc é🙂", max_size=150))
+def test_likeness_equals_sets_of_substrings(a, b):
+    """With sketches as large as the sets the likeness is the exact Dice share; in general that of the least hashes."""
+    x, y = ph.fingerprint(a), ph.fingerprint(b)
+    hashes = [sorted({mixed(polynomial(s)) for s in spans(t)}) for t in (a, b)]
+    assert [f[2].tolist() for f in (x, y)] == [h[: ph.KEEP] for h in hashes]
+    union = sorted(set(hashes[0][: ph.KEEP]) | set(hashes[1][: ph.KEEP]))[: ph.KEEP]
+    both = sum(h in hashes[0][: ph.KEEP] and h in hashes[1][: ph.KEEP] for h in union)
+    j = both / len(union)
+    assert abs(ph.likeness(x, y) - (1.0 if a == b else 2 * j / (1 + j))) < 1e-12
+    s, t = spans(a), spans(b)
+    if len(s | t) <= ph.KEEP:
+        assert abs(ph.likeness(x, y) - 2 * len(s & t) / (len(s) + len(t))) < 1e-12
+
+
+def test_many_cuts_are_found(spark):
+    import bisect
+
+    cuts = sorted({(i * 7919) % 100_003 - 50_000 for i in range(3000)} | {-(1 << 63)})
+    rows = spark.range(-60_000, 60_000, 37).withColumnRenamed("id", "_id")
+    for some in (cuts, cuts[:1], cuts[:2], []):
+        for r in ph._placed(rows, some).collect()[::50]:
+            assert r["bucket"] == bisect.bisect_left(some, r["_id"])
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     out = []
