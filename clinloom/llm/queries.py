@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinloom.llm import extendible_shards, language_id, ngram_jaccard, nnls_pack, pfair_mix, pii_feistel, prefix_hash, quality_cnn, transport_stream, unigram_count
+from clinloom.llm import conversation_repair, extendible_shards, language_id, ngram_jaccard, nnls_pack, pfair_mix, pii_feistel, prefix_hash, quality_cnn, transport_stream, unigram_count
 
 SHARD_BYTES = 8 << 20
 
@@ -103,6 +103,14 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards.assign_shards(_documents(spark, sf_dir), "doc_id", F.octet_length("text"), SHARD_BYTES)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after the dealt damage, its cheapest repair and the repaired rows' digest."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    broken = conversation_repair.damaged(turns)
+    found = conversation_repair.with_all(conversation_repair.audits(broken), turns)
+    return conversation_repair.digests(broken, found)
+
+
 QUERIES = {
     "op1_transport_stream": op1_transport_stream,
     "op2_quality_cnn": op2_quality_cnn,
@@ -114,6 +122,7 @@ QUERIES = {
     "op8_nnls_pack": op8_nnls_pack,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_extendible_shards": op10_extendible_shards,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
