@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinloom.llm import conversation_repair, extendible_shards, language_id, ngram_jaccard, nnls_pack, pfair_mix, pii_feistel, prefix_hash, quality_cnn, transport_stream, unigram_count
+from clinloom.llm import conversation_repair, extendible_shards, language_id, ngram_jaccard, nnls_pack, pfair_mix, pii_feistel, prefix_hash, quality_cnn, source_divergence, transport_stream, unigram_count
 
 SHARD_BYTES = 8 << 20
 
@@ -111,6 +111,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digests(broken, found)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every source's terms differ from the other sources' of its language, and which it uses more than its language."""
+    return source_divergence.divergence(_documents(spark, sf_dir).select("text", "lang", "source"))
+
+
 QUERIES = {
     "op1_transport_stream": op1_transport_stream,
     "op2_quality_cnn": op2_quality_cnn,
@@ -123,6 +128,7 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_extendible_shards": op10_extendible_shards,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -131,4 +137,17 @@ ORACLE_SQL: dict[str, str] = {
 s AS (SELECT x AS depth, h >> (60 - x) AS p, sum(n_bytes) AS b FROM d, range(0, 45) t(x) GROUP BY ALL),
 f AS (SELECT doc_id, n_bytes, h, min(depth) AS depth FROM d JOIN s ON h >> (60 - depth) = p WHERE b <= {SHARD_BYTES} GROUP BY doc_id, n_bytes, h)
 SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth::INTEGER, '0') END AS shard, depth::INTEGER AS depth, 0::BIGINT AS page FROM f""",
+    "op12_source_divergence": r"""WITH t AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS d FROM (SELECT r, lang, source, unnest(w) AS term FROM t) GROUP BY ALL),
+k AS (SELECT lang, term FROM c GROUP BY ALL HAVING sum(d) >= 30),
+g AS (SELECT DISTINCT lang, source FROM t),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS own, sum(n) OVER (PARTITION BY lang) AS every, sum(n) OVER (PARTITION BY lang, term) AS m FROM f),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)::HUGEINT) // (own + 5 * v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (m + 5)::HUGEINT) // (every + 5 * v)::HUGEINT AS q FROM s JOIN v USING (lang)),
+d AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x) WHERE part = 'pair' OR rank <= 50""",
 }
