@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinloom.llm import conversation_repair, extendible_shards, language_id, ngram_jaccard, nnls_pack, pfair_mix, pii_feistel, prefix_hash, quality_cnn, source_divergence, transport_stream, unigram_count
+from clinloom.llm import conversation_repair, extendible_shards, language_id, ngram_jaccard, nnls_pack, pfair_mix, pii_feistel, prefix_hash, quality_cnn, source_divergence, substring_dedup, transport_stream, unigram_count
 
 SHARD_BYTES = 8 << 20
 
@@ -116,6 +116,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(_documents(spark, sf_dir).select("text", "lang", "source"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words every document loses to documents of smaller ids, and the digest of what it keeps."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    left = substring_dedup.kept(docs, substring_dedup.repeats(docs))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return left.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_transport_stream": op1_transport_stream,
     "op2_quality_cnn": op2_quality_cnn,
@@ -129,6 +137,7 @@ QUERIES = {
     "op10_extendible_shards": op10_extendible_shards,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_source_divergence": op12_source_divergence,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
