@@ -4,7 +4,7 @@ Addresses, phone, card, account and social security numbers, network addresses,
 credentials are found by one pattern and validated (Luhn, mod 97, ranges, calendar). What
 is valid is replaced by another value of the same format: its symbols, each with its own
 alphabet or range, go through a Feistel network whose round function is SHA-256 of the key,
-the kind and the other half, taken modulo each symbol's range. So the map is a permutation
+the kind and the other half, expanded by place and taken modulo each symbol's range. So the map is a permutation
 of the format under the key: equal values get equal pseudonyms in every document, different
 values different ones, and check digits are made anew. Separators, country codes, mail
 domains and the leading digit of cards stay; separators don't enter the permutation, so a
@@ -21,10 +21,13 @@ security numbers keep to valid areas, groups and serials.
 Credentials are the values of ``password``, ``token``, ``secret``, ``api_key`` and the like, in
 any case, after ":" or "=" with or without spaces and quotes. A hexadecimal one keeps its case;
 two that differ in case only are one value, so an upper-cased copy gets the upper-cased pseudonym.
+Credentials and mail names are of any length: each run of ``RUN`` characters is permuted by itself under
+its own tweak, so the work is linear in the length and a round's state is small.
 
 Defined cases: a null text stays null, an empty one empty, both without spans; what looks
 like a number but fails validation is left; adjacent matches are handled one after another;
-repeated rows get equal results; an empty table gives an empty result; other columns are
+repeated rows get equal results; an empty table gives an empty result; a text of any length is
+handled in its row, with memory in proportion to it (a few dozen bytes a character of its longest match); other columns are
 kept, but a column named as the span column is replaced.
 """
 
@@ -36,6 +39,8 @@ from pyspark.sql import functions as F
 from clinloom.llm.slices import private
 
 ROUNDS = 10
+#: Characters of a credential or an address that are permuted together; longer ones are cut into runs.
+RUN = 256
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
 EPOCH, DAYS_HIGH, DAYS_LOW = "1900-01-01", 17, 4297
@@ -85,27 +90,40 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _feistel(key: str, kind: str, values: str, ranges: str) -> str:
-    """SQL for the permuted array of ``values`` (bigint), each below its entry of ``ranges``."""
+def _feistel(key: str, kind: str, values: str, ranges: str, run: str = "0") -> str:
+    """SQL for the permuted array of ``values`` (bigint), each below its entry of ``ranges``.
+
+    A round hashes the other half once; each symbol's number comes from that digest and its place.
+    """
     half = f"(size({ranges}) div 2)"
-    word = f"conv(substr(sha2(concat({_text(key + '|' + kind + '|')}, i, '|', j, '|', array_join({ranges}, ','), '|', rest), 256), 1, 12), 16, 10)"
-    turn = f"transform(acc, (x, j) -> if((j < {half}) = (i % 2 = 0), pmod(x + cast({word} as bigint), {ranges}[j]), x))"
     rest = f"array_join(filter(acc, (y, t) -> (t < {half}) != (i % 2 = 0)), ',')"
-    return f"aggregate(sequence(0, {ROUNDS - 1}), {values}, (acc, i) -> {_let('rest', rest, turn)})"
+    seed = f"sha2(concat({_text(key + '|' + kind + '|')}, {run}, '|', i, '|', array_join({ranges}, ','), '|', {rest}), 256)"
+    word = "conv(substr(sha2(concat(seed, '|', j), 256), 1, 12), 16, 10)"
+    turn = f"transform(acc, (x, j) -> if((j < {half}) = (i % 2 = 0), pmod(x + cast({word} as bigint), {ranges}[j]), x))"
+    return f"aggregate(sequence(0, {ROUNDS - 1}), {values}, (acc, i) -> {_let('seed', seed, turn)})"
 
 
 def _by_class(c: str) -> str:
     return f"case when {c} between '0' and '9' then '{DIGITS}' when {c} between 'a' and 'z' then '{LOWER}' when {c} between 'A' and 'Z' then '{UPPER}' else '' end"
 
 
-def _symbols(key: str, kind: str, m: str, alphabet: str) -> str:
+def _symbols(key: str, kind: str, m: str, alphabet: str, run: str = "0") -> str:
     """SQL for ``m`` with its symbols permuted; ``alphabet`` is SQL of (k: position, c: character), '' where it stays."""
-    places = f"transform(sequence(1, length({m})), k -> {_let('c', f'substr({m}, k, 1)', f'named_struct({_text('c')}, c, {_text('a')}, {alphabet})')})"
-    own = "filter(ps, p -> p.a != '')"
-    values = f"transform({own}, p -> cast(instr(p.a, p.c) - 1 as bigint))"
-    ranges = f"transform({own}, p -> cast(length(p.a) as bigint))"
-    back = "aggregate(ps, named_struct('s', '', 'n', 0), (acc, p) -> if(p.a = '', named_struct('s', concat(acc.s, p.c), 'n', acc.n), named_struct('s', concat(acc.s, substr(p.a, cast(os[acc.n] as int) + 1, 1)), 'n', acc.n + 1)), acc -> acc.s)"
-    return _let("ps", places, _let("rs", ranges, _let("os", _feistel(key, kind, values, "rs"), back)))
+    chars = f"filter(split({m}, ''), x -> x != '')"
+    places = f"transform({chars}, (c, z) -> {_let('k', 'z + 1', f'named_struct({_text("k")}, k, {_text("c")}, c, {_text("a")}, {alphabet})')})"
+    values = "transform(own, p -> cast(instr(p.a, p.c) - 1 as bigint))"
+    ranges = "transform(own, p -> cast(length(p.a) as bigint))"
+    new = "transform(own, (p, t) -> named_struct('k', p.k, 'c', substr(p.a, cast(os[t] as int) + 1, 1)))"
+    stay = "transform(filter(ps, p -> p.a = ''), p -> named_struct('k', p.k, 'c', p.c))"
+    back = f"array_join(transform(array_sort(concat({stay}, {new})), p -> p.c), '')"
+    mapped = _let("rs", ranges, _let("os", _feistel(key, kind, values, "rs", run), back))
+    return _let("ps", places, _let("own", "filter(ps, p -> p.a != '')", mapped))
+
+
+def _in_runs(key: str, kind: str, m: str, alphabet: str) -> str:
+    """``_symbols`` for a string of any length: runs of RUN characters, each under its own tweak, so work is linear in it."""
+    pieces = f"regexp_extract_all({m}, '(?s).{{1,{RUN}}}', 0)"
+    return f"array_join(transform({pieces}, (q, run) -> {_symbols(key, kind, 'q', alphabet, 'run')}), '')"
 
 
 def _numbers(key: str, kind: str, values: str, ranges: str, body: str) -> str:
@@ -132,10 +150,11 @@ def _mapped(key: str, kind: str, m: str) -> str:
     """SQL for the pseudonym of a match of a kind; null where it isn't valid."""
     after = f"length(regexp_replace(substr({m}, k + 1), '[^0-9]', ''))"
     if kind == "email":
-        return _symbols(key, kind, m, f"if(k < instr({m}, '@'), {_by_class('c')}, '')")
+        local, domain = f"substring_index({m}, '@', 1)", f"substr({m}, instr({m}, '@'))"
+        return f"concat({_in_runs(key, kind, local, _by_class('c'))}, {domain})"
     if kind in ("password", "token"):
         alphabet = f"case when {m} rlike '^[0-9a-f]+$' then {_text(HEX)} when {m} rlike '^[0-9A-F]+$' then {_text(HEX.upper())} end"
-        return _let("hx", alphabet, f"if(hx is null, {_symbols(key, kind, m, _by_class('c'))}, {_symbols(key, kind + '-hex', m, 'hx')})")
+        return _let("hx", alphabet, f"if(hx is null, {_in_runs(key, kind, m, _by_class('c'))}, {_in_runs(key, kind + '-hex', m, 'hx')})")
     if kind == "access_key":
         return _symbols(key, kind, m, f"if(k <= 4, '', {_by_class('c')})")
     if kind == "iban":
