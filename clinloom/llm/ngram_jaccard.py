@@ -76,7 +76,7 @@ BROADCAST_ROWS = 500_000
 #: Sets up to this size (and linkable to one) use prefix keys.
 SMALL = 24
 #: Bytes of text whose words are hashed at a time, and keys that a task combines at a time.
-SLAB_BYTES, COMBINE = 1 << 20, 1_500_000
+SLAB_BYTES, COMBINE = 1 << 20, 750_000
 
 U = np.uint64
 _MIX1, _MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
