@@ -123,9 +123,10 @@ def span_error(note: Column, start: Column, end: Column, quoted: Column) -> Colu
 
 
 def locate(note: Column, quoted: Column) -> Column:
-    """The 0-based place of a quotation; white space may differ. Null if it isn't there."""
+    """The 0-based place of a quotation; white space may differ. Null if it isn't there. See ``quotes`` for many of a note."""
     exact = F.instr(note, quoted)
-    flexible = F.array_join(F.transform(F.filter(F.split(quoted, r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), r"\s+")
+    plain = F.regexp_replace(quoted, r"([\\\[\](){}.*+?^$|#&~-])", r"\\$1")
+    flexible = F.array_join(F.filter(F.split(plain, r"\s+"), lambda w: w != ""), r"\s+")
     found = F.regexp_instr(note, flexible)
     return F.when(exact > 0, exact - 1).when((flexible != "") & (found > 0), found - 1)
 
@@ -136,11 +137,18 @@ def contexts(df: DataFrame, column: str, policy: Policy, terms: Iterable[str] =
     ``redactions`` counts the terms that were replaced in the patient's view; ``policy`` names
     the policy's id and version. The evaluator sees everything.
     """
+    from clinloom.operators.paths import hits
+
     terms = tuple(terms)
-    both = mask(mask(mask(df, column, policy, "Patient", terms, "patient", unicode), column, policy, "Patient", (), "_plain", unicode), column, policy, "Doctor", (), "doctor", unicode)
-    marks = lambda c: F.regexp_count(F.to_json(c), F.lit(r"\[REDACTED\]"))
-    out = both.withColumn("redactions", marks("patient") - marks("_plain")).withColumn("evaluator", F.col(column))
-    return out.drop("_plain").withColumn("policy", F.lit(f"{policy.policy_id}@{policy.version}"))
+    both = mask(mask(df, column, policy, "Patient", terms, "patient", unicode), column, policy, "Doctor", (), "doctor", unicode)
+    plain = mask(df, column, policy, "Patient", (), "patient", unicode).schema["patient"].dataType
+    pattern, flat = tx.word_pattern(terms, unicode), {p.replace("[]", "") for p in policy.redact_in}
+    # Counted where the terms are: on what the patient would see of the reference itself, not as marks in the result.
+    seen = [p for p in paths(plain) if p.replace("[]", "") in flat]
+    count = F.lit(0).cast("long")
+    for p in seen if pattern else ():
+        count = count + hits(F.col(column), df.schema[column].dataType, p, pattern)
+    return both.withColumn("redactions", count).withColumn("evaluator", F.col(column)).withColumn("policy", F.lit(f"{policy.policy_id}@{policy.version}"))
 
 
 # Where a reference's entities stand, and that each may have an array of evidence spans.

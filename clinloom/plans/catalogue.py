@@ -10,6 +10,7 @@ from clinloom.functions import text as tx
 from clinloom.operators import attempts as at
 from clinloom.operators import cohort, corpus, decomposition, dialogue, discriminate, evaluation, faults, intervals, knowledge, matching, retention, statistics, studies
 from clinloom.plans import proxies as px
+from clinloom.plans import records
 from clinloom.plans.oracle import ORACLE_SQL
 from clinloom.sources.tables import load
 
@@ -825,3 +826,9 @@ def profile_texts(spark: SparkSession, d: str) -> DataFrame:
     r = _references(spark, d).select("case_id", "reference.core.*")
     treatments = F.transform("treatments", lambda t: F.struct(t["procedure"].alias("procedure"), F.lit("not provided").alias("treatment"), t["medications"].alias("medications")))
     return r.select("case_id", F.md5(corpus.diagnoses_text(F.col("diagnoses")).cast("binary")).alias("diagnoses_md5"), F.md5(corpus.treatments_text(treatments).cast("binary")).alias("treatments_md5"))
+
+
+# --- records: see the module of that name -------------------------------------
+
+QUERIES |= records.QUERIES
+ORACLE_SQL |= records.ORACLE_SQL
