@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from clinloom.functions import responses
 from clinloom.operators import paths, progress, quotes
 from clinloom.plans import proxies as px
 from clinloom.plans.oracle import BASE
+from clinloom.session import scratch_root
 from clinloom.sources import extract
 from clinloom.sources.tables import load
+from clinloom.streaming.log import AttemptLog
 
 QUERIES: dict = {}
 
@@ -102,6 +106,16 @@ def dialogue_progress(spark: SparkSession, d: str) -> DataFrame:
     return p.select("dialogue_id", F.col("index").cast("long").alias("index"), "concluded", "exchanges", "streak", "worn", F.array_join(F.transform("counts", lambda c: c.cast("string")), ",").alias("counts"), "ended")
 
 
+@query
+def log_resume(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts appended to a log in two batches that overlap, and the next attempt of every case that is still open."""
+    a = px.attempts(spark, d).select("case_id", "attempt_index", "acceptance")
+    run = AttemptLog(spark, f"{scratch_root(spark)}/log-{uuid.uuid4().hex}", {"full_hash": "query"}, buckets=16)
+    run.append(a.where("attempt_index % 3 < 2"), "1")
+    run.append(a.where("attempt_index % 3 > 0"), "2")
+    return run.open_cases(a, F.col("acceptance").isin("ACCEPT", "PASS"), 30)
+
+
 def _any(text: str, words) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
@@ -112,6 +126,7 @@ _R = PROGRESS
 
 ORACLE_SQL = {
     "extract_scan": "SELECT o_orderpriority, count(*) AS admissions, count(DISTINCT o_custkey) AS subjects FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= '1994-01-01' AND o_orderpriority NOT IN ('5-LOW', '3-MEDIUM') GROUP BY 1",
+    "log_resume": f"""WITH {BASE} SELECT case_id, count(*) AS attempts, count(*) + 1 AS next_attempt FROM attempts GROUP BY 1 HAVING count(*) < 30 AND NOT bool_or(acceptance IN ('ACCEPT', 'PASS'))""",
     "path_values": f"WITH {_ITEMS} SELECT case_id, md5(string_agg(p_name, '|' ORDER BY p_name)) AS diagnoses_md5, md5(string_agg(p_brand, '|' ORDER BY p_brand)) AS medications_md5, any_value(year(o_orderdate)) AS year FROM i JOIN orders ON o_orderkey = case_id GROUP BY 1",
     "path_removals": f"""WITH {_ITEMS}, c AS (SELECT case_id, count(*) AS n, md5(string_agg('{{"primary":"' || p_name || '"}}', '|' ORDER BY '{{"primary":"' || p_name || '"}}')) AS left_md5 FROM i GROUP BY 1)
 SELECT case_id, path, CASE WHEN path LIKE 'context%' THEN 1 ELSE n END AS removed, left_md5 FROM c, (VALUES {', '.join(f"('{p}')" for p in DROPPED)}) AS p(path)""",
