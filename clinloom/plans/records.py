@@ -113,7 +113,7 @@ def log_resume(spark: SparkSession, d: str) -> DataFrame:
     run = AttemptLog(spark, f"{scratch_root(spark)}/log-{uuid.uuid4().hex}", {"full_hash": "query"}, buckets=16)
     run.append(a.where("attempt_index % 3 < 2"), "1")
     run.append(a.where("attempt_index % 3 > 0"), "2")
-    return run.open_cases(a, F.col("acceptance").isin("ACCEPT", "PASS"), 30)
+    return run.open_cases(a, (F.col("acceptance") == "ACCEPT") & (F.col("attempt_index") % 7 == 0), 90)
 
 
 def _any(text: str, words) -> str:
@@ -126,7 +126,7 @@ _R = PROGRESS
 
 ORACLE_SQL = {
     "extract_scan": "SELECT o_orderpriority, count(*) AS admissions, count(DISTINCT o_custkey) AS subjects FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= '1994-01-01' AND o_orderpriority NOT IN ('5-LOW', '3-MEDIUM') GROUP BY 1",
-    "log_resume": f"""WITH {BASE} SELECT case_id, count(*) AS attempts, count(*) + 1 AS next_attempt FROM attempts GROUP BY 1 HAVING count(*) < 30 AND NOT bool_or(acceptance IN ('ACCEPT', 'PASS'))""",
+    "log_resume": f"""WITH {BASE} SELECT case_id, count(*) AS attempts, count(*) + 1 AS next_attempt FROM attempts GROUP BY 1 HAVING count(*) < 90 AND NOT bool_or(acceptance = 'ACCEPT' AND attempt_index % 7 = 0)""",
     "path_values": f"WITH {_ITEMS} SELECT case_id, md5(string_agg(p_name, '|' ORDER BY p_name)) AS diagnoses_md5, md5(string_agg(p_brand, '|' ORDER BY p_brand)) AS medications_md5, any_value(year(o_orderdate)) AS year FROM i JOIN orders ON o_orderkey = case_id GROUP BY 1",
     "path_removals": f"""WITH {_ITEMS}, c AS (SELECT case_id, count(*) AS n, md5(string_agg('{{"primary":"' || p_name || '"}}', '|' ORDER BY '{{"primary":"' || p_name || '"}}')) AS left_md5 FROM i GROUP BY 1)
 SELECT case_id, path, CASE WHEN path LIKE 'context%' THEN 1 ELSE n END AS removed, left_md5 FROM c, (VALUES {', '.join(f"('{p}')" for p in DROPPED)}) AS p(path)""",
