@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinloom.operators.statistics import hash_ranked, pick
+from clinloom.operators.statistics import RANGES, hash_ranked, pick, slots
 
 
 def draws(cases: DataFrame, by: Sequence[str], resamples: int, seed: str) -> DataFrame:
@@ -22,8 +22,7 @@ def draws(cases: DataFrame, by: Sequence[str], resamples: int, seed: str) -> Dat
     cases = cases.select(*by, "case_id").distinct()
     numbered = hash_ranked(cases, by, "case_id", "ordinal")
     sizes = cases.groupBy(*by).agg(F.count(F.lit(1)).alias("_cases"))
-    slots = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cases") - 1)))
-    drawn = slots.withColumn("ordinal", pick(seed, F.col("replicate"), F.col("_slot"), F.col("_cases"))).groupBy(*by, "replicate", "ordinal").agg(F.count(F.lit(1)).alias("times"))
+    drawn = slots(sizes, by, "_cases", resamples, "_slot").withColumn("ordinal", pick(seed, F.col("replicate"), F.col("_slot"), F.col("_cases"))).groupBy(*by, "replicate", "ordinal").agg(F.count(F.lit(1)).alias("times"))
     drawn = drawn.join(numbered, [*by, "ordinal"]).select(*by, "replicate", "case_id", "times")
     return drawn.unionByName(cases.select(*by, F.lit(-1).alias("replicate"), "case_id", F.lit(1).cast("long").alias("times")))
 
@@ -61,11 +60,16 @@ def detector_intervals(df: DataFrame, by: Sequence[str], resamples: int = 2000,
     found = truth & said & F.coalesce(F.array_contains("predicted_turns", F.col("truth_turn")), F.lit(False))
     n = {"tp": truth & said, "fp": ~truth & said, "fn": truth & ~said, "located": found, "pos": truth, "neg": ~truth}
     held = df.groupBy(*by, "case_id", "score").agg(*[F.count_if(c).alias(k) for k, c in n.items()])
+    cuts = held.groupBy(*by).agg(F.percentile_approx("score", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])).alias("_cuts"))
+    held = held.join(cuts, list(by), "left").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
     weighted = draws(df, by, resamples, seed).join(held, [*by, "case_id"])
-    at = weighted.groupBy(*by, "replicate", "score").agg(*[F.sum(F.col("times") * F.col(k)).alias(k) for k in n])
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by, "replicate").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
-    sums = at.withColumn("below", below).groupBy(*by, "replicate").agg(*[F.sum(k).alias(k) for k in n], wins.alias("wins"))
+    at = weighted.groupBy(*by, "replicate", "_range", "score").agg(*[F.sum(F.col("times") * F.col(k)).alias(k) for k in n])
+    # Scores are ranked inside ranges; a range starts with what the ranges before it have.
+    back = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("neg").over(back(Window.partitionBy(*by, "replicate", "_range").orderBy("score"))), F.lit(0))
+    parts = at.withColumn("_inside", inside).groupBy(*by, "replicate", "_range").agg(*[F.sum(k).alias(k) for k in n], F.sum(F.col("pos") * (F.col("_inside") + F.col("neg") / 2)).alias("wins"))
+    before = F.coalesce(F.sum("neg").over(back(Window.partitionBy(*by, "replicate").orderBy("_range"))), F.lit(0))
+    sums = parts.withColumn("wins", F.col("wins") + F.col("pos") * before).groupBy(*by, "replicate").agg(*[F.sum(k).alias(k) for k in (*n, "wins")])
     each = sums.select(*by, "replicate", *_prf(), F.try_divide(F.col("wins"), F.col("pos") * F.col("neg")).alias("auc"), ratio(F.col("located"), F.col("tp")).alias("localisation"))
     return summarised(each, by, ("precision", "recall", "f1", "auc", "localisation"), confidence)
 

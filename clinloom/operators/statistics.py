@@ -62,18 +62,34 @@ def pick(seed: str, replicate: Column, slot: Column, n: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
 
 
+#: Slots that one row stands for until it is in its own task.
+SLOTS = 4096
+
+
+def slots(sizes: DataFrame, by: Sequence[str], cases: str, resamples: int, slot: str) -> DataFrame:
+    """``sizes`` with a row for each replicate and each of its ``cases`` slots.
+
+    Blocks of slots are dealt out by (group, replicate, block) before they become rows, to a fixed number of tasks:
+    the blocks are few and small, and Spark would else put them, and so all slots, in one.
+    """
+    blocks = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    blocks = blocks.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(cases) - 1) / SLOTS))))
+    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.repartition(tasks, *by, "replicate", "_block")
+    first = F.col("_block") * SLOTS
+    return dealt.withColumn(slot, F.explode(F.sequence(first, F.least(F.col(cases), first + SLOTS) - 1))).drop("_block")
+
+
 def bootstrap(cases: DataFrame, by: Sequence[str], resamples: int, seed: str, confidence: float = 0.95) -> DataFrame:
     """Percentile intervals of pooled means, whole cases drawn with replacement.
 
-    ``cases`` is the output of ``clusters``. A group with n cases makes n x resamples slots;
-    they are dealt by (group, replicate), and cases are numbered in the order of a hash, range
-    by range, so no group gathers in one task.
+    ``cases`` is the output of ``clusters``. A group with n cases makes n x resamples slots, which are
+    dealt out before they are made (``slots``); cases are numbered in the order of a hash, range by range.
     """
     numbered = hash_ranked(cases, by, "case_id", "ordinal")
     sizes = cases.groupBy(*by).agg(F.count(F.lit(1)).alias("cases"), (F.sum("total") / F.sum("n")).alias("estimate"))
-    slots = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cases") - 1)))
-    slots = slots.withColumn("ordinal", pick(seed, F.col("replicate"), F.col("slot"), F.col("cases")))
-    drawn = slots.join(numbered.select(*by, "ordinal", "total", "n"), [*by, "ordinal"])
+    picked = slots(sizes, by, "cases", resamples, "slot").withColumn("ordinal", pick(seed, F.col("replicate"), F.col("slot"), F.col("cases")))
+    drawn = picked.join(numbered.select(*by, "ordinal", "total", "n"), [*by, "ordinal"])
     means = drawn.groupBy(*by, "replicate", "cases", "estimate").agg((F.sum("total") / F.sum("n")).alias("mean"))
     tail = (1 - confidence) / 2
     return means.groupBy(*by, "cases", "estimate").agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))

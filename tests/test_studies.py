@@ -209,3 +209,16 @@ def test_corpus_helpers(spark):
     empty = spark.createDataFrame([(None,)], "d array<struct<primary: string, notes: string>>")
     assert empty.select(corpus.diagnoses_text(F.col("d"))).first()[0] == corpus.UNSPECIFIED
     assert [f[2] for f in corpus.FAMILIES] == ["holm", "holm", "holm", "bh"]
+
+
+def test_slots_are_dealt_before_they_are_made(spark):
+    """Every slot once, over many tasks, whatever the sizes of groups."""
+    from pyspark.sql import functions as F
+
+    from clinloom.operators import statistics
+
+    sizes = spark.createDataFrame([("a", 1), ("b", statistics.SLOTS), ("c", 3 * statistics.SLOTS + 5)], "g string, n long")
+    made = statistics.slots(sizes, ["g"], "n", 6, "slot")
+    got = {(r["g"], r["replicate"]): (r["c"], r["d"], r["least"], r["most"]) for r in made.groupBy("g", "replicate").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("slot").alias("d"), F.min("slot").alias("least"), F.max("slot").alias("most")).collect()}
+    assert got == {(g, b): (n, n, 0, n - 1) for g, n in (("a", 1), ("b", statistics.SLOTS), ("c", 3 * statistics.SLOTS + 5)) for b in range(6)}
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
