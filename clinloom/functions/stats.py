@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from collections.abc import Sequence
+from datetime import UTC, datetime
 from statistics import NormalDist, stdev
 
 from pyspark.sql import Column
@@ -61,3 +64,29 @@ def power_plan(pilot: Sequence[float], smallest: float, alpha: float = 0.05, inc
     for percent in (80, 90):
         out[f"complete_{percent}"], out[f"total_{percent}"] = required_pairs(sd, smallest, percent / 100, alpha, incomplete)
     return out
+
+
+def assert_powered(sd: float, smallest: float, planned: int, alpha: float = 0.05, incomplete: float = 0.0, target: float = 0.8) -> float:
+    """The power of a planned cohort; raises below the target."""
+    if planned < 2:
+        raise ValueError("a planned cohort has at least two cases")
+    power = achieved_power(sd, smallest, planned, alpha, incomplete)
+    if power < target:
+        raise ValueError(f"a cohort of {planned} has power {power:.3f}, below {target:.3f}")
+    return power
+
+
+def power_record(pilot: Sequence[float], smallest: float, planned: int, frozen_at: datetime, alpha: float = 0.05, incomplete: float = 0.0) -> str:
+    """Markdown that states, before a confirmatory run, what its size rests on; the pilot is named by its hash."""
+    if frozen_at.tzinfo is None:
+        raise ValueError("frozen_at needs a zone")
+    if not all(map(math.isfinite, pilot)):
+        raise ValueError("pilot differences must be finite")
+    plan = power_plan(pilot, smallest, alpha, incomplete)
+    digest = hashlib.sha256(json.dumps([float(v) for v in pilot], separators=(",", ":")).encode()).hexdigest()
+    facts = {
+        "Frozen before the run": frozen_at.astimezone(UTC).isoformat().replace("+00:00", "Z"), "Pilot pairs": plan["pilot_n"], "Pilot SHA-256": digest, "Paired standard deviation": f"{plan['paired_sd']:.8g}",
+        "Smallest difference worth finding": f"{smallest:.8g}", "Two-sided alpha": f"{alpha:.6g}", "Allowance for incomplete cases": f"{incomplete:.3%}", "Cases for 80 % power": plan["total_80"], "Cases for 90 % power": plan["total_90"],
+        "Planned cases": planned, "Power of the planned cases": f"{achieved_power(plan['paired_sd'], smallest, planned, alpha, incomplete):.3%}", "Method": "normal approximation of a two-sided paired test of means",
+    }
+    return "\n".join(["# Power of the confirmatory cohort", "", *[f"- {k}: {v}" for k, v in facts.items()], "", "Another pilot, difference, alpha, allowance or size is another run configuration.", ""])

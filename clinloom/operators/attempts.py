@@ -108,6 +108,22 @@ def costs(attempts: DataFrame, by: Sequence[str], prompt_price: float, completio
     return out.withColumn("estimated_cost", (F.col("prompt_tokens") * prompt_price + F.col("completion_tokens") * completion_price) / 1e6)
 
 
+def condition_summary(attempts: DataFrame, by: Sequence[str], prompt_price: float = 0.0, completion_price: float = 0.0) -> DataFrame:
+    """Per condition: attempts and cases, accepted cases and terminal failures, their rates, sums of costs, and cost a case.
+
+    A case is accepted by any of its attempts. Attempts are summed up by case first, so a condition's shuffle has a row a case.
+    """
+    sums = ("calls", "prompt_tokens", "completion_tokens", "wall_ms")
+    ok = F.coalesce(accepted(F.col("acceptance")), F.lit(False))
+    cases = attempts.groupBy(*by, "case_id").agg(F.count(F.lit(1)).alias("attempts"), F.max(ok).alias("_ok"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
+    out = cases.groupBy(*by).agg(F.sum("attempts").alias("attempts"), F.count(F.lit(1)).alias("cases"), F.count_if("_ok").alias("accepted_cases"), *[F.sum(c).alias(c) for c in sums])
+    n, cost = F.col("cases"), (F.col("prompt_tokens") * prompt_price + F.col("completion_tokens") * completion_price) / 1e6
+    return out.select(
+        *by, "attempts", "cases", "accepted_cases", (n - F.col("accepted_cases")).alias("terminal_failures"), (F.col("accepted_cases") / n).alias("acceptance_rate"), (F.col("attempts") / n).alias("attempts_per_case"),
+        *sums, cost.alias("estimated_cost"), (cost / n).alias("cost_per_case"),
+    )
+
+
 def latest(new: DataFrame, old: DataFrame, key: Sequence[str]) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with their keys."""
     return new.unionByName(old.join(new.select(*key).distinct(), list(key), "left_anti"))

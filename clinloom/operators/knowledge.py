@@ -193,3 +193,15 @@ def unevidenced(entities: DataFrame, notes: DataFrame, case: str) -> DataFrame:
     counts = bad.groupBy(case, "path").agg(F.count(F.lit(1)).alias("_bad"))
     joined = entities.join(counts, [case, "path"], "left")
     return joined.where(F.size("evidence") <= F.coalesce("_bad", F.lit(0))).select(case, "path")
+
+
+def reference_totals(df: DataFrame, case: str, column: str, notes: DataFrame) -> DataFrame:
+    """One row: references, those whose core names nothing, entities by kind, and how many no sound span of a note supports."""
+    kind = df.schema[column].dataType
+    core = [F.coalesce(F.size(F.col(f"{column}.core.{f.name}")), F.lit(0)) for f in kind["core"].dataType.fields if isinstance(f.dataType, T.ArrayType)]
+    empty = df.agg(F.count(F.lit(1)).alias("references"), F.count_if(sum(core[1:], F.greatest(core[0], F.lit(0))) <= 0).alias("empty_cores"))
+    entities = evidenced(df, case, column)
+    named = entities.agg(F.count(F.lit(1)).alias("entities"), *[F.count_if(F.startswith("path", F.lit(f"{g}["))).alias(g.rsplit(".", 1)[1]) for g in ENTITIES])
+    bad = unevidenced(entities, notes, case).agg(F.count(F.lit(1)).alias("unevidenced"))
+    # Three rows of one line each.
+    return empty.crossJoin(named).crossJoin(bad).withColumn("unevidenced_share", F.try_divide("unevidenced", "entities"))

@@ -212,6 +212,23 @@ def auc(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return sums.withColumn("auc", F.try_divide(F.col("wins"), F.col("positives") * F.col("negatives"))).drop("wins")
 
 
+def complete_matrix(df: DataFrame, least: int = 2) -> DataFrame:
+    """``df`` (case_id, rater), a row an extraction; raises unless each of at least ``least`` raters has each case exactly once.
+
+    Agreement over cases that some raters didn't see would be an agreement of other cases with others.
+    """
+    pairs = df.groupBy("case_id", "rater").agg(F.count(F.lit(1)).alias("n"))
+    raters = [r["rater"] for r in pairs.select("rater").distinct().orderBy("rater").limit(1001).collect()]
+    if len(raters) < least or len(raters) > 1000:
+        raise ValueError(f"{len(raters)} raters: agreement takes from {least} to 1000")
+    if twice := pairs.where("n > 1").orderBy("case_id", "rater").limit(1).collect():
+        raise ValueError(f"case {twice[0]['case_id']} has more than one extraction of {twice[0]['rater']}")
+    short = pairs.groupBy("case_id").agg(F.collect_set("rater").alias("have")).where(F.size("have") < len(raters)).orderBy("case_id").limit(5).collect()
+    if missing := [f"{r['case_id']}/{x}" for r in short for x in raters if x not in r["have"]][:5]:
+        raise ValueError(f"raters must have the same cases; missing {', '.join(missing)}")
+    return df
+
+
 def agreement(df: DataFrame, raters: int) -> DataFrame:
     """Fleiss' kappa of (case_id, rater, entity) presence: units are a case's distinct entities."""
     units = df.select("case_id", "rater", "entity").distinct().groupBy("case_id", "entity").agg(F.count(F.lit(1)).alias("p"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinloom.functions import responses
-from clinloom.operators import paths, progress, quotes
+from clinloom.operators import attempts, evaluation, knowledge, paths, progress, quotes
 from clinloom.plans import proxies as px
 from clinloom.plans.oracle import BASE
 from clinloom.session import scratch_root
@@ -116,6 +116,36 @@ def log_resume(spark: SparkSession, d: str) -> DataFrame:
     return run.open_cases(a, (F.col("acceptance") == "ACCEPT") & (F.col("attempt_index") % 7 == 0), 90)
 
 
+@query
+def condition_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Per variant and policy: attempts, cases, terminal failures, and what a case costs."""
+    s = attempts.condition_summary(px.attempts(spark, d), ["variant", "policy"], 3.0, 15.0)
+    six = [F.round(c, 6).alias(c) for c in ("acceptance_rate", "attempts_per_case", "estimated_cost", "cost_per_case")]
+    return s.select("variant", "policy", "attempts", "cases", "accepted_cases", "terminal_failures", "calls", "wall_ms", *six)
+
+
+@query
+def boundary_scores(spark: SparkSession, d: str) -> DataFrame:
+    """1 for a dialogue without a leakage event: here, a turn that names what its role may not know."""
+    t = px.turns(spark, d)
+    events = t.where(F.contains("text", F.lit("reat")) & (F.col("index") % 2 == 1)).select("dialogue_id")
+    return evaluation.boundary(t, events)
+
+
+@query
+def reference_evidence_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Of references made from documents: empty cores, entities by kind, and the share that no span supports."""
+    n = load(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.coalesce("text", F.lit("")).alias("note"))
+    k = F.col("case_id")
+    span = lambda a, b: F.struct(F.lit("n").alias("note_id"), F.lit(a).alias("char_start"), F.lit(b).alias("char_end"), F.substring("note", a + 1, 4).alias("text"))
+    item = lambda *spans: F.struct(F.array(*spans).alias("evidence"))
+    none = F.array(item(span(0, 4))).cast("array<struct<evidence: array<struct<note_id: string, char_start: int, char_end: int, text: string>>>>")
+    core = F.struct(F.when(k % 5 == 0, F.slice(none, 1, 0)).otherwise(F.array(item(span(0, 4)), item(span(2, 7)))).alias("symptoms"), F.when(k % 10 == 0, F.slice(none, 1, 0)).otherwise(F.array(item(span(3, 7), span(0, 99)))).alias("diagnoses"))
+    refs = n.select("case_id", F.struct(core.alias("core")).alias("reference"))
+    t = knowledge.reference_totals(refs, "case_id", "reference", n.select("case_id", F.lit("n").alias("note_id"), "note"))
+    return t.select("references", "empty_cores", "entities", "symptoms", "diagnoses", "unevidenced", F.round("unevidenced_share", 6).alias("unevidenced_share"))
+
+
 def _any(text: str, words) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
@@ -126,6 +156,14 @@ _R = PROGRESS
 
 ORACLE_SQL = {
     "extract_scan": "SELECT o_orderpriority, count(*) AS admissions, count(DISTINCT o_custkey) AS subjects FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= '1994-01-01' AND o_orderpriority NOT IN ('5-LOW', '3-MEDIUM') GROUP BY 1",
+    "condition_summary": f"""WITH {BASE}, c AS (SELECT variant, policy, case_id, count(*) AS n, bool_or(acceptance = 'ACCEPT') AS ok, sum(calls) AS calls, sum(prompt_tokens) AS p, sum(completion_tokens) AS q, sum(wall_ms) AS w FROM attempts GROUP BY ALL)
+SELECT variant, policy, sum(n) AS attempts, count(*) AS cases, count(*) FILTER (ok) AS accepted_cases, count(*) FILTER (NOT ok) AS terminal_failures, sum(calls) AS calls, sum(w) AS wall_ms, round(count(*) FILTER (ok) / count(*), 6) AS acceptance_rate, round(sum(n) / count(*), 6) AS attempts_per_case,
+ round((sum(p) * 3.0 + sum(q) * 15.0) / 1e6, 6) AS estimated_cost, round((sum(p) * 3.0 + sum(q) * 15.0) / 1e6 / count(*), 6) AS cost_per_case FROM c GROUP BY ALL""",
+    "boundary_scores": f"WITH {BASE} SELECT dialogue_id, count(*) FILTER (contains(text, 'reat') AND index % 2 = 1) AS events, (count(*) FILTER (contains(text, 'reat') AND index % 2 = 1) = 0)::INTEGER::DOUBLE AS score FROM turns GROUP BY 1",
+    "reference_evidence_totals": """WITH d AS (SELECT doc_id AS k, coalesce(text, '') AS t FROM documents),
+c AS (SELECT k, k % 5 <> 0 AS s, k % 10 <> 0 AS g, length(t) >= 4 AS first, length(t) >= 7 AS third FROM d),
+n AS (SELECT count(*) AS refs, count(*) FILTER (NOT s AND NOT g) AS empty, 2 * count(*) FILTER (s) AS sy, count(*) FILTER (g) AS di, count(*) FILTER (s AND NOT first) + count(*) FILTER (s) + count(*) FILTER (g AND NOT third) AS bad FROM c)
+SELECT refs AS "references", empty AS empty_cores, sy + di AS entities, sy AS symptoms, di AS diagnoses, bad AS unevidenced, round(bad / (sy + di), 6) AS unevidenced_share FROM n""",
     "log_resume": f"""WITH {BASE} SELECT case_id, count(*) AS attempts, count(*) + 1 AS next_attempt FROM attempts GROUP BY 1 HAVING count(*) < 90 AND NOT bool_or(acceptance = 'ACCEPT' AND attempt_index % 7 = 0)""",
     "path_values": f"WITH {_ITEMS} SELECT case_id, md5(string_agg(p_name, '|' ORDER BY p_name)) AS diagnoses_md5, md5(string_agg(p_brand, '|' ORDER BY p_brand)) AS medications_md5, any_value(year(o_orderdate)) AS year FROM i JOIN orders ON o_orderkey = case_id GROUP BY 1",
     "path_removals": f"""WITH {_ITEMS}, c AS (SELECT case_id, count(*) AS n, md5(string_agg('{{"primary":"' || p_name || '"}}', '|' ORDER BY '{{"primary":"' || p_name || '"}}')) AS left_md5 FROM i GROUP BY 1)

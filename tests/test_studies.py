@@ -222,3 +222,43 @@ def test_slots_are_dealt_before_they_are_made(spark):
     got = {(r["g"], r["replicate"]): (r["c"], r["d"], r["least"], r["most"]) for r in made.groupBy("g", "replicate").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("slot").alias("d"), F.min("slot").alias("least"), F.max("slot").alias("most")).collect()}
     assert got == {(g, b): (n, n, 0, n - 1) for g, n in (("a", 1), ("b", statistics.SLOTS), ("c", 3 * statistics.SLOTS + 5)) for b in range(6)}
     assert made.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_incomplete_matrices_are_refused(spark):
+    from clinloom.operators import statistics
+
+    full = [(c, r) for c in "ab" for r in ("x", "y", "z")]
+    check = lambda rows: statistics.complete_matrix(spark.createDataFrame(rows, "case_id string, rater string"))
+    assert check(full).count() == 6
+    for rows, message in ((full[:-1], "missing b/z"), (full + full[:1], "more than one extraction of x"), ([("a", "x"), ("b", "x")], "1 raters")):
+        with pytest.raises(ValueError, match=message):
+            check(rows)
+
+
+def test_power_is_asserted_and_recorded():
+    from datetime import UTC, datetime
+
+    from clinloom.functions import stats
+
+    pilot = [0.1, 0.3, -0.2, 0.4, 0.0]
+    plan = stats.power_plan(pilot, 0.1, incomplete=0.1)
+    assert stats.assert_powered(plan["paired_sd"], 0.1, plan["total_80"], incomplete=0.1) >= 0.8
+    with pytest.raises(ValueError, match="below 0.900"):
+        stats.assert_powered(plan["paired_sd"], 0.1, plan["total_80"], incomplete=0.1, target=0.9)
+    with pytest.raises(ValueError):
+        stats.assert_powered(1.0, 0.1, 1)
+    record = stats.power_record(pilot, 0.1, plan["total_80"], datetime(2024, 1, 1, tzinfo=UTC))
+    assert "2024-01-01T00:00:00Z" in record and f"Planned cases: {plan['total_80']}" in record
+    assert record != stats.power_record(pilot[::-1], 0.1, plan["total_80"], datetime(2024, 1, 1, tzinfo=UTC))  # the pilot is what it was
+    for bad in (dict(frozen_at=datetime(2024, 1, 1)), dict(pilot=[0.1, float("nan")])):
+        with pytest.raises(ValueError):
+            stats.power_record(**{"pilot": pilot, "smallest": 0.1, "planned": 9, "frozen_at": datetime(2024, 1, 1, tzinfo=UTC)} | bad)
+
+
+def test_condition_summary_of_nothing(spark):
+    from clinloom.operators import attempts
+
+    df = spark.createDataFrame([("v", "c", None, None, None, None, None)], "variant string, case_id string, acceptance string, calls long, prompt_tokens long, completion_tokens long, wall_ms long")
+    (r,) = attempts.condition_summary(df, ["variant"]).collect()
+    assert (r["attempts"], r["cases"], r["accepted_cases"], r["terminal_failures"], r["calls"], r["cost_per_case"]) == (1, 1, 0, 1, 0, 0.0)
+    assert attempts.condition_summary(df.where("false"), ["variant"]).count() == 0
