@@ -1,8 +1,8 @@
 """Token counts: a count-only Viterbi pass over a unigram vocabulary.
 
 An Aho-Corasick automaton gives all vocabulary pieces that end at each character, longest
-first. Dynamic programming keeps, for each end, the best score of the text so far and the
-number of pieces on that path; no path and no piece is stored. The rules are those of the
+first. Dynamic programming keeps, for the ends that a piece can reach back to, the best score of the text
+so far and the number of pieces on that path; no path and no piece is stored. The rules are those of the
 unigram tokenizers: a later candidate must be strictly better, so of equal paths the one
 whose last piece begins first stays; where no piece of one character fits, the character
 may be unknown, at the least score of the vocabulary less 10; an unknown character counts
@@ -11,8 +11,8 @@ one is put before the text.
 
 A text may be cut where no piece can cross: before a space after another character, and around
 line feeds, which are in no piece. The stretches between are counted once and kept in a
-bounded cache of each worker. Where all scores are whole numbers, sums are exact and a
-stretch's result is the same wherever it stands. Log probabilities are not: a tokenizer adds
+bounded cache of each worker. Where all scores are whole numbers, sums are exact, a
+stretch's result is the same wherever it stands, and nothing else is kept of it. Log probabilities are not: a tokenizer adds
 them up from the text's start, and rounding may decide between equal paths. So with each
 stretch the scores on its path are kept, to be added one by one, and the least gap between two
 candidates that were compared; only where that is within the rounding error of the sum so far,
@@ -20,7 +20,9 @@ the stretch is walked again from that sum. A
 vocabulary with pieces that cross such cuts is taken as it is, and texts are then not cut.
 One pass without a shuffle.
 
-Defined cases: null and empty texts have 0 pieces and score 0; repeated rows get equal
+Defined cases: null and empty texts have 0 pieces and score 0; a text of any length is cut into its stretches (some
+ten bytes a character, as they are held at once), and a stretch of any length takes the memory of its characters only, or
+with fractional scores some 200 bytes for each; repeated rows get equal
 counts; an empty table gives an empty result; other columns are kept.
 """
 
@@ -64,6 +66,7 @@ class Counter:
             self._automaton.add_word(piece, (len(piece), float(score)))
         self._automaton.make_automaton()
         self._cuts = not any("\n" in piece or SPACE in piece.lstrip(SPACE) for piece, _ in pieces)
+        self._longest = max(len(piece) for piece, _ in pieces)
         self._exact = all(score == int(score) for _, score in pieces)
         self._unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self._pieces: dict[str, int] = {}
@@ -95,11 +98,34 @@ class Counter:
                     gap = min(gap, top - candidate)
             best[end + 1], count[end + 1], back[end + 1] = top, pieces, came
         steps, at = [], n
-        while at and not self._exact:
+        while at:
             at, score = back[at]
             steps.append(score)
         return count[n], best[n], gap, steps[::-1]
 
+    def count_only(self, text: str) -> tuple[int, float]:
+        """(pieces, score) of one stretch where sums are exact: scores and counts of the last few ends, and nothing else."""
+        size = self._longest + 1
+        best, count = [0.0] * size, [0] * size
+        matches = self._automaton.iter(text)
+        at, found = next(matches, (-1, None))
+        for end, character in enumerate(text):
+            top, pieces, single = None, 0, False
+            while at == end:
+                length, score = found
+                single = single or length == 1
+                before = (end + 1 - length) % size
+                candidate = best[before] + score
+                if top is None or candidate > top:
+                    top, pieces = candidate, count[before] + 1
+                at, found = next(matches, (-1, None))
+            if not single:
+                candidate = best[end % size] + self._unknown
+                if top is None or candidate > top:
+                    top, pieces = candidate, count[end % size] + len(character.encode("utf-8", "surrogatepass"))
+            best[(end + 1) % size], count[(end + 1) % size] = top, pieces
+        return count[len(text) % size], best[len(text) % size]
+
     def _cut(self, text: str) -> list[str]:
         text = " " + text.replace(SPACE, " ")
         if not self._cuts:
@@ -111,7 +137,10 @@ class Counter:
     def _new(self, stretch: str, start: float = 0.0) -> tuple[int, float, float, list[float]]:
         pieces, score, gap, steps = 0, start, float("inf"), []
         for part in re.split("(\n)", stretch) if self._cuts else [stretch]:
-            if part:
+            if part and self._exact:
+                n, more = self.count_only(part.replace(" ", SPACE))
+                pieces, score = pieces + n, score + more
+            elif part:
                 n, score, least, more = self.viterbi(part.replace(" ", SPACE), score)
                 pieces, gap, steps = pieces + n, min(gap, least), steps + more
         return pieces, score, gap, steps

@@ -111,3 +111,28 @@ def test_query(spark, sf_dir, real):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     out = queries.op7_unigram_count(spark, sf_dir).collect()
     assert len(out) == len(texts) and all(r["n_pieces"] == real[1](texts[r["doc_id"]]) for r in out)
+
+
+def test_count_only_equals_the_walk_with_paths():
+    """Whole-number scores: rings of the last ends give what the walk that keeps all of them gives."""
+    import random
+
+    deal = random.Random(11)
+    for _ in range(60):
+        pieces = list({"".join(deal.choices("ab▁é", k=deal.randint(1, 5))): float(-deal.randint(0, 6)) for _ in range(deal.randint(1, 12))}.items())
+        tool = u.Counter(pieces)
+        for _ in range(20):
+            text = "".join(deal.choices("ab▁éz🙂", k=deal.randint(0, 40)))
+            assert tool.count_only(text) == tool.viterbi(text)[:2]
+
+
+def test_long_stretch_in_little_memory():
+    """Many characters without a space: the walk takes their four bytes each, as the automaton reads them, and no more."""
+    import tracemalloc
+
+    tool = u.Counter([("a", -1.0), ("ab", -1.0), ("abab", -3.0)])
+    text = "ab" * 100_000
+    tracemalloc.start()
+    assert tool.count_only(text) == (100_000, -100_000.0)
+    assert tracemalloc.get_traced_memory()[1] < 5 * len(text)
+    tracemalloc.stop()
