@@ -19,7 +19,8 @@ join; what the driver holds is one id for each range.
 
 Defined cases: a null text counts as empty and has the sketch of an empty span; a null id
 comes before all ids; of repeated ids the smaller text comes first; a single document is its
-own next one; an empty table gives an empty result; extra columns are ignored.
+own next one; an empty table gives an empty result; extra columns are ignored; a text of any length is
+hashed in blocks, so a task holds it, its successor and its edited text, and arrays of ``BLOCK`` code points.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ WIDTH, KEEP = 8, 64
 MODULI = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
 _BITS = np.uint64(40)
+#: Code points whose prefix arrays are held at a time (some 80 bytes each).
+BLOCK = 1 << 17
 
 
 class _Powers:
@@ -139,9 +142,35 @@ def likeness(a: tuple[int, int, np.ndarray], b: tuple[int, int, np.ndarray]) ->
     return float(2 * jaccard / (1 + jaccard))
 
 
+def printed(text: str) -> tuple[tuple[int, int, np.ndarray], Prefix]:
+    """(fingerprint, prefix arrays of the first block) of a text, a block at a time.
+
+    A block's hash is carried to its place by the base's power there; blocks overlap by what a span reaches over.
+    """
+    n, whole, least, first = len(text), [0, 0], np.zeros(0, np.uint64), None
+    for a in range(0, max(n, 1), BLOCK):
+        block = Prefix(text if n <= BLOCK else text[a : a + BLOCK + WIDTH - 1])
+        first = first or block
+        for w, p in enumerate(_POWERS):
+            whole[w] = (whole[w] + block.span(0, min(BLOCK, n - a), w) * pow(p.base, a, p.modulus)) % p.modulus
+        if block.n >= WIDTH or n < WIDTH:
+            least = sketch(block) if not a else np.unique(np.concatenate([least, sketch(block)]))[:KEEP]
+    return (n, whole[0] << 31 | whole[1], least), first
+
+
 def fingerprint(text: str | None) -> tuple[int, int, np.ndarray]:
-    p = Prefix(text)
-    return p.n, p.whole(), sketch(p)
+    return printed(text or "")[0]
+
+
+def shared_prefix(a: str, b: str, first: tuple[Prefix, Prefix]) -> int:
+    """The length of the common start of two texts, block by block; ``first`` are the prefix arrays of their first blocks."""
+    at = 0
+    while True:
+        pair = first if not at else (Prefix(a[at : at + BLOCK]), Prefix(b[at : at + BLOCK]))
+        found = min(common_extension(pair[0], 0, pair[1], 0), BLOCK)
+        at += found
+        if found < BLOCK:
+            return at
 
 
 def written(print_: tuple[int, int, np.ndarray]) -> str:
@@ -169,19 +198,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, ready, rows = None, False, []
 
     def close(row: tuple, following: tuple) -> None:
-        text = row[3]
-        new = Prefix(edited(text, following[3]))
-        own, changed = (row[4].n, row[4].whole(), row[5]), (new.n, new.whole(), sketch(new))
-        other = (following[4].n, following[4].whole(), following[5])
-        digest = hashlib.sha256(edited(text, following[3]).encode("utf-8", "surrogatepass")).hexdigest()
-        rows.append((row[2], row[4].n, digest, written(own), written(changed), likeness(own, changed), likeness(own, other), common_extension(row[4], 0, new, 0)))
+        text, own = edited(row[3], following[3]), row[4]
+        changed, start = printed(text)
+        digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+        rows.append((row[2], own[0], digest, written(own), written(changed), likeness(own, changed), likeness(own, following[4]), shared_prefix(row[3], text, (row[5], start))))
 
     for batch in slices(batches, 3):
         for bucket, guest, key, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if guest and not ready:
                 continue
-            prefix = Prefix(text)
-            row = (bucket, guest, key, text or "", prefix, sketch(prefix))
+            row = (bucket, guest, key, text or "", *printed(text or ""))
             if ready and held[0] == bucket:
                 close(held, row)
             held, ready = row, not guest

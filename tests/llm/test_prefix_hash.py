@@ -107,3 +107,30 @@ def test_query(spark, sf_dir):
     assert sorted(repr(tuple(r)[:7]) for r in got) == brute(rows)
     long = [r for r in got if r["n_chars"] >= 64]
     assert sum(r["near_edited"] > r["near_next"] for r in long) / len(long) > 0.99
+
+
+def test_blocks_change_nothing(monkeypatch):
+    """Fingerprints and common starts are the same however texts are cut into blocks."""
+    import random
+
+    deal = random.Random(2)
+    texts = ["".join(deal.choices("ab🙂é", k=n)) for n in (0, 1, 7, 8, 9, 15, 16, 17, 23, 31, 32, 33, 100, 257)]
+    whole = [ph.fingerprint(t) for t in texts]
+    for block in (8, 16, 33):
+        monkeypatch.setattr(ph, "BLOCK", block)
+        for t, known in zip(texts, whole, strict=True):
+            found = ph.fingerprint(t)
+            assert found[:2] == known[:2] and found[2].tolist() == known[2].tolist()
+            for cut in (0, len(t) // 2, len(t)):
+                other = t[:cut] + "#" + t[cut:]
+                assert ph.shared_prefix(t, other, (ph.printed(t)[1], ph.printed(other)[1])) == cut
+
+
+def test_a_very_long_text_in_little_memory():
+    import tracemalloc
+
+    text = "the same words again and again " * 160_000  # 5 million
+    tracemalloc.start()
+    ph.fingerprint(text)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
