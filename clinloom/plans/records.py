@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinloom.functions import responses
-from clinloom.operators import attempts, evaluation, knowledge, paths, progress, quotes
+from clinloom.operators import attempts, evaluation, knowledge, paths, progress, quotes, variety
 from clinloom.plans import proxies as px
 from clinloom.plans.oracle import BASE
 from clinloom.session import scratch_root
@@ -146,6 +146,32 @@ def reference_evidence_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.select("references", "empty_cores", "entities", "symptoms", "diagnoses", "unevidenced", F.round("unevidenced_share", 6).alias("unevidenced_share"))
 
 
+SAID = variety.Phrases(("I see", "Right"), ("That's hard",), ("Now",), ("Um...", "Well...", "Uh..."), ("Yes,",), ("Maybe,", "Perhaps,"), weights={"hesitations": (6.0, 3.0, 1.0)})
+
+
+@query
+def turn_variety(spark: SparkSession, d: str) -> DataFrame:
+    """What each turn gets said before it, and the habits drawn for it."""
+    t = px.turns(spark, d).withColumn("uncertain", F.col("index") % 3 == 1).withColumn("term", F.col("index") % 2 == 1)
+    return variety.varied(t, "q", SAID).select("dialogue_id", F.col("index").cast("long").alias("index"), "prefix", F.md5(F.col("response").cast("binary")).alias("response_md5"), "filler", "clarify")
+
+
+def _draw(slot: str) -> str:
+    return f"('0x' || substr(sha256('q|' || dialogue_id || '|' || index || '|{slot}'), 1, 13))::BIGINT"
+
+
+def _chosen(slot: str, phrases, weights=None) -> str:
+    """SQL for a choice: the alias table's places and thresholds as lists."""
+    keep, alias = variety.alias_table(weights or [1.0] * len(phrases))
+    product, listed = f"({_draw(slot)} * {len(phrases)})", "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in phrases) + "]"
+    at = f"(({product} >> 52) + 1)"
+    return f"({listed})[CASE WHEN {product} & {variety.WHOLE - 1} < ({keep})[{at}] THEN {at} ELSE ({alias})[{at}] + 1 END]"
+
+
+def _happens(slot: str, probability: str) -> str:
+    return f"{_draw(slot)} < floor(({probability})::DOUBLE * {variety.WHOLE})::BIGINT"
+
+
 def _any(text: str, words) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
@@ -164,6 +190,11 @@ SELECT variant, policy, sum(n) AS attempts, count(*) AS cases, count(*) FILTER (
 c AS (SELECT k, k % 5 <> 0 AS s, k % 10 <> 0 AS g, length(t) >= 4 AS first, length(t) >= 7 AS third FROM d),
 n AS (SELECT count(*) AS refs, count(*) FILTER (NOT s AND NOT g) AS empty, 2 * count(*) FILTER (s) AS sy, count(*) FILTER (g) AS di, count(*) FILTER (s AND NOT first) + count(*) FILTER (s) + count(*) FILTER (g AND NOT third) AS bad FROM c)
 SELECT refs AS "references", empty AS empty_cores, sy + di AS entities, sy AS symptoms, di AS diagnoses, bad AS unevidenced, round(bad / (sy + di), 6) AS unevidenced_share FROM n""",
+    "turn_variety": f"""WITH {BASE}, t AS (SELECT *, index % 3 = 1 AS u FROM turns),
+p AS (SELECT dialogue_id, index, text, concat_ws(' ', CASE WHEN who = 'Patient' AND {_happens("hesitate", "CASE WHEN u THEN 0.7 ELSE 0.4 END")} THEN {_chosen("hesitations", SAID.hesitations, SAID.weights["hesitations"])} END, CASE WHEN who = 'Patient' AND u THEN {_chosen("uncertain", SAID.uncertain)} END,
+ CASE WHEN who = 'Doctor' AND NOT {_happens("silent", "0.3")} THEN {_chosen("acknowledgments", SAID.acknowledgments)} || '.' END, CASE WHEN who = 'Doctor' AND u THEN 'That''s hard.' END, CASE WHEN who = 'Doctor' AND index % 4 = 0 THEN 'Now' END) AS prefix,
+ coalesce(who = 'Patient', false) AND {_happens("filler", "greatest(0.2::DOUBLE, 0.5::DOUBLE - index * 0.03::DOUBLE)")} AS filler, index % 2 = 1 AND index >= 3 AND {_happens("clarify", "0.3")} AS clarify FROM t)
+SELECT dialogue_id, index, prefix, md5(trim(concat_ws(' ', nullif(prefix, ''), coalesce(text, '')), ' ')) AS response_md5, filler, clarify FROM p""",
     "log_resume": f"""WITH {BASE} SELECT case_id, count(*) AS attempts, count(*) + 1 AS next_attempt FROM attempts GROUP BY 1 HAVING count(*) < 90 AND NOT bool_or(acceptance = 'ACCEPT' AND attempt_index % 7 = 0)""",
     "path_values": f"WITH {_ITEMS} SELECT case_id, md5(string_agg(p_name, '|' ORDER BY p_name)) AS diagnoses_md5, md5(string_agg(p_brand, '|' ORDER BY p_brand)) AS medications_md5, any_value(year(o_orderdate)) AS year FROM i JOIN orders ON o_orderkey = case_id GROUP BY 1",
     "path_removals": f"""WITH {_ITEMS}, c AS (SELECT case_id, count(*) AS n, md5(string_agg('{{"primary":"' || p_name || '"}}', '|' ORDER BY '{{"primary":"' || p_name || '"}}')) AS left_md5 FROM i GROUP BY 1)
