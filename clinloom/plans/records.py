@@ -120,8 +120,7 @@ def log_resume(spark: SparkSession, d: str) -> DataFrame:
 def condition_summary(spark: SparkSession, d: str) -> DataFrame:
     """Per variant and policy: attempts, cases, terminal failures, and what a case costs."""
     s = attempts.condition_summary(px.attempts(spark, d), ["variant", "policy"], 3.0, 15.0)
-    six = [F.round(c, 6).alias(c) for c in ("acceptance_rate", "attempts_per_case", "estimated_cost", "cost_per_case")]
-    return s.select("variant", "policy", "attempts", "cases", "accepted_cases", "terminal_failures", "calls", "wall_ms", *six)
+    return s.select("variant", "policy", "attempts", "cases", "accepted_cases", "terminal_failures", "calls", "wall_ms", "acceptance_rate", "attempts_per_case", "estimated_cost", "cost_per_case")
 
 
 @query
@@ -143,7 +142,7 @@ def reference_evidence_totals(spark: SparkSession, d: str) -> DataFrame:
     core = F.struct(F.when(k % 5 == 0, F.slice(none, 1, 0)).otherwise(F.array(item(span(0, 4)), item(span(2, 7)))).alias("symptoms"), F.when(k % 10 == 0, F.slice(none, 1, 0)).otherwise(F.array(item(span(3, 7), span(0, 99)))).alias("diagnoses"))
     refs = n.select("case_id", F.struct(core.alias("core")).alias("reference"))
     t = knowledge.reference_totals(refs, "case_id", "reference", n.select("case_id", F.lit("n").alias("note_id"), "note"))
-    return t.select("references", "empty_cores", "entities", "symptoms", "diagnoses", "unevidenced", F.round("unevidenced_share", 6).alias("unevidenced_share"))
+    return t.select("references", "empty_cores", "entities", "symptoms", "diagnoses", "unevidenced", "unevidenced_share")
 
 
 SAID = variety.Phrases(("I see", "Right"), ("That's hard",), ("Now",), ("Um...", "Well...", "Uh..."), ("Yes,",), ("Maybe,", "Perhaps,"), weights={"hesitations": (6.0, 3.0, 1.0)})
@@ -183,13 +182,13 @@ _R = PROGRESS
 ORACLE_SQL = {
     "extract_scan": "SELECT o_orderpriority, count(*) AS admissions, count(DISTINCT o_custkey) AS subjects FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= '1994-01-01' AND o_orderpriority NOT IN ('5-LOW', '3-MEDIUM') GROUP BY 1",
     "condition_summary": f"""WITH {BASE}, c AS (SELECT variant, policy, case_id, count(*) AS n, bool_or(acceptance = 'ACCEPT') AS ok, sum(calls) AS calls, sum(prompt_tokens) AS p, sum(completion_tokens) AS q, sum(wall_ms) AS w FROM attempts GROUP BY ALL)
-SELECT variant, policy, sum(n) AS attempts, count(*) AS cases, count(*) FILTER (ok) AS accepted_cases, count(*) FILTER (NOT ok) AS terminal_failures, sum(calls) AS calls, sum(w) AS wall_ms, round(count(*) FILTER (ok) / count(*), 6) AS acceptance_rate, round(sum(n) / count(*), 6) AS attempts_per_case,
- round((sum(p) * 3.0 + sum(q) * 15.0) / 1e6, 6) AS estimated_cost, round((sum(p) * 3.0 + sum(q) * 15.0) / 1e6 / count(*), 6) AS cost_per_case FROM c GROUP BY ALL""",
+SELECT variant, policy, sum(n) AS attempts, count(*) AS cases, count(*) FILTER (ok) AS accepted_cases, count(*) FILTER (NOT ok) AS terminal_failures, sum(calls) AS calls, sum(w) AS wall_ms, count(*) FILTER (ok) / count(*) AS acceptance_rate, sum(n)::DOUBLE / count(*) AS attempts_per_case,
+ (sum(p)::DOUBLE * 3.0::DOUBLE + sum(q)::DOUBLE * 15.0::DOUBLE) / 1e6 AS estimated_cost, (sum(p)::DOUBLE * 3.0::DOUBLE + sum(q)::DOUBLE * 15.0::DOUBLE) / 1e6 / count(*) AS cost_per_case FROM c GROUP BY ALL""",
     "boundary_scores": f"WITH {BASE} SELECT dialogue_id, count(*) FILTER (contains(text, 'reat') AND index % 2 = 1) AS events, (count(*) FILTER (contains(text, 'reat') AND index % 2 = 1) = 0)::INTEGER::DOUBLE AS score FROM turns GROUP BY 1",
     "reference_evidence_totals": """WITH d AS (SELECT doc_id AS k, coalesce(text, '') AS t FROM documents),
 c AS (SELECT k, k % 5 <> 0 AS s, k % 10 <> 0 AS g, length(t) >= 4 AS first, length(t) >= 7 AS third FROM d),
 n AS (SELECT count(*) AS refs, count(*) FILTER (NOT s AND NOT g) AS empty, 2 * count(*) FILTER (s) AS sy, count(*) FILTER (g) AS di, count(*) FILTER (s AND NOT first) + count(*) FILTER (s) + count(*) FILTER (g AND NOT third) AS bad FROM c)
-SELECT refs AS "references", empty AS empty_cores, sy + di AS entities, sy AS symptoms, di AS diagnoses, bad AS unevidenced, round(bad / (sy + di), 6) AS unevidenced_share FROM n""",
+SELECT refs AS "references", empty AS empty_cores, sy + di AS entities, sy AS symptoms, di AS diagnoses, bad AS unevidenced, bad / (sy + di) AS unevidenced_share FROM n""",
     "turn_variety": f"""WITH {BASE}, t AS (SELECT *, index % 3 = 1 AS u FROM turns),
 p AS (SELECT dialogue_id, index, text, concat_ws(' ', CASE WHEN who = 'Patient' AND {_happens("hesitate", "CASE WHEN u THEN 0.7 ELSE 0.4 END")} THEN {_chosen("hesitations", SAID.hesitations, SAID.weights["hesitations"])} END, CASE WHEN who = 'Patient' AND u THEN {_chosen("uncertain", SAID.uncertain)} END,
  CASE WHEN who = 'Doctor' AND NOT {_happens("silent", "0.3")} THEN {_chosen("acknowledgments", SAID.acknowledgments)} || '.' END, CASE WHEN who = 'Doctor' AND u THEN 'That''s hard.' END, CASE WHEN who = 'Doctor' AND index % 4 = 0 THEN 'Now' END) AS prefix,
