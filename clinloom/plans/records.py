@@ -182,7 +182,7 @@ _R = PROGRESS
 ORACLE_SQL = {
     "extract_scan": "SELECT o_orderpriority, count(*) AS admissions, count(DISTINCT o_custkey) AS subjects FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= '1994-01-01' AND o_orderpriority NOT IN ('5-LOW', '3-MEDIUM') GROUP BY 1",
     "condition_summary": f"""WITH {BASE}, c AS (SELECT variant, policy, case_id, count(*) AS n, bool_or(acceptance = 'ACCEPT') AS ok, sum(calls) AS calls, sum(prompt_tokens) AS p, sum(completion_tokens) AS q, sum(wall_ms) AS w FROM attempts GROUP BY ALL)
-SELECT variant, policy, sum(n) AS attempts, count(*) AS cases, count(*) FILTER (ok) AS accepted_cases, count(*) FILTER (NOT ok) AS terminal_failures, sum(calls) AS calls, sum(w) AS wall_ms, count(*) FILTER (ok) / count(*) AS acceptance_rate, sum(n)::DOUBLE / count(*) AS attempts_per_case,
+SELECT variant, policy, sum(n)::BIGINT AS attempts, count(*) AS cases, count(*) FILTER (ok) AS accepted_cases, count(*) FILTER (NOT ok) AS terminal_failures, sum(calls)::BIGINT AS calls, sum(w)::BIGINT AS wall_ms, count(*) FILTER (ok) / count(*) AS acceptance_rate, sum(n)::DOUBLE / count(*) AS attempts_per_case,
  (sum(p)::DOUBLE * 3.0::DOUBLE + sum(q)::DOUBLE * 15.0::DOUBLE) / 1e6 AS estimated_cost, (sum(p)::DOUBLE * 3.0::DOUBLE + sum(q)::DOUBLE * 15.0::DOUBLE) / 1e6 / count(*) AS cost_per_case FROM c GROUP BY ALL""",
     "boundary_scores": f"WITH {BASE} SELECT dialogue_id, count(*) FILTER (contains(text, 'reat') AND index % 2 = 1) AS events, (count(*) FILTER (contains(text, 'reat') AND index % 2 = 1) = 0)::INTEGER::DOUBLE AS score FROM turns GROUP BY 1",
     "reference_evidence_totals": """WITH d AS (SELECT doc_id AS k, coalesce(text, '') AS t FROM documents),
@@ -198,7 +198,7 @@ SELECT dialogue_id, index, prefix, md5(trim(concat_ws(' ', nullif(prefix, ''), c
     "path_values": f"WITH {_ITEMS} SELECT case_id, md5(string_agg(p_name, '|' ORDER BY p_name)) AS diagnoses_md5, md5(string_agg(p_brand, '|' ORDER BY p_brand)) AS medications_md5, any_value(year(o_orderdate)) AS year FROM i JOIN orders ON o_orderkey = case_id GROUP BY 1",
     "path_removals": f"""WITH {_ITEMS}, c AS (SELECT case_id, count(*) AS n, md5(string_agg('{{"primary":"' || p_name || '"}}', '|' ORDER BY '{{"primary":"' || p_name || '"}}')) AS left_md5 FROM i GROUP BY 1)
 SELECT case_id, path, CASE WHEN path LIKE 'context%' THEN 1 ELSE n END AS removed, left_md5 FROM c, (VALUES {', '.join(f"('{p}')" for p in DROPPED)}) AS p(path)""",
-    "path_redactions": f"""WITH {_ITEMS}, c AS (SELECT case_id, sum(len(regexp_extract_all(p_name, {_TERM}))) AS n, md5(string_agg(regexp_replace(p_name, {_TERM}, '[REDACTED]', 'g'), '|' ORDER BY regexp_replace(p_name, {_TERM}, '[REDACTED]', 'g'))) AS diagnoses_md5, 'comes with ' || min(p_name) AS chief FROM i GROUP BY 1)
+    "path_redactions": f"""WITH {_ITEMS}, c AS (SELECT case_id, sum(len(regexp_extract_all(p_name, {_TERM})))::BIGINT AS n, md5(string_agg(regexp_replace(p_name, {_TERM}, '[REDACTED]', 'g'), '|' ORDER BY regexp_replace(p_name, {_TERM}, '[REDACTED]', 'g'))) AS diagnoses_md5, 'comes with ' || min(p_name) AS chief FROM i GROUP BY 1)
 SELECT case_id, path, CASE WHEN path = 'additional' THEN len(regexp_extract_all(chief, {_TERM})) ELSE n END AS redactions, diagnoses_md5, regexp_replace(chief, {_TERM}, '[REDACTED]', 'g') AS chief_complaint FROM c, (VALUES {', '.join(f"('{p}')" for p in REDACTED)}) AS p(path)""",
     "quote_offsets": r"""WITH n AS (SELECT doc_id AS case_id, coalesce(text, '') AS note FROM documents),
 q AS (SELECT case_id, note, unnest([0, 1, 2, 3]) AS k, unnest([substr(note, 11, 25), regexp_replace(substr(note, 21, 40), '[ \t\r\n]+', e'  \n ', 'g'), substr(note, 1, 5) || '#never#', substr(note, 11, 25)]) AS text FROM n),
