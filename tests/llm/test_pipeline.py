@@ -92,3 +92,15 @@ def test_registered():
 
     numbers = [int(q[2:].split("_")[0]) for q in e.queries() if q[:2] == "op" and q[2].isdigit()]
     assert numbers == list(range(1, 14)) and "pipeline" in e.queries()
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd, empty, sf_dir):
+    """Nulls, repeated rows, long texts, clashing columns; a stage keeps its input's columns, the last has its own."""
+    for name, stage in cp.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0, name
+        out = stage(spark, odd, sf_dir)
+        rows = out.count()
+        if name != "packing":
+            assert out.columns == odd.columns and rows <= odd.count(), name
+        if name in ("pseudonyms", "mixture"):
+            assert rows == odd.count(), name
