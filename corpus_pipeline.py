@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a
 DataFrame; what one stage returns is written as Parquet and read again as the next one's
 documents. All but the last return the columns of ``documents``.
+
+Defined cases, of every stage: null texts are as empty ones (the quality score decides on them as on others), rows with
+null or repeated ids are rows of their own, an empty table gives an empty one, columns beyond those of ``documents`` stay whatever
+their names, and texts are worked on whole, of any length.
 """
 
 from __future__ import annotations
