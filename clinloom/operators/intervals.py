@@ -1,8 +1,8 @@
 """Case-clustered bootstrap intervals of detectors, grounding and scores.
 
 Cases are numbered by hash order and drawn by SHA-256 (see ``statistics``), so any engine can
-repeat the draws. What is drawn is a case's multiplicity in a replicate; observations are
-weighted by it, after they have been summed up by case.
+repeat the draws. Observations are summed up by case before any is drawn; a case is a row for
+each time that it is drawn, and its sums are added up where it is.
 """
 
 from __future__ import annotations
@@ -12,19 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinloom.operators.statistics import RANGES, hash_ranked, pick, slots
-
-
-def draws(cases: DataFrame, by: Sequence[str], resamples: int, seed: str) -> DataFrame:
-    """(by, replicate, case_id, times) of the distinct ``cases`` (by, case_id); replicate -1 has every case once."""
-    if resamples < 1:
-        raise ValueError("resamples must be positive")
-    cases = cases.select(*by, "case_id").distinct()
-    numbered = hash_ranked(cases, by, "case_id", "ordinal")
-    sizes = cases.groupBy(*by).agg(F.count(F.lit(1)).alias("_cases"))
-    drawn = slots(sizes, by, "_cases", resamples, "_slot").withColumn("ordinal", pick(seed, F.col("replicate"), F.col("_slot"), F.col("_cases"))).groupBy(*by, "replicate", "ordinal").agg(F.count(F.lit(1)).alias("times"))
-    drawn = drawn.join(numbered, [*by, "ordinal"]).select(*by, "replicate", "case_id", "times")
-    return drawn.unionByName(cases.select(*by, F.lit(-1).alias("replicate"), "case_id", F.lit(1).cast("long").alias("times")))
+from clinloom.operators.statistics import RANGES, matched, resampled
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -61,9 +49,9 @@ def detector_intervals(df: DataFrame, by: Sequence[str], resamples: int = 2000,
     n = {"tp": truth & said, "fp": ~truth & said, "fn": truth & ~said, "located": found, "pos": truth, "neg": ~truth}
     held = df.groupBy(*by, "case_id", "score").agg(*[F.count_if(c).alias(k) for k, c in n.items()])
     cuts = held.groupBy(*by).agg(F.percentile_approx("score", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])).alias("_cuts"))
-    held = held.join(cuts, list(by), "left").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
-    weighted = draws(df, by, resamples, seed).join(held, [*by, "case_id"])
-    at = weighted.groupBy(*by, "replicate", "_range", "score").agg(*[F.sum(F.col("times") * F.col(k)).alias(k) for k in n])
+    held = matched(held, cuts, by, "left").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
+    drawn = matched(resampled(df.select(*by, "case_id").distinct(), by, resamples, seed), held, [*by, "case_id"])
+    at = drawn.groupBy(*by, "replicate", "_range", "score").agg(*[F.sum(k).alias(k) for k in n])
     # Scores are ranked inside ranges; a range starts with what the ranges before it have.
     back = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("neg").over(back(Window.partitionBy(*by, "replicate", "_range").orderBy("score"))), F.lit(0))
@@ -76,8 +64,8 @@ def detector_intervals(df: DataFrame, by: Sequence[str], resamples: int = 2000,
 
 def count_intervals(cases: DataFrame, by: Sequence[str], resamples: int = 2000, seed: str = "0", confidence: float = 0.95) -> DataFrame:
     """Precision, recall and F1 of summed counts with intervals; ``cases`` has case_id, tp, fp and fn."""
-    drawn = draws(cases, by, resamples, seed).join(cases, [*by, "case_id"])
-    sums = drawn.groupBy(*by, "replicate").agg(*[F.sum(F.col("times") * F.col(k)).alias(k) for k in ("tp", "fp", "fn")])
+    drawn = resampled(cases.select(*by, "case_id", "tp", "fp", "fn"), by, resamples, seed)
+    sums = drawn.groupBy(*by, "replicate").agg(*[F.sum(k).alias(k) for k in ("tp", "fp", "fn")])
     return summarised(sums.select(*by, "replicate", *_prf()), by, ("precision", "recall", "f1"), confidence)
 
 
@@ -91,9 +79,8 @@ def score_rows(scores: DataFrame, resamples: int = 2000, seed: str = "0", confid
         F.count_distinct(F.when(F.col("value").isNotNull(), F.col("case_id"))).alias("n_cases"), F.count("value").alias("n_scores"), F.count_if(F.col("value").isNull()).alias("n_incomplete")
     )
     cases = scores.where("value is not null").groupBy(*by, "case_id").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
-    drawn = draws(cases, by, resamples, seed).join(cases, [*by, "case_id"])
-    means = drawn.groupBy(*by, "replicate").agg((F.sum(F.col("times") * F.col("total")) / F.sum(F.col("times") * F.col("n"))).alias("mean"))
-    rows = counts.join(_mean_rows(means, by, confidence), by, "left")
+    means = resampled(cases, by, resamples, seed).groupBy(*by, "replicate").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    rows = matched(counts, _mean_rows(means, by, confidence), by, "left")
     method = F.when(F.col("n_scores") > 0, f"case-clustered percentile bootstrap (B={resamples})").otherwise("all scores INCOMPLETE")
     return rows.select(*by, "estimate", "low", "high", F.lit(confidence).alias("confidence"), method.alias("method"), "n_cases", "n_scores", "n_incomplete")
 

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinloom.functions.text import jaccard
-from clinloom.session import ship
+from clinloom.session import materialize, ship
 
 
 def paired(df: DataFrame, arm: str, a: str, b: str) -> DataFrame:
@@ -41,6 +43,13 @@ def clusters(df: DataFrame, by: Sequence[str]) -> DataFrame:
 RANGES, HASH_DIGITS = 64, 2
 
 
+def matched(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` on equal ``by``, where a null equals a null; ``right`` adds its other columns."""
+    named = right.select(*[F.col(c).alias(f"_{c}_of") if c in by else F.col(c) for c in right.columns])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}_of")) for c in by], F.lit(True))
+    return left.join(named, same, how).drop(*[f"_{c}_of" for c in by])
+
+
 def hash_ranked(df: DataFrame, by: Sequence[str], key: str, name: str, digits: int = HASH_DIGITS, digest: Column | None = None) -> DataFrame:
     """``df`` with the 0-based rank of each row within its group by (digest, key); the digest is the key's MD5.
 
@@ -52,47 +61,67 @@ def hash_ranked(df: DataFrame, by: Sequence[str], key: str, name: str, digits: i
     counts = hashed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*by, "_range").orderBy("_hash", key)
-    ranked = hashed.withColumn("_inner", F.row_number().over(inside) - 1).join(counts, [*by, "_range"])
+    ranked = matched(hashed.withColumn("_inner", F.row_number().over(inside) - 1), counts, [*by, "_range"])
     return ranked.withColumn(name, F.col("_before") + F.col("_inner")).drop("_hash", "_range", "_inner", "_before")
 
 
-def pick(seed: str, replicate: Column, slot: Column, n: Column) -> Column:
-    """A number below ``n`` from the first 32 bits of a hash."""
+def _number(seed: str, replicate: Column, slot: Column) -> Column:
+    """The first 32 bits of a hash, which a group of n cases takes modulo n."""
     digest = F.sha2(F.concat_ws("|", F.lit(seed), replicate.cast("string"), slot.cast("string")), 256)
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
 #: Slots that one row stands for until it is in its own task.
 SLOTS = 4096
+#: At most this many cases are broadcast to the slots.
+BROADCAST_CASES = 200_000
 
 
-def slots(sizes: DataFrame, by: Sequence[str], cases: str, resamples: int, slot: str) -> DataFrame:
-    """``sizes`` with a row for each replicate and each of its ``cases`` slots.
+def slots(sizes: DataFrame, resamples: int, seed: str) -> DataFrame:
+    """(cases, replicate, ordinal): for each distinct size a row for each replicate and each of its slots.
 
-    Blocks of slots are dealt out by (group, replicate, block) before they become rows, to a fixed number of tasks:
-    the blocks are few and small, and Spark would else put them, and so all slots, in one.
+    A slot's hash is the same for every size, so it is made once, not once a group. Blocks of slots are dealt out
+    by (replicate, block) before they become rows, to a fixed number of tasks: the blocks are few and small, and
+    Spark would else put them, and so all slots, in one. A block carries the distinct sizes that reach it, of which
+    there are at most the square root of twice the cases.
     """
-    blocks = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    blocks = blocks.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(cases) - 1) / SLOTS))))
-    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.repartition(tasks, *by, "replicate", "_block")
+    if resamples < 1:
+        raise ValueError("resamples must be positive")
+    blocks = sizes.select("cases").distinct().withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("cases") - 1) / SLOTS))))
+    held = blocks.groupBy("_block").agg(F.collect_set("cases").alias("_sizes")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    dealt = held.repartition(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "replicate", "_block")
     first = F.col("_block") * SLOTS
-    return dealt.withColumn(slot, F.explode(F.sequence(first, F.least(F.col(cases), first + SLOTS) - 1))).drop("_block")
+    numbers = F.transform(F.sequence(first, F.least(F.array_max("_sizes"), first + SLOTS) - 1), lambda slot: _number(seed, F.col("replicate"), slot))
+    each = dealt.withColumn("_numbers", numbers).withColumn("cases", F.explode("_sizes"))
+    each = each.select("cases", "replicate", F.explode(F.slice("_numbers", F.lit(1), F.least(F.col("cases") - first, F.lit(SLOTS)).cast("int"))).alias("_number"))
+    return each.select("cases", "replicate", (F.col("_number") % F.col("cases")).alias("ordinal"))
+
+
+def resampled(cases: DataFrame, by: Sequence[str], resamples: int, seed: str) -> DataFrame:
+    """``cases`` (a row a case of its group) with ``cases``, ``replicate`` and a row for each time that a case is drawn; replicate -1 has every case once.
+
+    Cases are numbered in the order of a hash, range by range, and written once, so that what goes before isn't done
+    again for the sizes, and so that they can be counted. Up to ``BROADCAST_CASES`` are broadcast, and sums are then combined
+    where the slots are made; more are joined by (size, number). The slots, whose number Spark can't foresee, never are.
+    """
+    sizes = cases.groupBy(*by).agg(F.count(F.lit(1)).alias("cases"))
+    numbered = materialize(matched(hash_ranked(cases, by, "case_id", "ordinal"), sizes, by), "cases")
+    few = numbered.count() <= BROADCAST_CASES
+    drawn = slots(numbered, resamples, seed).join(F.broadcast(numbered) if few else numbered.hint("merge"), ["cases", "ordinal"])
+    return drawn.drop("ordinal").unionByName(numbered.drop("ordinal").withColumn("replicate", F.lit(-1)))
 
 
 def bootstrap(cases: DataFrame, by: Sequence[str], resamples: int, seed: str, confidence: float = 0.95) -> DataFrame:
     """Percentile intervals of pooled means, whole cases drawn with replacement.
 
     ``cases`` is the output of ``clusters``. A group with n cases makes n x resamples slots, which are
-    dealt out before they are made (``slots``); cases are numbered in the order of a hash, range by range.
+    dealt out before they are made (``slots``).
     """
-    numbered = hash_ranked(cases, by, "case_id", "ordinal")
-    sizes = cases.groupBy(*by).agg(F.count(F.lit(1)).alias("cases"), (F.sum("total") / F.sum("n")).alias("estimate"))
-    picked = slots(sizes, by, "cases", resamples, "slot").withColumn("ordinal", pick(seed, F.col("replicate"), F.col("slot"), F.col("cases")))
-    drawn = picked.join(numbered.select(*by, "ordinal", "total", "n"), [*by, "ordinal"])
-    means = drawn.groupBy(*by, "replicate", "cases", "estimate").agg((F.sum("total") / F.sum("n")).alias("mean"))
-    tail = (1 - confidence) / 2
-    return means.groupBy(*by, "cases", "estimate").agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))
+    means = resampled(cases, by, resamples, seed).groupBy(*by, "cases", "replicate").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    drawn, tail = F.when(F.col("replicate") >= 0, F.col("mean")), (1 - confidence) / 2
+    return means.groupBy(*by, "cases").agg(
+        F.max(F.when(F.col("replicate") < 0, F.col("mean"))).alias("estimate"), F.percentile(drawn, F.lit(tail)).alias("low"), F.percentile(drawn, F.lit(1 - tail)).alias("high")
+    )
 
 
 def _quantile(ordered: list[float], q: float) -> float:

@@ -28,6 +28,11 @@ def r6(c, name: str | None = None):
     return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
 
 
+def r12(name: str):
+    """An interval's number to twelve places: of 2,000 draws many are ties at six, which engines round either way."""
+    return F.round(name, 12).alias(name)
+
+
 # --- cohort -----------------------------------------------------------------
 
 
@@ -271,14 +276,14 @@ def e0_paired(spark: SparkSession, d: str) -> DataFrame:
 def paired_difference_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     value = lambda p: F.max(F.when(F.col("policy") == p, F.col("value")))
     arms = _case_values(spark, d).groupBy("variant", "case_id").agg((value("P0") - value("P2")).alias("value"))
-    b = statistics.bootstrap(statistics.clusters(arms, ["variant"]), ["variant"], 100, "7")
-    return b.select("variant", "cases", r6("estimate"), r6("low"), r6("high"))
+    b = statistics.bootstrap(statistics.clusters(arms, ["variant"]), ["variant"], 2000, "7")
+    return b.select("variant", "cases", r12("estimate"), r12("low"), r12("high"))
 
 
 @query
 def mersenne_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     v = _case_values(spark, d)
-    return statistics.mersenne_bootstrap(v, ["variant"], 200).select("variant", "cases", r6("estimate"), r6("low"), r6("high"))
+    return statistics.mersenne_bootstrap(v, ["variant"]).select("variant", "cases", r6("estimate"), r6("low"), r6("high"))
 
 
 @query
@@ -334,8 +339,8 @@ def _long_scores(spark: SparkSession, d: str) -> DataFrame:
 @query
 def study_score_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every (variant, policy, metric) with its pooled mean, its interval, and what was not measured."""
-    r = intervals.score_rows(_long_scores(spark, d), 20, "3")
-    return r.select("variant", "policy", "metric", r6("estimate"), r6("low"), r6("high"), "method", "n_cases", "n_scores", "n_incomplete")
+    r = intervals.score_rows(_long_scores(spark, d), seed="3")
+    return r.select("variant", "policy", "metric", r12("estimate"), r12("low"), r12("high"), "method", "n_cases", "n_scores", "n_incomplete")
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -350,8 +355,8 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 @query
 def trend_comparisons(spark: SparkSession, d: str) -> DataFrame:
     """Reference scope, turn scope and gradient: paired differences of cells."""
-    c = decomposition.compared(_scored(spark, d), 20, "5")
-    return c.select("section", "key", "n_cases", "n_dropped", r6("estimate"), r6("low"), r6("high"), "excludes_zero")
+    c = decomposition.compared(_scored(spark, d), seed="5")
+    return c.select("section", "key", "n_cases", "n_dropped", r12("estimate"), r12("low"), r12("high"), "excludes_zero")
 
 
 # --- dialogues --------------------------------------------------------------
@@ -561,8 +566,8 @@ def detector_intervals(spark: SparkSession, d: str) -> DataFrame:
     """With fifty cases a language and turns named by the id: precision to localisation, over resampled cases."""
     k = F.col("doc_id")
     o = _detector(spark, d).select("fault", (k % 50).alias("case_id"), "is_corrupted", "predicted", "score", (k % 7).alias("truth_turn"), F.array(k % 3, k % 5).alias("predicted_turns"))
-    i = intervals.detector_intervals(o, ["fault"], 40, "9")
-    return i.select("fault", "metric", r6("estimate"), r6("low"), r6("high"))
+    i = intervals.detector_intervals(o, ["fault"], seed="9")
+    return i.select("fault", "metric", r12("estimate"), r12("low"), r12("high"))
 
 
 @query
@@ -570,7 +575,7 @@ def grounding_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Counts of the assignment over cases, with intervals."""
     left, right = _entities(spark, d)
     g = matching.grounding_counts(left, right, matching.assign(_pairs(spark, d), ["case_id"]), ["case_id"])
-    return intervals.count_intervals(g.withColumn("field", F.lit("diagnoses")), ["field"], 100, "2").select("field", "metric", r6("estimate"), r6("low"), r6("high"))
+    return intervals.count_intervals(g.withColumn("field", F.lit("diagnoses")), ["field"], seed="2").select("field", "metric", r12("estimate"), r12("low"), r12("high"))
 
 
 @query
@@ -649,7 +654,7 @@ def retention_by_policy(spark: SparkSession, d: str) -> DataFrame:
     coded = right.crossJoin(F.broadcast(policies.select("policy"))).select("policy", "case_id", "coded")
     pairs = _pairs(spark, d).join(some, ["case_id", "extracted"]).select("policy", "case_id", "extracted", "coded", "granularity", "score")
     cases = coded.select("policy", "case_id").distinct().withColumn("extractor", F.lit("family-b")).withColumn("generators", F.array(F.lit("family-a")))
-    return retention.retention(cases, some, coded, pairs, 50, "4").select("policy", "metric", r6("estimate"), r6("low"), r6("high"))
+    return retention.retention(cases, some, coded, pairs, seed="4").select("policy", "metric", r12("estimate"), r12("low"), r12("high"))
 
 
 @query

@@ -157,9 +157,9 @@ SELECT case_id, variant, attempt_index, round(value, 6) AS value FROM a QUALIFY
 SELECT variant, count(diff) AS n_cases, count(*) - count(diff) AS n_dropped, round(avg(diff), 6) AS mean_difference FROM arms GROUP BY 1""",
     "paired_difference_bootstrap": f"""WITH {VALUES}, arms AS (SELECT variant, case_id, max(value) FILTER (policy = 'P0') - max(value) FILTER (policy = 'P2') AS diff FROM vals GROUP BY ALL),
 c AS (SELECT variant, row_number() OVER (PARTITION BY variant ORDER BY md5(case_id::VARCHAR), case_id) - 1 AS ordinal, diff FROM arms WHERE diff IS NOT NULL), s AS (SELECT variant, count(*) AS cases, avg(diff) AS estimate FROM c GROUP BY 1),
-slots AS (SELECT variant, b, ('0x' || substr(sha256('7|' || b || '|' || x), 1, 8))::BIGINT % cases AS ordinal, cases, estimate FROM (SELECT *, unnest(range(cases)) AS x FROM s), range(100) t(b)),
+slots AS (SELECT variant, b, ('0x' || substr(sha256('7|' || b || '|' || x), 1, 8))::BIGINT % cases AS ordinal, cases, estimate FROM (SELECT *, unnest(range(cases)) AS x FROM s), range(2000) t(b)),
 m AS (SELECT variant, b, cases, estimate, avg(diff) AS mean FROM slots JOIN c USING (variant, ordinal) GROUP BY ALL)
-SELECT variant, cases, round(estimate, 6) AS estimate, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY variant, cases, estimate""",
+SELECT variant, cases, round(estimate, 12) AS estimate, round(quantile_cont(mean, 0.025), 12) AS low, round(quantile_cont(mean, 0.975), 12) AS high FROM m GROUP BY variant, cases, estimate""",
     "sign_flip_exact": f"""WITH {VALUES}, sites AS (SELECT case_id % 12 AS case_id, policy, avg(value) AS value FROM vals GROUP BY ALL),
 arms AS (SELECT case_id, max(value) FILTER (policy = 'P0') - max(value) FILTER (policy = 'P2') AS diff FROM sites WHERE policy IN ('P0', 'P2') GROUP BY 1),
 c AS (SELECT row_number() OVER (ORDER BY case_id) - 1 AS i, diff FROM arms WHERE diff IS NOT NULL), n AS (SELECT count(*) AS n, abs(sum(diff) / count(*)) AS o FROM c),
@@ -300,7 +300,7 @@ dr AS (SELECT {by}, b, case_id, count(*) AS times FROM sl JOIN cs USING ({by}, o
 
 
 def _interval(value: str) -> str:
-    return f"round(max({value}) FILTER (b < 0), 6) AS estimate, round(coalesce(quantile_cont({value}, 0.025) FILTER (b >= 0), max({value}) FILTER (b < 0)), 6) AS low, round(coalesce(quantile_cont({value}, 0.975) FILTER (b >= 0), max({value}) FILTER (b < 0)), 6) AS high"
+    return f"round(max({value}) FILTER (b < 0), 12) AS estimate, round(coalesce(quantile_cont({value}, 0.025) FILTER (b >= 0), max({value}) FILTER (b < 0)), 12) AS low, round(coalesce(quantile_cont({value}, 0.975) FILTER (b >= 0), max({value}) FILTER (b < 0)), 12) AS high"
 
 
 _METRICS = {"precision": "CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END", "recall": "CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END", "f1": "CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END", "auc": "wins / nullif(pos * neg, 0)", "localisation": "CASE WHEN tp = 0 THEN 0.0 ELSE located / tp END"}
@@ -313,21 +313,21 @@ _ARMS = " UNION ALL ".join(
 _POLICY = "CASE policy " + " ".join(f"WHEN 'P{i}' THEN '{p}'" for i, p in enumerate(decomposition.POLICIES)) + " END"
 
 ORACLE_SQL |= {
-    "detector_intervals": f"""WITH {DETECTOR}, o AS (SELECT *, doc_id % 50 AS case_id, is_corrupted AND predicted AND (doc_id % 7 = doc_id % 3 OR doc_id % 7 = doc_id % 5) AS hit FROM det), {_draws('o', 'fault', 40, '9')},
+    "detector_intervals": f"""WITH {DETECTOR}, o AS (SELECT *, doc_id % 50 AS case_id, is_corrupted AND predicted AND (doc_id % 7 = doc_id % 3 OR doc_id % 7 = doc_id % 5) AS hit FROM det), {_draws('o', 'fault', 2000, '9')},
 w AS (SELECT fault, b, score, sum(times * (is_corrupted AND predicted)::INTEGER) AS tp, sum(times * (NOT is_corrupted AND predicted)::INTEGER) AS fp, sum(times * (is_corrupted AND NOT predicted)::INTEGER) AS fn, sum(times * hit::INTEGER) AS located,
   sum(times * is_corrupted::INTEGER) AS pos, sum(times * (NOT is_corrupted)::INTEGER) AS neg FROM dr JOIN o USING (fault, case_id) GROUP BY ALL),
 c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY fault, b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w),
 r AS (SELECT fault, b, sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp, sum(fn)::DOUBLE AS fn, sum(located)::DOUBLE AS located, sum(pos)::DOUBLE AS pos, sum(neg)::DOUBLE AS neg, sum(pos * (below + neg / 2))::DOUBLE AS wins FROM c GROUP BY ALL),
 m AS ({' UNION ALL '.join(f"SELECT fault, b, '{n}' AS metric, {x} AS v FROM r" for n, x in _METRICS.items())})
 SELECT fault, metric, {_interval('v')} FROM m GROUP BY fault, metric""",
-    "study_score_rows": f"""WITH {FINAL2}, s AS ({_LONG}), ms AS (SELECT variant, policy, metric, case_id, sum(value) AS total, count(*) AS n FROM s WHERE value IS NOT NULL GROUP BY ALL), {_draws('ms', 'variant, policy, metric', 20, '3')},
+    "study_score_rows": f"""WITH {FINAL2}, s AS ({_LONG}), ms AS (SELECT variant, policy, metric, case_id, sum(value) AS total, count(*) AS n FROM s WHERE value IS NOT NULL GROUP BY ALL), {_draws('ms', 'variant, policy, metric', 2000, '3')},
 r AS (SELECT variant, policy, metric, b, sum(times * total) / sum(times * n) AS v FROM dr JOIN ms USING (variant, policy, metric, case_id) GROUP BY ALL), i AS (SELECT variant, policy, metric, {_interval('v')} FROM r GROUP BY ALL),
 n AS (SELECT variant, policy, metric, count(DISTINCT case_id) FILTER (value IS NOT NULL) AS n_cases, count(value) AS n_scores, count(*) - count(value) AS n_incomplete FROM s GROUP BY ALL)
-SELECT variant, policy, metric, estimate, low, high, CASE WHEN n_scores > 0 THEN 'case-clustered percentile bootstrap (B=20)' ELSE 'all scores INCOMPLETE' END AS method, n_cases, n_scores, n_incomplete FROM n LEFT JOIN i USING (variant, policy, metric)""",
+SELECT variant, policy, metric, estimate, low, high, CASE WHEN n_scores > 0 THEN 'case-clustered percentile bootstrap (B=2000)' ELSE 'all scores INCOMPLETE' END AS method, n_cases, n_scores, n_incomplete FROM n LEFT JOIN i USING (variant, policy, metric)""",
     "trend_comparisons": f"""WITH {BASE}, e AS (SELECT case_id, attempt_index, {_POLICY} AS policy, CASE WHEN attempt_index % 2 = 0 THEN '{decomposition.MODES[0]}' ELSE '{decomposition.MODES[1]}' END AS mode, value FROM attempts),
 d AS (SELECT *, '{decomposition.PATIENT}' AS dimension, value AS v FROM e UNION ALL SELECT *, '{decomposition.DOCTOR}', CASE WHEN attempt_index % 7 <> 0 THEN value * 0.9::DOUBLE END FROM e),
 cells AS (SELECT dimension, mode, policy, case_id, v AS value FROM d QUALIFY row_number() OVER (PARTITION BY dimension, mode, policy, case_id ORDER BY attempt_index DESC) = 1), arms AS ({_ARMS}),
-pairs AS (SELECT section, key, case_id, max(value) FILTER (arm = 1) - max(value) FILTER (arm = 2) AS diff FROM arms GROUP BY ALL), ms AS (SELECT * FROM pairs WHERE diff IS NOT NULL), {_draws('ms', 'section, key', 20, '5')},
+pairs AS (SELECT section, key, case_id, max(value) FILTER (arm = 1) - max(value) FILTER (arm = 2) AS diff FROM arms GROUP BY ALL), ms AS (SELECT * FROM pairs WHERE diff IS NOT NULL), {_draws('ms', 'section, key', 2000, '5')},
 r AS (SELECT section, key, b, sum(times * diff) / sum(times) AS v FROM dr JOIN ms USING (section, key, case_id) GROUP BY ALL), i AS (SELECT section, key, {_interval('v')} FROM r GROUP BY ALL),
 n AS (SELECT section, key, count(diff) AS n_cases, count(*) - count(diff) AS n_dropped FROM pairs GROUP BY ALL)
 SELECT section, key, n_cases, n_dropped, estimate, low, high, low > 0 OR high < 0 AS excludes_zero FROM n JOIN i USING (section, key) WHERE n_cases > 0""",

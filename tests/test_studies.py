@@ -92,7 +92,7 @@ def test_grounding_query_equals_python(spark, sf_dir):
     got = {r["metric"]: r for r in catalogue.QUERIES["grounding_intervals"](spark, sf_dir).collect()}
     prf = lambda t: (t[0] / (t[0] + t[1]) if t[0] + t[1] else 0.0, t[0] / (t[0] + t[2]) if t[0] + t[2] else 0.0, 2 * t[0] / (2 * t[0] + t[1] + t[2]) if sum(t) else 0.0)
     total = lambda n: tuple(sum(k * counts[c][i] for c, k in n.items()) for i in range(3))
-    drawn = [prf(total(n)) for n in times(counts, 100, "2")]
+    drawn = [prf(total(n)) for n in times(counts, 2000, "2")]
     for i, m in enumerate(("precision", "recall", "f1")):
         q = pd.Series([d[i] for d in drawn]).quantile([0.025, 0.975]).tolist()
         assert got[m]["estimate"] == pytest.approx(prf(total(dict.fromkeys(counts, 1)))[i], abs=1e-6) and (got[m]["low"], got[m]["high"]) == (pytest.approx(q[0], abs=1e-6), pytest.approx(q[1], abs=1e-6))
@@ -212,16 +212,39 @@ def test_corpus_helpers(spark):
 
 
 def test_slots_are_dealt_before_they_are_made(spark):
-    """Every slot once, over many tasks, whatever the sizes of groups."""
+    """Every slot of every size once, with its hash, over many tasks."""
+    import hashlib
+
     from pyspark.sql import functions as F
 
     from clinloom.operators import statistics
 
-    sizes = spark.createDataFrame([("a", 1), ("b", statistics.SLOTS), ("c", 3 * statistics.SLOTS + 5)], "g string, n long")
-    made = statistics.slots(sizes, ["g"], "n", 6, "slot")
-    got = {(r["g"], r["replicate"]): (r["c"], r["d"], r["least"], r["most"]) for r in made.groupBy("g", "replicate").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("slot").alias("d"), F.min("slot").alias("least"), F.max("slot").alias("most")).collect()}
-    assert got == {(g, b): (n, n, 0, n - 1) for g, n in (("a", 1), ("b", statistics.SLOTS), ("c", 3 * statistics.SLOTS + 5)) for b in range(6)}
-    assert made.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = [1, 7, statistics.SLOTS, 3 * statistics.SLOTS + 5]
+    made = statistics.slots(spark.createDataFrame([(n,) for n in sizes + sizes], "cases long"), 3, "s")
+    got = {(r["cases"], r["replicate"]): (r["c"], r["t"]) for r in made.groupBy("cases", "replicate").agg(F.count(F.lit(1)).alias("c"), F.sum("ordinal").alias("t")).collect()}
+    number = [[int(hashlib.sha256(f"s|{b}|{x}".encode()).hexdigest()[:8], 16) for x in range(max(sizes))] for b in range(3)]
+    assert got == {(n, b): (n, sum(x % n for x in number[b][:n])) for n in sizes for b in range(3)}
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    with pytest.raises(ValueError, match="positive"):
+        statistics.slots(made, 0, "s")
+
+
+def test_many_cases_are_joined_as_few_are(spark, monkeypatch):
+    """Broadcast or joined, with null groups and groups of one case: the same draws; the slots are never broadcast."""
+    from clinloom.operators import statistics
+
+    cases = spark.createDataFrame([(g, i, float(i), 1) for g, n in (("a", 30), (None, 12), ("c", 1)) for i in range(n)], "g string, case_id long, total double, n long")
+    few = statistics.resampled(cases, ["g"], 40, "s")
+    want = Counter(tuple(r) for r in few.select("g", "replicate", "case_id", "total", "n", "cases").collect())
+    monkeypatch.setattr(statistics, "BROADCAST_CASES", 0)
+    many = statistics.resampled(cases, ["g"], 40, "s")
+    assert "SortMergeJoin" in many._jdf.queryExecution().toString() and "BuildLeft" not in few._jdf.queryExecution().toString()
+    assert Counter(tuple(r) for r in many.select("g", "replicate", "case_id", "total", "n", "cases").collect()) == want
+    assert sum(want.values()) == 43 * 41
+    for g, n in (("a", 30), (None, 12), ("c", 1)):
+        drawn = times(range(n), 40, "s")
+        assert {(b, c): k for (h, b, c, *_), k in want.items() if h == g and b >= 0} == {(b, c): k for b, x in enumerate(drawn) for c, k in x.items()}
+    assert statistics.bootstrap(cases.where("false"), ["g"], 5, "s").count() == 0
 
 
 def test_incomplete_matrices_are_refused(spark):
