@@ -108,6 +108,34 @@ def costs(attempts: DataFrame, by: Sequence[str], prompt_price: float, completio
     return out.withColumn("estimated_cost", (F.col("prompt_tokens") * prompt_price + F.col("completion_tokens") * completion_price) / 1e6)
 
 
+# Where a call's tokens and time are; the second name counts where a call hasn't got the first.
+CALL_FIELDS = {"prompt_tokens": ("prompt_tokens", "input_tokens"), "completion_tokens": ("completion_tokens", "output_tokens"), "wall_ms": ("latency_ms",)}
+COST = "struct<calls: bigint, prompt_tokens: bigint, completion_tokens: bigint, wall_ms: bigint, estimated_cost: double>"
+
+
+def call_costs(calls: Column, supplied: Column | None = None) -> Column:
+    """The costs (``COST``) of an attempt's model calls, a JSON array of objects; fields of ``supplied``, a JSON object, take their place.
+
+    A field that is there without a value counts as zero. Null or no calls cost nothing.
+    """
+    held = F.coalesce(F.from_json(calls, "array<map<string, string>>"), F.array().cast("array<map<string, string>>"))
+
+    def at(call: Column, names: tuple[str, ...]) -> Column:
+        first = call[names[0]]
+        for other in names[1:]:
+            first = F.when(F.map_contains_key(call, names[0]), first).otherwise(call[other])
+        return F.coalesce(first.try_cast("double").cast("bigint"), F.lit(0).cast("bigint"))
+
+    total = lambda value, zero: F.aggregate(held, zero, lambda a, c: a + value(c))
+    sums = {"calls": F.size(held).cast("bigint")}
+    sums |= {k: total(lambda c, n=n: at(c, n), F.lit(0).cast("bigint")) for k, n in CALL_FIELDS.items()}
+    sums["estimated_cost"] = total(lambda c: F.coalesce(c["estimated_cost"].try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    if supplied is not None:
+        given = F.from_json(supplied, COST)
+        sums = {k: F.coalesce(given[k], v) for k, v in sums.items()}
+    return F.struct(*[v.alias(k) for k, v in sums.items()])
+
+
 def condition_summary(attempts: DataFrame, by: Sequence[str], prompt_price: float = 0.0, completion_price: float = 0.0) -> DataFrame:
     """Per condition: attempts and cases, accepted cases and terminal failures, their rates, sums of costs, and cost a case.
 

@@ -51,6 +51,24 @@ def permitted(path: str, allowed: Iterable[str]) -> bool:
     return any(path == a or path.startswith((a + ".", a + "[")) for a in allowed)
 
 
+def surface(schema: T.StructType) -> list[str]:
+    """What every policy must decide about: the fields one level below the schema's sections, and fields that are no sections."""
+    out: list[str] = []
+    for field in schema.fields:
+        inner = field.dataType
+        out += [f"{field.name}.{f.name}" for f in inner.fields] if isinstance(inner, T.StructType) else [field.name]
+    return out
+
+
+def policy_issues(policy: Policy, masked: Iterable[str], schema: T.StructType) -> list[str]:
+    """Why a policy can't be used on a schema: unknown paths, paths both visible and masked, fields that it doesn't decide about."""
+    masked, known = set(masked), set(paths(schema))
+    declared = policy.patient_visible | policy.doctor_visible | policy.redact_in | masked
+    issues = [f"unknown path {p}" for p in sorted(declared - known)]
+    issues += [f"both visible and masked: {p}" for p in sorted(policy.patient_visible & masked)]
+    return issues + [f"not classified: {s}" for s in surface(schema) if not any(permitted(p, [s]) for p in policy.patient_visible | masked)]
+
+
 def leakable(schema: T.DataType, allowed: Iterable[str]) -> list[str]:
     """Paths a role could leak: neither permitted nor mere containers of what is."""
     allowed = list(allowed)

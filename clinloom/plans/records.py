@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinloom.functions import responses
+from clinloom.functions import profiles, responses
 from clinloom.operators import attempts, evaluation, knowledge, paths, progress, quotes, variety
 from clinloom.plans import proxies as px
 from clinloom.plans.oracle import BASE
 from clinloom.session import scratch_root
-from clinloom.sources import extract
+from clinloom.sources import extract, scored
 from clinloom.sources.tables import load
 from clinloom.streaming.log import AttemptLog
 
@@ -145,6 +145,54 @@ def reference_evidence_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.select("references", "empty_cores", "entities", "symptoms", "diagnoses", "unevidenced", "unevidenced_share")
 
 
+_CALLS = (
+    "'[]'", "concat('[{\"prompt_tokens\": ', p, ', \"completion_tokens\": ', c, ', \"latency_ms\": 12}]')",
+    "concat('[{\"input_tokens\": ', p, ', \"output_tokens\": ', c, ', \"latency_ms\": 5, \"estimated_cost\": 0.25}, {\"prompt_tokens\": 7}]')", "concat('[{\"prompt_tokens\": null, \"input_tokens\": ', p, ', \"latency_ms\": null}]')",
+)
+
+
+@query
+def attempt_call_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Per event type: what attempts cost by their recorded calls, whose fields have two names, or by what is supplied in their place."""
+    e = load(spark, d, "events").selectExpr("event_type", "event_id % 4 as shape", "event_id % 5 = 0 as given", "event_id % 1000 as p", "event_id % 300 as c")
+    calls = F.expr("case shape " + " ".join(f"when {k} then {x}" for k, x in enumerate(_CALLS)) + " end")
+    cost = attempts.call_costs(calls, F.expr("if(given, concat('{\"calls\": 9, \"prompt_tokens\": ', c, '}'), null)"))
+    each = e.select(F.col("event_type").alias("variant"), cost.alias("cost")).select("variant", "cost.*")
+    return each.groupBy("variant").agg(F.count(F.lit(1)).alias("attempts"), *[F.sum(c).alias(c) for c in ("calls", "prompt_tokens", "completion_tokens", "wall_ms", "estimated_cost")])
+
+
+_WHO = '"provenance": {"scorer_id": "s", "model_family": "f", "model_id": "m", "model_digest": "d", "quantisation": "q", "reference_mode": null, "turn_scope": "all", "prompt_version": "1"}'
+_SCORED = (
+    f"""'"full_reference", "scores": {{"x": {{"value": 0.' || v || ', "status": "pass", {_WHO}}}}}}}'""", f"""'"full_reference", "scores": {{"x": {{"value": 1.' || v || '1, "status": "pass", {_WHO}}}}}}}'""",
+    """'"full_reference", "scores": {"x": {"value": 0.' || v || ', "status": "pass"}}}'""", """'"full_reference", "scores": {'""", """'"other", "scores": {}}'""", f"""'"policy_context", "scores": {{"x": {{"value": null, "status": "incomplete", {_WHO}}}}}}}'""",
+)
+
+
+@query
+def score_line_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of scored dialogues, five of six damaged: how many have which defect, and the mean of the sound scores."""
+    e = load(spark, d, "events").selectExpr("event_id", "event_id % 6 as shape", "cast(event_id % 90 + 10 as string) as v")
+    rest = F.expr("case shape " + " ".join(f"when {k} then {x}" for k, x in enumerate(_SCORED)) + " end")
+    head = F.concat(F.lit('{"dialogue_id": "'), F.col("event_id").cast("string"), F.lit('", "case_id": "c", "policy": "P@1", "reference_mode": '), rest)
+    rows = scored.scores(e.select(F.lit("events").alias("file"), head.alias("value")))
+    sound = F.avg(F.when(F.col("defect").isNull(), F.col("score.value")))
+    return rows.groupBy(F.coalesce("defect", F.lit("sound")).alias("defect")).agg(F.count(F.lit(1)).alias("n"), F.round(sound, 9).alias("mean_value"))
+
+
+@query
+def legacy_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Patients' views in the older writing, nulls as empty defaults, and their lists as the prompts' text."""
+    sex, has = F.when(F.col("doc_id") % 3 != 0, F.lit("F")), F.col("doc_id") % 5 != 0
+    person = F.when(F.col("doc_id") % 7 != 0, F.struct((F.col("doc_id") % 90).cast("string").alias("age"), sex.alias("sex")))
+    context = F.struct(person.alias("patient_demographics"), F.when(has, F.array("lang", "source")).alias("allergies"))
+    core = F.struct(F.array(F.struct(F.col("lang").alias("description"), sex.alias("severity")), F.struct(F.substring("text", 1, 9).alias("description"), sex.alias("severity"))).alias("symptoms"))
+    r = load(spark, d, "documents").select("doc_id", F.struct(context.alias("context"), core.alias("core")).alias("r"))
+    p = r.select("doc_id", "r", profiles.legacy(F.col("r"), r.schema["r"].dataType, "NO_DIAGNOSIS", "2.0").alias("p"))
+    shown = F.md5(profiles.symptoms(F.col("r.core.symptoms"), named=True).cast("binary"))
+    return p.select("doc_id", "p.profile_type", profiles.demographics(F.col("r.context.patient_demographics")).alias("demographics"), profiles.allergies(F.col("r.context.allergies")).alias("allergies"), shown.alias("symptoms_md5"),
+        F.col("p.Context.Patient_Demographics.Sex").alias("sex"), F.size("p.Context.Allergies").cast("long").alias("n_allergies"), F.col("p.Core.Symptoms")[0]["Severity"].alias("severity"))
+
+
 SAID = variety.Phrases(("I see", "Right"), ("That's hard",), ("Now",), ("Um...", "Well...", "Uh..."), ("Yes,",), ("Maybe,", "Perhaps,"), weights={"hesitations": (6.0, 3.0, 1.0)})
 
 
@@ -189,6 +237,16 @@ SELECT variant, policy, sum(n)::BIGINT AS attempts, count(*) AS cases, count(*)
 c AS (SELECT k, k % 5 <> 0 AS s, k % 10 <> 0 AS g, length(t) >= 4 AS first, length(t) >= 7 AS third FROM d),
 n AS (SELECT count(*) AS refs, count(*) FILTER (NOT s AND NOT g) AS empty, 2 * count(*) FILTER (s) AS sy, count(*) FILTER (g) AS di, count(*) FILTER (s AND NOT first) + count(*) FILTER (s) + count(*) FILTER (g AND NOT third) AS bad FROM c)
 SELECT refs AS "references", empty AS empty_cores, sy + di AS entities, sy AS symptoms, di AS diagnoses, bad AS unevidenced, bad / (sy + di) AS unevidenced_share FROM n""",
+    "attempt_call_costs": """WITH e AS (SELECT event_type AS variant, event_id % 4 AS shape, event_id % 5 = 0 AS given, event_id % 1000 AS p, event_id % 300 AS c FROM events)
+SELECT variant, count(*) AS attempts, sum(CASE WHEN given THEN 9 WHEN shape = 0 THEN 0 WHEN shape = 2 THEN 2 ELSE 1 END)::BIGINT AS calls, sum(CASE WHEN given THEN c WHEN shape = 1 THEN p WHEN shape = 2 THEN p + 7 ELSE 0 END)::BIGINT AS prompt_tokens,
+ sum(CASE WHEN shape IN (1, 2) THEN c ELSE 0 END)::BIGINT AS completion_tokens, sum(CASE shape WHEN 1 THEN 12 WHEN 2 THEN 5 ELSE 0 END)::BIGINT AS wall_ms, sum(CASE WHEN shape = 2 THEN 0.25::DOUBLE ELSE 0 END) AS estimated_cost FROM e GROUP BY 1""",
+    "score_line_defects": """SELECT CASE event_id % 6 WHEN 0 THEN 'sound' WHEN 1 THEN 'bad score ''x'': a value outside 0 to 1' WHEN 2 THEN 'bad score ''x'': fields are missing: provenance' WHEN 3 THEN 'not valid JSON' WHEN 4 THEN 'unknown reference mode'
+ ELSE 'bad score ''x'': an incomplete score has no reason' END AS defect, count(*) AS n, round(avg(CASE WHEN event_id % 6 = 0 THEN ('0.' || (event_id % 90 + 10))::DOUBLE END), 9) AS mean_value FROM events GROUP BY 1""",
+    "legacy_profiles": """WITH p AS (SELECT *, CASE WHEN doc_id % 3 <> 0 THEN 'F' END AS sex FROM documents)
+SELECT doc_id, 'NO_DIAGNOSIS' AS profile_type, CASE WHEN doc_id % 7 = 0 THEN 'Not specified in profile.' ELSE 'Age: ' || (doc_id % 90) || ', Sex: ' || coalesce(sex, 'N/A') END AS demographics,
+ CASE WHEN doc_id % 5 = 0 OR (nullif(lang, '') IS NULL AND nullif(source, '') IS NULL) THEN 'None known or not specified in profile.' ELSE concat_ws(', ', nullif(lang, ''), nullif(source, '')) END AS allergies,
+ md5(coalesce(nullif(concat_ws('; ', nullif(lang, ''), nullif(substr(text, 1, 9), '')), ''), 'No specific symptoms listed in profile to discuss.')) AS symptoms_md5,
+ CASE WHEN doc_id % 7 = 0 THEN '' ELSE coalesce(sex, '') END AS sex, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END::BIGINT AS n_allergies, coalesce(sex, '') AS severity FROM p""",
     "turn_variety": f"""WITH {BASE}, t AS (SELECT *, index % 3 = 1 AS u FROM turns),
 p AS (SELECT dialogue_id, index, text, concat_ws(' ', CASE WHEN who = 'Patient' AND {_happens("hesitate", "CASE WHEN u THEN 0.7 ELSE 0.4 END")} THEN {_chosen("hesitations", SAID.hesitations, SAID.weights["hesitations"])} END, CASE WHEN who = 'Patient' AND u THEN {_chosen("uncertain", SAID.uncertain)} END,
  CASE WHEN who = 'Doctor' AND NOT {_happens("silent", "0.3")} THEN {_chosen("acknowledgments", SAID.acknowledgments)} || '.' END, CASE WHEN who = 'Doctor' AND u THEN 'That''s hard.' END, CASE WHEN who = 'Doctor' AND index % 4 = 0 THEN 'Now' END) AS prefix,
