@@ -45,8 +45,14 @@ def stay_days(admitted: Column, discharged: Column) -> Column:
 
 
 def icu_totals(stays: DataFrame) -> DataFrame:
-    """(hadm_id, icu_days): the sum of stays, infinite if any length is unknown."""
-    total = F.when(F.bool_or(F.col("los").isNull()), F.lit(float("inf"))).otherwise(F.sum("los"))
+    """(hadm_id, icu_days): the sum of stays, infinite if any length is unknown.
+
+    Summed as decimals, so that three stays of a day in all are a day in whatever order they are added; as
+    doubles some are a bit less. Twelve places are more than lengths have; what no decimal holds is summed as it is.
+    """
+    exact = F.col("los").try_cast("decimal(38,12)")
+    known = F.when(F.bool_or(exact.isNull()), F.sum("los").cast("double")).otherwise(F.sum(exact).cast("double"))
+    total = F.when(F.bool_or(F.col("los").isNull()), F.lit(float("inf"))).otherwise(known)
     return stays.where("hadm_id is not null").groupBy("hadm_id").agg(total.alias("icu_days"))
 
 

@@ -36,6 +36,12 @@ def test_unknown_icu_stay_is_infinite(spark):
     assert dict(rows(cohort.icu_totals(df))) == {1: math.inf, 2: 0.75}
 
 
+def test_icu_days_do_not_depend_on_the_order_of_stays(spark):
+    stays = [(k, x) for k, order in enumerate([(0.84, 0.08, 0.08), (0.08, 0.84, 0.08), (0.08, 0.08, 0.84)]) for x in order] + [(8, math.nan), (8, 1.0), (9, math.inf), (9, 0.5)]
+    got = dict(rows(cohort.icu_totals(spark.createDataFrame(stays, "hadm_id long, los double").coalesce(1))))
+    assert [got[k] for k in (0, 1, 2)] == [1.0, 1.0, 1.0] and math.isnan(got[8]) and got[9] == math.inf
+
+
 def test_criteria_boundaries(spark):
     base = dict(subject_id=1, hadm_id=1, admission_type="URGENT", expired=False, deathtime=None, ventilated=False, age=40, has_icu=False, icu_days=0.0, high_acuity=False, stay=3.0, charlson=0, note_category="Discharge summary ", note_chars=500)
     cases = [
