@@ -8,11 +8,14 @@ Cases are reduced to sums and counts before anything is replicated.
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from hashlib import sha256
 from operator import and_
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,13 +114,94 @@ def resampled(cases: DataFrame, by: Sequence[str], resamples: int, seed: str) ->
     return drawn.drop("ordinal").unionByName(numbered.drop("ordinal").withColumn("replicate", F.lit(-1)))
 
 
+#: Cases of a group that are packed into one row, slots of a task, and hashes of slots that it holds at a time.
+PACKED, TASK_SLOTS, HASHES = 1 << 18, 1 << 20, 1 << 24
+#: Up to this many packed values are broadcast to the tasks; more are dealt to them.
+BROADCAST_VALUES = 4_000_000
+
+
+def _packed(numbered: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """A row for each run of ``PACKED`` cases of a group: its size, the run's first ordinal and the values in order."""
+    run = F.floor(F.col("ordinal") / PACKED).alias("_run")
+    item = F.struct("ordinal", *[F.col(v).cast("double").alias(v) for v in values])
+    held = numbered.groupBy(*by, "cases", run).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return held.select(*by, "cases", (F.col("_run") * PACKED).cast("long").alias("_first"), *[F.col(f"_items.{v}").alias(v) for v in values])
+
+
+def _hashes(seed: str, replicate: int, first: int, last: int) -> np.ndarray:
+    """The first 32 bits of SHA-256 of seed, replicate and slot, for a range of slots; a group of n cases takes them modulo n."""
+    head = f"{seed}|{replicate}|".encode()
+    return np.frombuffer(b"".join([sha256(head + b"%d" % slot).digest()[:4] for slot in range(first, last)]), ">u4").astype(np.uint32)
+
+
+def _drawn_sums(seed: str, by: Sequence[str], values: Sequence[str]) -> Callable:
+    """For mapInArrow: each packed row meets each task's replicates and slots; the sums of what is drawn of it, a row a replicate."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, numbers = None, {}
+        for batch in batches:
+            keys = batch.select(by)
+            for i, (first, last, low, high, cases, start) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("_low", "_high", "_slot", "_end", "cases", "_first")], strict=True)):
+                if at != (first, low):
+                    at, numbers = (first, low), {}
+                held = [batch.column(v)[i].values.to_numpy(zero_copy_only=False) for v in values]
+                out = np.empty((len(values), last - first))
+                for r in range(first, last):
+                    if r not in numbers:
+                        numbers[r] = _hashes(seed, r, low, high)
+                    ordinal = numbers[r][: max(0, cases - low)] % np.uint32(cases)
+                    if cases > len(held[0]):  # of a group in several runs, what falls into this one
+                        ordinal = ordinal[(ordinal >= start) & (ordinal < start + len(held[0]))] - np.uint32(start)
+                    for k, v in enumerate(held):
+                        out[k, r - first] = v.take(ordinal).sum()
+                n = last - first
+                same = pa.RecordBatch.from_arrays([keys.column(c).take(pa.array([i] * n)) for c in by], names=list(by)) if by else None
+                arrays = [*(same.columns if by else []), pa.array([cases] * n, pa.int64()), pa.array(range(first, last), pa.int32()), *[pa.array(x) for x in out]]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*by, "cases", "replicate", *values])
+
+    return sums
+
+
+def resampled_sums(cases: DataFrame, by: Sequence[str], values: Sequence[str], resamples: int, seed: str) -> DataFrame:
+    """(by, cases, replicate, values): the sums of ``values`` over the cases that a replicate draws; replicate -1 has every case once.
+
+    ``cases`` has a row a case of its group. Cases are numbered in the order of a hash, range by range, and packed into
+    arrays. A task has some replicates and a range of slots, makes their hashes once for all groups, and takes each
+    array's values by them: no draw ever is a row, and what is shuffled are arrays and sums. Few arrays are broadcast.
+    """
+    if resamples < 1:
+        raise ValueError("resamples must be positive")
+    spark = cases.sparkSession
+    sizes = cases.groupBy(*by).agg(F.count(F.lit(1)).alias("cases"))
+    numbered = matched(hash_ranked(cases, by, "case_id", "ordinal"), sizes, by)
+    packed = materialize(_packed(numbered, by, values), "cases")
+    n_values, most = packed.agg(F.coalesce(F.sum(F.size(values[0])), F.lit(0)) * len(values), F.coalesce(F.max("cases"), F.lit(0))).first()
+    wide = max(1, min(most, TASK_SLOTS))
+    each = max(1, min(HASHES // wide, -(-resamples // (4 * spark.sparkContext.defaultParallelism))))
+    parts = spark.range(-(-resamples // each)).select((F.col("id") * each).cast("int").alias("_low"), F.least(F.lit(resamples), (F.col("id") + 1) * each).cast("int").alias("_high"))
+    ranges = spark.range(max(1, -(-most // wide))).select((F.col("id") * wide).alias("_slot"), ((F.col("id") + 1) * wide).alias("_end"))
+    tasks = parts.crossJoin(F.broadcast(ranges))
+    n_tasks = -(-resamples // each) * max(1, -(-most // wide))
+    n_parts = max(1, min(n_tasks, 4096))
+    reached = F.col("cases") > F.col("_slot")
+    if n_values <= BROADCAST_VALUES:
+        met = tasks.repartitionByRange(n_parts, "_slot", "_low").join(F.broadcast(packed), reached)
+    else:
+        met = packed.join(F.broadcast(tasks), reached).repartitionByRange(n_parts, "_slot", "_low").sortWithinPartitions("_slot", "_low")
+    ship(spark)
+    kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in cases.select(*by).schema], "cases long", "replicate int", *[f"{v} double" for v in values]])
+    drawn = met.mapInArrow(_drawn_sums(seed, list(by), list(values)), kinds)
+    once = packed.select(*by, "cases", F.lit(-1).alias("replicate"), *[F.aggregate(v, F.lit(0.0), lambda s, x: s + x).alias(v) for v in values])
+    return drawn.unionByName(once).groupBy(*by, "cases", "replicate").agg(*[F.sum(v).alias(v) for v in values])
+
+
 def bootstrap(cases: DataFrame, by: Sequence[str], resamples: int, seed: str, confidence: float = 0.95) -> DataFrame:
     """Percentile intervals of pooled means, whole cases drawn with replacement.
 
-    ``cases`` is the output of ``clusters``. A group with n cases makes n x resamples slots, which are
-    dealt out before they are made (``slots``).
+    ``cases`` is the output of ``clusters``. A group with n cases makes n x resamples draws, which are
+    summed where they are made (``resampled_sums``).
     """
-    means = resampled(cases, by, resamples, seed).groupBy(*by, "cases", "replicate").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    means = resampled_sums(cases, by, ["total", "n"], resamples, seed).withColumn("mean", F.col("total") / F.col("n"))
     drawn, tail = F.when(F.col("replicate") >= 0, F.col("mean")), (1 - confidence) / 2
     return means.groupBy(*by, "cases").agg(
         F.max(F.when(F.col("replicate") < 0, F.col("mean"))).alias("estimate"), F.percentile(drawn, F.lit(tail)).alias("low"), F.percentile(drawn, F.lit(1 - tail)).alias("high")

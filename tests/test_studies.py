@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clinloom.operators import attempts as at
-from clinloom.operators import decomposition, discriminate, evaluation, intervals, knowledge, retention
+from clinloom.operators import decomposition, discriminate, evaluation, intervals, knowledge, retention, statistics
 from clinloom.sources import attempts as log
 from clinloom.sources import sinks
 
@@ -285,3 +285,32 @@ def test_condition_summary_of_nothing(spark):
     (r,) = attempts.condition_summary(df, ["variant"]).collect()
     assert (r["attempts"], r["cases"], r["accepted_cases"], r["terminal_failures"], r["calls"], r["cost_per_case"]) == (1, 1, 0, 1, 0, 0.0)
     assert attempts.condition_summary(df.where("false"), ["variant"]).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [{}, {"PACKED": 3, "TASK_SLOTS": 4, "HASHES": 8, "BROADCAST_VALUES": 0}])
+def test_sums_of_draws_are_those_of_drawn_rows(spark, monkeypatch, sizes):
+    """Arrays broadcast or dealt, groups in one run or several, slots in one range or several: the sums of the rows that ``resampled`` draws."""
+    for name, n in sizes.items():
+        monkeypatch.setattr(statistics, name, n)
+    rows = [(g, h, i, float(i * i % 7), i % 3) for g, h, n in (("a", 1, 11), ("a", None, 1), (None, 2, 6), ("c", 3, 4)) for i in range(n)]
+    cases = spark.createDataFrame(rows, "g string, h int, case_id long, total double, n long")
+    keys = ["g", "h", "cases", "replicate"]
+    want = statistics.resampled(cases, ["g", "h"], 7, "s").groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    plan = statistics.resampled_sums(cases, ["g", "h"], ["total", "n"], 7, "s")
+    got = {tuple(r[k] for k in keys): (r["total"], r["n"]) for r in plan.collect()}
+    assert got == {tuple(r[k] for k in keys): (r["total"], r["n"]) for r in want.collect()} and len(got) == 4 * 8
+    with pytest.raises(ValueError, match="positive"):
+        statistics.resampled_sums(cases, ["g", "h"], ["n"], 0, "s")
+
+
+def test_bootstraps_make_no_row_a_draw(spark, monkeypatch):
+    """Not even of more cases than are broadcast, whose draws were shuffled by (size, number)."""
+    monkeypatch.setattr(statistics, "BROADCAST_CASES", 0)
+    monkeypatch.setattr(statistics, "BROADCAST_VALUES", 0)
+    cases = spark.range(500).selectExpr("id % 2 as g", "id as case_id", "cast(id as double) as total", "1L as n")
+    for df in (statistics.bootstrap(cases, ["g"], 20, "s"), intervals.count_intervals(cases.selectExpr("g", "case_id", "1L as tp", "1L as fp", "0L as fn"), ["g"], 20, "s")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "explode(slice" not in plan and "ordinal" not in plan
+        assert df.count()
+    empty = statistics.bootstrap(cases.where("false"), ["g"], 20, "s")
+    assert empty.collect() == []
