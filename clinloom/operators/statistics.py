@@ -7,6 +7,7 @@ Cases are reduced to sums and counts before anything is replicated.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
@@ -214,10 +215,38 @@ def _quantile(ordered: list[float], q: float) -> float:
     return ordered[low] + (ordered[min(low + 1, len(ordered) - 1)] - ordered[low]) * (at - low)
 
 
+#: Words of the generator that are made at a time.
+WORDS = 1 << 20
+
+
+def _choices(seed: int, n: int, resamples: int) -> Iterator[np.ndarray]:
+    """The n places that ``random.Random(seed).choice`` takes in a sequence of n, again and again.
+
+    Python takes a word's upper bits, as many as n has, and the next word's where they are n or more; numpy's generator makes
+    the same words from the same state, an array at a time.
+    """
+    if n >= 1 << 32:
+        raise ValueError("a choice takes one word: fewer than 2^32 cases")
+    state = random.Random(seed).getstate()[1]
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    shift, held = 32 - n.bit_length(), np.empty(0, np.int64)
+    for _ in range(resamples):
+        parts, have = [held], len(held)
+        while have < n:
+            more = (words.random_raw(min(WORDS, 2 * n + 64)) >> shift).astype(np.int64)
+            parts.append(more[more < n])
+            have += len(parts[-1])
+        held = np.concatenate(parts)
+        yield held[:n]
+        held = held[n:]
+
+
 def mersenne_bootstrap(df: DataFrame, by: Sequence[str], resamples: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """The same interval with draws of Python's Mersenne Twister, a group at a time.
 
-    For groups of the size of a study (its cases fit one task); ``bootstrap`` has no such bound.
+    A group's cases are in one task, as are its draws, which follow one another; they are made and summed as arrays.
+    ``bootstrap`` has no such bound.
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
 
@@ -229,11 +258,9 @@ def mersenne_bootstrap(df: DataFrame, by: Sequence[str], resamples: int = 2000,
         head = [pdf[c].iloc[0] for c in by]
         if not groups:
             return pd.DataFrame([[*head, 0, None, None, None]], columns=[*by, "cases", "estimate", "low", "high"])
-        draw, keys = random.Random(seed), list(groups)
-        means = []
-        for _ in range(resamples):
-            values = [v for _ in keys for v in groups[draw.choice(keys)]]
-            means.append(sum(values) / len(values))
+        keys = list(groups)
+        totals, counts = np.array([math.fsum(v) for v in groups.values()]), np.array([len(v) for v in groups.values()])
+        means = [totals.take(at).sum() / counts.take(at).sum() for at in _choices(seed, len(keys), resamples)]
         means.sort()
         tail = (1 - confidence) / 2
         return pd.DataFrame([[*head, len(keys), held["value"].mean(), _quantile(means, tail), _quantile(means, 1 - tail)]], columns=[*by, "cases", "estimate", "low", "high"])

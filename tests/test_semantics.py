@@ -131,6 +131,14 @@ def test_mersenne_bootstrap_equals_python(spark):
     assert got["w"]["cases"] == 0 and got["w"]["estimate"] is None
 
 
+def test_choices_are_those_of_python(monkeypatch):
+    """In arrays, over the limits of arrays and of the generator's state, for sizes at powers of two."""
+    monkeypatch.setattr(statistics, "WORDS", 100)
+    for n in (1, 2, 3, 64, 65, 700, 1024):
+        draw = random.Random(5)
+        assert [at.tolist() for at in statistics._choices(5, n, 3)] == [[draw.choice(range(n)) for _ in range(n)] for _ in range(3)]
+
+
 def test_entity_assignment_query_equals_brute_force(spark, sf_dir):
     """A maximum matching's size is unique, so counts are; sizes by trying all subsets' neighbourhoods (Hall, deficiency form)."""
     from clinloom.plans import catalogue
