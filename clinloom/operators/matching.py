@@ -7,10 +7,10 @@ relational form, runs per (case, field), whose entities are few.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,20 +124,31 @@ def augment(candidates: dict[int, list[int]]) -> dict[int, int]:
     return {e: c for c, e in owner.items()}
 
 
-def assign(pairs: DataFrame, key: list[str]) -> DataFrame:
-    """Maximum one-to-one assignment per key of matched (extracted, coded, granularity, score) pairs."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*key).schema)
+def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (keys, _pairs): the pairs of each row that a maximum matching takes."""
+    for batch in batches:
+        kept = []
+        for pairs in batch.column("_pairs").to_pylist():
+            candidates: dict[int, list[int]] = {}
+            # pandas' order: greatest rank and score first, unmeasured scores last, then the least coded
+            order = sorted(pairs, key=lambda p: (-p["rank"], p["score"] is None or p["score"] != p["score"], -(p["score"] or 0.0), p["coded"]))
+            for p in order:
+                candidates.setdefault(p["extracted"], []).append(p["coded"])
+            got = augment(candidates)
+            kept.append([p for p in pairs if got.get(p["extracted"]) == p["coded"]])
+        yield batch.set_column(batch.schema.get_field_index("_pairs"), "_pairs", pa.array(kept, batch.column("_pairs").type))
 
-    ship(pairs.sparkSession)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.assign(_rank=pdf["granularity"].map(RANK)).sort_values(["_rank", "score", "coded"], ascending=[False, False, True])
-        candidates = {int(e): g["coded"].astype(int).tolist() for e, g in ordered.groupby("extracted")}
-        got = augment(candidates)
-        rows = pdf[[got.get(int(e)) == c for e, c in zip(pdf["extracted"], pdf["coded"], strict=True)]]
-        return rows[[*key, "extracted", "coded", "granularity", "score"]]
+def assign(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """Maximum one-to-one assignment per key of matched (extracted, coded, granularity, score) pairs.
 
-    return pairs.where("granularity != 'none'").groupBy(*key).applyInPandas(one, f"{fields}, extracted long, coded long, granularity string, score double")
+    A case's pairs are collected into one row, so that a call of Python has a batch of cases, not one.
+    """
+    ship(pairs.sparkSession)
+    item = F.struct(F.col("extracted").cast("long").alias("extracted"), F.col("coded").cast("long").alias("coded"), "granularity", F.col("score").cast("double").alias("score"), rank(F.col("granularity")).alias("rank"))
+    cases = pairs.where("granularity != 'none'").groupBy(*key).agg(F.collect_list(item).alias("_pairs"))
+    got = cases.mapInArrow(_assigned, cases.schema).select(*key, F.explode("_pairs").alias("_p"))
+    return got.select(*key, *[F.col(f"_p.{c}").alias(c) for c in ("extracted", "coded", "granularity", "score")])
 
 
 def grounding_counts(extracted: DataFrame, coded: DataFrame, assigned: DataFrame, by: list[str]) -> DataFrame:

@@ -139,6 +139,18 @@ def test_choices_are_those_of_python(monkeypatch):
         assert [at.tolist() for at in statistics._choices(5, n, 3)] == [[draw.choice(range(n)) for _ in range(n)] for _ in range(3)]
 
 
+def test_assignment_needs_no_call_a_case(spark):
+    """Cases come to Python in batches; null keys, repeated pairs and scores that aren't numbers count as before."""
+    rows = [("a", 1, 10, "exact_code", 1.0), ("a", 1, 11, "description_overlap", 0.7), ("a", 2, 10, "exact_code", 1.0), ("a", 3, 12, "none", 0.9)]
+    rows += [(None, 1, 10, "description_overlap", None), (None, 1, 12, "description_overlap", float("nan")), (None, 1, 11, "description_overlap", 0.6), ("b", 5, 5, "exact_code", 1.0), ("b", 5, 5, "exact_code", 1.0)]
+    df = spark.createDataFrame(rows, "k string, extracted int, coded int, granularity string, score double")
+    out = matching.assign(df, ["k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    got = sorted((str(r["k"]), r["extracted"], r["coded"]) for r in out.collect())
+    assert got == [("None", 1, 11), ("a", 1, 11), ("a", 2, 10), ("b", 5, 5), ("b", 5, 5)]
+
+
 def test_entity_assignment_query_equals_brute_force(spark, sf_dir):
     """A maximum matching's size is unique, so counts are; sizes by trying all subsets' neighbourhoods (Hall, deficiency form)."""
     from clinloom.plans import catalogue
