@@ -1,29 +1,27 @@
 """Policy discrimination: can the policy be told from the text? TF-IDF and logistic regression.
 
 Cases, not dialogues, are split, by hash rank, so no case is on both sides. Terms are the
-words and word pairs of the training side, all of them: the vocabulary is the model, so it is
-as large as the training side's language and is held by the driver, like the coefficients.
+words and word pairs of the training side, all of them, by 64-bit hashes. Neither they nor their
+coefficients are ever together: see ``logistic``. Only the strongest are looked up in the texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StringIndexer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from clinloom.operators import logistic
 from clinloom.operators.statistics import auc, hash_ranked
 
-#: More terms than this are refused rather than left out: coefficients are held a term and policy.
+#: ``weighted`` refuses more terms than this rather than leave them out: it has them as one vocabulary.
 MOST_TERMS = 1 << 24
-#: Steps of the fit, and rows for which a task of it is worth its gradient, which is as large as the model.
-ITERATIONS, ROWS_A_TASK = 25, 5_000
 
 
 def case_split(df: DataFrame, share: float = 0.25, seed: str = "0") -> DataFrame:
@@ -86,25 +84,33 @@ def discriminate(df: DataFrame, share: float = 0.25, seed: str = "0", top: int =
     """
     if top < 1:
         raise ValueError("top must be positive")
-    parts = case_split(df.where("text is not null and policy is not null").withColumn("_terms", terms("text")), share, seed)
-    labels = StringIndexer(inputCol="policy", outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc").fit(parts.where("not test"))
-    names = labels.labels
-    if len(names) < 2:
+    parts = case_split(df.where("text is not null and policy is not null"), share, seed)
+    met = parts.groupBy("policy").agg(F.count_if(~F.col("test")).alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    met.sort(key=lambda r: (not r["n"], str(r["policy"])))  # those that only the test side has come last
+    names, held = [r["policy"] for r in met], [r["n"] for r in met if r["n"]]
+    k, n = len(held), sum(held)
+    if k < 2:
         raise ValueError("at least two policies are needed")
-    train, test, vocabulary = weighted(labels.transform(parts.where("not test")), labels.transform(parts.where("test")))
-    n = train.count()
-    train = train.select("label", "features").coalesce(n // ROWS_A_TASK + 1).persist()
-    model = LogisticRegression(maxIter=ITERATIONS, tol=1e-4, regParam=1.0 / n, standardization=False).fit(train)
-    train.unpersist()
-    said = model.transform(test)
-    right = F.col("label") == F.col("prediction")
+    kind = parts.schema["policy"].dataType
+    named = lambda i: F.element_at(F.array(*(F.lit(p).cast(kind) for p in names)), i + 1)
+    labels = df.sparkSession.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("label", T.IntegerType()), T.StructField("policy", kind)]))
+    hashed = parts.join(F.broadcast(labels), "policy").select("label", "test", F.transform(terms("text"), lambda t: F.xxhash64(t)).alias("terms"))
+    model = logistic.fit(hashed, k, n, sum(r["chars"] for r in met), held)
+    said = model.said.withColumn("policy", named(F.col("label")))
+    right = F.col("label") == F.array_position("scores", F.array_max("scores")) - 1
     counts = said.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("n_correct"))
-    each = F.transform(vector_to_array("probability"), lambda p, i: F.struct(i.alias("k"), p.alias("score")))
-    long = said.select("label", F.explode(F.slice(each, 1, len(names))).alias("x")).select(F.element_at(F.array(*map(F.lit, names)), F.col("x.k") + 1).alias("policy"), F.col("x.score").alias("score"), (F.col("label") == F.col("x.k")).alias("is_corrupted"))
-    rows = counts.join(auc(long, ["policy"]).select("policy", "auc"), "policy", "left").withColumn("accuracy", F.col("n_correct") / F.col("n")).withColumn("n_policies", F.lit(len(names)))
+    each = F.transform("scores", lambda p, i: F.struct(i.alias("k"), p.alias("score")))
+    long = said.select("label", F.explode(each).alias("x")).select(named(F.col("x.k")).alias("policy"), F.col("x.score").alias("score"), (F.col("label") == F.col("x.k")).alias("is_corrupted"))
+    rows = counts.join(auc(long, ["policy"]).select("policy", "auc"), "policy", "left").withColumn("accuracy", F.col("n_correct") / F.col("n")).withColumn("n_policies", F.lit(k))
     total = rows.agg((F.sum("n_correct") / F.sum("n")).alias("accuracy"), F.avg("auc").alias("auc")).first()
-    matrix = model.coefficientMatrix.toArray()
-    if len(matrix) == 1:  # two policies: one vector, of the second against the first
-        matrix = np.stack([-matrix[0], matrix[0]])
-    best = [(names[k], rank + 1, vocabulary[i], float(matrix[k][i])) for k in range(len(names)) for rank, i in enumerate(sorted(range(len(vocabulary)), key=lambda i: (-matrix[k][i], vocabulary[i]))[:top])]
-    return Discrimination(rows, total["accuracy"], total["auc"], df.sparkSession.createDataFrame(best, "policy string, rank int, feature string, weight double"))
+    return Discrimination(rows, total["accuracy"], total["auc"], _strongest(parts, model.strongest(top), named, top))
+
+
+def _strongest(parts: DataFrame, strongest: DataFrame, named: Callable[[Column], Column], top: int) -> DataFrame:
+    """The ``top`` terms of each policy, equals by term, of the (term, k, weight) of so many hashes a part; these few are looked up in the training texts."""
+    place = F.rank().over(Window.partitionBy("k").orderBy(F.desc("weight")))
+    some = strongest.withColumn("place", place).where(F.col("place") <= top).drop("place")
+    words = parts.where("not test").select(F.explode(terms("text")).alias("feature")).withColumn("term", F.xxhash64("feature"))
+    strong = words.join(F.broadcast(some), "term").select("k", "feature", "weight").distinct()
+    ranked = strong.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("weight"), "feature")))
+    return ranked.where(F.col("rank") <= top).select(named(F.col("k")).alias("policy"), "rank", "feature", "weight")

@@ -145,6 +145,35 @@ def test_policies_are_told_apart(spark):
         discriminate.discriminate(spark.createDataFrame(rows, "case_id long, policy string, text string").where("policy = 'A'"))
 
 
+def test_discrimination_holds_no_vocabulary_and_is_the_full_fit(spark, monkeypatch):
+    # A limit on the vocabulary refused this before, as terms and coefficients were on the driver.
+    monkeypatch.setattr(discriminate, "MOST_TERMS", 2)
+    monkeypatch.setattr(discriminate.logistic, "PART_CHARS", 200)
+    monkeypatch.setattr(discriminate.logistic, "TOLERANCE", 1e-7)
+    r = random.Random(5)
+    rows = [(c, p, " ".join(r.choice(words.split()) for _ in range(r.randrange(9)))) for c in range(20) for p, words in (("A", "aa bb cc dd ee"), ("B", "bb cc ff gg"), ("C", "cc dd gg hh ii"))]
+    df = spark.createDataFrame(rows, "case_id long, policy string, text string")
+    d = discriminate.discriminate(df, top=3)
+    monkeypatch.undo()
+    # By the formulas, on all terms at once, by plain descent.
+    parts = discriminate.case_split(df).withColumn("_terms", discriminate.terms("text"))
+    train, test, vocabulary = discriminate.weighted(parts.where("not test"), parts.where("test"))
+    side = lambda x: [(q["policy"], q["features"].toArray()) for q in x.collect()]
+    train, test = side(train), side(test)
+    x, y = np.array([v for _, v in train]), np.array([["A", "B", "C"].index(p) for p, _ in train])
+    w, b = np.zeros((x.shape[1], 3)), np.zeros(3)
+    for _ in range(20_000):
+        e = np.exp(x @ w + b)
+        e /= e.sum(1, keepdims=True)
+        e[np.arange(len(y)), y] -= 1
+        w, b = w - (x.T @ e + w) / len(y), b - e.sum(0) / len(y)
+    right = Counter(p for p, v in test if "ABC"[int(np.argmax(v @ w + b))] == p)
+    assert {q["policy"]: q["n_correct"] for q in d.by_policy.collect()} == {p: right[p] for p in "ABC"}
+    top = d.top.collect()
+    assert len(top) == 9 and np.allclose([q["weight"] for q in top], [w[vocabulary.index(q["feature"]), "ABC".index(q["policy"])] for q in top], atol=1e-4)
+    assert all(np.isclose(q["weight"], np.sort(w[:, "ABC".index(q["policy"])])[-q["rank"]], atol=1e-4) for q in top)
+
+
 def test_retention_needs_an_independent_family(spark):
     cases = spark.createDataFrame([("P", 1, "b", ["a"]), ("P", 2, "b", ["a"])], "policy string, case_id long, extractor string, generators array<string>")
     e = spark.createDataFrame([("P", 1, 10), ("P", 1, 11)], "policy string, case_id long, extracted long")
