@@ -48,7 +48,7 @@ WINDOW = 1024
 #: Remainders that are counted, solved and packed at a time.
 BLOCK = 8192
 #: Distinct stretches whose ids a worker keeps; beyond, only those that are met just then stay.
-CACHE = 400_000
+CACHE = 800_000
 #: Longer stretches are not kept.
 CACHED_CHARS = 48
 #: Combinations kept for each length in each of their places, and steps of the solver.
@@ -59,6 +59,9 @@ _OUT = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 _SINGLE_SPACE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Marks of ASCII: never part of a word's piece, and joined to each other.
 _MARKS = string.punctuation
+_MARK_SET = frozenset(_MARKS)
+#: Stretches that are given to the tokenizer as one text.
+JOINED = 2000
 
 
 class Encoder:
@@ -70,8 +73,18 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._added = sorted(t.content for t in self._tokenizer.get_added_tokens_decoder().values() if t.content)
+        self._between = self._mark()
         self._kept: dict[str, bytes] = {}
 
+    def _mark(self) -> tuple[str, int] | None:
+        """An added token and its id that takes nothing of its neighbours, can't begin or end inside of another one, and gives other text no id; else None."""
+        for own, t in sorted(self._tokenizer.get_added_tokens_decoder().items()):
+            m, others = t.content, [a for a in self._added if a != t.content]
+            if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized) and not any(m.startswith(m[i:]) for i in range(1, len(m))):
+                if not any(a in m or m in a or a.startswith(m[i:]) or a.endswith(m[:i]) for a in others for i in range(1, len(m))) and self._tokenizer.encode(m, add_special_tokens=False).ids == [own]:
+                    return m, own
+        return None
+
     @staticmethod
     def stretches(text: str) -> list[str]:
         """The text cut before each single space or line feed that has no white space around it."""
@@ -79,19 +92,31 @@ class Encoder:
             return text.replace(" ", "\x01 ").replace("\n", "\x01\n").split("\x01")
         return _SINGLE_SPACE.sub("\x01", text).split("\x01") if "\x01" not in text else [text]
 
+    def _ids(self, ask: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each stretch with its ids. With a mark that no stretch has between them, many are one text: a mark of the tokenizer's own ends pieces on both sides."""
+        if self._between is None:
+            for s, e in zip(ask, self._tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
+                yield s, array("I", e.ids).tobytes()
+            return
+        mark, own = self._between
+        groups = [ask[i : i + JOINED] for i in range(0, len(ask), JOINED)]
+        for group, e in zip(groups, self._tokenizer.encode_batch_fast([mark.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            at, data = (np.flatnonzero(ids == own) * 4).tolist(), ids.tobytes()
+            yield from zip(group, map(data.__getitem__, map(slice, [0, *(x + 4 for x in at)], [*at, len(data)])), strict=True)
+
     def _encode_new(self, new: list[str]) -> dict[str, bytes]:
         """Ids of stretches not seen before; what ends in marks is put together from word and marks."""
-        kept, ends, need = self._kept, {}, set()
+        kept, ends, need, ask = self._kept, {}, set(), []
         for s in new:
-            word = s.rstrip(_MARKS)
-            if len(word) < len(s) and word and word[-1].isalnum():
+            if s[-1:] in _MARK_SET and (word := s.rstrip(_MARKS)) and word[-1].isalnum():
                 ends[s] = word
                 need.add(word)
                 need.add(s[len(word) :])
             else:
-                need.add(s)
-        ask = [s for s in need if s not in kept]
-        found = {s: array("I", e.ids).tobytes() for s, e in zip(ask, self._tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True)}
+                ask.append(s)
+        ask += [s for s in need.difference(ask) if s not in kept]
+        found = dict(self._ids(ask))
         get = lambda s: found[s] if s in found else kept[s]
         for s, word in ends.items():
             found[s] = get(word) + get(s[len(word) :])
@@ -111,9 +136,11 @@ class Encoder:
             self._kept = {s: b for s in seen if (b := self._kept.get(s)) is not None}
         kept = self._kept
         found = self._encode_new(list(seen.difference(kept)))
-        long = {s: b for s, b in found.items() if len(s) > CACHED_CHARS}
-        kept.update((s, b) for s, b in found.items() if len(s) <= CACHED_CHARS)
-        if long:
+        if max(map(len, found), default=0) <= CACHED_CHARS:
+            kept.update(found)
+        else:
+            long = {s: b for s, b in found.items() if len(s) > CACHED_CHARS}
+            kept.update((s, b) for s, b in found.items() if len(s) <= CACHED_CHARS)
             return [b"".join([kept[s] if s in kept else long[s] for s in x]) for x in cut]
         return [b"".join(map(kept.__getitem__, x)) for x in cut]
 

@@ -29,6 +29,32 @@ def test_stretches_change_no_id(plain, text):
     assert np.frombuffer(k.encoder(PATH).encode([text])[0], "<u4").tolist() == plain(text)
 
 
+@pytest.mark.parametrize("mark", [True, False])
+def test_stretches_are_given_to_the_tokenizer_together(plain, mark):
+    """Thousands of new words are a few texts for the tokenizer; without a mark to put between them, each is one."""
+
+    class Counting:
+        def __init__(self, tool):
+            self.tool, self.texts = tool, 0
+
+        def __getattr__(self, name):
+            return getattr(self.tool, name)
+
+        def encode_batch_fast(self, texts, **more):
+            self.texts += len(texts)
+            return self.tool.encode_batch_fast(texts, **more)
+
+    encoder = k.Encoder(PATH)
+    encoder._tokenizer = counted = Counting(encoder._tokenizer)
+    assert encoder._between == ("<|endoftext|>", 50256)
+    if not mark:
+        encoder._between = None
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("abé'<|>9", k=r.randint(1, 9))) + r.choice(["", ",", ".", "?!", "<|"]) for _ in range(1500)) for _ in range(4)] + ["", "\x01", "<|endoftext", "x" * 500]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [plain(t) for t in texts]
+    assert (counted.texts < 10) == mark
+
+
 def test_added_tokens_in_the_text(plain):
     """Where the text spells an added token, the ids are the tokenizer's own: at ends, doubled, against words and marks."""
     t = "<|endoftext|>"
