@@ -533,11 +533,12 @@ def _first_blocks(pairs: DataFrame) -> DataFrame:
     return leaves.unionByName(pivots)
 
 
-def _groups(members: DataFrame, by: str) -> DataFrame:
-    """Per group: its size and shingles, its most frequent root, and those of members of another root."""
-    roots = members.groupBy(by, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
-    held = roots.groupBy(by).agg(F.sum("n").alias("size"), F.sum("m").alias("shingles"), F.max(F.struct("n", "root", "m")).alias("top"))
-    return held.select(by, "size", "shingles", F.col("top.root").alias("giant"), (F.col("size") - F.col("top.n")).alias("strays"), (F.col("shingles") - F.col("top.m")).alias("stray_shingles"))
+def _groups(members: DataFrame, by: str, *more: Column) -> DataFrame:
+    """Per group: its size and shingles, its most frequent root, and those of members of another root; ``more``: b, a minimum, s and t, sums."""
+    roots = members.groupBy(by, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"), *more)
+    again = [F.min("b").alias("b"), F.sum("s").alias("s"), F.sum("t").alias("t")] if more else []
+    held = roots.groupBy(by).agg(F.sum("n").alias("size"), F.sum("m").alias("shingles"), F.max(F.struct("n", "root", "m")).alias("top"), *again)
+    return held.select(by, *(["b", "s", "t"] if more else []), "size", "shingles", F.col("top.root").alias("giant"), (F.col("size") - F.col("top.n")).alias("strays"), (F.col("shingles") - F.col("top.m")).alias("stray_shingles"))
 
 
 def _group_blocks(rows: DataFrame) -> DataFrame:
@@ -558,39 +559,34 @@ def _second_blocks(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> Da
     A candidate component is tested as one group or key by key, whichever costs less in
     pairs compared and sets sent.
     """
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    rooted = shared.join(of("node"), "node", "left").join(of("peer"), "peer", "left")
-    rooted = rooted.withColumn("node_root", F.coalesce("node_root", "node")).withColumn("peer_root", F.coalesce("peer_root", "peer"))
-    rooted = materialize(rooted, "rooted")
-    n = rooted.count()
-    open_keys = materialize(rooted.where("node_root != peer_root").select("key").distinct(), "open", n)
-    held = rooted.join(_beside(open_keys), "key", "left_semi")
-    members = held.select("key", "node", F.col("node_root").alias("root")).union(held.select("key", "peer", "peer_root")).distinct()
-    members = materialize(members, "members", 2 * n)
-    discard(rooted, open_keys)
+    named = sizes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n_shingles")
+    members = shared.select("key", "node").union(shared.select("key", "peer")).distinct()
+    members = materialize(members.join(named, "node").select("key", "node", "root", "n_shingles"), "members")
     n = members.count()
-    # Both nodes of a key with two have been compared already.
-    lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("s"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("t"))
-    once = materialize(lists.where("n > 2").groupBy("n", "s", "t").agg(F.min("key").alias("key")).select("key"), "once", n)
+    # All that is asked of a key is found in one grouping, and meets its nodes in one join. Of keys with the same nodes one is
+    # enough, those inside one component are done, and both nodes of a key with two have been compared already.
+    stats = ["size", "shingles", "giant", "strays", "stray_shingles"]
+    signs = [F.sum(F.shiftright(F.xxhash64("node", *salt), 20)).alias(name) for name, salt in (("s", []), ("t", [F.lit(1)]))]
+    lists = _groups(members, "key", F.min("node").alias("b"), *signs).where("size > 2 and strays > 0")
+    once = lists.groupBy("size", "s", "t").agg(F.min(F.struct("key", "b", *stats)).alias("x")).select("x.*")
+    once = materialize(once, "once", n)
     every, members = members, materialize(members.join(_beside(once), "key"), "members", n)
-    discard(every, once)
+    discard(every)
     if members.isEmpty():
         return members.select(F.col("key").alias("block"), F.lit(4).alias("role"), "node", "root")
-    least = materialize(members.groupBy("key").agg(F.min("node").alias("b")), "least", n)
-    cells = components(members.join(_beside(least), "key").select(F.col("node").alias("a"), "b"))
-    placed = materialize(members.join(cells.select("node", F.col("root").alias("cell")), "node").join(sizes, "node"), "placed", n)
-    discard(members, least, cells)
-    whole = placed.select("cell", "node", "root", "n_shingles").distinct()
-    by_cell, by_key = _groups(whole, "cell"), _groups(placed, "key")
-    key_cell = placed.groupBy("key").agg(F.min("cell").alias("cell"))
-    pieces = by_key.join(key_cell, "key").groupBy("cell").agg(F.sum(F.col("size") * F.col("strays") / PAIRS_A_ROW + F.col("size")).alias("pieces"))
+    n = members.count()
+    cells = components(members.select(F.col("node").alias("a"), "b"))
+    whole = materialize(cells.select("node", F.col("root").alias("cell")).join(named, "node"), "whole", n)
+    discard(cells)
+    key_cost = F.col("size") * F.col("strays") / PAIRS_A_ROW + F.col("size")
+    pieces = once.join(whole.select(F.col("node").alias("b"), "cell"), "b").groupBy("cell").agg(F.sum(key_cost).alias("pieces"))
     sent = F.col("size") * F.ceil(F.col("strays") / CHUNK) + F.col("strays") * F.ceil(F.col("size") / GROUP)
     at_once = F.col("size") * F.col("strays") / PAIRS_A_ROW + sent
     at_hand = (F.col("size") <= GROUP) & (F.col("shingles") <= BLOCK_SHINGLES)
-    cells_done = materialize(by_cell.join(pieces, "cell").withColumn("as_whole", at_hand | (at_once <= F.col("pieces"))), "cells", n)
+    cells_done = materialize(_groups(whole, "cell").join(pieces, "cell").withColumn("as_whole", at_hand | (at_once <= F.col("pieces"))), "cells", n)
     one = whole.join(cells_done.where("as_whole"), "cell").withColumn("gid", F.xxhash64(F.lit(0), "cell"))
-    by_key = materialize(by_key, "by_key", n)
-    keyed = placed.join(cells_done.where("not as_whole").select("cell"), "cell").join(_beside(by_key), "key").withColumn("gid", F.xxhash64(F.lit(1), "key"))
+    by_key = materialize(whole.join(cells_done.where("not as_whole"), "cell", "left_semi").select("node"), "by_key", n)
+    keyed = members.join(_beside(by_key), "node", "left_semi").withColumn("gid", F.xxhash64(F.lit(1), "key"))
     fields = ["gid", "node", "root", "giant", "size", "shingles", "strays", "stray_shingles"]
     return _group_blocks(one.select(*fields).unionByName(keyed.select(*fields)))
 

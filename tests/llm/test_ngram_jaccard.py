@@ -226,3 +226,26 @@ def test_query(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in queries.op9_ngram_jaccard(spark, sf_dir).collect())
     assert got == brute(docs, 3, 90, 100)
+
+
+def test_nodes_of_a_key_meet_what_is_known_of_it_in_one_join(spark, monkeypatch):
+    """Of a key's figures, its least node and whether it is the first of its list, each was a join of all nodes of all keys before."""
+    plans, real = [], g.materialize
+    seen = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    monkeypatch.setattr(g, "materialize", lambda df, *a: (seen(df), real(df, *a))[1])
+    monkeypatch.setattr(g, "GROUP", 4)
+    shared = [(key, node, key) for key in (100, 200) for node in range(1, 9)] + [(300, node, 300) for node in range(1, 4)] + [(400, 7, 8)]
+    roots = {**{v: 1 for v in range(1, 6)}, 300: 1}
+    nodes = sorted({v for _, *pair in shared for v in pair})
+    of = lambda rows, names: spark.createDataFrame(rows, names)
+    blocks = g._second_blocks(of(shared, "key long, node long, peer long"), of(list(roots.items()), "node long, root long"), of([(v, 9) for v in nodes], "node long, n_shingles long"))
+    seen(blocks)
+    assert sum(line.count("Join ") for p in plans for line in p.splitlines() if "(key#" in line.split("Join ")[-1] and "Join " in line) == 1
+    met = {}
+    for r in blocks.collect():
+        met.setdefault(r["block"], {}).setdefault(r["role"], set()).add(r["node"])
+    pairs = {frozenset((a, b)) for m in met.values() for x, y in ((4, 4), (2, 3)) for a in m.get(x, ()) for b in m.get(y, ()) if a != b}
+    apart = lambda a, b: roots.get(a, a) != roots.get(b, b)
+    for key in (100, 200):
+        group = [*range(1, 9), key]
+        assert all(frozenset((a, b)) in pairs for a in group for b in group if apart(a, b))
