@@ -14,9 +14,13 @@ when ``den`` * |intersection| >= ``num`` * |union|. The join is exact: no link i
    part, for its own class and for the next. Parts with next to no shingles say little, so
    a class has some parts more than H + 1 and a node leaves out up to as many of those.
    Small sets use the usual prefix of their least shingles instead.
-   A task keeps the least node of each key and turns the key's other nodes into direct
-   pairs, so a key arrives at the shuffle once a task, however large its group.
-3. Nodes that share a key are candidates. Their sets are made again from the texts, and
+   Of each key a task deals one node by the key and the others anywhere, as those are known to
+   share it, so a key arrives at the shuffle once a task, however large its group.
+   Linked sets share more than one key: where H + 1 + e parts are made, e + 1 at least are the
+   same in both, less those left out. A node that shares fewer of a class's keys with any others
+   has no link by them and leaves these keys. So the many that have a key or two in common by
+   chance, more and more of them as the table grows, are no candidates.
+3. Nodes that still share a key are candidates. Their sets are made again from the texts, and
    documents x shingles incidence matrices are multiplied block by block; a product row
    holds a document's overlap counts. Pairs whose overlap is below num (a + b) / (num + den)
    go. A component of candidates of up to ``GROUP`` nodes and ``BLOCK_SHINGLES`` shingles is one
@@ -198,14 +202,27 @@ def classes(num: int, den: int) -> Classes:
     return Classes(num, den)
 
 
-def keys_of(grams: np.ndarray, c: Classes) -> np.ndarray:
-    """The keys of one set: two sets that link have one in common; none at threshold 1, where only equal sets do."""
+#: Family of the prefix keys: one key in common is enough. Those of parts are named by ``_family``.
+PREFIX = 1 << 2 | 2
+
+
+def _family(k: int, need: int) -> int:
+    """Names the keys that a set has of class k, of which a linked set shares at least ``need`` if they link by that class."""
+    return need << 2 | k & 1
+
+
+def keys_by_family(grams: np.ndarray, c: Classes) -> list[tuple[int, np.ndarray]]:
+    """The keys of one set by families (see ``_family``): of two sets that link, there is a class of which they share as many as both need.
+
+    Of the e + 1 parts or more that are the same in both, a set leaves out no more than it has weak ones; a set that
+    leaves out none can meet one that leaves out e.
+    """
     n, out = len(grams), []
     if not n or c.num == c.den:
-        return np.zeros(0, np.uint64)
+        return []
     if n * c.num <= SMALL * c.den:
         prefix = n - -(-n * c.num // c.den) + 1
-        out.append(mix(grams[:prefix] ^ U(0xA5A5A5A5)))
+        out.append((PREFIX, mix(grams[:prefix] ^ U(0xA5A5A5A5))))
     if n > SMALL:
         own, content = c.of(n), np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ _TURN))])
         for k in (own, own + 1):
@@ -216,8 +233,14 @@ def keys_of(grams: np.ndarray, c: Classes) -> np.ndarray:
             total = content[end] - content[end - held]
             key = mix(total + mix(np.arange(m, dtype=np.uint64) * _MIX1 + U((k + 1) * int(_MIX2) & _ALL)))
             weak = held <= c.weak
-            out.append(key[~weak] if weak.sum() <= c.spare[k] else key)
-    return np.concatenate(out)
+            left_out = int(weak.sum())
+            out.append((_family(k, c.spare[k] + 1 - left_out), key[~weak]) if left_out <= c.spare[k] else (_family(k, 1), key))
+    return out
+
+
+def keys_of(grams: np.ndarray, c: Classes) -> np.ndarray:
+    """The keys of one set: two sets that link have one in common; none at threshold 1, where only equal sets do."""
+    return np.concatenate([np.zeros(0, np.uint64), *(key for _, key in keys_by_family(grams, c))])
 
 
 def _nodes(words: int):
@@ -241,39 +264,41 @@ def _with_node(words: int, at: int, name: str):
     return run
 
 
-def _combined(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-    """Rows (deal, key, node, peer): each key's least node, and its other nodes as pairs with that one."""
-    key = np.concatenate(keys).view(np.int64)
-    node = np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
+def _combined(keys: list[np.ndarray], nodes: list[int], families: list[int]) -> pa.RecordBatch:
+    """Rows (deal, key, node, family, alone): each key's least node, dealt by the key and perhaps alone with it here, and its other nodes."""
+    key, held = np.concatenate(keys).view(np.int64), [len(k) for k in keys]
+    node, family = np.repeat(np.array(nodes, np.int64), held), np.repeat(np.array(families, np.int32), held)
     order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    new_key = np.concatenate([[True], key[1:] != key[:-1]])
-    new = new_key | np.concatenate([[True], node[1:] != node[:-1]])
-    least = node[new_key][np.cumsum(new_key) - 1]
-    key, node, least, head = key[new], node[new], least[new], new_key[new]
+    key, node, family = key[order], node[order], family[order]
+    head = np.concatenate([[True], key[1:] != key[:-1]])
+    new = head | np.concatenate([[True], node[1:] != node[:-1]])
+    key, node, family, head = key[new], node[new], family[new], head[new]
+    alone = head & np.append(head[1:], True)
     by_node = np.argsort(node, kind="stable")  # a node's rows side by side compress better
-    key, node, least, head = key[by_node], node[by_node], least[by_node], head[by_node]
+    key, node, family, head, alone = key[by_node], node[by_node], family[by_node], head[by_node], alone[by_node]
     deal = np.where(head, key, mix((key ^ node).view(np.uint64)).view(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(deal), pa.array(key), pa.array(node), pa.array(least, mask=head)], names=["deal", "key", "node", "peer"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, key, node, family, alone)], names=["deal", "key", "node", "family", "alone"])
 
 
 def _keys(words: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, keys, nodes, seen, held = classes(num, den), [], [], set(), 0
+        c, keys, nodes, families, seen, held = classes(num, den), [], [], [], set(), 0
         for part in slices(batches, 0):
             for grams in shingle_sets(part.column(0).to_pylist(), words):
                 node = node_of(grams)
                 if node is None or node in seen:
                     continue
                 seen.add(node)
-                keys.append(keys_of(grams, c))
-                nodes.append(node)
-                held += len(keys[-1])
+                for family, key in keys_by_family(grams, c):
+                    keys.append(key)
+                    nodes.append(node)
+                    families.append(family)
+                    held += len(key)
                 if held >= COMBINE:
-                    yield _combined(keys, nodes)
-                    keys, nodes, seen, held = [], [], set(), 0
+                    yield _combined(keys, nodes, families)
+                    keys, nodes, families, seen, held = [], [], [], set(), 0
         if held:
-            yield _combined(keys, nodes)
+            yield _combined(keys, nodes, families)
 
     return run
 
@@ -653,13 +678,29 @@ def _labels(rows: DataFrame, shared: DataFrame, pairs: DataFrame, ids: DataFrame
     return labels, None
 
 
+def _enough(met: DataFrame) -> DataFrame:
+    """(key, node) of those of ``met`` (key, node, family) whose node shares as many keys of the family as a link by them takes."""
+    held = met.groupBy("node", "family").agg(F.collect_set("key").alias("keys"))
+    return held.where(F.size("keys") >= F.shiftright("family", 2)).select("node", F.explode("keys").alias("key"))
+
+
+def _starred(members: DataFrame) -> DataFrame:
+    """(key, node, peer) for (key, node): the least node of a key with all its others."""
+    members = materialize(members, "members")
+    least = members.groupBy("key").agg(F.min("node").alias("peer"), F.max("node").alias("most")).where("peer < most").select("key", "peer")
+    return members.join(least, "key").where("peer != node").select("key", "node", "peer")
+
+
 def _linked_nodes(rows: DataFrame, ids: DataFrame, words: int, num: int, den: int, links: bool) -> tuple[DataFrame | None, DataFrame | None]:
     """``_labels`` of the nodes that share a key, or None where none do."""
-    dealt = rows.select("text").mapInArrow(_keys(words, num, den), "deal long, key long, node long, peer long")
-    least = F.min("node").over(Window.partitionBy("deal"))
-    shared = dealt.withColumn("peer", F.coalesce("peer", least)).where("peer != node").select("key", "node", "peer")
-    shared = materialize(shared, "shared")
+    dealt = rows.select("text").mapInArrow(_keys(words, num, den), "deal long, key long, node long, family int, alone boolean")
+    of_deal = Window.partitionBy("deal")
+    least, most = F.min("node").over(of_deal), F.max(F.when(F.col("alone"), F.col("node")).otherwise(F.lit((1 << 63) - 1))).over(of_deal)
+    met = materialize(dealt.withColumn("met", least != most).where("met").select("key", "node", "family"), "met")
     del dealt
+    release(met.sparkSession)
+    shared = materialize(_starred(_enough(met)), "shared")
+    discard(met)
     release(shared.sparkSession)
     pairs = materialize(shared.select("node", "peer").distinct(), "pairs", shared.count())
     found = (None, None) if pairs.isEmpty() else _labels(rows, shared, pairs, ids, words, num, den, links)

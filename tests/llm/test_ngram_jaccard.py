@@ -249,3 +249,39 @@ def test_nodes_of_a_key_meet_what_is_known_of_it_in_one_join(spark, monkeypatch)
     for key in (100, 200):
         group = [*range(1, 9), key]
         assert all(frozenset((a, b)) in pairs for a in group for b in group if apart(a, b))
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (9999, 10000), (50, 100), (95, 100)])
+def test_linked_sets_share_as_many_keys_of_a_family_as_both_need(num, den):
+    c, r = g.classes(num, den), np.random.default_rng(num)
+    checked = needed = 0
+    for _ in range(1500):
+        n = int(r.choice([1, 2, 5, 18, 24, 25, 26, 30, 31, 60, 150, 256, 700, 2000]))
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        k = int(r.integers(0, int(2 * n * (den - num) / (den + num)) + 2))
+        drop = int(r.integers(0, min(k, n - 1) + 1))
+        b = np.unique(np.concatenate([r.permutation(a)[drop:], r.integers(0, 1 << 63, k - drop, dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if den * both < num * (len(a) + len(b) - both):
+            continue
+        checked += 1
+        met = [(len(np.intersect1d(x, y)), max(f >> 2, h >> 2)) for f, x in g.keys_by_family(a, c) for h, y in g.keys_by_family(b, c)]
+        assert any(held and held >= need for held, need in met), (len(a), len(b), both)
+        needed = max(needed, *(need for _, need in met))
+    assert checked > 200 and (needed > 1 or num == 9999)
+
+
+def test_a_few_keys_by_chance_make_no_candidates(spark, monkeypatch):
+    """Each text has a line of the one before: a few keys in common, far from a link. All were one candidate component before."""
+    seen = []
+    monkeypatch.setattr(g, "_labels", lambda rows, shared, pairs, *a: (seen.append((pairs.collect(), shared.count())), (None, None))[1])
+    line = lambda i: [f"l{i}x{j}" for j in range(45)]
+    texts = [" ".join([*line(i), *(f"t{i}x{j}" for j in range(170)), *line(i + 1)]) for i in range(60)]
+    c, sets = g.classes(80, 100), g.shingle_sets(texts, 5)
+    assert sum(bool(np.intersect1d(g.keys_of(a, c), g.keys_of(b, c)).size) for a, b in zip(sets, sets[1:], strict=False)) > 10
+    copies = [texts[0] + " more", texts[7].replace("t7x80", "other")]
+    df = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string").repartition(3)
+    g.join_components(df, 5, 80, 100).count()
+    (pairs, _), = seen
+    node = [g.node_of(s) for s in g.shingle_sets(texts + copies, 5)]
+    assert {frozenset(p) for p in pairs} == {frozenset((node[0], node[60])), frozenset((node[7], node[61]))}
