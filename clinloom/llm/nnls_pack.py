@@ -74,6 +74,7 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._added = sorted(t.content for t in self._tokenizer.get_added_tokens_decoder().values() if t.content)
         self._between = self._mark()
+        self._opens = self._spaced()
         self._kept: dict[str, bytes] = {}
 
     def _mark(self) -> tuple[str, int] | None:
@@ -85,6 +86,12 @@ class Encoder:
                     return m, own
         return None
 
+    def _spaced(self) -> np.ndarray:
+        """By id: does its token begin with a space, which byte-level vocabularies write as a letter of their own?"""
+        out = np.zeros(max(self._tokenizer.get_vocab().values()) + 1, bool)
+        out[[i for t, i in self._tokenizer.get_vocab().items() if t[:1] == "\u0120"]] = True
+        return out
+
     @staticmethod
     def stretches(text: str) -> list[str]:
         """The text cut before each single space or line feed that has no white space around it."""
@@ -93,7 +100,23 @@ class Encoder:
         return _SINGLE_SPACE.sub("\x01", text).split("\x01") if "\x01" not in text else [text]
 
     def _ids(self, ask: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each stretch with its ids. With a mark that no stretch has between them, many are one text: a mark of the tokenizer's own ends pieces on both sides."""
+        """Each stretch with its ids. Many are one text: words behind a space follow each other as they are, as a piece begins at
+        such a space and has none inside; others have a mark of the tokenizer's own between them, which ends pieces on both sides.
+        """
+        words, rest = [], []
+        for s in ask:
+            (words if s[:1] == " " and s[1:].isalpha() else rest).append(s)
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, e in zip(groups, self._tokenizer.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            at, data = (np.flatnonzero(self._opens[ids]) * 4).tolist(), ids.tobytes()
+            if len(at) == len(group):
+                yield from zip(group, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True)
+            else:
+                rest += group
+        yield from self._marked(rest)
+
+    def _marked(self, ask: list[str]) -> Iterator[tuple[str, bytes]]:
         if self._between is None:
             for s, e in zip(ask, self._tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
                 yield s, array("I", e.ids).tobytes()

@@ -178,3 +178,28 @@ def test_batches_are_streamed(plain):
     batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "text": [t]}) for i, t in enumerate(texts)]
     rows = [tuple(r.values()) for b in k.pack_batches(iter(batches), PATH) for r in b.to_pylist()]
     check(rows, {i: plain(t) + [0] for i, t in enumerate(texts)})
+
+
+def test_words_behind_a_space_need_no_mark_between_them(plain):
+    """A mark between new words was a piece of its own for the tokenizer, for each of them."""
+    encoder, given = k.Encoder(PATH), []
+
+    class Seen:
+        def __init__(self, real):
+            self.real = real
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def encode_batch_fast(self, texts, **how):
+            given.extend(texts)
+            return self.real.encode_batch_fast(texts, **how)
+
+    encoder._tokenizer = Seen(encoder._tokenizer)
+    texts = [" ".join(f"{a}{b}qu" for a in ("xy", "ß", "日本", "é", "LL", "ªº") for b in ("ab", "ñ", "语", "Zo")), "one two, it's 3 x y a  b Ġc d́e  f\n g ᾳ ǅ ﬁ", " ", " a", "a "]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [plain(t) for t in texts]
+    joined = next(t for t in given if " ßabqu" in t)
+    assert joined.count(" ") > 20 and "<|endoftext|>" not in joined
+    encoder._kept.clear()
+    encoder._opens[:] = False  # a vocabulary that writes spaces otherwise
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [plain(t) for t in texts]
