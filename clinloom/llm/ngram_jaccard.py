@@ -578,15 +578,21 @@ def _group_blocks(rows: DataFrame) -> DataFrame:
     return one.unionByName(many)
 
 
+def _each_of(held: DataFrame, what: str, named: DataFrame, *fields: str) -> DataFrame:
+    """The distinct (node, what) of ``held`` whose node is in ``named``, with its fields; a node meets ``named`` as one row, however much it holds."""
+    packed = held.groupBy("node").agg(F.collect_set(what).alias(what))
+    return packed.join(named, "node").select("node", *fields, F.explode(what).alias(what))
+
+
 def _second_blocks(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Blocks that test every pair that shares a key and is in different components; ``sizes`` has (node, n_shingles).
+    """Blocks that test every pair of nodes of ``sizes`` (node, n_shingles) that shares a key and is in different components.
 
     A candidate component is tested as one group or key by key, whichever costs less in
     pairs compared and sets sent.
     """
     named = sizes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n_shingles")
-    members = shared.select("key", "node").union(shared.select("key", "peer")).distinct()
-    members = materialize(members.join(named, "node").select("key", "node", "root", "n_shingles"), "members")
+    held = shared.select("node", "key").union(shared.select("peer", "key"))
+    members = materialize(_each_of(held, "key", named, "root", "n_shingles"), "members")
     n = members.count()
     # All that is asked of a key is found in one grouping, and meets its nodes in one join. Of keys with the same nodes one is
     # enough, those inside one component are done, and both nodes of a key with two have been compared already.
@@ -659,14 +665,14 @@ def _labels(rows: DataFrame, shared: DataFrame, pairs: DataFrame, ids: DataFrame
         release(rows.sparkSession)
         return labels, counts
     found = found.select("a", "b")
-    stars = materialize(pairs.join(large.select("node", "n_shingles"), "node"), "stars")
+    stars = materialize(_each_of(pairs, "peer", large.select("node", "n_shingles"), "n_shingles"), "stars")
     if stars.isEmpty():
         labels = components(found)
     else:
         sketches = sketched()
         first = linked(_first_blocks(stars), sketches)
         labels = components(found.union(first.select("a", "b")))
-        blocks = materialize(_second_blocks(shared.join(large.select("node"), "node", "left_semi"), labels, large.select("node", "n_shingles")), "blocks")
+        blocks = materialize(_second_blocks(shared, labels, large.select("node", "n_shingles")), "blocks")
         second = linked(blocks, sketches)
         if not second.where("b is not null").isEmpty():
             before = labels

@@ -285,3 +285,34 @@ def test_a_few_keys_by_chance_make_no_candidates(spark, monkeypatch):
     (pairs, _), = seen
     node = [g.node_of(s) for s in g.shingle_sets(texts + copies, 5)]
     assert {frozenset(p) for p in pairs} == {frozenset((node[0], node[60])), frozenset((node[7], node[61]))}
+
+
+def join_rows(spark, by, kind, after):
+    """Rows that the joins of one kind by ``by`` on both sides made, over the executions from ``after`` on."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    for k in range(after, store.executionsList().size()):
+        ran = store.executionsList().apply(k).executionId()
+        values, nodes = store.executionMetrics(ran), store.planGraph(ran).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search(rf"Join \[{by}#\d+L?\], \[{by}#\d+L?\], {kind}", node.desc()):
+                made = [m for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if m.name() == "number of output rows"]
+                total += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in made if values.contains(m.accumulatorId()))
+    return total
+
+
+def test_a_node_of_many_keys_meets_what_is_known_of_it_as_one_row(spark, monkeypatch):
+    """Near copies share some forty keys each: a join by node had a row for each of them before, not one."""
+    monkeypatch.setattr(g, "GROUP", 4)
+    nodes, keys = range(1, 81), range(1000, 1040)
+    shared = spark.createDataFrame([(key, node, 1) for key in keys for node in nodes if node > 1 and (key + node) % 7], "key long, node long, peer long")
+    sizes = spark.createDataFrame([(v, 90) for v in nodes], "node long, n_shingles long")
+    labels = spark.createDataFrame([(v, 1) for v in nodes if v % 10], "node long, root long")
+    after = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    blocks = g._second_blocks(shared, labels, sizes)
+    assert 0 < join_rows(spark, "node", "Inner", after) <= 2 * len(nodes)
+    met = {}
+    for r in blocks.collect():
+        met.setdefault(r["block"], {}).setdefault(r["role"], set()).add(r["node"])
+    pairs = {frozenset((a, b)) for m in met.values() for x, y in ((4, 4), (2, 3)) for a in m.get(x, ()) for b in m.get(y, ()) if a != b}
+    assert all(frozenset((a, b)) in pairs for a in nodes for b in nodes if a < b and (a % 10 == 0 or b % 10 == 0))
