@@ -86,8 +86,8 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evaluated(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates that can be evaluated, with the criteria each meets, E10 included."""
-    sound = candidates(spark, d).where(cohort.malformed_reason().isNull())
+    """Candidates that can be evaluated, with the criteria each meets, E10 included. Without both dates and an age none can."""
+    sound = candidates(spark, d).where(cohort.malformed_reason().isNull()).dropna(subset=["admittime", "dischtime", "age"])
     return cohort.with_first_admission(sound.withColumn("fired", cohort.fired(cohort.Criteria())))
 
 
