@@ -4,6 +4,7 @@ import json
 import math
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clinloom.operators import attempts as at
-from clinloom.operators import decomposition, discriminate, evaluation, intervals, knowledge, retention, statistics
+from clinloom.operators import decomposition, discriminate, evaluation, intervals, knowledge, logistic, retention, statistics
 from clinloom.sources import attempts as log
 from clinloom.sources import sinks
 
@@ -174,6 +175,28 @@ def test_discrimination_holds_no_vocabulary_and_is_the_full_fit(spark, monkeypat
     assert all(np.isclose(q["weight"], np.sort(w[:, "ABC".index(q["policy"])])[-q["rank"]], atol=1e-4) for q in top)
 
 
+def test_terms_of_equal_columns_are_multiplied_once():
+    """Each iteration met every entry before, also those of the many terms that only one document has."""
+    r, lengths = np.random.default_rng(3), {7: 6, 2: 5}
+    x = {b: r.integers(1, 400, (n, 30)) * (r.random((n, 30)) < 0.4) for b, n in lengths.items()}
+    for m in x.values():
+        m[:, 10:20] = m[:, :1]
+        m[:, 20:] = 0
+    x[7][3, 20:25], x[2][4, 25:] = 1, 2
+    entries = {b: np.nonzero(m) for b, m in x.items()}
+    idf = np.log(12 / (1 + sum((m > 0).sum(0) for m in x.values()))) + 1
+    row = {"part": [0], "hashes": [b""], "idf": [idf.tobytes()], "blocks": [[7, 2, 1]], "tests": [[False, False, True]], "sizes": [[*(len(i) for i, _ in entries.values()), 1]]}
+    flat = {"rows": [*(i for i, _ in entries.values()), [0]], "ids": [*(j for _, j in entries.values()), [29]], "counts": [*(x[b][e] for b, e in entries.items()), [5]]}
+    row |= {c: [np.concatenate(v).astype(np.uint16 if c == "rows" else np.int32).tobytes()] for c, v in flat.items()}
+    made = list(logistic._trained(lengths)(iter([logistic._rows(row, logistic._PARTS)])))
+    whole = sum(len(i) for i, _ in entries.values())
+    assert sum(made[0].to_pylist()[0]["sizes"]) == whole - 10 * int((x[7][:, 0] > 0).sum() + (x[2][:, 0] > 0).sum()) - 8
+    sent = r.normal(size=(3, 11))  # block 2 comes first
+    got = {q["block"]: np.frombuffer(q["data"]).reshape(-1, 3) for b in logistic._iterated(SimpleNamespace(value=sent), lengths)(iter(made)) for q in b.to_pylist()}
+    weights = np.vstack([np.where(x[b] > 0, 1 + np.log(np.maximum(x[b], 1)), 0) * idf for b in (2, 7)])
+    assert np.allclose(np.vstack([got[2], got[7]]), weights @ (weights.T @ sent.T))
+
+
 def test_retention_needs_an_independent_family(spark):
     cases = spark.createDataFrame([("P", 1, "b", ["a"]), ("P", 2, "b", ["a"])], "policy string, case_id long, extractor string, generators array<string>")
     e = spark.createDataFrame([("P", 1, 10), ("P", 1, 11)], "policy string, case_id long, extracted long")
