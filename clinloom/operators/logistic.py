@@ -370,7 +370,8 @@ def fit(docs: DataFrame, k: int, n: int, chars: int, counts: list[int], toleranc
     ship(spark)
     parts = chars // PART_CHARS + 1
     entries = materialize(docs.select("label", "test", "terms").mapInArrow(_entries(parts), ENTRIES), "entries")
-    matrix = entries.where("part >= 0").drop("labels").repartition("part").sortWithinPartitions("part").mapInArrow(_joined(n), PARTS)
+    # A file of few parts: Spark's reader has a file's rows in memory at once if they are few and long.
+    matrix = entries.where("part >= 0").drop("labels").repartition(parts // 2 + 1, "part").sortWithinPartitions("part").mapInArrow(_joined(n), PARTS)
     matrix = materialize(matrix, "matrix")
     known = materialize(entries.where("part < 0").select("block", "test", "labels"), "blocks")
     discard(entries)
